@@ -18,7 +18,8 @@ scheme of its band and of the next.  Blocks are joined in two rounds:
    rows grow with the members, not with their square); verified links give
    components;
 2. only in blocks that still span several components, members of different
-   components are joined through the R-tree.  Pairs inside one component need
+   components are joined through the R-tree, whose survivors must also pass
+   the bound of points with more coordinates.  Pairs inside one component need
    no test: they cannot change the result.
 
 Documents with equal sets are one class and are joined once.
@@ -40,6 +41,8 @@ from taxflow.llm.scratch import Scratch, partitions
 
 #: Coordinates of a point.
 DIMS = 32
+#: Coordinates of the finer points of the second round; folding them gives the coarse ones.
+FINE = 256
 #: Members of a block that are handled at once; larger blocks are cut into pairs of parts.
 BLOCK = 4096
 #: Entries of an R-tree leaf.
@@ -92,6 +95,11 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray,
             yield (at, to, *shingle_sets(data, offsets[at : to + 1], k))
 
 
+def _counts(h: np.ndarray, doc: np.ndarray, n: int, dims: int) -> np.ndarray:
+    group = (K.mix(h + np.uint64(7)) % np.uint64(dims)).astype(np.int64)
+    return np.bincount(doc * dims + group, minlength=n * dims).astype("<u4").reshape(n, dims)
+
+
 def _profiles(k: int):
     def run(batches):
         for batch in batches:
@@ -102,8 +110,7 @@ def _profiles(k: int):
                 once, twice = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
                 np.add.at(once, doc, K.mix(h + np.uint64(1)))
                 np.add.at(twice, doc, K.mix(h ^ np.uint64(0x5555AAAA5555AAAA)))
-                group = (K.mix(h + np.uint64(7)) % np.uint64(DIMS)).astype(np.int64)
-                point = np.bincount(doc * DIMS + group, minlength=n * DIMS).astype("<u4").reshape(n, DIMS)
+                point = _counts(h, doc, n, DIMS)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, n), pa.array(size, pa.int64()), pa.array(K.signed(once)), pa.array(K.signed(twice)), pa.array([x.tobytes() for x in point], pa.binary())],
                     names=["nid", "size", "s1", "s2", "point"],
@@ -210,14 +217,14 @@ def _blocks(batches):
         yield out
 
 
-def _points(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, DIMS).astype(np.int64)
+def _points(column: pa.Array, dims: int = DIMS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, dims).astype(np.int32)
 
 
 def _possible(threshold: Fraction, common: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether an intersection of ``common`` can reach the threshold for these sums of sizes."""
     p, q = threshold.numerator, threshold.denominator
-    return common * (p + q) >= p * sizes
+    return common.astype(np.int64) * (p + q) >= p * sizes.astype(np.int64)
 
 
 def _bounded(threshold: Fraction):
@@ -263,13 +270,17 @@ def _cross(threshold: Fraction):
     """From rows sorted by (block, pb, qb, side): pairs of different components within a block."""
 
     def emit(rows):
-        cid, comp, side, point = rows
+        cid, comp, side, fine = rows
+        point = fine.reshape(len(fine), FINE // DIMS, DIMS).sum(1)
+        size = point.sum(1)
         left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
         for i, j in rtree_join(point[left], point[right], threshold):
             i, j = left[i], right[j]
             keep = comp[i] != comp[j]
             if (side == 0).all():
                 keep &= cid[i] < cid[j]
+            i, j = i[keep], j[keep]
+            keep = _possible(threshold, np.minimum(fine[i], fine[j]).sum(1), size[i] + size[j])
             a, b = cid[i][keep], cid[j][keep]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -278,7 +289,7 @@ def _cross(threshold: Fraction):
         key, held = None, []
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in ("block", "pb", "qb")])
-            rows = [batch.column(c).to_numpy() for c in ("cid", "comp", "side")] + [_points(batch.column("point"))]
+            rows = [batch.column(c).to_numpy() for c in ("cid", "comp", "side")] + [_points(batch.column("point"), FINE)]
             begin = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))) if batch.num_rows else []
             for lo, hi in zip(begin, [*begin[1:], batch.num_rows]):
                 now, part = tuple(keys[:, lo]), [x[lo:hi] for x in rows]
@@ -293,6 +304,14 @@ def _cross(threshold: Fraction):
     return run
 
 
+def _fine_points(batches):
+    for batch in batches:
+        sets = [_unpack(x) for x in batch.column("shingles").to_pylist()]
+        doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        fine = _counts(np.concatenate(sets), doc, len(sets), FINE) if sets else []
+        yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([x.tobytes() for x in fine], pa.binary())], names=["cid", "point"])
+
+
 def _packed_sets(k: int):
     def run(batches):
         for batch in batches:
@@ -402,14 +421,15 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 5, threshold: Fraction | str
     placed = scratch.write(placed, "placed")
     open_blocks = placed.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m"))
     open_blocks = open_blocks.where("x <> y").select("block", F.ceil(F.col("m") / BLOCK).cast("int").alias("n_parts"))
-    rows = placed.join(open_blocks.hint("merge"), "block").join(classes.select("cid", "point").hint("merge"), "cid")
+    fine = sets.mapInArrow(_fine_points, "cid long, point binary")
+    rows = placed.join(open_blocks.hint("merge"), "block").join(fine.hint("merge"), "cid")
     mine = F.pmod(F.xxhash64("cid"), F.col("n_parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))
     rows = rows.select("block", "cid", "comp", "point", mine.alias("p"), other.alias("o")).select(
         "block", F.least("p", "o").alias("pb"), F.greatest("p", "o").alias("qb"), F.signum(F.col("p") - F.col("o")).cast("int").alias("side"), "cid", "comp", "point"
     )
     rows = rows.repartition(parts, "block", "pb", "qb").sortWithinPartitions("block", "pb", "qb")
-    pairs = rows.mapInArrow(_cross(threshold), "a long, b long").distinct()
+    pairs = scratch.write(rows.mapInArrow(_cross(threshold), "a long, b long").distinct(), "crossed")
     pairs = scratch.write(pairs.join(stars.hint("merge"), ["a", "b"], "left_anti"), "pairs-2")
     more = scratch.write(verify(pairs), "links-2")
     final = connected_components(links.unionByName(more), scratch, "cc-2")

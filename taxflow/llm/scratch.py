@@ -14,12 +14,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_unset: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, set to a local one if unset."""
+    """The folder in ``spark.checkpoint.dir``; a local one where that is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="taxflow-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _unset:
+            _unset[app] = "file://" + tempfile.mkdtemp(prefix="spark-taxflow-")
+        found = _unset[app]
     return found.rstrip("/")
 
 
