@@ -38,3 +38,22 @@ def jaccard_groups(rows, k, threshold):
                     p, q = sorted((find(a), find(b)))
                     up[q] = p
     return {d: (len(sets[d]), find(d)) for d in ids}
+
+
+def remove_repeats(rows, length, unit):
+    """{doc_id: (n, n_removed, n_spans, sha256)}; rows of distinct ids."""
+    import hashlib
+    from collections import Counter
+
+    seqs = {d: (t or "").encode().split() if unit == "word" else list((t or "").encode()) for d, t in rows}
+    count = Counter(tuple(s[i : i + length]) for s in seqs.values() for i in range(len(s) - length + 1))
+    out = {}
+    for d, s in seqs.items():
+        gone = [False] * len(s)
+        for i in range(len(s) - length + 1):
+            if count[tuple(s[i : i + length])] > 1:
+                gone[i : i + length] = [True] * length
+        kept = [x for x, g in zip(s, gone) if not g]
+        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        out[d] = (len(s), sum(gone), spans, hashlib.sha256(b" ".join(kept) if unit == "word" else bytes(kept)).hexdigest())
+    return out
