@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taxflow.llm import decontaminate, line_dedup, mixing, ngram_join, quality_rules
+from taxflow.llm import debruijn, decontaminate, kneser_ney, language_crf, line_dedup, mixing, ngram_join, quality_rules, style_tree, suffix_intervals
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,27 +25,53 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.language_id(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_intervals.suffix_array_dedup(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_quality_rules": op3_quality_rules,
+        "op4_language_id": op4_language_id,
         "op5_mixing_sources": op5_mixing_sources,
+        "op6_substring_dedup": op6_substring_dedup,
+        "op7_html_extraction": op7_html_extraction,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_line_dedup": op9_line_dedup,
+        "op10_suffix_array_dedup": op10_suffix_array_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": quality_rules.ORACLE_SQL,
+        "op4_language_id": op4_language_id,
         "op5_mixing_sources": mixing.ORACLE_SQL,
         "op9_line_dedup": line_dedup.ORACLE_SQL,
     }
