@@ -25,7 +25,8 @@ from taxflow.llm.scratch import Scratch, partitions
 
 LENGTH = 400
 GRAM = 120
-WIDE = 256
+#: Different contexts of one gram that a task sorts, about 10 MB; beyond, windows are joined as rows.
+WIDE = 16384
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
