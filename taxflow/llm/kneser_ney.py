@@ -252,9 +252,9 @@ def classify(docs: DataFrame, labels: DataFrame, shard_entries: int = SHARD_ENTR
     middle, high = F.percentile_approx("log_perplexity", F.lit(0.5), F.lit(10000)), F.percentile_approx("log_perplexity", F.lit(QUANTILE), F.lit(10000))
     fences = known.groupBy(F.col("lang").alias("lang_")).agg(F.count(F.lit(1)).alias("n_held"), (high + BEYOND * (high - middle)).alias("threshold"))
     fences = scratch.write(fences.where(F.col("n_held") >= MIN_HELD_OUT).select("lang_", "threshold"), "fences")
-    everywhere = scratch.write(known.agg((high + BEYOND * (high - middle)).alias("any_threshold")), "fence")
-    judged = scored.join(fences, F.col("lang").eqNullSafe(F.col("lang_")), "left").crossJoin(F.broadcast(everywhere))
-    limit = F.coalesce("threshold", "any_threshold")
+    everywhere = known.agg((high + BEYOND * (high - middle)).alias("x")).first()["x"]  # one number
+    judged = scored.join(fences, F.col("lang").eqNullSafe(F.col("lang_")), "left")
+    limit = F.coalesce(F.col("threshold"), F.lit(everywhere).cast("double"))
     return judged.select("key_", "doc_id", "lang", "log_perplexity", limit.alias("threshold"), "n_scored", F.coalesce((F.col("log_perplexity") <= limit) | (F.col("n_scored") < MIN_CHARS), F.lit(True)).alias("kept"))
 
 

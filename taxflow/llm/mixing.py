@@ -49,11 +49,9 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, b
         for name, weight in weights.items():
             share = F.when(F.col(by) == name, F.lit(float(weight))).otherwise(share)
     counts = counts.withColumn("share", share)
-    total = counts.agg(F.sum("share").alias("all_shares"), F.sum("n").alias("all_n"))
-    wanted = F.col("all_n") if size is None else F.lit(int(size))
-    rates = counts.crossJoin(F.broadcast(total)).select(
-        by, "n", F.when(F.col("all_shares") > 0, F.col("share") * wanted / (F.col("all_shares") * F.col("n"))).otherwise(0.0).alias("rate")
-    )
+    total = counts.agg(F.sum("share").alias("share"), F.sum("n").alias("n")).first()  # two numbers
+    shares, wanted = float(total["share"] or 0.0), float((total["n"] or 0) if size is None else size)
+    rates = counts.select(by, "n", (F.col("share") * F.lit(wanted) / (F.lit(shares or 1.0) * F.col("n"))).alias("rate"))
     return rates.withColumn("cdf", distribution(F.col("rate")))
 
 
