@@ -25,8 +25,8 @@ from taxflow.llm import text as T
 from taxflow.llm.scratch import Scratch
 
 ORDER = 5
-#: Entries of a shard that may be broadcast (16 bytes each).
-SHARD_ENTRIES = 4_000_000
+#: Entries of a shard that may be broadcast (13 bytes each).
+SHARD_ENTRIES = 3_000_000
 #: Of trusted documents one in HELD_OUT is not trained on; those set the thresholds.
 HELD_OUT = 5
 QUANTILE = 0.9
@@ -140,20 +140,31 @@ def shard_key(kind: Column, length: Column, gram: Column) -> Column:
     return F.when(end >= 2, F.substring(gram, F.lit(0) + end - 1, F.lit(2)))
 
 
+def _keyed(batches):
+    """Grams as 64-bit keys, tables as numbers: 0 unseen, length for "p", 16 + length for "g"."""
+    for batch in batches:
+        frame = batch.to_pandas()
+        for (kind, length), part in frame.groupby(["kind", "length"]):
+            points = np.frombuffer("".join(part["gram"]).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(part), length)
+            number = {"u": 0, "p": length, "g": 16 + length}[kind]
+            columns = [pa.array(np.full(len(part), number, np.int8)), pa.array(_rows_key(points).view(np.int64)), pa.array(part["value"].to_numpy(np.float32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["number", "key", "value"])
+
+
 class Lookup:
     """Sorted keys of one shard: probabilities and weights by length."""
 
-    def __init__(self, frame: pd.DataFrame):
-        self.tables = {}
-        self.unseen = -20.0
-        for (kind, length), part in frame.groupby(["kind", "length"]):
-            if kind == "u":
-                self.unseen = float(part["value"].iloc[0])
+    def __init__(self, entries: pa.Table):
+        number, key, value = (entries.column(c).to_numpy() for c in ("number", "key", "value"))
+        self.tables, self.unseen = {}, -20.0
+        for x in np.unique(number):
+            mine = number == x
+            keys, values = key[mine].view(np.uint64), value[mine]
+            if x == 0:
+                self.unseen = float(values[0])
                 continue
-            points = np.frombuffer("".join(part["gram"]).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(part), length)
-            keys = _rows_key(points)
             order = np.argsort(keys)
-            self.tables[kind, length] = keys[order], part["value"].to_numpy(np.float32)[order]
+            self.tables["p" if x < 16 else "g", int(x) % 16] = keys[order], values[order]
 
     def find(self, kind: str, length: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         have, values = self.tables.get((kind, length), (np.zeros(0, np.uint64), np.zeros(0, np.float32)))
@@ -226,13 +237,17 @@ def log_perplexity(docs: DataFrame, model: DataFrame, scratch: Scratch, shard_en
     texts = docs.select(T.row_key().alias("key_"), "doc_id", "lang", "text")
     parts = []
     for shard in range(shards):
-        held = spark.sparkContext.broadcast(Lookup(placed.where((F.col("shard") == shard) | F.col("shard").isNull()).drop("shard").toPandas()))
+        mine = placed.where((F.col("shard") == shard) | F.col("shard").isNull()).drop("shard")
+        held = spark.sparkContext.broadcast(Lookup(mine.mapInArrow(_keyed, "number byte, key long, value float").toArrow()))
         scored = texts.mapInArrow(_score(held, shard, shards), f"key_ long, doc_id {kind}, lang string, total double, n long")
         parts.append(scratch.write(scored, f"scored-{shard}"))
     if shards == 1:
         summed = parts[0]
     else:
-        summed = reduce(DataFrame.unionByName, parts).groupBy("key_", "doc_id", "lang").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+        # repeated rows have equal parts: one of each is summed, and each row gets the sum
+        once = [p.dropDuplicates(["key_"]) for p in parts]
+        sums = reduce(DataFrame.unionByName, once).groupBy("key_").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+        summed = parts[0].select("key_", "doc_id", "lang").join(sums.hint("merge"), "key_")
     return summed.select("key_", "doc_id", "lang", F.when(F.col("n") > 0, -F.col("total") / F.col("n")).alias("log_perplexity"), F.col("n").alias("n_scored"))
 
 
@@ -279,6 +294,6 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, shard_entries: int =
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    bad = classify(docs, labels).where("NOT kept").select("key_").distinct()
+    bad = classify(docs, labels).where("NOT kept").select(F.col("key_").alias("tf_key__")).distinct()
     bad = Scratch(docs.sparkSession, "rejected").write(bad, "keys")
-    return docs.withColumn("key_", T.row_key()).join(bad.hint("shuffle_hash"), "key_", "left_anti").select(*docs.columns)
+    return docs.withColumn("tf_key__", T.row_key()).join(bad.hint("shuffle_hash"), "tf_key__", "left_anti").select(*docs.columns)

@@ -20,12 +20,12 @@ RUN = 3
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(key_, gone array<int>): of each document with later repeated runs the line numbers to delete."""
+    """(tf_key__, tf_gone__ array<int>): of each document with later repeated runs the line numbers to delete."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    lined = docs.where(F.col("text").isNotNull()).select("doc_id", T.row_key().alias("key_"), F.split("text", "\n").alias("lines"))
-    lined = lined.select("doc_id", "key_", "lines", F.filter(T.upto(F.size("lines")), lambda i: T.has_word(F.get("lines", i))).alias("places"))
+    lined = docs.where(F.col("text").isNotNull()).select("doc_id", T.row_key().alias("tf_key__"), F.split("text", "\n").alias("lines"))
+    lined = lined.select("doc_id", "tf_key__", "lines", F.filter(T.upto(F.size("lines")), lambda i: T.has_word(F.get("lines", i))).alias("places"))
     lined = lined.where(F.size("places") >= RUN)
-    lined = lined.select("doc_id", "key_", "places", F.transform("places", lambda i: F.xxhash64(F.get("lines", i))).alias("h"))
+    lined = lined.select("doc_id", "tf_key__", "places", F.transform("places", lambda i: F.xxhash64(F.get("lines", i))).alias("h"))
 
     def least(i):
         a, b, c = F.get("h", i), F.get("h", i + 1), F.get("h", i + 2)
@@ -40,16 +40,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         F.filter(near, lambda i: F.get("chosen", i) == F.col("p")),
         lambda i: F.struct(F.xxhash64(F.slice("h", i + 1, RUN)).alias("run"), F.slice("places", i + 1, RUN).alias("at")),
     )
-    fingers = fingers.select(F.get("h", F.col("p")).alias("finger"), "doc_id", "key_", runs.alias("runs"))
+    fingers = fingers.select(F.get("h", F.col("p")).alias("finger"), "doc_id", "tf_key__", runs.alias("runs"))
     fingers = scratch.write(fingers, "fingers")
     often = fingers.groupBy("finger").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("finger")
     met = fingers.join(often.hint("merge"), "finger")
-    met = met.select("doc_id", "key_", F.explode("runs").alias("r")).select("doc_id", "key_", "r.run", "r.at", F.get("r.at", F.lit(0)).alias("line"))
-    place = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), "key_", "line")
-    met = scratch.write(met.select("key_", "run", "at", place.alias("place")), "runs")
+    met = met.select("doc_id", "tf_key__", F.explode("runs").alias("r")).select("doc_id", "tf_key__", "r.run", "r.at", F.get("r.at", F.lit(0)).alias("line"))
+    place = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), "tf_key__", "line")
+    met = scratch.write(met.select("tf_key__", "run", "at", place.alias("place")), "runs")
     first = met.groupBy("run").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "first")
     later = met.join(first.hint("merge"), "run").where("place > first")
-    gone = later.select("key_", F.explode("at").alias("line")).groupBy("key_").agg(F.collect_set("line").alias("gone"))
+    gone = later.select("tf_key__", F.explode("at").alias("line")).groupBy("tf_key__").agg(F.collect_set("line").alias("tf_gone__"))
     return scratch.write(gone, "gone")
 
 
@@ -64,13 +64,13 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     gone = repeated_lines(docs)
-    both = docs.select(*names, T.row_key().alias("key_")).join(gone.hint("shuffle_hash"), "key_", "left")
-    both = both.select("*", F.split("text", "\n").alias("lines_"))
-    kept = F.transform(F.array_except(T.upto(F.size("lines_")), "gone"), lambda i: F.get("lines_", i))
+    both = docs.select(*names, T.row_key().alias("tf_key__")).join(gone.hint("shuffle_hash"), "tf_key__", "left")
+    both = both.select("*", F.split("text", "\n").alias("tf_lines__"))
+    kept = F.transform(F.array_except(T.upto(F.size("tf_lines__")), "tf_gone__"), lambda i: F.get("tf_lines__", i))
     return both.select(
-        *[F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else c for c in names],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines_")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *[F.when(F.col("tf_gone__").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else c for c in names],
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("tf_lines__")).cast("long").alias("n_lines"),
+        F.coalesce(F.size("tf_gone__"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

@@ -52,7 +52,7 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, b
     total = counts.agg(F.sum("share").alias("share"), F.sum("n").alias("n")).first()  # two numbers
     shares, wanted = float(total["share"] or 0.0), float((total["n"] or 0) if size is None else size)
     rates = counts.select(by, "n", (F.col("share") * F.lit(wanted) / (F.lit(shares or 1.0) * F.col("n"))).alias("rate"))
-    return rates.withColumn("cdf", distribution(F.col("rate")))
+    return rates.withColumn("tf_cdf__", distribution(F.col("rate")))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, by: str = "source", size: int | None = None, temperature: float = 0.5, seed: int = 17) -> DataFrame:
@@ -66,15 +66,15 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, by: st
     spark = docs.sparkSession
     names = [c for c in docs.columns if c != "copy_no"]
     # written and read back: Spark broadcasts it only if the file is small, and else splits skewed partitions of a sort merge join
-    rates = Scratch(spark, "mix-rates").write(repetition_rates(docs, weights, by, size, temperature).select(F.col(by).alias("by_"), "cdf"), "rates")
-    drawn = docs.select(*names, uniform(seed, "doc_id").alias("u_"))
-    drawn = drawn.join(rates, drawn[by].eqNullSafe(rates["by_"]))
-    times = F.size(F.filter("cdf", lambda c: c <= F.col("u_")))
-    copies = drawn.select(*names, times.alias("times_")).where("times_ > 0")
-    copies = copies.select(*names, F.explode(F.sequence(F.lit(1), F.col("times_"))).alias("copy_no"))
+    rates = Scratch(spark, "mix-rates").write(repetition_rates(docs, weights, by, size, temperature).select(F.col(by).alias("tf_by__"), "tf_cdf__"), "rates")
+    drawn = docs.select(*names, uniform(seed, "doc_id").alias("tf_u__"))
+    drawn = drawn.join(rates, drawn[by].eqNullSafe(rates["tf_by__"]))
+    times = F.size(F.filter("tf_cdf__", lambda c: c <= F.col("tf_u__")))
+    copies = drawn.select(*names, times.alias("tf_times__")).where("tf_times__ > 0")
+    copies = copies.select(*names, F.explode(F.sequence(F.lit(1), F.col("tf_times__"))).alias("copy_no"))
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy_no"))
-    dealt = copies.withColumn("order_", order).repartition(partitions(spark), "order_").sortWithinPartitions("order_")
-    return dealt.drop("order_")
+    dealt = copies.withColumn("tf_order__", order).repartition(partitions(spark), "tf_order__").sortWithinPartitions("tf_order__")
+    return dealt.drop("tf_order__")
 
 
 ORACLE_SQL = """

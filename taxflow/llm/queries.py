@@ -71,7 +71,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": quality_rules.ORACLE_SQL,
-        "op4_language_id": op4_language_id,
         "op5_mixing_sources": mixing.ORACLE_SQL,
         "op9_line_dedup": line_dedup.ORACLE_SQL,
     }
