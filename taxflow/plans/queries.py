@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from taxflow.functions import classify as R
 from taxflow.functions import normalize as N
-from taxflow.operators import match, merge, ordering, quality
+from taxflow.operators import match, merge, ordering, payroll, quality, rule_pages
 from taxflow.plans import views
+from taxflow.sources import assessments
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -140,13 +141,13 @@ def resolve_period(spark, sf_dir):
 
 @query("""
 WITH p AS (SELECT strftime(d, '%Y-%m') AS competencia FROM (SELECT unnest(generate_series((SELECT date_trunc('month', min(o_orderdate)) FROM orders), (SELECT date_trunc('month', max(o_orderdate)) FROM orders), INTERVAL 1 MONTH)) AS d)),
-h AS (SELECT o_custkey % 10 AS grp, strftime(o_orderdate, '%Y-%m') AS competencia FROM orders WHERE o_custkey < 100 GROUP BY ALL)
+h AS (SELECT DISTINCT o_custkey AS grp, strftime(o_orderdate, '%Y-%m') AS competencia FROM orders)
 SELECT competencia, count(h.grp) AS groups_present FROM p LEFT JOIN h USING (competencia) GROUP BY 1
 """)
 def period_range(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     lo, hi = o.agg(F.date_format(F.min("o_orderdate"), "yyyy-MM"), F.date_format(F.max("o_orderdate"), "yyyy-MM")).first()
-    have = o.where("o_custkey < 100").select((F.col("o_custkey") % 10).alias("grp"), F.date_format("o_orderdate", "yyyy-MM").alias("competencia")).distinct()
+    have = o.select(F.col("o_custkey").alias("grp"), F.date_format("o_orderdate", "yyyy-MM").alias("competencia")).distinct()
     return ordering.period_range(spark, lo, hi).select("competencia").join(have, "competencia", "left").groupBy("competencia").agg(F.count("grp").alias("groups_present"))
 
 
@@ -462,3 +463,88 @@ SELECT event_id, CASE WHEN length(CAST(user_id AS VARCHAR)) <= 2 THEN repeat('*'
 """)
 def redact_log(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", N.mask_value(F.col("user_id").cast("string"), 1, 1).alias("masked_user"), N.sanitize_message("props").alias("message"))
+
+
+@query("""
+SELECT 'Resumo_' || strftime(o_orderdate, '%m-%Y') || '.pdf' AS file, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS company_code, strftime(o_orderdate, '%Y-%m') AS payroll, strftime(o_orderdate + INTERVAL 1 MONTH, '%Y-%m') AS assessment,
+  count(*) AS n_rubrics, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) FILTER (WHERE l_returnflag <> 'R') AS gross_cents, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) FILTER (WHERE l_returnflag = 'R') AS informational_cents,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'LOW' ELSE 'HIGH' END AS confidence
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate
+""")
+def payroll_companies(spark, sf_dir):
+    """Order lines written as report pages (one an order; returned lines are informational) and read back."""
+    money = lambda c: F.translate(F.format_number(c, 2), ",.", ".,")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_returnflag") == "R").alias("info"), F.round("l_extendedprice", 2).cast("decimal(14,2)").alias("v"), "l_linenumber", "l_partkey")
+    line = F.concat_ws(" ", F.lit("RUBRICA"), (F.col("l_partkey") % 1000 + 1000).cast("string"), F.lit("1"), F.lit("10:30"), money("v"))
+    part = li.groupBy("o_orderkey").agg(
+        *[F.array_join(F.array_sort(F.collect_list(F.when(F.col("info") == i, line))), "\n").alias(n) for n, i in (("paid", False), ("info", True))],
+        *[F.sum(F.when(F.col("info") == i, F.col("v"))).alias(n) for n, i in (("paid_total", False), ("info_total", True))],
+    )
+    code = F.lpad(F.col("o_orderkey").cast("string"), 12, "0")
+    total = lambda head, body, s: F.when(F.col(s).isNotNull(), F.concat(F.lit(f"{head}\n"), body, F.lit("\n"), money(s), F.lit("Total:")))
+    text = F.concat_ws(
+        "\n", F.lit("1/1Página:"), F.lit("RESUMO DA FOLHA"), F.concat(F.lit("Empresa: "), code, F.lit(" - X")), F.lit("CNPJ: 11.222.333/0001-81 Emissão: 01/01/2026"),
+        F.concat(F.lit("Competência: "), F.date_format("o_orderdate", "MM/yyyy")), F.lit("Folha Mensal"), total("PROVENTOS", F.col("paid"), "paid_total"), total("INFORMATIVA", F.col("info"), "info_total"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.lit("1,00Líquido Geral:")),
+    )
+    file = F.concat(F.lit("Resumo_"), F.date_format("o_orderdate", "MM-yyyy"), F.lit(".pdf"))
+    # Both sides of the join are tables of the same growth; it is left to the sort-merge join.
+    pages = o.join(part.hint("merge"), "o_orderkey").select(file.alias("file"), F.col("o_orderkey").alias("page_no"), text.alias("text"))
+    found = payroll.parse_report(pages)["companies"]
+    cents = lambda c: (F.col(c) * 100).cast("long")
+    return found.select("file", "company_code", "payroll", "assessment", "n_rubrics", cents("gross").alias("gross_cents"), cents("informational").alias("informational_cents"), "confidence")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, ['III', 'IV', 'V', ''][1 + p_size % 4] AS annex, p_partkey % 3 AS k, p_type FROM part)
+SELECT p_partkey, CASE WHEN k = 2 THEN 'PROHIBITED' WHEN annex = '' AND k = 1 THEN 'UNKNOWN' ELSE 'ALLOWED' END AS status,
+  CASE WHEN k = 2 THEN NULL WHEN k = 0 THEN 'V' WHEN annex = '' THEN NULL ELSE annex END AS annex_default, CASE WHEN k = 0 THEN 'III' END AS annex_conditional,
+  CASE WHEN k = 2 THEN false WHEN k = 0 THEN true WHEN annex IN ('III', 'IV') THEN false END AS factor_r,
+  CASE WHEN k = 0 THEN 28.0 END AS factor_r_threshold, CASE WHEN k = 1 THEN [p_type] ELSE [] END AS unmapped FROM p
+""")
+def rule_pages_simples(spark, sf_dir):
+    """Parts written as tax and obligation pages and read back."""
+    k = F.col("p_partkey") % 3
+    annex = F.get(F.array(*map(F.lit, ("III", "IV", "V", ""))), F.col("p_size") % 4)
+    rule = F.lit('<p>Anexo V.</p><p>Sujeito ao Fator "r".</p><p>Anexo III quando o Fator r for igual ou superior a 28,00%.</p>')
+    body = F.when(k == 0, rule).when(k == 2, F.lit("<p>Atividade impedida ao Simples Nacional</p>")).otherwise(F.concat(F.lit("<p>Anexo "), annex, F.lit("</p>")))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", F.concat(F.lit("<html><body><b>Simples&nbsp;Nacional</b>"), body, F.lit("</body></html>")).alias("html"), k.alias("k"))
+    row = lambda c: F.concat(F.lit('<tr><td width="90%"><p>'), c, F.lit("</p></td><td>-</td></tr>"))
+    listed = F.concat(F.lit('Simples Nacional<table class="tabelaResultados"><tr><td>Obrigacao</td></tr>'), row(F.when(F.col("k") == 1, F.col("p_type")).otherwise("EFD-Reinf")), F.lit("</table>"))
+    key = F.col("p_partkey").alias("page_key")
+    tax = rule_pages.simples_rules(rule_pages.page_texts(p.select(key, F.lit("simples").alias("kind"), "html")))
+    owed = rule_pages.obligations_simples(rule_pages.page_texts(p.select(key, F.lit("obligations_simples").alias("kind"), listed.alias("html"))))
+    out = tax.hint("merge").join(owed.select("page_key", "unmapped").hint("merge"), "page_key")
+    return out.select(F.col("page_key").alias("p_partkey"), "status", "annex_default", "annex_conditional", "factor_r", F.col("factor_r_threshold").cast("double").alias("factor_r_threshold"), "unmapped")
+
+
+@query("""
+SELECT CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE left(sha256(concat_ws('|', 'SAIDA', strftime(o_orderdate, '%Y-%m'), CAST(o_custkey AS VARCHAR), '', '', o_orderstatus, '')), 32) END AS source_document_key,
+  strftime(o_orderdate, '%Y-%m') AS period, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_orderstatus AS status, ['5102', o_orderpriority] AS cfops, o_orderkey % 3 = 0 AS has_xml FROM orders
+""")
+def map_documents(spark, sf_dir):
+    """Orders written as landed documents, with and without an id."""
+    item = F.struct(
+        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")).alias("id"), F.col("o_custkey").alias("numero"), F.col("o_orderstatus").alias("status"), F.date_format("o_orderdate", "MM/yyyy").alias("data_competencia"),
+        F.concat(F.lit("5102, "), F.col("o_orderpriority")).alias("cfops"), F.round("o_totalprice", 2).cast("decimal(14,2)").alias("valor_total"), (F.col("o_orderkey") % 3 == 0).alias("tem_xml"),
+    )
+    rows = assessments.map_document(table(spark, sf_dir, "orders").select(F.to_json(item).alias("item")), "SAIDA")
+    return rows.select("source_document_key", "period", (F.col("total_amount") * 100).cast("long").alias("cents"), "status", "cfops", "has_xml")
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS p, o_totalprice, lpad(CAST(o_custkey AS VARCHAR), 14, '0') AS cnpj, o_orderkey % 5 AS k FROM orders)
+SELECT o_orderkey, 'apuracao:' || cnpj || ':' || p AS assessment_id, CASE WHEN k = 1 THEN lpad('7', 14, '0') ELSE cnpj END AS confirmed_cnpj, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, k = 0 AS has_payroll,
+  list_filter([CASE WHEN k = 3 THEN 'rejected' END, CASE WHEN k = 1 AND cnpj <> lpad('7', 14, '0') THEN 'company' END, CASE WHEN k = 2 THEN 'period' END], lambda x: x IS NOT NULL) AS errors FROM o
+""")
+def map_assessments(spark, sf_dir):
+    """Orders written as replies for a company and period; some are about another one or rejected."""
+    k, cnpj, month = F.col("o_orderkey") % 5, F.lpad(F.col("o_custkey").cast("string"), 14, "0"), F.date_format("o_orderdate", "MM/yyyy")
+    data = F.struct(
+        F.when(k == 1, F.lpad(F.lit("7"), 14, "0")).alias("empresaCnpj"), F.when(k == 2, "01/1901").otherwise(month).alias("periodoFiscal"), F.round("o_totalprice", 2).cast("decimal(14,2)").alias("valorDas"),
+        F.array(F.struct(cnpj.alias("cnpj"), (k == 0).alias("empresaTemFolha"))).alias("empresasApuracao"), F.when(k == 1, False).alias("folhaDePagamentos"),
+    )
+    o = table(spark, sf_dir, "orders").select("o_orderkey", cnpj.alias("requested_cnpj"), F.date_format("o_orderdate", "yyyy-MM").alias("requested_period"), F.to_json(F.struct((k != 3).alias("ok"), data.alias("data"))).alias("body"))
+    rows = assessments.map_assessment(o, keep=("o_orderkey",))
+    return rows.select("o_orderkey", "assessment_id", "confirmed_cnpj", (F.col("das_amount") * 100).cast("long").alias("cents"), F.col("company_has_payroll").alias("has_payroll"), "errors")
