@@ -107,7 +107,7 @@ def delete_registry(target: DataFrame, events: DataFrame, now: Column) -> tuple[
     return after, both.where("op IS NOT NULL").select("organization_id", "cnpj", "op")
 
 
-def merge_status(deliveries: DataFrame, statuses: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+def merge_status(deliveries: DataFrame, statuses: DataFrame, now: Column, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
     """(next, ops) of obligation statuses from deliveries of type O that are MAPPED; confidence 100 if confirmed, else 70."""
     keys = ["company_id", "period_id", "obligation_id"]
     good = deliveries.where("type = 'O' AND mapping_status = 'MAPPED'")
@@ -119,4 +119,4 @@ def merge_status(deliveries: DataFrame, statuses: DataFrame, now: Column) -> tup
         F.when(F.col("normalized_status") == "CONFIRMADO_API", 100).otherwise(70).cast("decimal(5,2)").alias("confidence"),
         F.coalesce("finalized_at", F.col("delivered_on").cast("timestamp")).alias("delivered_at"),
     )
-    return merge_snapshot(statuses, batch, keys, ["status", "department", "confidence", "delivered_at"], now, detect=False)
+    return merge_snapshot(statuses, batch, keys, ["status", "department", "confidence", "delivered_at"], now, detect=False, dry_run=dry_run)
