@@ -22,9 +22,8 @@ RUN = 3
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(tf_key__, tf_gone__ array<int>): of each document with later repeated runs the line numbers to delete."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    lined = docs.where(F.col("text").isNotNull()).select("doc_id", T.row_key().alias("tf_key__"), F.split("text", "\n").alias("lines"))
+    lined = docs.where(F.size(F.split("text", "\n")) >= RUN).select("doc_id", T.row_key().alias("tf_key__"), F.split("text", "\n").alias("lines"))
     lined = lined.select("doc_id", "tf_key__", "lines", F.filter(T.upto(F.size("lines")), lambda i: T.has_word(F.get("lines", i))).alias("places"))
-    lined = lined.where(F.size("places") >= RUN)
     lined = lined.select("doc_id", "tf_key__", "places", F.transform("places", lambda i: F.xxhash64(F.get("lines", i))).alias("h"))
 
     def least(i):
@@ -33,14 +32,20 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         return F.when(c == low, i + 2).when(b == low, i + 1).otherwise(i)
 
     chosen = lined.select("*", F.transform(T.upto(F.size("h") - (RUN - 1)), least).alias("chosen"))
-    fingers = chosen.select("*", F.explode(F.array_distinct("chosen")).alias("p"))
-    # the runs that this fingerprint stands for, by extension to its left and right
-    near = F.sequence(F.greatest(F.col("p") - (RUN - 1), F.lit(0)), F.least(F.col("p"), F.size("h") - RUN))
-    runs = F.transform(
-        F.filter(near, lambda i: F.get("chosen", i) == F.col("p")),
-        lambda i: F.struct(F.xxhash64(F.slice("h", i + 1, RUN)).alias("run"), F.slice("places", i + 1, RUN).alias("at")),
-    )
-    fingers = fingers.select(F.get("h", F.col("p")).alias("finger"), "doc_id", "tf_key__", runs.alias("runs"))
+
+    def fingerprint(p):
+        # the runs that this fingerprint stands for, by extension to its left and right
+        near = F.sequence(F.greatest(p - (RUN - 1), F.lit(0)), F.least(p, F.size("h") - RUN))
+        runs = F.transform(
+            F.filter(near, lambda i: F.get("chosen", i) == p),
+            lambda i: F.struct(F.xxhash64(F.slice("h", i + 1, RUN)).alias("run"), F.slice("places", i + 1, RUN).alias("at")),
+        )
+        return F.struct(F.get("h", p).alias("finger"), runs.alias("runs"))
+
+    # Put together before rows are made, so that no row carries the lines of its whole text.  explode_outer, because
+    # explode adds a filter on its array, and Spark would write the arrays that it is made of into that filter's lambdas.
+    fingers = chosen.select("doc_id", "tf_key__", F.transform(F.array_distinct("chosen"), fingerprint).alias("all"))
+    fingers = fingers.select("doc_id", "tf_key__", F.explode_outer("all").alias("x")).where("x IS NOT NULL").select("x.finger", "doc_id", "tf_key__", "x.runs")
     fingers = scratch.write(fingers, "fingers")
     often = fingers.groupBy("finger").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("finger")
     met = fingers.join(often.hint("merge"), "finger")
