@@ -20,7 +20,7 @@ MASKS = ("110010100110", "101001011001")
 #: Words of the stretch that is verified, and the least share of equal words in it.
 STRETCH = 20
 SHARE = 0.8
-#: Seeds of the benchmark that may be broadcast (48 bytes each at most).
+#: Seeds of the benchmark, and pairs to verify, that may be broadcast (48 bytes a seed; 10 words and shifts a pair on average).
 BROADCAST_SEEDS = 200_000
 
 
@@ -65,21 +65,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     seeds = scratch.write(seeds.select("seed", "item_id", F.col("at").alias("item_at"), F.xxhash64("words").alias("item_key")).distinct(), "seeds")
     small = seeds.count() <= BROADCAST_SEEDS
 
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", normal_words(F.col("text")).alias("words"))
-    mine = _with_seeds(texts, masks, "doc_id", "words")
-    met = mine.join(F.broadcast(seeds) if small else seeds.hint("shuffle_hash"), "seed")
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", T.row_key().alias("tf_key__"), normal_words(F.col("text")).alias("words"))
+    # seeds travel without the words, and what a document has of one item is one row
+    met = _with_seeds(texts, masks, "tf_key__").join(F.broadcast(seeds) if small else seeds.hint("merge"), "seed")
+    met = met.select("tf_key__", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    met = met.groupBy("tf_key__", "item_id", "item_key").agg(F.collect_list("shift").alias("shifts"))
     keyed = items.select(F.col("item_id").alias("item_"), F.xxhash64("words").alias("key_"), F.col("words").alias("item_words")).distinct()
-    shift = F.col("at") - F.col("item_at")
-    hits = met.select("doc_id", "item_id", "item_key", shift.alias("shift"), T.upto(F.lit(0)).alias("none"), "words")
-    # only the words beside the item go on
-    sized = hits.join(F.broadcast(keyed) if small else keyed.hint("merge"), (hits["item_key"] == keyed["key_"]) & hits["item_id"].eqNullSafe(keyed["item_"]))
-    beside = F.zip_with(
-        "item_words", T.upto(F.size("item_words")), lambda w, i: F.coalesce(w == F.get("words", F.when(i + F.col("shift") >= 0, i + F.col("shift"))), F.lit(False)).cast("int")
-    )
-    sized = sized.select("doc_id", "item_id", F.size("item_words").alias("n"), beside.alias("equal")).distinct()
-    width = F.least(F.lit(STRETCH), F.col("n"))
-    best = F.array_max(F.transform(T.upto(F.col("n") - width + 1), lambda i: F.aggregate(F.slice("equal", i + 1, width), F.lit(0), lambda a, x: a + x)))
-    scored = sized.select("doc_id", "item_id", "n", width.alias("width"), best.alias("best"))
+    same_item = (F.col("item_key") == F.col("key_")) & F.col("item_id").eqNullSafe(F.col("item_"))
+    met = met.join(F.broadcast(keyed) if small else keyed.hint("merge"), same_item)
+    met = scratch.write(met.select("tf_key__", "item_id", "shifts", "item_words"), "met")
+    n_met, n_words = met.agg(F.count(F.lit(1)), F.sum(F.size("shifts") + F.size("item_words"))).first()  # two numbers
+    few = n_met <= BROADCAST_SEEDS and (n_words or 0) <= 10 * BROADCAST_SEEDS
+    sized = texts.join(F.broadcast(met) if few else met.hint("merge"), "tf_key__")
+
+    n, width = F.size("item_words"), F.least(F.lit(STRETCH), F.size("item_words"))
+
+    def equal(shift: Column) -> Column:
+        word = lambda i: F.get("words", F.when(i + shift >= 0, i + shift))
+        return F.zip_with("item_words", T.upto(n), lambda w, i: F.coalesce(w == word(i), F.lit(False)).cast("int"))
+
+    def best_stretch(found: Column) -> Column:
+        return F.array_max(F.transform(T.upto(n - width + 1), lambda i: F.aggregate(F.slice(found, i + 1, width), F.lit(0), lambda a, x: a + x)))
+
+    best = F.array_max(F.transform(F.transform("shifts", equal), best_stretch))
+    scored = sized.select("doc_id", "item_id", n.alias("n"), width.alias("width"), best.alias("best"))
     scored = scored.where(F.col("best") >= F.ceil(F.lit(SHARE) * F.col("width")))
     top = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("best") / F.col("width")).alias("share"), "best", "n")).alias("x"))
     return top.select("doc_id", "item_id", F.col("x.n").cast("long").alias("n_item_words"), F.col("x.best").cast("long").alias("n_matched"), F.col("x.share").alias("share"))
