@@ -55,3 +55,10 @@ def test_decontamination_finds_whole_items(spark):
     texts = [(r.doc_id, " ".join(brute.words(r.text))) for r in docs.collect()]
     exact = {(d, b.item_id) for b in bench.collect() for d, t in texts if " ".join(brute.words(b.text)) in t}
     assert exact and exact <= found
+
+
+def test_decontamination_of_large_benchmarks(spark, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    small = sorted(map(tuple, decontaminate.contamination(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+    assert small and sorted(map(tuple, decontaminate.contamination(docs, bench).collect())) == small
