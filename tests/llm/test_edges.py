@@ -12,7 +12,7 @@ CLASH = ["nid", "size", "key_", "rid", "words", "seed", "at", "n", "kept", "scor
 PLAIN = "a plain sentence with quite a few words in it, so that there is something to read and to count here today"
 ROWS = [
     (1, PLAIN, "en", "a", 9), (1, PLAIN, "en", "a", 9), (None, PLAIN, None, None, None), (2, None, "en", "a", None), (3, "", None, "a", 0),
-    (4, " \n\t\n", "de", None, 4), (5, "same " * 40_000, "en", "b", 1), (6, "y" * 200_000, "de", "b", 1), (7, "l\n" * 20_000, "de", "b", 1), (8, PLAIN + "\n" + PLAIN, None, "b", 1),
+    (4, " \n\t\n", "de", None, 4), (5, "same " * 40_000, "en", "b", 1), (6, "y" * 200_000, "de", "b", 1), (7, "l\n" * 50_000, "de", "b", 1), (8, PLAIN + "\n" + PLAIN, None, "b", 1),
 ]
 
 
