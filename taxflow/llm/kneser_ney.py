@@ -4,11 +4,10 @@ Grams of ``ORDER`` characters of all trusted texts are counted; Spark joins the
 counts of a gram, its context and its suffix, order by order, to interpolated
 probabilities and back-off weights.  The tables are cut into shards by the two
 characters that all entries needed at one text position have in common.  The
-texts stay where they are: for each shard, of a bounded size, one pass joins
-the positions that belong to it with its entries and adds up log-probabilities;
-the parts of a document are summed.  A document is rejected if its log
-perplexity is beyond a quantile-based fence of trusted held-out documents of
-its language.
+texts stay where they are: one pass looks the positions of each slice of text
+up in one shard after another.  A document is rejected if its log perplexity, or
+that of its worst short stretch, is beyond a quantile-based fence of trusted
+held-out documents of its language.
 """
 
 from __future__ import annotations
@@ -34,6 +33,11 @@ QUANTILE = 0.9
 BEYOND = 5.0
 #: Texts with fewer characters are too short to judge, and kept.
 MIN_CHARS = 64
+#: Characters of the stretches whose worst is judged beside the whole text, and the quantile of that fence.
+STRETCH = 12
+STRETCH_QUANTILE = 0.99
+#: With fewer held-out documents than this that quantile is little more than their maximum, and the fence lies once more as far from the median.
+MIN_STRETCH_HELD_OUT = 100
 #: Held-out documents from which on a language has its own threshold.
 MIN_HELD_OUT = 40
 SLICE_CHARS = 1 << 20
@@ -200,33 +204,52 @@ def _pair_shard(first: np.ndarray, second: np.ndarray, shards: int) -> np.ndarra
     return (first.astype(np.int64) * 31 + second.astype(np.int64)) % shards
 
 
-def _score(held, shard: int, shards: int):
+def _worst(value: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """Per document the largest mean of -``value`` over STRETCH positions in a row; NaN under STRETCH positions."""
+    worst = np.full(docs, np.nan)
+    n = len(value) - STRETCH + 1
+    if n > 0:
+        sums = np.concatenate([[0.0], np.cumsum(-value)])
+        at = np.flatnonzero(doc[:n] == doc[STRETCH - 1 :])
+        if len(at):
+            mine, mean = doc[at], (sums[at + STRETCH] - sums[at]) / STRETCH
+            first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+            worst[mine[first]] = np.maximum.reduceat(mean, first)
+    return worst
+
+
+def _score(held: list):
+    shards = len(held)
+
     def run(batches):
-        lookup = held.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for lo, hi in slices(texts):
                 points, starts = code_points(texts[lo:hi])
                 at = np.flatnonzero(_inside(points, starts))
-                if shards > 1:
-                    at = at[_pair_shard(points[at + ORDER - 3], points[at + ORDER - 2], shards) == shard]
-                keys = gram_keys(points, ORDER)[at]
-                codes, distinct = pd.factorize(keys)
+                codes, distinct = pd.factorize(gram_keys(points, ORDER)[at])
                 first = np.zeros(len(distinct), np.int64)
                 first[codes[::-1]] = at[::-1]
-                value = lookup.log_probability(points[first[:, None] + np.arange(ORDER)])[codes] if len(at) else np.zeros(0)
+                grams = points[first[:, None] + np.arange(ORDER)]
+                of = _pair_shard(grams[:, ORDER - 3], grams[:, ORDER - 2], shards)
+                found = np.zeros(len(grams), np.float64)
+                for shard in range(shards):
+                    mine = np.flatnonzero(of == shard)
+                    if len(mine):
+                        found[mine] = held[shard].value.log_probability(grams[mine])
+                    if shards > 1 and getattr(held[shard], "_path", None):
+                        vars(held[shard]).pop("_value", None)  # a worker holds one shard at a time and reads it again from its local file
+                value = found[codes]
                 doc = np.searchsorted(starts, at, side="right") - 1
                 total, n = np.bincount(doc, value, minlength=hi - lo), np.bincount(doc, minlength=hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("key_").slice(lo, hi - lo), batch.column("doc_id").slice(lo, hi - lo), batch.column("lang").slice(lo, hi - lo), pa.array(total, pa.float64()), pa.array(n, pa.int64())],
-                    names=["key_", "doc_id", "lang", "total", "n"],
-                )
+                columns = [pa.array(total, pa.float64()), pa.array(n, pa.int64()), pa.array(_worst(value, doc, hi - lo), pa.float64(), from_pandas=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("key_", "doc_id", "lang")), *columns], names=["key_", "doc_id", "lang", "total", "n", "worst"])
 
     return run
 
 
 def log_perplexity(docs: DataFrame, model: DataFrame, scratch: Scratch, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """(key_, doc_id, lang, log_perplexity, n_scored) of every document, by one pass a shard."""
+    """(key_, doc_id, lang, log_perplexity, n_scored, worst_stretch) of every document, by one pass."""
     spark = docs.sparkSession
     entries = model.count()
     shards = max(1, -(-2 * entries // shard_entries) if entries > shard_entries else 1)
@@ -235,24 +258,17 @@ def log_perplexity(docs: DataFrame, model: DataFrame, scratch: Scratch, shard_en
     placed = model.withColumn("shard", of)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select(T.row_key().alias("key_"), "doc_id", "lang", "text")
-    parts = []
+    held = []
     for shard in range(shards):
         mine = placed.where((F.col("shard") == shard) | F.col("shard").isNull()).drop("shard")
-        held = spark.sparkContext.broadcast(Lookup(mine.mapInArrow(_keyed, "number byte, key long, value float").toArrow()))
-        scored = texts.mapInArrow(_score(held, shard, shards), f"key_ long, doc_id {kind}, lang string, total double, n long")
-        parts.append(scratch.write(scored, f"scored-{shard}"))
-    if shards == 1:
-        summed = parts[0]
-    else:
-        # repeated rows have equal parts: one of each is summed, and each row gets the sum
-        once = [p.dropDuplicates(["key_"]) for p in parts]
-        sums = reduce(DataFrame.unionByName, once).groupBy("key_").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-        summed = parts[0].select("key_", "doc_id", "lang").join(sums.hint("merge"), "key_")
-    return summed.select("key_", "doc_id", "lang", F.when(F.col("n") > 0, -F.col("total") / F.col("n")).alias("log_perplexity"), F.col("n").alias("n_scored"))
+        held.append(spark.sparkContext.broadcast(Lookup(mine.mapInArrow(_keyed, "number byte, key long, value float").toArrow())))
+        vars(held[-1]).pop("_value", None)  # the driver keeps the file of it only
+    scored = texts.mapInArrow(_score(held), f"key_ long, doc_id {kind}, lang string, total double, n long, worst double")
+    return scored.select("key_", "doc_id", "lang", F.when(F.col("n") > 0, -F.col("total") / F.col("n")).alias("log_perplexity"), F.col("n").alias("n_scored"), F.col("worst").alias("worst_stretch"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """key_, doc_id, lang, log_perplexity, threshold, n_scored, kept of every document; see ``quality_classifier``."""
+    """key_ and the columns of ``quality_classifier`` for every document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "kneser-ney")
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("id_")).distinct()
@@ -264,27 +280,38 @@ def classify(docs: DataFrame, labels: DataFrame, shard_entries: int = SHARD_ENTR
     scored = scratch.write(log_perplexity(docs, model, scratch, shard_entries), "scores")
 
     known = scored.join(held, F.col("doc_id") == F.col("id_"), "left_semi").where("log_perplexity IS NOT NULL")
-    middle, high = F.percentile_approx("log_perplexity", F.lit(0.5), F.lit(10000)), F.percentile_approx("log_perplexity", F.lit(QUANTILE), F.lit(10000))
-    fences = known.groupBy(F.col("lang").alias("lang_")).agg(F.count(F.lit(1)).alias("n_held"), (high + BEYOND * (high - middle)).alias("threshold"))
-    fences = scratch.write(fences.where(F.col("n_held") >= MIN_HELD_OUT).select("lang_", "threshold"), "fences")
-    everywhere = known.agg((high + BEYOND * (high - middle)).alias("x")).first()["x"]  # one number
+    def fence(column: str, quantile: float, beyond: float | Column) -> Column:
+        middle, high = F.percentile_approx(column, F.lit(0.5), F.lit(10000)), F.percentile_approx(column, F.lit(quantile), F.lit(10000))
+        return high + beyond * (high - middle)
+
+    margin = F.when(F.count("worst_stretch") < MIN_STRETCH_HELD_OUT, 1.0).otherwise(0.0)
+    both = [fence("log_perplexity", QUANTILE, BEYOND).alias("threshold"), fence("worst_stretch", STRETCH_QUANTILE, margin).alias("stretch_threshold")]
+    fences = known.groupBy(F.col("lang").alias("lang_")).agg(F.count(F.lit(1)).alias("n_held"), *both)
+    fences = scratch.write(fences.where(F.col("n_held") >= MIN_HELD_OUT).drop("n_held"), "fences")
+    everywhere = known.agg(*both).first()  # two numbers
     judged = scored.join(fences, F.col("lang").eqNullSafe(F.col("lang_")), "left")
-    limit = F.coalesce(F.col("threshold"), F.lit(everywhere).cast("double"))
-    return judged.select("key_", "doc_id", "lang", "log_perplexity", limit.alias("threshold"), "n_scored", F.coalesce((F.col("log_perplexity") <= limit) | (F.col("n_scored") < MIN_CHARS), F.lit(True)).alias("kept"))
+    limit, stretch = (F.coalesce(F.col(c), F.lit(everywhere[c]).cast("double")) for c in ("threshold", "stretch_threshold"))
+    mean_good = F.coalesce((F.col("log_perplexity") <= limit) | (F.col("n_scored") < MIN_CHARS), F.lit(True))
+    kept = mean_good & F.coalesce(F.col("worst_stretch") <= stretch, F.lit(True))
+    return judged.select("key_", "doc_id", "lang", "log_perplexity", limit.alias("threshold"), "worst_stretch", stretch.alias("stretch_threshold"), "n_scored", kept.alias("kept"))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """doc_id, lang, log_perplexity, threshold, n_scored (long), kept of every document.
+    """doc_id, lang, log_perplexity, threshold, worst_stretch, stretch_threshold, n_scored (long), kept of every document.
 
     ``docs``: doc_id, text, lang.  ``labels``: doc_id, quality, toxic; trusted
     are documents with quality 1 and toxic not 1.  Four fifths of them train the
     model, all of their text; the others set, for each language with at least
     ``MIN_HELD_OUT`` of them, the threshold: the QUANTILE of log perplexity plus
     BEYOND times its distance from the median.  Other languages, null among them, use the
-    threshold of all held-out documents.
-
-    Null, empty and blank texts have no perplexity and are kept, as are texts
-    under MIN_CHARS characters.  Without
+    threshold of all held-out documents.  worst_stretch is the highest log
+    perplexity of STRETCH characters in a row, its threshold
+    is the STRETCH_QUANTILE of the same held-out documents, and further out if
+    they are under MIN_STRETCH_HELD_OUT.  A document is kept if it is beyond neither.
+
+    Null, empty and blank texts have no perplexity and are kept; texts under
+    MIN_CHARS characters are judged by their worst stretch only, and kept under
+    STRETCH characters.  Without
     trusted held-out documents there is no threshold and all are kept.  Repeated
     rows are judged each; further columns are not read.  An empty table gives no
     rows.

@@ -44,6 +44,16 @@ def test_classifier_and_shards(spark, corpus):
         assert other is None or math.isclose(other, r.log_perplexity, rel_tol=1e-5)
 
 
+@pytest.mark.parametrize("entries", [kneser_ney.SHARD_ENTRIES, 4000])
+def test_few_bad_words_in_a_long_text(spark, corpus, entries):
+    docs, labels = corpus
+    good = " ".join([docs.where("doc_id = 1").first().text] * 6)
+    middle = len(good) // 2
+    more = [(950, good, "b"), (951, good[:middle] + " QX!!ZQ##WV " + good[middle:], "b"), (952, "QX!!ZQ##WV%%QZ", "b")]
+    got = quality_classifier(docs.unionByName(spark.createDataFrame(more, DOCS)), labels, shard_entries=entries).where("doc_id >= 950")
+    assert {r.doc_id: r.kept for r in got.collect() if r.doc_id != 952 or r.n_scored < kneser_ney.MIN_CHARS} == {950: True, 951: False, 952: False}
+
+
 def test_classifier_empty(spark):
     docs, labels = spark.createDataFrame([], DOCS), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_classifier(docs, labels).count() == 0
