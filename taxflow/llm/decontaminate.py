@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced seeds (operator 2), built-in functions only.
 
-A seed hashes the words at the ones of a fixed mask over ``SPAN`` consecutive
-words and ignores the others, so that a substituted word under a zero doesn't
-hide a match.  Seeds of documents and of benchmark items are joined; around a
+A seed hashes the words at the ones of a fixed mask over consecutive words and
+ignores the others, so that a substituted word under a zero doesn't hide a
+match.  The masks for a length are such that, however the words that may differ
+are placed, at least one seed has none of them.  Seeds of documents and of benchmark items are joined; around a
 hit the item is laid beside the document and the equal words are counted.
 """
 
@@ -14,12 +15,16 @@ from pyspark.sql import functions as F
 from taxflow.llm import text as T
 from taxflow.llm.scratch import Scratch
 
-SPAN = 12
-#: Fixed masks; each ignores half of the positions.
-MASKS = ("110010100110", "101001011001")
 #: Words of the stretch that is verified, and the least share of equal words in it.
 STRETCH = 20
 SHARE = 0.8
+#: Fixed masks by words of the stretch, found by enumeration of all placements of a fifth of substituted words; shorter items
+#: have none to spare and use a seed of all their words.
+MASKS = {
+    5: ("111", "1101"), 6: ("1111", "11011"), 7: ("11011",), 8: ("111011", "11111"), 9: ("111011",), 10: ("11101", "1111"), 11: ("11101",),
+    12: ("111011", "11111"), 13: ("111011", "11111"), 14: ("111011", "11111"), 15: ("111011", "11111"), 16: ("111011", "11111"),
+    17: ("111011",), 18: ("111011", "11111"), 19: ("111011", "11111"), 20: ("111011", "11111"),
+}
 #: Seeds of the benchmark, and pairs to verify, that may be broadcast (48 bytes a seed; 10 words and shifts a pair on average).
 BROADCAST_SEEDS = 200_000
 
@@ -39,6 +44,11 @@ def _with_seeds(df: DataFrame, masks: list[str], *keep: str) -> DataFrame:
     return staged.select(*keep, F.explode(F.array(*[_seeds("hashed", m) for m in masks])).alias("seeds")).select(*keep, F.posexplode("seeds").alias("at", "seed"))
 
 
+def masks_of(length: int) -> tuple[str, ...]:
+    """Masks of the seeds of an item of ``length`` words."""
+    return MASKS.get(min(length, STRETCH)) or ("1" * length,)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_item_words, n_matched, share): documents that hold a benchmark item, a row for each pair.
 
@@ -47,8 +57,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Words are compared in lower case and without punctuation.  n_matched and
     share are those of that stretch, at the best alignment.
 
-    Null or empty texts on either side match nothing; items under 12 words are
-    found by unmasked seeds of their own length.  Rows with a repeated doc_id or
+    Null or empty texts on either side match nothing.  Rows with a repeated doc_id or
     item_id are joined each, and a pair of ids is reported once; null ids are
     reported as null.  Further columns are not read.  An empty table on either
     side gives no rows.
@@ -56,12 +65,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
     items = scratch.write(benchmark.select("item_id", normal_words(F.col("text")).alias("words")).where(F.size("words") > 0), "items")
-    lengths = [r[0] for r in items.where(F.size("words") < SPAN).select(F.size("words")).distinct().collect()]  # at most 11 numbers
-    masks = [*MASKS, *("1" * n for n in sorted(lengths))]
-    long, short = items.where(F.size("words") >= SPAN), items.where(F.size("words") < SPAN)
-    seeds = _with_seeds(long, list(MASKS), "item_id", "words")
-    for n in sorted(lengths):
-        seeds = seeds.unionByName(_with_seeds(short.where(F.size("words") == n), ["1" * n], "item_id", "words"))
+    width = F.least(F.lit(STRETCH), F.size("words"))
+    widths = [r[0] for r in items.select(width).distinct().collect()]  # at most 20 numbers
+    masks = sorted({m for n in widths for m in masks_of(n)}) or ["1"]
+    seeds = _with_seeds(items.limit(0), ["1"], "item_id", "words")
+    for n in sorted(widths):
+        seeds = seeds.unionByName(_with_seeds(items.where(width == n), list(masks_of(n)), "item_id", "words"))
     seeds = scratch.write(seeds.select("seed", "item_id", F.col("at").alias("item_at"), F.xxhash64("words").alias("item_key")).distinct(), "seeds")
     small = seeds.count() <= BROADCAST_SEEDS
 
