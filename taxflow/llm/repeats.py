@@ -228,7 +228,8 @@ def remove_repeats(docs: DataFrame, shape: Shape, resolve: Callable[[DataFrame,
     forks = ranges.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     asked = ranges.join(forks.hint("merge"), "gram").select("key_", F.struct("rid", F.least("times", F.lit(2)).alias("times"), (F.col("n") > wide).alias("wide")).alias("e"))
     asked = scratch.write(asked.groupBy("key_").agg(F.collect_list("e").alias("asked")), "asked")
-    asked_texts = texts.select("key_", "text").join(asked.hint("shuffle_hash"), "key_")
+    # repeated rows are one document: only one of them answers, or its windows would meet themselves
+    asked_texts = texts.select("key_", "text").join(asked.hint("shuffle_hash"), "key_").dropDuplicates(["key_"])
     parts = resolve(asked_texts, scratch)
 
     once = ranges.where("times = 1").select("rid").join(parts.hint("merge"), "rid")

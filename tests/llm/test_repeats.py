@@ -56,6 +56,20 @@ def test_edges(spark, operator):
     assert all(r.n_removed > 0 for r in operator(df).collect())
 
 
+@pytest.mark.parametrize("wide", [16384, 1])
+@pytest.mark.parametrize("operator", [substring_dedup, suffix_array_dedup])
+def test_repeated_rows_with_a_fork(spark, operator, wide):
+    # the third text shares a stretch with the first that holds chosen grams, but is shorter than a window
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(10))
+    text = [word() for _ in range(400)]
+    rows = [(1, " ".join(text)), (1, " ".join(text))]
+    rows += [(2 + i, " ".join([word() for _ in range(60)] + text[a : a + 30] + [word() for _ in range(60)])) for i, a in enumerate(range(20, 360, 40))]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = (operator(df) if operator is substring_dedup else operator(df, wide=wide)).collect()
+    assert len(got) == len(rows) and {r.n_removed for r in got} == {0}
+
+
 def test_intervals():
     assert sorted(prefix_intervals([0, 2, 2, 1])) == [(1, 0, 3), (2, 0, 2)]
     got = maximal_repeats([b"abcx", b"abcy", b"abz"], [b"qr", b"qs", b"qr"], 4)
