@@ -27,6 +27,8 @@ MIN_IMPORTANCE = 0.2
 # Fixed word lists of HTML: elements without text content, without end tag, and that start a block.
 UNREAD = frozenset("script style noscript template head title svg math iframe object embed audio video canvas map".split())
 FORMS = frozenset("form button select option optgroup textarea input label fieldset datalist output".split())
+# Elements that may stand in a head; any other ends it, since its end tag may be left out.
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 FURNITURE = frozenset("nav footer aside menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -41,6 +43,8 @@ FURNITURE_WORDS = frozenset(
     "sidebar social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 CONTENT_WORDS = frozenset("article content entry main post story".split())
+# How sure furniture is: a form or a wrapper with a furniture word may hold the whole page, if it starts before its article.
+NONE, FORM, WRAPPER, SURE = range(4)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -50,11 +54,12 @@ class _Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, bool, bool]] = []  # tag, path, unread, furniture
-        self.blocks: list[tuple[str, bool, str]] = []
+        self.stack: list[tuple[str, str, bool, int]] = []  # tag, path, unread, furniture
+        self.blocks: list[tuple[str, int, str]] = []  # furniture is a bool once done
         self.children: dict[str, list[str]] = {}
         self.parts: list[str] = []
-        self.where: tuple[str, bool] | None = None
+        self.where: tuple[str, int] | None = None
+        self.article = False  # whether one has started outside of sure furniture
 
     def flush(self):
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
@@ -63,19 +68,32 @@ class _Page(HTMLParser):
         self.parts, self.where = [], None
 
     def handle_starttag(self, tag, attrs):
+        if tag == "body":
+            self._close("head", frozenset(("template", "body")))
+        elif self.stack and self.stack[-1][0] == "head" and tag not in HEAD:
+            self.stack.pop()
         if tag in BLOCKS:
             self.flush()
             if tag in ENDS_P:
                 self._close("p", BLOCKS - {"p"})
         elif tag == "br":
             self.parts.append(" ")
-        _, path, unread, furniture = self.stack[-1] if self.stack else ("", "", False, False)
+        _, path, unread, furniture = self.stack[-1] if self.stack else ("", "", False, NONE)
         names = sorted({w for k, v in attrs if k in ("class", "id", "role") and v for w in v.lower().split()})
         words = {w for n in names for w in _WORD.findall(n)}
         inside = any(t in ("article", "main") for t, *_ in self.stack)
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-        furniture = furniture or tag in FURNITURE or tag in FORMS or hidden or (tag == "header" and not inside)
-        furniture = furniture or (tag not in ("html", "body", "main", "article") and bool(words & FURNITURE_WORDS) and not words & CONTENT_WORDS)
+        named = bool(words & FURNITURE_WORDS)
+        if tag in ("main", "article") and furniture != SURE:
+            furniture, self.article = NONE, True
+        elif furniture == FORM and tag in BLOCKS and tag not in FORMS and words & CONTENT_WORDS and not named:
+            furniture = NONE
+        if hidden or tag in FURNITURE or (tag in FORMS and tag != "form") or (tag == "header" and not inside):
+            furniture = SURE
+        elif tag == "form":
+            furniture = SURE if self.article else max(furniture, FORM)
+        elif tag not in ("html", "body", "main", "article") and named and not words & CONTENT_WORDS:
+            furniture = SURE if self.article else max(furniture, WRAPPER)
         self.children.setdefault(path, []).append(tag)
         if tag not in VOID:
             self.stack.append((tag, f"{path}>{'.'.join([tag, *names])}" if tag in BLOCKS or not path else path, unread or tag in UNREAD, furniture))
@@ -96,7 +114,9 @@ class _Page(HTMLParser):
                 return
 
     def handle_data(self, data):
-        _, path, unread, furniture = self.stack[-1] if self.stack else ("", "", False, False)
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self.stack.pop()
+        _, path, unread, furniture = self.stack[-1] if self.stack else ("", "", False, NONE)
         if unread:
             return
         if self.where is None:
@@ -111,6 +131,9 @@ class _Page(HTMLParser):
     def done(self):
         self.close()
         self.flush()
+        # a form that holds all there is is no furniture
+        least = WRAPPER if all(x for _, x, _ in self.blocks) else FORM
+        self.blocks = [(path, x >= least, text) for path, x, text in self.blocks]
         return self
 
 
@@ -190,7 +213,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     space inside a block turned into one space, references decoded.  Left out
     are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
     styles, comments of readers, and branches of low importance on hosts with
-    ``MIN_PAGES`` or more different pages.
+    ``MIN_PAGES`` or more different pages.  A form, or a wrapper named after
+    furniture, that starts before the article doesn't hide a main or article
+    in it, nor does a form hide a page that has nothing outside of it.
 
     Null or empty html, and html without content, give an empty text.  A null
     url belongs to a host of its own name "".  Repeated rows get a row each;

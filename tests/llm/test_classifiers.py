@@ -103,3 +103,22 @@ def test_html(spark):
     assert got[1].text == "A & B\n\none two three\n\nfour five"
     assert got[2].text == got[3].text == "" and got[4].text == "no markup < here"
     assert got[12].text == "text 2" and got[12].n_chars == 6
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>x</title><meta charset=u><body><p>the article</p></body></html>", "the article"),
+        ("<html><head><title>x</title><noscript><img></noscript><p>the article</p></html>", "the article"),
+        ("<head><title>x</title><style>p{}</style>the article", "the article"),
+        ("<body><form id=aspnetForm><nav>menu</nav><article><p>the article</p><label>mail</label></article><button>go</button></form>", "the article"),
+        ("<body><form><nav>menu</nav><div id=content><p>the article</p></div><div>box</div><button>go</button></form>", "the article"),
+        ("<body><form><nav>menu</nav><p>the article</p><button>go</button></form></body>", "the article"),
+        ("<body><div class=has-sidebar><main><p>the article</p></main><aside>side</aside></div>", "the article"),
+        ("<body><div class=with-nav><nav>menu</nav><article>the article</article><div class=sidebar>side</div></div>", "the article"),
+        ("<body><article>the article</article><div id=comments><article>nice</article></div><form><p>mail</p></form>", "the article"),
+        ("<body><nav><article>menu</article></nav><div class=cookie>we use</div>", ""),
+    ],
+)
+def test_pages_in_wrappers(page, text):
+    assert style_tree.main_text(page, set()) == text
