@@ -14,15 +14,16 @@ are shuffled on the content; a block is the documents that share one.  Sizes
 are cut into bands by the threshold, and each document takes part in the
 scheme of its band and of the next.  Blocks are joined in two rounds:
 
-1. every member is tried against the block's first document (a star, so the
-   rows grow with the members, not with their square); verified links give
-   components;
+1. every member is tried against the first documents of its blocks, and of
+   those that its point allows the least is verified (a star, so the rows grow
+   with the members, not with their square); verified links give components;
 2. only in blocks that still span several components, members of different
-   components are joined through the R-tree, whose survivors must also pass
-   the bound of points with more coordinates.  Pairs inside one component need
+   components are joined through the R-tree.  Pairs inside one component need
    no test: they cannot change the result.
 
-Documents with equal sets are one class and are joined once.
+Documents with equal sets are one class and are joined once.  Points take a
+byte a coordinate and come from the first pass over the texts; sets, which are
+wide, are made only for the documents of pairs that the points allow.
 """
 
 from __future__ import annotations
@@ -37,16 +38,17 @@ from pyspark.sql import functions as F
 
 from taxflow.llm import kernels as K
 from taxflow.llm.components import connected_components
-from taxflow.llm.scratch import Scratch, partitions
+from taxflow.llm.scratch import Scratch, narrow_side, partitions
 
-#: Coordinates of a point.
-DIMS = 32
-#: Coordinates of the finer points of the second round; folding them gives the coarse ones.
-FINE = 256
+#: Coordinates of a point, and of the folded points that bound rectangles.
+DIMS = 256
+FOLDED = 32
 #: Members of a block that are handled at once; larger blocks are cut into pairs of parts.
 BLOCK = 4096
-#: Entries of an R-tree leaf.
-LEAF = 64
+#: Entries of an R-tree leaf, nodes below an inner node, and pairs of nodes that are tried at once.
+LEAF = 32
+FAN = 8
+TRIED = 4096
 #: Members kept in one row.
 CHUNK = 64
 #: Spare groups, as a share of T + 1, so that documents can leave out their empty groups.
@@ -95,9 +97,31 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray,
             yield (at, to, *shingle_sets(data, offsets[at : to + 1], k))
 
 
-def _counts(h: np.ndarray, doc: np.ndarray, n: int, dims: int) -> np.ndarray:
-    group = (K.mix(h + np.uint64(7)) % np.uint64(dims)).astype(np.int64)
-    return np.bincount(doc * dims + group, minlength=n * dims).astype("<u4").reshape(n, dims)
+def counts(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """The points of ``n`` documents, given their shingles."""
+    group = (K.mix(h + np.uint64(7)) % np.uint64(DIMS)).astype(np.int64)
+    return np.bincount(doc * DIMS + group, minlength=n * DIMS).reshape(n, DIMS)
+
+
+def _packed_point(point: np.ndarray) -> bytes:
+    """A byte a coordinate, or four where one doesn't fit."""
+    return point.astype(np.uint8 if point.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def _points(column: pa.Array) -> np.ndarray:
+    raw = column.to_pylist()
+    out = np.empty((len(raw), DIMS), np.int32)
+    for i, x in enumerate(raw):
+        out[i] = np.frombuffer(x, np.uint8 if len(x) == DIMS else "<u4")
+    return out
+
+
+def _sums(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums that equal sets share."""
+    once, twice = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    np.add.at(once, doc, K.mix(h + np.uint64(1)))
+    np.add.at(twice, doc, K.mix(h ^ np.uint64(0x5555AAAA5555AAAA)))
+    return once, twice
 
 
 def _profiles(k: int):
@@ -107,12 +131,9 @@ def _profiles(k: int):
             for lo, hi, h, doc in _sets(batch, k):
                 n = hi - lo
                 size = np.bincount(doc, minlength=n)
-                once, twice = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-                np.add.at(once, doc, K.mix(h + np.uint64(1)))
-                np.add.at(twice, doc, K.mix(h ^ np.uint64(0x5555AAAA5555AAAA)))
-                point = _counts(h, doc, n, DIMS)
+                once, twice = _sums(h, doc, n)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, n), pa.array(size, pa.int64()), pa.array(K.signed(once)), pa.array(K.signed(twice)), pa.array([x.tobytes() for x in point], pa.binary())],
+                    [ids.slice(lo, n), pa.array(size, pa.int64()), pa.array(K.signed(once)), pa.array(K.signed(twice)), pa.array([_packed_point(x) for x in counts(h, doc, n)], pa.binary())],
                     names=["nid", "size", "s1", "s2", "point"],
                 )
 
@@ -120,12 +141,20 @@ def _profiles(k: int):
 
 
 def _signatures(k: int, threshold: Fraction):
+    """(sig, nid); of equal sets that one task meets only the first is dealt, so copies don't heap up under their signatures."""
+
     def run(batches):
         first = bands(threshold, 1 << 20)
+        met: set[tuple[int, int]] = set()
         for batch in batches:
             ids = batch.column("nid").to_numpy(zero_copy_only=False)
             for lo, hi, h, doc in _sets(batch, k):
                 n = hi - lo
+                once, twice = _sums(h, doc, n)
+                if len(met) > 1 << 18:
+                    met.clear()
+                new = np.array([not (x in met or met.add(x)) for x in zip(once.tolist(), twice.tolist())], bool)
+                h, doc = h[new[doc]], doc[new[doc]]
                 size = np.bincount(doc, minlength=n)
                 if size.max(initial=0) >= first[-2]:
                     first = bands(threshold, int(size.max()) * 2)
@@ -217,10 +246,6 @@ def _blocks(batches):
         yield out
 
 
-def _points(column: pa.Array, dims: int = DIMS) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, dims).astype(np.int32)
-
-
 def _possible(threshold: Fraction, common: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether an intersection of ``common`` can reach the threshold for these sums of sizes."""
     p, q = threshold.numerator, threshold.denominator
@@ -232,46 +257,74 @@ def _bounded(threshold: Fraction):
 
     def run(batches):
         for batch in batches:
-            a, b = _points(batch.column("pa")), _points(batch.column("pb"))
+            a, b = _points(batch.column("px")), _points(batch.column("py"))
             keep = _possible(threshold, np.minimum(a, b).sum(1), a.sum(1) + b.sum(1))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["x", "y"]).filter(pa.array(keep))
 
     return run
 
 
-def rtree_join(points: np.ndarray, other: np.ndarray, threshold: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of two point sets that the sum of coordinate minima doesn't rule out.
+class RTree:
+    """A packed R-tree: entries in order of size and strongest coordinate, leaves of LEAF entries, inner nodes of FAN nodes.
 
-    Both sides are packed into leaves by size and then by their strongest
-    coordinate; a pair of leaves is opened only if the bound of their corners
-    allows a link.
+    A node is the upper corner of its rectangle and its least size.  Level 0 has
+    the entries themselves.
     """
 
-    def pack(x):
-        order = np.lexsort((x.argmax(1), x.sum(1)))
-        begin = np.arange(0, len(x), LEAF)
-        return order, begin, np.maximum.reduceat(x[order], begin, axis=0), np.minimum.reduceat(x[order].sum(1), begin)
+    def __init__(self, points: np.ndarray):
+        size = points.sum(1)
+        self.order = np.lexsort((points.argmax(1), size))
+        self.levels = [(np.zeros(0, np.int64), points[self.order], size[self.order])]  # first children, corners, sizes
+        while len(self.levels) == 1 or len(self.levels[-1][1]) > 1:
+            _, top, least = self.levels[-1]
+            begin = np.arange(0, len(top), LEAF if len(self.levels) == 1 else FAN)
+            self.levels.append((begin, np.maximum.reduceat(top, begin, axis=0), np.minimum.reduceat(least, begin)))
+
+    def children(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``nodes``, child one level down) of all children."""
+        begin, below = self.levels[level][0], len(self.levels[level - 1][1])
+        n = np.append(begin[1:], below)[nodes] - begin[nodes]
+        place = np.repeat(np.arange(len(nodes)), n)
+        return place, begin[nodes][place] + np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
 
+
+def rtree_join(points: np.ndarray, other: np.ndarray, threshold: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of two point sets that the sum of coordinate minima doesn't rule out.
+
+    Pairs of nodes are followed from the roots down, the higher one first; a
+    pair is opened only if the bound of its corners allows a link.
+    """
     if not len(points) or not len(other):
         return
-    left, lbegin, ltop, lsize = pack(points)
-    right, rbegin, rtop, rsize = pack(other)
-    for i, at in enumerate(lbegin):
-        ok = _possible(threshold, np.minimum(ltop[i], rtop).sum(1), lsize[i] + rsize)
-        mine = left[at : at + LEAF]
-        for j in np.flatnonzero(ok):
-            yours = right[rbegin[j] : rbegin[j] + LEAF]
-            a, b = points[mine], other[yours]
-            x, y = np.nonzero(_possible(threshold, np.minimum(a[:, None], b[None]).sum(2), a.sum(1)[:, None] + b.sum(1)[None]))
-            yield mine[x], yours[y]
+    a, b = RTree(points), RTree(other)
+    left, right = len(a.levels) - 1, len(b.levels) - 1
+    open_ = [(left, right, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while open_:
+        left, right, i, j = open_.pop()
+        if len(i) > TRIED:
+            open_ += [(left, right, i[TRIED:], j[TRIED:])]
+            i, j = i[:TRIED], j[:TRIED]
+        (_, ta, sa), (_, tb, sb) = a.levels[left], b.levels[right]
+        ok = _possible(threshold, np.minimum(ta[i], tb[j]).sum(1), sa[i] + sb[j])
+        i, j = i[ok], j[ok]
+        if not len(i):
+            continue
+        if left == right == 0:
+            yield a.order[i], b.order[j]
+        elif left >= right:
+            at, i = a.children(left, i)
+            open_.append((left - 1, right, i, j[at]))
+        else:
+            at, j = b.children(right, j)
+            open_.append((left, right - 1, i[at], j))
 
 
 def _cross(threshold: Fraction):
-    """From rows sorted by (block, pb, qb, side): pairs of different components within a block."""
+    """From rows sorted by (block, pb, qb): pairs of different components within a block."""
 
     def emit(rows):
         cid, comp, side, fine = rows
-        point = fine.reshape(len(fine), FINE // DIMS, DIMS).sum(1)
+        point = fine.reshape(len(fine), DIMS // FOLDED, FOLDED).sum(1)
         size = point.sum(1)
         left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
         for i, j in rtree_join(point[left], point[right], threshold):
@@ -289,7 +342,7 @@ def _cross(threshold: Fraction):
         key, held = None, []
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in ("block", "pb", "qb")])
-            rows = [batch.column(c).to_numpy() for c in ("cid", "comp", "side")] + [_points(batch.column("point"), FINE)]
+            rows = [batch.column(c).to_numpy() for c in ("cid", "comp", "side")] + [_points(batch.column("point"))]
             begin = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))) if batch.num_rows else []
             for lo, hi in zip(begin, [*begin[1:], batch.num_rows]):
                 now, part = tuple(keys[:, lo]), [x[lo:hi] for x in rows]
@@ -304,14 +357,6 @@ def _cross(threshold: Fraction):
     return run
 
 
-def _fine_points(batches):
-    for batch in batches:
-        sets = [_unpack(x) for x in batch.column("shingles").to_pylist()]
-        doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        fine = _counts(np.concatenate(sets), doc, len(sets), FINE) if sets else []
-        yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([x.tobytes() for x in fine], pa.binary())], names=["cid", "point"])
-
-
 def _packed_sets(k: int):
     def run(batches):
         for batch in batches:
@@ -366,17 +411,13 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 5, threshold: Fraction | str
     scratch, parts = Scratch(spark, "ngram-join"), partitions(spark)
     # rows without an id get one that sorts after all others
     nid = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1) - F.shiftrightunsigned(F.xxhash64("text"), 3))
-    texts = docs.select("doc_id", nid.alias("nid"), "text")
-    narrow = texts.select("nid", "text")
+    narrow = docs.select(nid.alias("nid"), "text")
 
     profile = scratch.write(narrow.mapInArrow(_profiles(k), "nid long, size long, s1 long, s2 long, point binary"), "profile")
-    classes = scratch.write(
-        profile.where("size > 0").groupBy("size", "s1", "s2").agg(F.min("nid").alias("cid"), F.min("point").alias("point")), "classes"
-    )
-    member_of = scratch.write(
-        profile.where("size > 0").select("nid", "size", "s1", "s2").distinct().join(classes.hint("merge"), ["size", "s1", "s2"]).select("nid", "cid").distinct(),
-        "members",
-    )
+    filled = profile.where("size > 0")
+    classes = scratch.write(filled.groupBy("size", "s1", "s2").agg(F.min("nid").alias("cid")), "classes")
+    member_of = filled.select("nid", "size", "s1", "s2").distinct().join(classes.hint("merge"), ["size", "s1", "s2"]).select("nid", "cid").distinct()
+    member_of = scratch.write(member_of, "members")
 
     dealt = narrow.mapInArrow(_signatures(k, threshold), "sig long, nid long").repartition(parts, "sig").sortWithinPartitions("sig", "nid")
     blocks = dealt.mapInArrow(_blocks, "block long, part long, hub long, members array<long>")
@@ -386,53 +427,48 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 5, threshold: Fraction | str
         to = member_of.select(F.col("nid").alias(column), F.col("cid").alias(name))
         return df.join(to.hint("merge"), column).drop(column)
 
-    in_blocks = blocks.select("block", "part", "hub", F.explode("members").alias("nid"))
-    stars = as_class(as_class(in_blocks.where("nid <> hub").select("nid", "hub").distinct(), "nid", "x"), "hub", "y")
-    stars = stars.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-    def with_points(pairs: DataFrame) -> DataFrame:
-        one = classes.select(F.col("cid").alias("a"), F.col("point").alias("pa"))
-        two = classes.select(F.col("cid").alias("b"), F.col("point").alias("pb"))
-        both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
-        return both.select("a", "b", "pa", "pb").mapInArrow(_bounded(threshold), "a long, b long")
+    def with_point(df: DataFrame, column: str, name: str) -> DataFrame:
+        return df.join(profile.select(F.col("nid").alias(column), F.col("point").alias(name)).hint("merge"), column)
 
-    stars = scratch.write(with_points(stars), "stars")
+    placed = as_class(as_class(blocks.select("block", "hub", F.explode("members").alias("nid")).distinct(), "nid", "x"), "hub", "y")
+    placed = scratch.write(placed.distinct(), "placed")
+    scratch.drop("blocks")
 
-    # the sets of all that may be verified, from one pass over the texts
-    wanted = as_class(in_blocks.select("nid").distinct(), "nid", "cid").distinct()
-    wanted = scratch.write(wanted, "wanted")
-    chosen = narrow.join(wanted.select(F.col("cid").alias("nid")).hint("shuffle_hash"), "nid")
-    sets = scratch.write(chosen.mapInArrow(_packed_sets(k), "cid long, shingles binary"), "sets")
+    # first round: of each class the least hub that its point allows
+    stars = with_point(with_point(placed.where("x <> y").select("x", "y").distinct(), "y", "py"), "x", "px")
+    stars = stars.select("x", "y", "px", "py").mapInArrow(_bounded(threshold), "x long, y long").groupBy("x").agg(F.min("y").alias("y"))
+    stars = scratch.write(stars.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "stars")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, label: str) -> DataFrame:
+        """The links among written pairs, on sets from one pass over the texts."""
+        wanted = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), f"wanted-{label}")
+        sets = scratch.write(narrow.join(narrow_side(wanted), "nid").mapInArrow(_packed_sets(k), "cid long, shingles binary"), f"sets-{label}")
         one = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
         two = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
         both = pairs.hint("shuffle_hash").join(one, "a").hint("merge").join(two, "b")
-        return both.select("a", "b", "sa", "sb").mapInArrow(_verified(threshold), "a long, b long")
+        links = scratch.write(both.select("a", "b", "sa", "sb").mapInArrow(_verified(threshold), "a long, b long"), f"links-{label}")
+        scratch.drop(f"wanted-{label}", f"sets-{label}")
+        return links
 
-    links = scratch.write(verify(stars), "links-1")
+    links = verify(stars, "1")
     first = connected_components(links, scratch, "cc-1")
 
     # second round: blocks that span several components
-    of = member_of.join(first.select(F.col("node").alias("cid"), "component").hint("merge"), "cid", "left").select(
-        "nid", "cid", F.coalesce("component", "cid").alias("comp")
-    )
-    placed = in_blocks.select("block", "nid").join(of.hint("merge"), "nid").select("block", "cid", "comp").distinct()
-    placed = scratch.write(placed, "placed")
-    open_blocks = placed.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m"))
+    rows = placed.select("block", F.col("x").alias("cid")).distinct().join(first.select(F.col("node").alias("cid"), "component").hint("merge"), "cid", "left")
+    rows = scratch.write(rows.select("block", "cid", F.coalesce("component", "cid").alias("comp")), "rows")
+    open_blocks = rows.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m"))
     open_blocks = open_blocks.where("x <> y").select("block", F.ceil(F.col("m") / BLOCK).cast("int").alias("n_parts"))
-    fine = sets.mapInArrow(_fine_points, "cid long, point binary")
-    rows = placed.join(open_blocks.hint("merge"), "block").join(fine.hint("merge"), "cid")
+    rows = rows.join(open_blocks.hint("merge"), "block")
     mine = F.pmod(F.xxhash64("cid"), F.col("n_parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))
-    rows = rows.select("block", "cid", "comp", "point", mine.alias("p"), other.alias("o")).select(
+    rows = with_point(rows, "cid", "point").select("block", "cid", "comp", "point", mine.alias("p"), other.alias("o")).select(
         "block", F.least("p", "o").alias("pb"), F.greatest("p", "o").alias("qb"), F.signum(F.col("p") - F.col("o")).cast("int").alias("side"), "cid", "comp", "point"
     )
     rows = rows.repartition(parts, "block", "pb", "qb").sortWithinPartitions("block", "pb", "qb")
-    pairs = scratch.write(rows.mapInArrow(_cross(threshold), "a long, b long").distinct(), "crossed")
+    pairs = rows.mapInArrow(_cross(threshold), "a long, b long").distinct()
     pairs = scratch.write(pairs.join(stars.hint("merge"), ["a", "b"], "left_anti"), "pairs-2")
-    more = scratch.write(verify(pairs), "links-2")
-    final = connected_components(links.unionByName(more), scratch, "cc-2")
+    scratch.drop("placed", "rows")
+    final = connected_components(links.unionByName(verify(pairs, "2")), scratch, "cc-2")
 
     label = classes.join(final.select(F.col("node").alias("cid"), "component").hint("merge"), "cid", "left")
     label = label.select("size", "s1", "s2", F.coalesce("component", "cid").alias("component"))
@@ -455,4 +491,4 @@ def keep_one_of_each_group(docs: DataFrame, k: int = 5, threshold: Fraction | st
     groups = ngram_jaccard_groups(docs, k, threshold)
     gone = groups.where("component_id <> doc_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
     gone = Scratch(docs.sparkSession, "ngram-gone").write(gone, "gone")
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
+    return docs.join(narrow_side(gone), "doc_id", "left_anti")

@@ -1,8 +1,8 @@
 """Places for intermediate tables that every executor can reach.
 
 Lineage is cut by writing a Parquet table into the folder that the session
-names in ``spark.checkpoint.dir``; only when that is unset (tests, notebooks)
-is a local folder chosen.  Reading the table back also gives Spark a true size
+names in ``spark.checkpoint.dir`` or ``setCheckpointDir``; only in local mode, as
+in tests, is a folder of this machine chosen where both are unset.  Reading the table back also gives Spark a true size
 for its join planning.
 """
 
@@ -12,16 +12,20 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _unset: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in ``spark.checkpoint.dir``, else the context's; a local one in local mode alone."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        app = spark.sparkContext.applicationId
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = context.applicationId
         if app not in _unset:
             _unset[app] = "file://" + tempfile.mkdtemp(prefix="spark-taxflow-")
         found = _unset[app]
@@ -52,6 +56,15 @@ class Scratch:
             at.getFileSystem(conf).delete(at, True)
 
 
+#: Rows of ids or keys that may be broadcast, some 30 MB.
+NARROW_ROWS = 500_000
+
+
+def narrow_side(written: DataFrame) -> DataFrame:
+    """A written table of ids or keys, marked for broadcast if its counted rows are few, else for a shuffled join."""
+    return F.broadcast(written) if written.count() <= NARROW_ROWS else written.hint("shuffle_hash")
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
