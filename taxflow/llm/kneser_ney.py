@@ -6,8 +6,8 @@ probabilities and back-off weights.  The tables are cut into shards by the two
 characters that all entries needed at one text position have in common.  The
 texts stay where they are: one pass looks the positions of each slice of text
 up in one shard after another.  A document is rejected if its log perplexity, or
-that of its worst short stretch, is beyond a quantile-based fence of trusted
-held-out documents of its language.
+that of its worst short stretch, is beyond a quantile of the same figure of
+trusted held-out documents of its language.
 """
 
 from __future__ import annotations
@@ -21,23 +21,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxflow.llm import text as T
-from taxflow.llm.scratch import Scratch
+from taxflow.llm.scratch import Scratch, narrow_side
 
 ORDER = 5
 #: Entries of a shard that may be broadcast (13 bytes each).
 SHARD_ENTRIES = 3_000_000
 #: Of trusted documents one in HELD_OUT is not trained on; those set the thresholds.
 HELD_OUT = 5
-QUANTILE = 0.9
-#: The fence is so many times as far beyond the quantile as that is from the median.
-BEYOND = 5.0
-#: Texts with fewer characters are too short to judge, and kept.
-MIN_CHARS = 64
-#: Characters of the stretches whose worst is judged beside the whole text, and the quantile of that fence.
-STRETCH = 12
-STRETCH_QUANTILE = 0.99
-#: With fewer held-out documents than this that quantile is little more than their maximum, and the fence lies once more as far from the median.
-MIN_STRETCH_HELD_OUT = 100
+QUANTILE = 0.99
+#: A text counts as followed by so many characters of its language's median perplexity, so that short texts are judged with care.
+PRIOR_CHARS = 64
+#: Characters of the stretches whose worst is judged beside the whole text.
+STRETCH = 5
 #: Held-out documents from which on a language has its own threshold.
 MIN_HELD_OUT = 40
 SLICE_CHARS = 1 << 20
@@ -278,49 +273,56 @@ def classify(docs: DataFrame, labels: DataFrame, shard_entries: int = SHARD_ENTR
     held = scratch.write(good.where(held_out), "held")
     model = train(docs.select("doc_id", "text").join(fit, F.col("doc_id") == F.col("id_"), "left_semi"), scratch)
     scored = scratch.write(log_perplexity(docs, model, scratch, shard_entries), "scores")
+    scratch.drop("model", *[f"{t}-{k}" for k in range(1, ORDER + 1) for t in ("counts", "p")], *[f"g-{k}" for k in range(1, ORDER)])
 
     known = scored.join(held, F.col("doc_id") == F.col("id_"), "left_semi").where("log_perplexity IS NOT NULL")
-    def fence(column: str, quantile: float, beyond: float | Column) -> Column:
-        middle, high = F.percentile_approx(column, F.lit(0.5), F.lit(10000)), F.percentile_approx(column, F.lit(quantile), F.lit(10000))
-        return high + beyond * (high - middle)
 
-    margin = F.when(F.count("worst_stretch") < MIN_STRETCH_HELD_OUT, 1.0).otherwise(0.0)
-    both = [fence("log_perplexity", QUANTILE, BEYOND).alias("threshold"), fence("worst_stretch", STRETCH_QUANTILE, margin).alias("stretch_threshold")]
-    fences = known.groupBy(F.col("lang").alias("lang_")).agg(F.count(F.lit(1)).alias("n_held"), *both)
+    def quantile(column: str | Column, q: float) -> Column:
+        return F.percentile_approx(column, F.lit(q), F.lit(10000))
+
+    def with_medians(rows: DataFrame) -> DataFrame:
+        both = rows.join(medians, F.col("lang").eqNullSafe(F.col("lang_")), "left").drop("lang_")
+        usual = F.coalesce("median", F.lit(everywhere).cast("double"))
+        tempered = (F.col("log_perplexity") * F.col("n_scored") + usual * PRIOR_CHARS) / (F.col("n_scored") + PRIOR_CHARS)
+        return both.withColumn("tempered", tempered).drop("median")
+
+    medians = known.groupBy(F.col("lang").alias("lang_")).agg(F.count(F.lit(1)).alias("n_held"), quantile("log_perplexity", 0.5).alias("median"))
+    medians = scratch.write(medians.where(F.col("n_held") >= MIN_HELD_OUT).drop("n_held"), "medians")
+    everywhere = known.agg(quantile("log_perplexity", 0.5)).first()[0]
+    both = [quantile("tempered", QUANTILE).alias("threshold"), quantile("worst_stretch", QUANTILE).alias("stretch_threshold")]
+    fences = with_medians(known).groupBy(F.col("lang").alias("lang_")).agg(F.count(F.lit(1)).alias("n_held"), *both)
     fences = scratch.write(fences.where(F.col("n_held") >= MIN_HELD_OUT).drop("n_held"), "fences")
-    everywhere = known.agg(*both).first()  # two numbers
-    judged = scored.join(fences, F.col("lang").eqNullSafe(F.col("lang_")), "left")
-    limit, stretch = (F.coalesce(F.col(c), F.lit(everywhere[c]).cast("double")) for c in ("threshold", "stretch_threshold"))
-    mean_good = F.coalesce((F.col("log_perplexity") <= limit) | (F.col("n_scored") < MIN_CHARS), F.lit(True))
-    kept = mean_good & F.coalesce(F.col("worst_stretch") <= stretch, F.lit(True))
-    return judged.select("key_", "doc_id", "lang", "log_perplexity", limit.alias("threshold"), "worst_stretch", stretch.alias("stretch_threshold"), "n_scored", kept.alias("kept"))
+    general = with_medians(known).agg(*both).first()  # two numbers
+    judged = with_medians(scored).join(fences, F.col("lang").eqNullSafe(F.col("lang_")), "left")
+    limit, stretch = (F.coalesce(F.col(c), F.lit(general[c]).cast("double")) for c in ("threshold", "stretch_threshold"))
+    kept = F.coalesce(F.col("tempered") <= limit, F.lit(True)) & F.coalesce(F.col("worst_stretch") <= stretch, F.lit(True))
+    return judged.select("key_", "doc_id", "lang", "log_perplexity", "tempered", limit.alias("threshold"), "worst_stretch", stretch.alias("stretch_threshold"), "n_scored", kept.alias("kept"))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """doc_id, lang, log_perplexity, threshold, worst_stretch, stretch_threshold, n_scored (long), kept of every document.
+    """doc_id, lang, log_perplexity, tempered, threshold, worst_stretch, stretch_threshold, n_scored (long), kept of every document.
 
     ``docs``: doc_id, text, lang.  ``labels``: doc_id, quality, toxic; trusted
     are documents with quality 1 and toxic not 1.  Four fifths of them train the
-    model, all of their text; the others set, for each language with at least
-    ``MIN_HELD_OUT`` of them, the threshold: the QUANTILE of log perplexity plus
-    BEYOND times its distance from the median.  Other languages, null among them, use the
-    threshold of all held-out documents.  worst_stretch is the highest log
-    perplexity of STRETCH characters in a row, its threshold
-    is the STRETCH_QUANTILE of the same held-out documents, and further out if
-    they are under MIN_STRETCH_HELD_OUT.  A document is kept if it is beyond neither.
+    model, all of their text; of the others the QUANTILE of each language with at
+    least ``MIN_HELD_OUT`` of them is its threshold.  Other languages, null among
+    them, use the quantile of all held-out documents.  There are two thresholds:
+    for ``tempered``, the log perplexity of the text with PRIOR_CHARS characters
+    of its language's median after it, and for worst_stretch, the highest log
+    perplexity of STRETCH characters in a row.  A document is kept if it is
+    beyond neither.
 
     Null, empty and blank texts have no perplexity and are kept; texts under
-    MIN_CHARS characters are judged by their worst stretch only, and kept under
-    STRETCH characters.  Without
-    trusted held-out documents there is no threshold and all are kept.  Repeated
-    rows are judged each; further columns are not read.  An empty table gives no
-    rows.
+    STRETCH characters have no stretch.  Without trusted held-out documents
+    there is no threshold and all are kept.  Repeated rows are judged each;
+    further columns are not read.  An empty table gives no rows.
     """
     return classify(docs, labels, shard_entries).drop("key_")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with all their columns."""
+    """The rows of ``docs`` that the classifier keeps, with all their columns; null and empty texts, and rows of unknown language, as in ``quality_classifier``."""
     bad = classify(docs, labels).where("NOT kept").select(F.col("key_").alias("tf_key__")).distinct()
     bad = Scratch(docs.sparkSession, "rejected").write(bad, "keys")
-    return docs.withColumn("tf_key__", T.row_key()).join(bad.hint("shuffle_hash"), "tf_key__", "left_anti").select(*docs.columns)
+    names = [c for c in docs.columns if c != "tf_key__"]
+    return docs.select(*names, T.row_key().alias("tf_key__")).join(narrow_side(bad), "tf_key__", "left_anti").select(*names)

@@ -34,9 +34,9 @@ def test_classifier_and_shards(spark, corpus):
     docs, labels = corpus
     got = quality_classifier(docs, labels).collect()
     assert len(got) == 405
-    for r in got:
-        bad = r.doc_id is not None and r.doc_id < 400 and r.doc_id % 8 == 0
-        assert r.kept is (not bad), r
+    bad = [r for r in got if r.doc_id is not None and r.doc_id < 400 and r.doc_id % 8 == 0]
+    # the thresholds are quantiles of some 30 held-out documents a language, so a few good ones lie beyond
+    assert not any(r.kept for r in bad) and sum(not r.kept for r in got) <= len(bad) + 0.03 * len(got)
     sharded = {(r.doc_id, r.n_scored): r.log_perplexity for r in quality_classifier(docs, labels, shard_entries=4000).collect()}
     for r in got:
         other = sharded[r.doc_id, r.n_scored]
@@ -51,7 +51,61 @@ def test_few_bad_words_in_a_long_text(spark, corpus, entries):
     middle = len(good) // 2
     more = [(950, good, "b"), (951, good[:middle] + " QX!!ZQ##WV " + good[middle:], "b"), (952, "QX!!ZQ##WV%%QZ", "b")]
     got = quality_classifier(docs.unionByName(spark.createDataFrame(more, DOCS)), labels, shard_entries=entries).where("doc_id >= 950")
-    assert {r.doc_id: r.kept for r in got.collect() if r.doc_id != 952 or r.n_scored < kneser_ney.MIN_CHARS} == {950: True, 951: False, 952: False}
+    assert {r.doc_id: r.kept for r in got.collect()} == {950: True, 951: False, 952: False}
+
+
+def kneser_ney_by_hand(texts, order):
+    """P(character | the order - 1 before it), interpolated and with three discounts, from plain dictionaries."""
+    from collections import Counter
+
+    counts = {order: Counter()}
+    for t in texts:
+        t = "\n" * (order - 1) + " ".join(t.split())
+        counts[order].update(t[i : i + order] for i in range(len(t) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    alphabet = len(counts[1]) + 1
+
+    def discounts(k):
+        n = [max(1, sum(c == i for c in counts[k].values())) for i in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [min(max(i + 1 - (i + 2) * y * n[i + 1] / n[i], 0.1), i + 0.9) for i in range(3)]
+
+    cut = {k: discounts(k) for k in counts}
+    by_context = {k: {} for k in counts}
+    for k in counts:
+        for g, c in counts[k].items():
+            by_context[k].setdefault(g[:-1], []).append(c)
+
+    def p(gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / alphabet
+        seen = by_context[k].get(gram[:-1])
+        if seen is None:
+            return p(gram[1:])
+        c, d = counts[k].get(gram, 0), cut[k]
+        own = (c - d[min(c, 3) - 1]) / sum(seen) if c else 0.0
+        return own + sum(d[min(x, 3) - 1] for x in seen) / sum(seen) * p(gram[1:])
+
+    return p
+
+
+def test_model_equals_plain_kneser_ney(spark):
+    rnd = random.Random(4)
+    texts = [prose(rnd, 40, "abcde") for _ in range(12)]
+    scratch = Scratch(spark, "test")
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string"), scratch)
+    other = [prose(rnd, 20, "abcdz"), texts[0], "b", "  q  "]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(other)], DOCS)
+    p, order = kneser_ney_by_hand(texts, kneser_ney.ORDER), kneser_ney.ORDER
+    for r in kneser_ney.log_perplexity(docs, model, scratch).collect():
+        t = "\n" * (order - 1) + " ".join(other[r.doc_id].split())
+        losses = [-math.log(p(t[i : i + order])) for i in range(len(t) - order + 1)]
+        assert math.isclose(sum(losses) / len(losses), r.log_perplexity, rel_tol=1e-5)
+        n = kneser_ney.STRETCH
+        worst = [sum(losses[i : i + n]) / n for i in range(len(losses) - n + 1)]
+        assert (not worst and r.worst_stretch is None) or math.isclose(max(worst), r.worst_stretch, rel_tol=1e-5)
 
 
 def test_classifier_empty(spark):
