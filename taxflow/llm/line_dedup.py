@@ -1,57 +1,78 @@
 """Line dedup by winnowing (operator 9), built-in functions only.
 
-A document is the sequence of its lines with a word.  In every window of
-``RUN`` lines the least line hash (the last of equals) is a fingerprint, so two
-equal runs of ``RUN`` lines share one.  Fingerprints that occur more than once
-are extended both ways to the runs they stand for; of equal runs the first in
-order of (doc_id, line) stays and the lines of all later ones are deleted.
+A document is the sequence of its lines with a word.  Windows over it are one
+line of ``WORDS`` or more words, two lines of as many together, and ``RUN``
+lines.  In every window the least line hash (the last of equals) is a
+fingerprint, so two equal windows share one.  Fingerprints that occur more than
+once are extended both ways to the runs that they stand for; of equal runs the
+first in order of (doc_id, line) stays and the lines of all later ones are
+deleted, so that longer repeated runs go as a chain of theirs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxflow.llm import text as T
 from taxflow.llm.scratch import Scratch
 
-#: Lines of the shortest run that is deleted.
+#: Lines of a run that is deleted whatever its words, and words of a run of one or two lines.
 RUN = 3
+WORDS = 5
+
+
+def _enough_words(line: Column) -> Column:
+    return line.rlike(rf"^[{T.SPACE}]*(?:[^{T.SPACE}]+[{T.SPACE}]+){{{WORDS - 1}}}[^{T.SPACE}]")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(tf_key__, tf_gone__ array<int>): of each document with later repeated runs the line numbers to delete."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    lined = docs.where(F.size(F.split("text", "\n")) >= RUN).select("doc_id", T.row_key().alias("tf_key__"), F.split("text", "\n").alias("lines"))
+    lined = docs.where(F.col("text").isNotNull()).select("doc_id", T.row_key().alias("tf_key__"), F.split("text", "\n").alias("lines"))
     lined = lined.select("doc_id", "tf_key__", "lines", F.filter(T.upto(F.size("lines")), lambda i: T.has_word(F.get("lines", i))).alias("places"))
-    lined = lined.select("doc_id", "tf_key__", "places", F.transform("places", lambda i: F.xxhash64(F.get("lines", i))).alias("h"))
+    at = lambda i: F.get("lines", F.get("places", i))
+    lined = lined.select(
+        "doc_id", "tf_key__", "lines", "places", F.transform("places", lambda i: F.xxhash64(F.get("lines", i))).alias("h"), F.transform("places", lambda i: _enough_words(F.get("lines", i))).alias("long")
+    )
+    h, long = lambda i: F.get("h", i), lambda i: F.get("long", i)
+
+    # Windows of long lines alone are left out: each of their lines is a window of its own.
+    def of_three(i: Column) -> Column:
+        low = F.least(h(i), h(i + 1), h(i + 2))
+        return F.when(~(long(i) & long(i + 1) & long(i + 2)), F.when(h(i + 2) == low, i + 2).when(h(i + 1) == low, i + 1).otherwise(i))
+
+    def of_two(i: Column) -> Column:
+        short = ~(long(i) & long(i + 1))
+        enough = long(i) | long(i + 1) | _enough_words(F.concat(at(i), F.lit(" "), at(i + 1)))
+        return F.when(short & enough, F.when(h(i + 1) <= h(i), i + 1).otherwise(i))
 
-    def least(i):
-        a, b, c = F.get("h", i), F.get("h", i + 1), F.get("h", i + 2)
-        low = F.least(a, b, c)
-        return F.when(c == low, i + 2).when(b == low, i + 1).otherwise(i)
+    chosen = lined.select(
+        "doc_id", "tf_key__", "places", "h", "long",
+        F.transform(T.upto(F.size("h") - (RUN - 1)), of_three).alias("three"), F.transform(T.upto(F.size("h") - 1), of_two).alias("two"),
+    )
 
-    chosen = lined.select("*", F.transform(T.upto(F.size("h") - (RUN - 1)), least).alias("chosen"))
+    def fingerprint(p: Column) -> Column:
+        # the windows that this fingerprint stands for, by extension to its left and right
+        def runs(name: str, n: int) -> Column:
+            near = F.filter(F.sequence(p - (n - 1), p), lambda i: (i >= 0) & F.coalesce(F.get(name, F.when(i >= 0, i)) == p, F.lit(False)))
+            return F.transform(near, lambda i: F.struct(F.xxhash64(F.slice("h", i + 1, n)).alias("run"), F.slice("places", i + 1, n).alias("at")))
 
-    def fingerprint(p):
-        # the runs that this fingerprint stands for, by extension to its left and right
-        near = F.sequence(F.greatest(p - (RUN - 1), F.lit(0)), F.least(p, F.size("h") - RUN))
-        runs = F.transform(
-            F.filter(near, lambda i: F.get("chosen", i) == p),
-            lambda i: F.struct(F.xxhash64(F.slice("h", i + 1, RUN)).alias("run"), F.slice("places", i + 1, RUN).alias("at")),
-        )
-        return F.struct(F.get("h", p).alias("finger"), runs.alias("runs"))
+        return F.struct(h(p).alias("finger"), F.when(long(p), F.get("places", p)).alias("line"), F.concat(runs("three", RUN), runs("two", 2)).alias("runs"))
 
+    places = F.filter(F.array_distinct(F.concat("three", "two", F.filter(T.upto(F.size("h")), long))), lambda p: p.isNotNull())
     # Put together before rows are made, so that no row carries the lines of its whole text.  explode_outer, because
     # explode adds a filter on its array, and Spark would write the arrays that it is made of into that filter's lambdas.
-    fingers = chosen.select("doc_id", "tf_key__", F.transform(F.array_distinct("chosen"), fingerprint).alias("all"))
-    fingers = fingers.select("doc_id", "tf_key__", F.explode_outer("all").alias("x")).where("x IS NOT NULL").select("x.finger", "doc_id", "tf_key__", "x.runs")
+    fingers = chosen.select("doc_id", "tf_key__", F.transform(places, fingerprint).alias("all"))
+    fingers = fingers.select("doc_id", "tf_key__", F.explode_outer("all").alias("x")).where("x IS NOT NULL").select("x.finger", "doc_id", "tf_key__", "x.line", "x.runs")
     fingers = scratch.write(fingers, "fingers")
     often = fingers.groupBy("finger").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("finger")
     met = fingers.join(often.hint("merge"), "finger")
-    met = met.select("doc_id", "tf_key__", F.explode("runs").alias("r")).select("doc_id", "tf_key__", "r.run", "r.at", F.get("r.at", F.lit(0)).alias("line"))
+    single = F.when(F.col("line").isNotNull(), F.array(F.struct(F.xxhash64(F.array("finger")).alias("run"), F.array("line").alias("at"))))
+    met = met.select("doc_id", "tf_key__", F.explode(F.concat("runs", F.coalesce(single, F.slice("runs", 1, 0)))).alias("r")).select("doc_id", "tf_key__", "r.run", "r.at", F.get("r.at", F.lit(0)).alias("line"))
     place = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), "tf_key__", "line")
     met = scratch.write(met.select("tf_key__", "run", "at", place.alias("place")), "runs")
+    scratch.drop("fingers")
     first = met.groupBy("run").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "first")
     later = met.join(first.hint("merge"), "run").where("place > first")
     gone = later.select("tf_key__", F.explode("at").alias("line")).groupBy("tf_key__").agg(F.collect_set("line").alias("tf_gone__"))
@@ -59,10 +80,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` without later repeated runs of ``RUN`` or more lines; adds n_lines and n_removed (long).
+    """``docs`` without later repeated lines of ``WORDS`` or more words and later repeated runs; adds n_lines and n_removed (long).
 
-    Lines without a word are kept, and don't interrupt a run.  Null texts stay
-    null, with 0 lines; texts under ``RUN`` lines stay as they are.  Rows with
+    A run is ``RUN`` or more lines, or two lines of ``WORDS`` or more words
+    together; so a repeated passage of ``WORDS`` words goes in texts of any
+    number of lines, and single lines of fewer words stay.  Lines without a word
+    are kept, and don't interrupt a run.  Null texts stay null, with 0 lines.  Rows with
     equal id and text are one document and get equal results; a null doc_id
     comes last in order.  Columns n_lines and n_removed of the input are
     replaced; all others stay.  An empty table stays empty.
@@ -81,16 +104,21 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH l AS (
-  SELECT doc_id, line, txt, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS j
+  SELECT doc_id, line, txt, len(list_filter(regexp_split_to_array(txt, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS w,
+         row_number() OVER (PARTITION BY doc_id ORDER BY line) AS j
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS txt, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents)
   WHERE regexp_matches(txt, '[^\x20\x09-\x0D]')
 ), r AS (
-  SELECT doc_id, line, j, [txt, lead(txt) OVER w, lead(txt, 2) OVER w] AS run, lead(j, 2) OVER w AS j3
-  FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line)
+  SELECT doc_id, line, j, w, txt, lead(w) OVER d AS w2, lead(txt) OVER d AS txt2, lead(txt, 2) OVER d AS txt3
+  FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY line)
+), runs AS (
+  SELECT doc_id, line, j, 1 AS n, [txt] AS run FROM r WHERE w >= 5
+  UNION ALL SELECT doc_id, line, j, 2, [txt, txt2] FROM r WHERE w + w2 >= 5
+  UNION ALL SELECT doc_id, line, j, 3, [txt, txt2, txt3] FROM r WHERE txt3 IS NOT NULL
 ), f AS (
-  SELECT doc_id, j, row_number() OVER (PARTITION BY run ORDER BY doc_id, line) AS nth FROM r WHERE j3 IS NOT NULL
+  SELECT doc_id, j, n, row_number() OVER (PARTITION BY run ORDER BY doc_id, line) AS nth FROM runs
 ), gone AS (
-  SELECT DISTINCT doc_id, j + k AS j FROM f, (SELECT unnest([0, 1, 2]) AS k) WHERE nth > 1
+  SELECT DISTINCT doc_id, j + k AS j FROM f, (SELECT unnest([0, 1, 2]) AS k) WHERE nth > 1 AND k < n
 ), lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS txt, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents
 ), kept AS (

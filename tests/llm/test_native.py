@@ -30,6 +30,13 @@ def test_edges(spark):
     assert mixing.mix_sources(docs, weights={"a": 1.0}, size=300).where("source = 'a'").count() > 200
 
 
+def test_short_runs_of_lines(spark):
+    long, two = " ".join(f"w{i}" for i in range(60)), "one two\nthree four five"
+    rows = [(1, long), (2, f"before\n{long}\nafter"), (3, two), (4, f"x\n\n{two}"), (5, "Yes."), (6, "Yes."), (7, "a\nb"), (8, "a\nb"), (9, "three four five\none two")]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows) | {2: "before\nafter", 4: "x\n"}
+
+
 def test_mix_rates(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "small").otherwise("big").alias("source"))
     got = dict(mixing.mix_sources(docs, weights={"small": 3, "big": 1}, size=4000).groupBy("source").count().collect())
