@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxflow.llm import text as T
-from taxflow.llm.scratch import Scratch
+from taxflow.llm.scratch import Scratch, narrow_side
 
 #: Words of the stretch that is verified, and the least share of equal words in it.
 STRETCH = 20
@@ -104,7 +104,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; rows without a doc_id stay."""
+    """``docs`` without the documents that hold a benchmark item, with all their columns.
+
+    Null and empty texts hold none.  Rows without a doc_id stay; of several rows
+    with one doc_id all go if one of them holds an item.
+    """
     found = contamination(docs, benchmark).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     found = Scratch(docs.sparkSession, "contaminated").write(found, "ids")
-    return docs.join(found.hint("shuffle_hash"), "doc_id", "left_anti")
+    return docs.join(narrow_side(found), "doc_id", "left_anti").select(*docs.columns)

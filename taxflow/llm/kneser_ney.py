@@ -322,7 +322,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, shard_entries: int =
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns; null and empty texts, and rows of unknown language, as in ``quality_classifier``."""
-    bad = classify(docs, labels).where("NOT kept").select(F.col("key_").alias("tf_key__")).distinct()
+    (key,) = T.fresh(docs, "key")
+    bad = classify(docs, labels).where("NOT kept").select(F.col("key_").alias(key)).distinct()
     bad = Scratch(docs.sparkSession, "rejected").write(bad, "keys")
-    names = [c for c in docs.columns if c != "tf_key__"]
-    return docs.select(*names, T.row_key().alias("tf_key__")).join(narrow_side(bad), "tf_key__", "left_anti").select(*names)
+    return docs.withColumn(key, T.row_key()).join(narrow_side(bad), key, "left_anti").select(*docs.columns)

@@ -91,14 +91,14 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     replaced; all others stay.  An empty table stays empty.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = repeated_lines(docs)
-    both = docs.select(*names, T.row_key().alias("tf_key__")).join(gone.hint("shuffle_hash"), "tf_key__", "left")
-    both = both.select("*", F.split("text", "\n").alias("tf_lines__"))
-    kept = F.transform(F.array_except(T.upto(F.size("tf_lines__")), "tf_gone__"), lambda i: F.get("tf_lines__", i))
+    key, gone, lines = T.fresh(docs, "key", "gone", "lines")
+    found = repeated_lines(docs.select("doc_id", "text")).select(F.col("tf_key__").alias(key), F.col("tf_gone__").alias(gone))
+    both = docs.select(*names, T.row_key().alias(key)).join(found.hint("shuffle_hash"), key, "left").select("*", F.split("text", "\n").alias(lines))
+    kept = F.transform(F.array_except(T.upto(F.size(lines)), gone), lambda i: F.get(lines, i))
     return both.select(
-        *[F.when(F.col("tf_gone__").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else c for c in names],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("tf_lines__")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("tf_gone__"), F.lit(0)).cast("long").alias("n_removed"),
+        *[F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else c for c in names],
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

@@ -9,9 +9,10 @@ same.  Copies are exploded and dealt out and ordered by a hash of their own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taxflow.llm import text as T
 from taxflow.llm.scratch import Scratch, partitions
 
 
@@ -21,21 +22,20 @@ def uniform(seed: int, *columns: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def distribution(rate: Column) -> Column:
-    """P(X <= k) of the Poisson distribution for k = 0 .. 40 beyond rate + 12 deviations."""
-    top = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
-    zero = F.struct((-rate).alias("log"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("all"))
-
-    def step(state: Column, k: Column) -> Column:
-        log = state["log"] + F.ln(rate) - F.ln(k.cast("double"))
-        total = state["sum"] + F.exp(log)
-        return F.struct(log.alias("log"), total.alias("sum"), F.concat(state["all"], F.array(total)).alias("all"))
-
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), top), zero, step)["all"]).otherwise(F.array(F.lit(1.0)))
+def distributions(rates: DataFrame, by: str) -> DataFrame:
+    """(by, n, rate, tf_cdf__): P(X <= k) of the Poisson distribution for k = 0 .. 40 beyond rate + 12 deviations."""
+    top = F.when(F.col("rate") > 0, F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 40)).otherwise(0).cast("int")
+    rows = rates.withColumn("k", F.explode(F.sequence(F.lit(0), top)))
+    w = Window.partitionBy(by).orderBy("k")
+    rows = rows.withColumn("log_factorial", F.sum(F.ln(F.greatest("k", F.lit(1)).cast("double"))).over(w))
+    rows = rows.withColumn("p", F.exp(F.coalesce(F.col("k") * F.ln("rate"), F.lit(0.0)) - F.col("rate") - F.col("log_factorial")))
+    rows = rows.withColumn("c", F.sum("p").over(w))
+    found = rows.groupBy(by, "n", "rate").agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("all"))
+    return found.select(by, "n", "rate", F.transform("all", lambda x: x["c"]).alias("tf_cdf__"))
 
 
 def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, by: str = "source", size: int | None = None, temperature: float = 0.5) -> DataFrame:
-    """(by, n, rate, cdf): the mean repetition rate of each source and its distribution.
+    """(by, n, rate, tf_cdf__): the mean repetition rate of each source and its distribution.
 
     ``weights``: target shares; they are scaled to sum to 1, and a source that
     isn't named gets 0.  None: shares go with the number of documents to the
@@ -52,7 +52,7 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, b
     total = counts.agg(F.sum("share").alias("share"), F.sum("n").alias("n")).first()  # two numbers
     shares, wanted = float(total["share"] or 0.0), float((total["n"] or 0) if size is None else size)
     rates = counts.select(by, "n", (F.col("share") * F.lit(wanted) / (F.lit(shares or 1.0) * F.col("n"))).alias("rate"))
-    return rates.withColumn("tf_cdf__", distribution(F.col("rate")))
+    return distributions(rates, by)
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, by: str = "source", size: int | None = None, temperature: float = 0.5, seed: int = 17) -> DataFrame:
@@ -60,21 +60,21 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, by: st
 
     The draw depends on doc_id and the seed.  A null source is a source of its
     own.  Null doc_ids draw as one id, and rows that repeat a doc_id draw alike.
-    Texts are not read.  An empty table stays empty.  A column copy_no of the
+    Texts don't matter for the draw, null and empty ones neither; the order is a
+    hash of the whole row.  An empty table stays empty.  A column copy_no of the
     input is replaced.  The mix has ``size`` documents in expectation.
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c != "copy_no"]
+    u, times, order, source, cdf = T.fresh(docs, "u", "times", "order", "source", "cdf")
     # written and read back: Spark broadcasts it only if the file is small, and else splits skewed partitions of a sort merge join
-    rates = Scratch(spark, "mix-rates").write(repetition_rates(docs, weights, by, size, temperature).select(F.col(by).alias("tf_by__"), "tf_cdf__"), "rates")
-    drawn = docs.select(*names, uniform(seed, "doc_id").alias("tf_u__"))
-    drawn = drawn.join(rates, drawn[by].eqNullSafe(rates["tf_by__"]))
-    times = F.size(F.filter("tf_cdf__", lambda c: c <= F.col("tf_u__")))
-    copies = drawn.select(*names, times.alias("tf_times__")).where("tf_times__ > 0")
-    copies = copies.select(*names, F.explode(F.sequence(F.lit(1), F.col("tf_times__"))).alias("copy_no"))
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy_no"))
-    dealt = copies.withColumn("tf_order__", order).repartition(partitions(spark), "tf_order__").sortWithinPartitions("tf_order__")
-    return dealt.drop("tf_order__")
+    rates = repetition_rates(docs, weights, by, size, temperature).select(F.col(by).alias(source), F.col("tf_cdf__").alias(cdf))
+    rates = Scratch(spark, "mix-rates").write(rates, "rates")
+    drawn = docs.select(*names, uniform(seed, "doc_id").alias(u)).join(rates, F.col(by).eqNullSafe(F.col(source)))
+    drawn = drawn.select(*names, F.size(F.filter(cdf, lambda c: c <= F.col(u))).alias(times)).where(F.col(times) > 0)
+    copies = drawn.select(*names, F.explode(F.sequence(F.lit(1), F.col(times))).alias("copy_no"))
+    dealt = copies.withColumn(order, F.xxhash64(F.lit(seed), *names, "copy_no"))
+    return dealt.repartition(partitions(spark), order).sortWithinPartitions(order).drop(order)
 
 
 ORACLE_SQL = """

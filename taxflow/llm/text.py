@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Inside a character class: the white space that parts words.
@@ -28,3 +28,15 @@ def upto(n: Column) -> Column:
 def row_key(id_column: str = "doc_id", text_column: str = "text") -> Column:
     """A key of a document; rows with equal id and text share it."""
     return F.xxhash64(F.col(id_column), F.col(text_column))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for internal columns that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        found = f"tf_{name}__"
+        while found.lower() in taken:
+            found += "_"
+        out.append(found)
+    return out
