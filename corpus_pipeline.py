@@ -14,12 +14,19 @@ from taxflow.llm.scratch import Scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Null, empty and blank texts stay; repeated rows stay or go alike.
+    """
     return kneser_ney.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go; documents of which nothing is left go with them."""
+    """Later repeated lines and runs of lines go; documents of which nothing is left go with them.
+
+    Null texts, and texts that were empty before, stay.  Of equal runs the one of
+    the smallest doc_id stays; null ids come last.  n_chars of a shortened text is counted anew.
+    """
     found = line_dedup.line_dedup(docs)
     found = found.where(~((F.col("n_removed") > 0) & (F.length(F.regexp_replace("text", r"\s+", "")) == 0)))
     chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
@@ -27,17 +34,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """Of each near-duplicate group the document of the smallest doc_id stays.
+
+    Texts without words and rows without an id stay; rows that share a doc_id stay or go together.
+    """
     return ngram_join.keep_one_of_each_group(docs, k=5, threshold="0.8").select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts, and rows without an id, stay."""
     return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are repeated to their target weights and shuffled."""
+    """Sources are repeated to their target weights and shuffled; a null source is one of its own, texts don't matter."""
     return mixing.mix_sources(docs)
 
 
@@ -49,7 +59,7 @@ STAGES = [
     ("mixing sources", mix),
 ]
 
-#: No SQL can express the classifier; tests hold each stage against brute force.
+#: No SQL can express the classifier; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
