@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade (operator 3), built-in functions only.
 
 The verdict is the same for every order of the rules; the order decides what it
-costs.  On a bounded sample each rule's time and its share of rejections are
-measured; rules then stand in descending order of rejections per second, as the
-branches of one CASE, so that a rejected document is spared the rest.
+costs.  On a bounded sample of raw texts each rule is timed with all that it
+needs, and its share of rejections counted; rules then stand in descending order
+of rejections per second, as the branches of one CASE, so that a rejected
+document is spared the rest.  Measures that the result holds are there for every
+document; others, as the capitals, stand inside their branch.
 """
 
 from __future__ import annotations
@@ -71,20 +73,31 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
 BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 
 
-def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 500) -> list[tuple[Rule, float, float]]:
+def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 500, repeats: int = 20) -> list[tuple[Rule, float, float]]:
     """(rule, seconds, share rejected) in the order to apply, measured on at most ``sample_rows`` rows.
 
-    Only the order depends on the sample.
+    A rule's time is that of its measures and its condition on the sample's raw
+    texts, each ``repeats`` times in one job, the better of two runs, less that
+    of a job that only reads them.  Only the order depends on the sample.
     """
     scratch = Scratch(docs.sparkSession, "rule-sample")
-    sample = scratch.write(measures(docs.limit(sample_rows)), "rows").coalesce(1)
-    sample.count()
+    sample = scratch.write(docs.select("text").sample(0.05, seed=5).limit(sample_rows), "rows").coalesce(1)
+    many = sample.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).select(F.concat("text", F.lit("\n"), F.col("again").cast("string")).alias("text"))
+
+    def best_of_two(rejects: Column, source: DataFrame) -> tuple[float, int, int]:
+        took = []
+        for _ in range(2):
+            began = time.monotonic()
+            row = source.agg(F.count_if(rejects).alias("hit"), F.count(F.lit(1)).alias("n")).first()
+            took.append(time.monotonic() - began)
+        return min(took), row["hit"], row["n"]
+
+    idle = best_of_two(F.length("text") < 0, many)[0]
     found = []
     for rule in rules:
-        began = time.monotonic()
-        row = sample.agg(F.count_if(rule.rejects).alias("hit"), F.count(F.lit(1)).alias("n")).first()
-        found.append((rule, time.monotonic() - began, row["hit"] / max(1, row["n"])))
-    return sorted(found, key=lambda x: (-x[2] / max(x[1], 1e-6), x[0].name))
+        seconds, hit, n = best_of_two(rule.rejects, measures(many))
+        found.append((rule, max(seconds - idle, 1e-4), hit / max(1, n)))
+    return sorted(found, key=lambda x: (-x[2] / x[1], x[0].name))
 
 
 def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 500) -> DataFrame:
@@ -104,7 +117,7 @@ def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows:
         verdict = verdict.when(rule.rejects, F.lit(rule.name))
     found = found.withColumn("rejected_by", verdict)
     return found.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"), "rejected_by"
     )
 
 

@@ -37,6 +37,17 @@ def test_short_runs_of_lines(spark):
     assert got == dict(rows) | {2: "before\nafter", 4: "x\n"}
 
 
+def test_rules_by_cost(spark):
+    text = "some words of a text that is long enough to cost something " * 40
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    dear = F.aggregate(F.transform(F.split("text", ""), lambda c: F.length(F.sha2(c, 512))), F.lit(0), lambda a, x: a + x) > 0
+    rules = [quality_rules.Rule("dear", dear), quality_rules.Rule("cheap", F.length("text") > 0), quality_rules.Rule("never", F.length("text") < 0)]
+    found = quality_rules.order_rules(docs, rules)
+    assert [r.name for r, _, _ in found] == ["cheap", "dear", "never"] and [x for _, _, x in found] == [1.0, 1.0, 0.0]
+    got = quality_rules.quality_rules(docs.limit(3), rules)
+    assert {(r.kept, r.rejected_by) for r in got.collect()} <= {(False, "cheap"), (False, "dear"), (False, "base")}
+
+
 def test_mix_rates(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "small").otherwise("big").alias("source"))
     got = dict(mixing.mix_sources(docs, weights={"small": 3, "big": 1}, size=4000).groupBy("source").count().collect())
