@@ -5,7 +5,9 @@ character n-grams and a lexicon of frequent words, transition weights from
 neighbouring words; both are learned together by gradient ascent on the
 likelihood of labelled text.  Forward-backward gives each word's distribution
 over the languages, so code-switched passages keep their own; a document's
-language is the one with the most words in expectation.
+language is the one with the most words in expectation.  Labelled texts hold one
+language each, so half of the training chains are spliced from two of them:
+transitions learn what a switch looks like.
 
 The field is fitted on a bounded sample of labelled rows and broadcast; its
 size is fixed by ``BUCKETS`` and the number of languages.  Every document is
@@ -19,16 +21,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled documents of the sample, and words of it that are fitted; both bound the driver's work.
+from taxflow.llm.scratch import Scratch
+
+#: Labelled documents of the sample over all languages, at least of each of them, characters taken of each, and words that are fitted;
+#: all bound the driver's work.
 SAMPLE_DOCS = 2000
+SAMPLE_DOCS_EACH = 20
+SAMPLE_CHARS = 8000
 SAMPLE_WORDS = 400_000
 #: Feature weights per language.
 BUCKETS = 1 << 17
 #: Words of a chain; longer texts are cut into consecutive chains.
-CHAIN = 32
+CHAIN = 64
 #: Lexicon entries per language.
 LEXICON = 300
 SLICE_WORDS = 100_000
@@ -140,8 +147,11 @@ def chains(doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, int]:
     return begin[doc] + within // CHAIN, within % CHAIN, int(per.sum())
 
 
-def fit(rows: list[tuple[str, str]], rounds: int = 4, step: float = 0.5, seed: int = 1) -> Field:
-    """Fit a field on (text, language) rows by AdaGrad; at most SAMPLE_WORDS words, whole chains chosen at random."""
+def fit(rows: list[tuple[str, str]], rounds: int = 2, step: float = 0.5, seed: int = 1) -> Field:
+    """Fit a field on (text, language) rows by AdaGrad; at most SAMPLE_WORDS words, whole chains chosen at random.
+
+    Every second chain goes over, at a random word, into a chain of another text.
+    """
     languages = sorted({lang for _, lang in rows})
     number = {x: i for i, x in enumerate(languages)}
     rnd, pieces = np.random.default_rng(seed), []
@@ -157,13 +167,22 @@ def fit(rows: list[tuple[str, str]], rounds: int = 4, step: float = 0.5, seed: i
     for found, y in pieces:
         for w in found:
             counts[y][w] = counts[y].get(w, 0) + 1
+    whole, pieces = pieces, []
+    for i, (found, y) in enumerate(whole):
+        labels = [y] * len(found)
+        if i % 2:
+            more, z = whole[int(rnd.integers(len(whole)))]
+            a, b = int(rnd.integers(len(found) + 1)), int(rnd.integers(len(more) + 1))
+            found, labels = (found[:a] + more[b:])[:CHAIN], (labels[:a] + [z] * (len(more) - b))[:CHAIN]
+        if found:
+            pieces.append((found, labels))
     lexicon: dict[str, int] = {}
     for c in counts:
         for w in sorted(c, key=lambda w: (-c[w], w))[:LEXICON]:
             lexicon.setdefault(w, len(lexicon))
     field = Field(languages, np.zeros((BUCKETS, size)), np.zeros((size, size)), np.zeros(size), lexicon, np.zeros((max(1, len(lexicon)), size)))
     slow = [np.full(x.shape, 1e-2) for x in (field.weights, field.transition, field.initial, field.lexicon_weights)]
-    batch = 512
+    batch = 128
     for _ in range(rounds if size > 1 else 0):
         for lo in range(0, len(pieces), batch):
             part = pieces[lo : lo + batch]
@@ -178,9 +197,9 @@ def fit(rows: list[tuple[str, str]], rounds: int = 4, step: float = 0.5, seed: i
             emission[chain, pos] = field.emissions(names)[index]
             present[chain, pos] = True
             post, pairs = field.marginals(emission, present)
-            label = np.array([y for _, y in part])
+            label = np.array([y for _, labels in part for y in labels])
             error = -post[chain, pos]
-            error[np.arange(len(flat)), label[chain]] += 1.0
+            error[np.arange(len(flat)), label] += 1.0
             by_word = np.zeros((len(names), size))
             np.add.at(by_word, index, error)
             bucket, word = features(names)
@@ -193,8 +212,9 @@ def fit(rows: list[tuple[str, str]], rounds: int = 4, step: float = 0.5, seed: i
                 if w in lexicon:
                     told[lexicon[w]] = by_word[i]
             seen = np.zeros_like(pairs)
-            np.add.at(seen, (label, label), present[:, 1:].sum(1))
-            begins = np.bincount(label, minlength=size) - post[:, 0].sum(0)
+            follows = np.flatnonzero(chain[1:] == chain[:-1])
+            np.add.at(seen, (label[follows], label[follows + 1]), 1.0)
+            begins = np.bincount(label[pos == 0], minlength=size) - post[:, 0].sum(0)
             for x, g, s in zip((field.weights, field.transition, field.initial, field.lexicon_weights), (gradient, seen - pairs, begins, told), slow):
                 g = g / len(part) - 1e-4 * x
                 s += g * g
@@ -248,21 +268,36 @@ def held_out(id_column: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_column).cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
+def fitting_sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """(text, lang) of labelled documents that aren't held out, as many of each language.
+
+    ``sample_docs`` over all languages, at least SAMPLE_DOCS_EACH of each where
+    it has them: the first by a hash of id and text.  Ties of that hash are equal
+    rows.  Texts are cut to SAMPLE_CHARS characters before they are collected.
+    """
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out()).select(F.xxhash64("doc_id", "text").alias("h"), "text", "lang")
+    of = Scratch(docs.sparkSession, "language-sizes").write(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    each = max(SAMPLE_DOCS_EACH, sample_docs // max(1, of.count()))
+    share = F.pmod("h", F.lit(1 << 31)) / F.lit(float(1 << 31))
+    # twice the share that is needed, and then exactly; the window runs over those few
+    few = labelled.join(of, "lang").where(share * F.col("n") < 2 * each + 20).select("h", F.left("text", F.lit(SAMPLE_CHARS)).alias("text"), "lang")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 31)), "h", "text"))
+    return few.withColumn("place", place).where(F.col("place") <= each).select("h", "text", "lang")
+
+
 def language_id(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document, from its whole text.
 
-    Learned from text and non-null lang of at most ``sample_docs`` documents
-    that aren't held out, the first by a hash of their id.  ``score`` is the
-    share of the words, in expectation, that are in the predicted language.
+    Learned from text and non-null lang of the documents of ``fitting_sample``.
+    ``score`` is the share of the words, in expectation, that are in the
+    predicted language.
 
     ``und`` with score 0: null text, text without a letter, and every text when
     no row is labelled.  A null doc_id counts as not held out.  Repeated rows
     get a row each; further columns are not read.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out())
-    narrow = labelled.select(F.xxhash64("doc_id").alias("h"), "text", "lang").orderBy("h").limit(sample_docs)
-    field = spark.sparkContext.broadcast(fit([(r["text"], r["lang"]) for r in narrow.collect()]))
+    sample = sorted((r["h"], r["text"], r["lang"]) for r in fitting_sample(docs, sample_docs).collect())  # bounded by rows and characters
+    field = docs.sparkSession.sparkContext.broadcast(fit([(text, lang) for _, text, lang in sample]))
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", "text").mapInArrow(_label(field), f"doc_id {kind}, lang_pred string, score double")
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
