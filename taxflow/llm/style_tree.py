@@ -5,13 +5,17 @@ classes from the root).  Spark counts, for each host and path, the different
 contents and the different presentations (the sequence of child tags) of that
 node over the host's different pages.  Their entropies, scaled to 0..1, give
 the node's importance: a node that looks and reads the same on every page has
-none.  Each page is then parsed again; branches that are boilerplate by their
-markup and branches of low importance are left out.
+none.  All nodes with text take part, so the menus, footers and notices of a site
+go by their entropy.  Each page is then parsed again, and branches of low
+importance are left out; so are what a page shows anew each time and the tree
+can't tell from an article (comments of readers, related links), and the furniture
+of hosts with few pages, which are known by their markup.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 from taxflow.llm.scratch import Scratch
 
 #: Different pages of a host from which on importance is judged, and the least importance of content.
-MIN_PAGES = 8
+MIN_PAGES = 4
 MIN_IMPORTANCE = 0.2
 
 # Fixed word lists of HTML: elements without text content, without end tag, and that start a block.
@@ -145,7 +149,7 @@ def parse(html: str | None) -> _Page:
 
 
 def _send_nodes(batches):
-    """(host, page, path, content, shape): the nodes of each page that aren't furniture by their markup."""
+    """(host, page, path, content, shape): the nodes of each page that have text."""
     import hashlib
 
     def digest(text: str) -> int:
@@ -156,9 +160,8 @@ def _send_nodes(batches):
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             page = parse(html)
             nodes: dict[str, list[str]] = {}
-            for path, furniture, text in page.blocks:
-                if not furniture:
-                    nodes.setdefault(path, []).append(text)
+            for path, _, text in page.blocks:
+                nodes.setdefault(path, []).append(text)
             whole = digest("\n".join(x for _, _, x in page.blocks))
             rows += [(host, whole, path, digest("\n".join(texts)), digest(" ".join(page.children.get(path, ())))) for path, texts in nodes.items()]
         columns = list(zip(*rows)) if rows else [()] * 5
@@ -189,16 +192,32 @@ def host_of(url: str):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[^:/?#]+://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def main_text(html: str | None, low: set[str]) -> str:
-    """Blocks that are neither furniture nor below a path in ``low``; if those paths are all there is, they stay."""
-    blocks = [(path, text) for path, furniture, text in parse(html).blocks if not furniture]
-    kept = [text for path, text in blocks if not any(path == x or path.startswith(x + ">") for x in low)] if low else []
-    return "\n\n".join(kept or [text for _, text in blocks])
+def low_paths(host_paths: list[str] | None) -> Callable[[str], bool]:
+    """Whether a path or one above it is among the given."""
+    low = set(host_paths or ())
+    known: dict[str, bool] = {}
+
+    def below(path: str) -> bool:
+        if low and path not in known:
+            hit, at = path in low, path.find(">", 1)
+            while not hit and at > 0:
+                hit, at = path[:at] in low, path.find(">", at + 1)
+            known[path] = hit
+        return known.get(path, False)
+
+    return below
+
+
+def main_text(html: str | None, low: list[str] | None) -> str:
+    """Blocks neither below a path in ``low`` nor furniture; if nothing but paths in ``low`` is left, those stay."""
+    blocks, below = parse(html).blocks, low_paths(low)
+    plain = [(path, text) for path, furniture, text in blocks if not furniture]
+    return "\n\n".join([text for path, text in plain if not below(path)] or [text for _, text in plain])
 
 
 def _extract(batches):
     for batch in batches:
-        texts = [main_text(h, set(low or ())) for h, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist())]
+        texts = [main_text(h, low) for h, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist())]
         texts = [t.encode("utf-8", "replace").decode() for t in texts]
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

@@ -144,6 +144,52 @@ def test_language(spark):
     assert language_crf.language_id(spark.createDataFrame([(1, "abc", None)], DOCS)).first().lang_pred == "und"
 
 
+def test_words_after_a_switch():
+    import numpy as np
+
+    rnd = random.Random(9)
+    texts = {"x": lambda n: prose(rnd, n, "abcdefgh").split(), "y": lambda n: prose(rnd, n, "efghijkl").split()}
+    field = language_crf.fit([(" ".join(texts[lang](80)), lang) for lang in "xy" * 150])
+    assert field.transition[0, 0] > field.transition[0, 1] and field.transition[1, 1] > field.transition[1, 0]
+    right = total = 0
+    for _ in range(40):
+        a, b = rnd.sample("xy", 2)
+        words, truth = texts[a](20) + texts[b](20), [a] * 20 + [b] * 20
+        post, _ = field.marginals(field.emissions(words)[None], np.ones((1, 40), bool))
+        right += sum(field.languages[k] == t for k, t in zip(post[0].argmax(1), truth))
+        total += 40
+    assert right / total > 0.93
+
+
+def test_forward_backward_against_enumeration():
+    import itertools
+
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    field = language_crf.Field(list("abc"), np.zeros((1, 3)), rnd.normal(size=(3, 3)), rnd.normal(size=3), {}, np.zeros((1, 3)))
+    emission = rnd.normal(size=(1, 5, 3))
+    present = np.array([[True, True, True, True, False]])
+    post, pairs = field.marginals(emission, present)
+    mass, both = np.zeros((4, 3)), np.zeros((3, 3))
+    for y in itertools.product(range(3), repeat=4):
+        w = np.exp(field.initial[y[0]] + sum(emission[0, t, y[t]] for t in range(4)) + sum(field.transition[y[t], y[t + 1]] for t in range(3)))
+        for t in range(4):
+            mass[t, y[t]] += w
+        for t in range(3):
+            both[y[t], y[t + 1]] += w
+    total = mass[0].sum()
+    assert np.allclose(post[0, :4], mass / total) and np.allclose(pairs, both / total)
+
+
+def test_sample_of_a_rare_language(spark):
+    rows = [(i, f"text number {i}", "big") for i in range(3000)] + [(5000 + i, "other", "rare") for i in range(10)] + [(6000 + i, "x" * 50_000, "long") for i in range(10)]
+    got = language_crf.fitting_sample(spark.createDataFrame(rows, DOCS), 90).collect()
+    by = {lang: [r for r in got if r.lang == lang] for lang in ("big", "rare", "long")}
+    assert len(by["big"]) == 30 and len(by["rare"]) == sum(not r for r in spark.range(5000, 5010).select(language_crf.held_out("id")).toPandas().iloc[:, 0])
+    assert all(len(r.text) <= language_crf.SAMPLE_CHARS for r in got)
+
+
 def test_html(spark):
     page = (
         '<html><head><title>x</title><script>var a="</p>"</script></head><body><nav><li><a>menu</a></nav><div class="cookie-notice">we use</div>'
@@ -159,6 +205,35 @@ def test_html(spark):
     assert got[12].text == "text 2" and got[12].n_chars == 6
 
 
+def test_importance_against_brute_force(spark):
+    """Furniture without telling names: a menu that is the same everywhere, a box with two contents, and articles."""
+    import math
+    from collections import Counter
+
+    rnd = random.Random(3)
+    page = "<body><div class=m><p>home</p><p>about</p></div><div class=box><b>{}</b></div><div class=t><h2>{}</h2>{}</div></body>"
+    rows = [(i, "http://h.x/a", page.format("one" if i % 3 else "two", f"title {i}", "".join(f"<p>{prose(rnd, 9, 'abc')}</p>" for _ in range(i % 4 + 1)))) for i in range(12)]
+    rows += [(20 + i, "http://small.x/", page.format("one", f"t {i}", "<p>x</p>")) for i in range(3)] + [(30, "http://h.x/b", rows[0][2])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    nodes = {}
+    for html in {r[2] for r in rows if r[0] < 20}:
+        parsed = style_tree.parse(html)
+        for path in {p for p, _, _ in parsed.blocks}:
+            nodes.setdefault(path, []).append(("|".join(t for p, _, t in parsed.blocks if p == path), " ".join(parsed.children.get(path, ()))))
+
+    def entropy(values):
+        n = len(values)
+        return -sum(c / n * math.log(c / n) for c in Counter(values).values()) / math.log(n)
+
+    got = {r.path: r for r in style_tree.node_importance(pages).where("host = 'h.x'").collect()}
+    assert set(got) == set(nodes) and len(nodes) == 4
+    for path, seen in nodes.items():
+        assert got[path].pages == len(seen) == 12
+        assert math.isclose(got[path].importance, max(entropy([c for c, _ in seen]), entropy([s for _, s in seen])), abs_tol=1e-9)
+    text = {r.page_id: r.text for r in style_tree.extract_main_text(pages).collect()}
+    assert all("home" not in text[i] and f"title {i}" in text[i] for i in range(12)) and "home" in text[21]
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
@@ -175,4 +250,4 @@ def test_html(spark):
     ],
 )
 def test_pages_in_wrappers(page, text):
-    assert style_tree.main_text(page, set()) == text
+    assert style_tree.main_text(page, None) == text
