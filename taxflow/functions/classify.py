@@ -22,32 +22,34 @@ REGIME_CODES = {
     10: "IMUNE_ISENTA",
 }
 REGIME_LABELS = {
-    "SIMPLES_NACIONAL": [
-        "FILIAL - SIMPLES NACIONAL",
-        "SIMPLES NACIONAL",
-        "SIMPLES NACIONAL COM INSCRICAO ESTADUAL",
-        "SIMPLES NACIONAL SEM INSCRICAO ESTADUAL",
-        "SIMPLES NACIONAL - COMERCIO E INDUSTRIA",
-        "SIMPLES NACIONAL - COMERCIO E SERVICO",
-        "SIMPLES NACIONAL - COMERCIO E SERVICOS",
-        "SIMPLES NACIONAL - SERVICOS",
-        "SIMPLES NACIONAL - SERVICOS IMOBILIARIOS",
-        "SIMPLES NACIONAL - SERVICOS MEDICOS E ODONTOLOGICOS",
-    ],
-    "LUCRO_PRESUMIDO": [
-        "LUCRO PRESUMIDO",
-        "LUCRO PRESUMIDO COM INSCRICAO ESTADUAL - INDUSTRIA/COMERCIO",
-        "LUCRO PRESUMIDO SEM INSCRICAO ESTADUAL - SERVICO",
-        "LUCRO PRESUMIDO - COMERCIO E SERVICOS",
-        "LUCRO PRESUMIDO - INDUSTRIA E SERVICOS",
-        "LUCRO PRESUMIDO - SERVICOS",
-        "LUCRO PRESUMIDO - SERVICOS IMOBILIARIOS",
-        "LUCRO PRESUMIDO - SERVICOS MEDICOS E ODONTOLOGICOS",
-    ],
-    "LUCRO_REAL": ["LUCRO REAL", "LUCRO REAL - COMERCIO E INDUSTRIA", "LUCRO REAL - SERVICOS"],
-    "MEI": ["MEI", "MEI - MICRO EMPREENDEDOR INDIVIDUAL"],
-    "IMUNE_ISENTA": ["IMUNE/ISENTA", "IMUNE ISENTA", "IMUNE/ISENTA - ISENTA"],
+    "FILIAL - SIMPLES NACIONAL": "SIMPLES_NACIONAL",
+    "SIMPLES NACIONAL": "SIMPLES_NACIONAL",
+    "SIMPLES NACIONAL COM INSCRICAO ESTADUAL": "SIMPLES_NACIONAL",
+    "SIMPLES NACIONAL SEM INSCRICAO ESTADUAL": "SIMPLES_NACIONAL",
+    "SIMPLES NACIONAL - COMERCIO E INDUSTRIA": "SIMPLES_NACIONAL",
+    "SIMPLES NACIONAL - COMERCIO E SERVICO": "SIMPLES_NACIONAL",
+    "SIMPLES NACIONAL - COMERCIO E SERVICOS": "SIMPLES_NACIONAL",
+    "SIMPLES NACIONAL - SERVICOS": "SIMPLES_NACIONAL",
+    "SIMPLES NACIONAL - SERVICOS IMOBILIARIOS": "SIMPLES_NACIONAL",
+    "SIMPLES NACIONAL - SERVICOS MEDICOS E ODONTOLOGICOS": "SIMPLES_NACIONAL",
+    "LUCRO PRESUMIDO": "LUCRO_PRESUMIDO",
+    "LUCRO PRESUMIDO COM INSCRICAO ESTADUAL - INDUSTRIA/COMERCIO": "LUCRO_PRESUMIDO",
+    "LUCRO PRESUMIDO SEM INSCRICAO ESTADUAL - SERVICO": "LUCRO_PRESUMIDO",
+    "LUCRO PRESUMIDO - COMERCIO E SERVICOS": "LUCRO_PRESUMIDO",
+    "LUCRO PRESUMIDO - INDUSTRIA E SERVICOS": "LUCRO_PRESUMIDO",
+    "LUCRO PRESUMIDO - SERVICOS": "LUCRO_PRESUMIDO",
+    "LUCRO PRESUMIDO - SERVICOS IMOBILIARIOS": "LUCRO_PRESUMIDO",
+    "LUCRO PRESUMIDO - SERVICOS MEDICOS E ODONTOLOGICOS": "LUCRO_PRESUMIDO",
+    "LUCRO REAL": "LUCRO_REAL",
+    "LUCRO REAL - COMERCIO E INDUSTRIA": "LUCRO_REAL",
+    "LUCRO REAL - SERVICOS": "LUCRO_REAL",
+    "MEI": "MEI",
+    "MEI - MICRO EMPREENDEDOR INDIVIDUAL": "MEI",
+    "IMUNE/ISENTA": "IMUNE_ISENTA",
+    "IMUNE ISENTA": "IMUNE_ISENTA",
+    "IMUNE/ISENTA - ISENTA": "IMUNE_ISENTA",
 }
+REGIMES = ("SIMPLES_NACIONAL", "LUCRO_PRESUMIDO", "LUCRO_REAL", "MEI", "IMUNE_ISENTA")
 BRANCH_LABEL = "FILIAL - REGIME NORMAL"
 REGISTRY_REGIME_KEYS = ["regime", "regime_tributario", "regimeTributario", "tax_regime", "taxRegime"]
 # Names of obligations and their codes.
@@ -89,7 +91,9 @@ RUBRIC_CODES = {
     "has_inss": ("843", "858", "998", "812", "826", "989", "8092", "8093"),
     "has_fgts": ("23", "32", "35", "813", "996", "8096", "8097", "9637"),
 }
-EMPLOYEE_CODES = tuple(str(i) for i in range(1, 21)) + ("37", "150", "250", "960", "981", "996", "998")
+EMPLOYEE_CODES = (
+    "1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "11", "12", "13", "14", "15", "16", "17", "18", "19", "20", "37", "150", "250", "960", "981", "996", "998",
+)
 RUBRIC_TERMS = {
     "has_pro_labore": ("pro labore",),
     "has_autonomous": ("autonomo",),
@@ -150,8 +154,7 @@ def resolve_regime(c) -> Column:
     """struct(raw, code, canonical, mapping_status MAPPED/UNMAPPED/MISSING) of a code or a label."""
     raw = N.trim_to_null(c)
     code = F.when(raw.rlike("^[0-9]+$"), raw.try_cast("int"))
-    labels = {label: regime for regime, names in REGIME_LABELS.items() for label in names}
-    canonical = F.when(raw.rlike("^[0-9]+$"), F.try_element_at(_lookup(REGIME_CODES), code)).otherwise(F.try_element_at(_lookup(labels), N.upper_ascii(raw)))
+    canonical = F.when(raw.rlike("^[0-9]+$"), F.try_element_at(_lookup(REGIME_CODES), code)).otherwise(F.try_element_at(_lookup(REGIME_LABELS), N.upper_ascii(raw)))
     status = F.when(raw.isNull(), "MISSING").when(canonical.isNull(), "UNMAPPED").otherwise("MAPPED")
     return F.struct(raw.alias("raw"), code.alias("code"), canonical.alias("canonical"), status.alias("mapping_status"))
 
@@ -170,7 +173,7 @@ def map_obligation(df: DataFrame, name: str, obligations: DataFrame, aliases: di
     codes = obligations.groupBy(obligation_name("code").alias("norm_")).agg(F.max_by(F.struct("obligation_id", "code"), "obligation_id").alias("exact_"))
     exact = obligations.groupBy(F.col("code").alias("alias_")).agg(F.count(F.lit(1)).alias("n_"), F.min("obligation_id").alias("id_"))
     staged = df.withColumn("norm_", obligation_name(name)).withColumn("alias_", F.try_element_at(_lookup(aliases), F.col("norm_")))
-    joined = staged.join(codes, "norm_", "left").join(exact, "alias_", "left")
+    joined = staged.join(codes.hint("shuffle_hash"), "norm_", "left").join(exact.hint("shuffle_hash"), "alias_", "left")
     hit, one = F.col("exact_").isNotNull(), F.col("n_") == 1
     return joined.select(
         *[joined[c] for c in df.columns],
@@ -180,6 +183,11 @@ def map_obligation(df: DataFrame, name: str, obligations: DataFrame, aliases: di
     )
 
 
+def unknown_names(mapped: DataFrame, name: str, company: str) -> DataFrame:
+    """(name, n, companies) of the rows of ``map_obligation`` that no obligation fits, and how many companies have them."""
+    return mapped.where("mapping_status = 'UNMAPPED'").groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(company).alias("companies"))
+
+
 def map_department(c, default) -> Column:
     name = obligation_name(c)
     return F.when(name == "FISCAL", "FISCAL").when(name.isin("DEPARTAMENTO PESSOAL", "PESSOAL", "DP"), "DP").otherwise(default)
@@ -187,9 +195,10 @@ def map_department(c, default) -> Column:
 
 def classify_words(c, table: dict[str, tuple[str, ...]]) -> Column:
     """Sorted classes whose words, as whole words, occur in the search form of the text; none for null."""
-    form = N.search_form(c)
-    found = F.array(*[F.when(form.rlike(r"\b(?:" + "|".join(words) + r")\b"), F.lit(k)) for k, words in sorted(table.items())])
-    return F.coalesce(F.array_compact(found), F.array().cast("array<string>"))
+    tests = [(k, r"\b(?:" + "|".join(words) + r")\b") for k, words in sorted(table.items())]
+    # inside a lambda the form is computed once, not once for each class
+    found = F.transform(F.array(N.search_form(c)), lambda form: F.array_compact(F.array(*[F.when(form.rlike(p), F.lit(k)) for k, p in tests])))
+    return F.coalesce(F.get(found, F.lit(0)), F.array().cast("array<string>"))
 
 
 def classify_activity(c) -> Column:
@@ -244,7 +253,7 @@ def run_status(received, failures, errors, truncated=None, policy: str = "delive
     return F.when(col(received) == 0, "FAILED").when(bad, "PARTIAL").otherwise("SUCCESS")
 
 
-def applicable_rules(companies: DataFrame, rules: DataFrame, regimes: tuple[str, ...] = tuple(REGIME_LABELS)) -> DataFrame:
+def applicable_rules(companies: DataFrame, rules: DataFrame, regimes: tuple[str, ...] = REGIMES) -> DataFrame:
     """Companies with the rules of their regime; a rule that names none counts for each of ``regimes``."""
     general = rules.where("regime IS NULL").withColumn("regime", F.explode(F.array(*[F.lit(r) for r in regimes])))
-    return companies.join(rules.where("regime IS NOT NULL").unionByName(general.select(rules.columns)), "regime")
+    return companies.hint("shuffle_hash").join(rules.where("regime IS NOT NULL").unionByName(general.select(rules.columns)), "regime")

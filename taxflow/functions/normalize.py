@@ -7,6 +7,8 @@ fused.  Casts never fail: a value that can't be read gives null, and the
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,10 +67,13 @@ def cnpj_root(c) -> Column:
 
 def check_digit(number, weights: tuple[int, ...]) -> Column:
     """Modulo-11 digit of the first digits of a number: 11 less the rest, and 0 for a rest under 2."""
-    factors = F.array(*[F.lit(w) for w in weights])
-    terms = F.transform(factors, lambda w, i: w * F.substring(col(number), i + 1, F.lit(1)).cast("int"))
-    rest = F.aggregate(terms, F.lit(0), lambda a, x: a + x) % 11
-    return (11 - rest) % 11 % 10
+
+    def digit(n: Column) -> Column:
+        rest = reduce(lambda a, b: a + b, [F.substring(n, i + 1, 1).cast("int") * w for i, w in enumerate(weights)]) % 11
+        return (11 - rest) % 11 % 10
+
+    # inside a lambda the number is computed once, not once for each of its digits
+    return F.get(F.transform(F.array(col(number)), digit), F.lit(0))
 
 
 def validate_cnpj(c) -> Column:
@@ -138,6 +143,17 @@ def parse_datetime(c) -> Column:
     return F.when(~text.startswith("0000-00-00"), text.try_cast("timestamp"))
 
 
+def parse_iso_fraction(c) -> Column:
+    """ISO time with any number of fraction digits, a zone or none (UTC); digits beyond microseconds are cut, other text is null."""
+    text = F.regexp_replace(trim_to_null(c), r"(\.\d{6})\d+", "$1")
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), text.try_cast("timestamp"))
+
+
+def normalize_cnae_optional(c) -> Column:
+    """struct(cnae, error): no digits is no code, other than seven digits an error."""
+    return F.struct(normalize_cnae(c).alias("cnae"), F.when(is_bad_cnae(c), F.lit("cnae")).alias("error"))
+
+
 def null_sentinel_dt(c) -> Column:
     text = trim_to_null(c)
     return F.when(~(text.startswith("0001-01-01") | text.startswith("0000-00-00")), text)
@@ -281,3 +297,19 @@ def homologation_status(c) -> Column:
 
 def is_transmitted(at, kind) -> Column:
     return F.when(col(at).isNotNull(), True).when(F.upper(trim_to_null(kind)) == "NAO_TRANSMITIDA", False)
+
+
+REGIME_TITLES = {"SIMPLES_NACIONAL": "Simples Nacional", "LUCRO_PRESUMIDO": "Lucro Presumido", "LUCRO_REAL": "Lucro Real", "MEI": "MEI", "IMUNE_ISENTA": "Imune/Isenta"}
+
+
+def display_regime(canonical, mapping_status) -> Column:
+    """Title of a mapped regime; what can't be mapped and what isn't there have their own."""
+    title = F.lit(None).cast("string")
+    for name, shown in REGIME_TITLES.items():
+        title = F.when(col(canonical) == name, shown).otherwise(title)
+    known = (col(mapping_status) == "MAPPED") & col(canonical).isNotNull()
+    return F.when(known, F.coalesce(title, col(canonical))).when(col(mapping_status) == "UNMAPPED", "Regime nao mapeado").otherwise("Aguardando regime")
+
+
+def display_period(c) -> Column:
+    return F.coalesce(F.when(F.contains(col(c), F.lit("-")), F.concat_ws("/", F.split_part(col(c), F.lit("-"), F.lit(2)), F.split_part(col(c), F.lit("-"), F.lit(1)))), F.nullif(col(c), F.lit("")), F.lit("-"))

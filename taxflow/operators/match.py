@@ -14,7 +14,7 @@ def match_master(feed: DataFrame, master: DataFrame, keys: list[str]) -> DataFra
 def reconcile(feed: DataFrame, master: DataFrame, keys: list[str], active: str, id_column: str) -> DataFrame:
     """Adds company_id and match_status: one active candidate MATCHED, several AMBIGUOUS, none UNMATCHED."""
     one = master.groupBy(*keys).agg(F.count_if(F.col(active)).alias("n_"), F.min(F.when(F.col(active), F.col(id_column))).alias("id_"))
-    both = feed.join(one, keys, "left")
+    both = feed.hint("merge").join(one, keys, "left")
     status = F.when(F.col("n_") == 1, "MATCHED").when(F.col("n_") > 1, "AMBIGUOUS").otherwise("UNMATCHED")
     return both.select(*feed.columns, F.when(F.col("n_") == 1, F.col("id_")).alias("company_id"), status.alias("match_status"))
 

@@ -7,7 +7,7 @@ new path, since a table is never overwritten while it is read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxflow.operators.ordering import latest_per_key
@@ -61,7 +61,7 @@ def merge_cnae_catalog(companies: DataFrame, desired: DataFrame, catalog: DataFr
     keys = ["company_id", "cnae"]
     state = companies.select("company_id", F.col("active").alias("company_active_"))
     want = desired.join(state.where("company_active_"), "company_id", "left_semi").select(*keys, F.col("is_primary").alias("want_"), F.lit(True).alias("wanted_"))
-    both = catalog.withColumn("was_", F.lit(True)).join(want, keys, "full_outer").join(state, "company_id", "left")
+    both = catalog.withColumn("was_", F.lit(True)).join(want.hint("merge"), keys, "full_outer").join(state, "company_id", "left")
     wanted, was, active = F.col("wanted_").isNotNull(), F.col("was_").isNotNull(), F.coalesce(F.col("active"), F.lit(False))
     same = F.col("is_primary").eqNullSafe(F.col("want_")) & F.col("source").eqNullSafe(F.lit(source))
     op = F.when(wanted & ~was, "CREATED").when(wanted & ~active, "REACTIVATED").when(wanted & same, "UNCHANGED").when(wanted, "UPDATED")
@@ -120,3 +120,68 @@ def merge_status(deliveries: DataFrame, statuses: DataFrame, now: Column, dry_ru
         F.coalesce("finalized_at", F.col("delivered_on").cast("timestamp")).alias("delivered_at"),
     )
     return merge_snapshot(statuses, batch, keys, ["status", "department", "confidence", "delivered_at"], now, detect=False, dry_run=dry_run)
+
+
+# Fixed values of registry rows and of alerts about regimes.
+SYNCED, DELETED = "SYNCED", "DELETED_IN_SOURCE"
+REGIME_ALERT = {"code": "REGIME_DIVERGENCE", "title": "Divergencia de regime tributario", "severity": "MEDIUM", "department": "FISCAL"}
+
+
+def upsert_registry(target: DataFrame, batch: DataFrame, fields: list[str], now: Column, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(next, ops) of registry companies by tenant and cnpj; an upsert also activates, clears a deletion and sets the state to SYNCED.
+
+    So a row whose fields are equal is UPDATED if any of these three differs.
+    """
+    forced = {"active": F.lit(True), "deleted_at": F.lit(None).cast("timestamp"), "sync_status": F.lit(SYNCED)}
+    rows = batch.select("organization_id", "cnpj", *fields, *[c.alias(n) for n, c in forced.items()])
+    return merge_snapshot(target, rows, ["organization_id", "cnpj"], [*fields, *forced], now, dry_run=dry_run)
+
+
+def merge_regime_alerts(conflicts: DataFrame, alerts: DataFrame, source: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(next, ops) of alerts: one of the code a company, opened anew by each conflict; alerts without a conflict stay as they are.
+
+    ``conflicts``: organization_id, company_id, left_value, right_value.  ``alerts``: organization_id, company_id, code,
+    title, severity, department, message, source, status, first_seen_at, last_seen_at.
+    """
+    keys, fixed, told = ["organization_id", "company_id", "code"], ["title", "severity", "department"], ["message", "source", "status"]
+    message = F.concat(F.lit("Regime diverge: "), F.col("left_value"), F.lit(" vs "), F.col("right_value"), F.lit("."))
+    rows = conflicts.select("organization_id", "company_id", F.lit(REGIME_ALERT["code"]).alias("code"), F.struct(message.alias("message"), F.lit(source).alias("source"), F.lit("OPEN").alias("status")).alias("new_"))
+    both = alerts.withColumn("was_", F.lit(True)).join(rows, keys, "full_outer")
+    hit = F.col("new_").isNotNull()
+    after = both.select(
+        *keys, *[F.when(F.col("was_").isNull(), F.lit(REGIME_ALERT[c])).otherwise(F.col(c)).alias(c) for c in fixed], *[F.when(hit, F.col(f"new_.{c}")).otherwise(F.col(c)).alias(c) for c in told],
+        F.coalesce("first_seen_at", now).alias("first_seen_at"), F.when(hit, now).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
+    )
+    op = F.when(F.col("was_").isNull(), "CREATED").when(F.col("status") == "OPEN", "UPDATED").otherwise("REOPENED")
+    return after, both.where(hit).select(*keys, op.alias("op"))
+
+
+def merge_activity_types(desired: DataFrame, existing: DataFrame, source: str, confidence: float) -> tuple[DataFrame, DataFrame]:
+    """(next, ops): pairs (company_id, activity_type) that the source hasn't yet are added; none is changed or deleted."""
+    keys = ["company_id", "activity_type"]
+    own = existing.where(F.col("source") == source).select(*keys).distinct().withColumn("was_", F.lit(True))
+    both = desired.select(*keys).distinct().join(own, keys, "left")
+    new = both.where("was_ IS NULL").select(*keys, F.lit(source).alias("source"), F.lit(confidence).cast(existing.schema["confidence"].dataType).alias("confidence"))
+    return existing.select(*keys, "source", "confidence").unionByName(new), both.select(*keys, F.when(F.col("was_").isNull(), "CREATED").otherwise("UNCHANGED").alias("op"))
+
+
+def merge_seed(target: DataFrame, seed: DataFrame, keys: list[str], tracked: list[str], now: Column, delete_rest: bool = False, id_column: str = "seed_id") -> tuple[DataFrame, DataFrame]:
+    """(next, ops) of a catalog that data in the code define.  ``target``: id_column, keys, tracked, active.
+
+    Keys may hold nulls, which equal each other.  A missing row is CREATED (its id is null), one that differs or is inactive UPDATED.
+    Of target rows with equal keys the one of the least id stays and the others are DELETED; with ``delete_rest`` so are
+    rows whose keys the seed doesn't have.
+    """
+    w = Window.partitionBy(*keys).orderBy(id_column)
+    old = target.select(id_column, *keys, F.struct(*tracked).alias("old_"), "active", F.row_number().over(w).alias("nth_"))
+    new = seed.select(*[F.col(k).alias(f"{k}_") for k in keys], F.struct(*tracked).alias("new_"))
+    same_key = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    both = old.join(new.hint("merge"), same_key, "full_outer")
+    is_, was = F.col("new_").isNotNull(), F.col("nth_").isNotNull()
+    equal = F.col("old_").eqNullSafe(F.col("new_")) & F.coalesce(F.col("active"), F.lit(False))
+    op = F.when(~was, "CREATED").when(is_ & (F.col("nth_") > 1), "DELETED").when(is_ & equal, "UNCHANGED").when(is_, "UPDATED")
+    both = both.withColumn("op", op.when(F.lit(delete_rest), "DELETED"))
+    row = F.when(is_, F.col("new_")).otherwise(F.col("old_"))
+    named = [F.coalesce(F.col(k), F.col(f"{k}_")).alias(k) for k in keys]
+    kept = both.where("op IS NULL OR op <> 'DELETED'").select(id_column, *named, row.alias("row_"), F.when(is_, True).otherwise(F.col("active")).alias("active"))
+    return kept.select(id_column, *keys, "row_.*", "active"), both.where("op IS NOT NULL").select(id_column, *named, "op")

@@ -78,3 +78,31 @@ def sort_due(df: DataFrame, due: str, *then: str) -> DataFrame:
 
 def limit_capped(df: DataFrame, requested: int | None, default: int = 5, cap: int = 50) -> DataFrame:
     return df.limit(min(default if requested is None else requested, cap))
+
+
+def sort_companies(df: DataFrame) -> DataFrame:
+    return df.orderBy("name", "company_id")
+
+
+def sort_periods(df: DataFrame) -> DataFrame:
+    return df.orderBy(F.desc("year"), F.desc("month"))
+
+
+def sort_cnaes(df: DataFrame) -> DataFrame:
+    """Active ones first, primary ones first, then by code."""
+    return df.orderBy(F.desc("active"), F.desc("is_primary"), "cnae")
+
+
+def limit_by_id(df: DataFrame, id_column: str, n: int) -> DataFrame:
+    if n <= 0:
+        raise ValueError("limit must be positive")
+    return df.orderBy(id_column).limit(n)
+
+
+def cnae_counts(companies: DataFrame) -> DataFrame:
+    """(company_id, received, invalid): codes that a company names, blank ones left out, and how many aren't seven digits."""
+    from taxflow.functions import normalize as N
+
+    every = F.concat(F.array("cnae_principal"), F.coalesce("cnaes_secundarios", F.array().cast("array<string>")))
+    named = F.filter(every, lambda x: N.trim_to_null(x).isNotNull())
+    return companies.select("company_id", F.size(named).alias("received"), F.size(F.filter(named, lambda x: N.normalize_cnae(x).isNull())).alias("invalid"))

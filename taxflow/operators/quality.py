@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxflow.functions import normalize as N
+from taxflow.operators.ordering import limit_by_id
 
 
 def with_errors(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -86,9 +87,52 @@ def select_candidates(df: DataFrame, company=None, limit: int | None = None) ->
     out = df.where("match_status = 'MATCHED'")
     if company is not None:
         out = out.where(F.col("company_id") == F.lit(company))
-    if limit is not None and limit <= 0:
-        raise ValueError("limit must be positive")
-    return out if limit is None else out.orderBy("company_id").limit(limit)
+    return out if limit is None else limit_by_id(out, "company_id", limit)
+
+
+def skipped_candidates(df: DataFrame) -> DataFrame:
+    """(match_status, n) of the rows that aren't candidates."""
+    return df.where("match_status <> 'MATCHED'").groupBy("match_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Fixed value: a code that stands for none.
+PLACEHOLDER_CNAES = ("0000000",)
+
+
+def target_cnaes(found: DataFrame, explicit: list[str] | None = None) -> DataFrame:
+    """(position, cnae): the codes to classify, each once and without placeholders.
+
+    ``explicit``: these, in their order; else the distinct codes of ``found`` (cnae) in theirs.
+    """
+    if explicit:
+        spark = found.sparkSession
+        rows = spark.createDataFrame([(i, c) for i, c in enumerate(explicit)], "position int, raw string").select("position", F.coalesce(N.normalize_identifier("raw"), "raw").alias("cnae"))
+        rows = rows.groupBy("cnae").agg(F.min("position").alias("position"))
+    else:
+        rows = found.select("cnae").distinct().withColumn("position", F.lit(None).cast("int"))
+    return rows.where(F.col("cnae").isNotNull() & ~F.col("cnae").isin(*PLACEHOLDER_CNAES)).select("position", "cnae").orderBy("position", "cnae")
+
+
+def strip_diagnostics(c, dropped: tuple[str, ...] = ("contract",)) -> Column:
+    """Error maps without the entries that only help at development."""
+    return F.transform(N.col(c), lambda e: F.map_filter(e, lambda k, v: ~k.isin(*dropped)))
+
+
+def primary_conflicts(catalog: DataFrame) -> DataFrame:
+    """Companies with more than one active primary code."""
+    return catalog.where("active AND is_primary").groupBy("company_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+# Fixed rules of stored rows, as SQL conditions.
+TABLE_RULES = {
+    "company_cnae": {"cnae_seven_digits": "cnae RLIKE '^[0-9]{7}$'"},
+    "fiscal_period": {"month_range": "month BETWEEN 1 AND 12"},
+    "rule_cache": {"cnae_seven_digits": "cnae RLIKE '^[0-9]{7}$'", "parse_status_known": "parse_status IN ('PARSED', 'PARTIAL', 'FAILED')"},
+}
+
+
+def table_violations(df: DataFrame, table: str) -> DataFrame:
+    return check_constraints(df, {name: F.expr(rule) for name, rule in TABLE_RULES[table].items()})
 
 
 def check_pages(df: DataFrame, set_keys: list[str], page: str, key: str, size: int, total: str, max_pages: int = 100) -> DataFrame:

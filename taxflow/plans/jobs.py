@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from taxflow.functions import classify as R
 from taxflow.functions import normalize as N
 from taxflow.operators import match, merge, ordering, payroll, quality, rule_pages
+from taxflow.plans import views
 from taxflow.sources import assessments, feeds
 
 Frames = dict[str, DataFrame]
@@ -34,10 +35,12 @@ def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _snapshot(target: DataFrame, rows: DataFrame, keys: list[str], now: Column, dry_run: bool, rejected: DataFrame) -> Frames:
-    """Rows of equal keys count once, the one that sorts last; columns of the target decide what is tracked."""
+    """Of rows with equal keys the last in input order counts; columns of the target decide what is tracked.
+
+    Input order is that of files and of rows in them, as the read of landed files keeps it.
+    """
     tracked = [c for c in target.columns if c not in (*keys, "first_seen_at", "last_seen_at")]
-    order = F.to_json(F.struct(*tracked)).alias("order_")
-    batch = merge.last_of_batch(rows.select(*keys, *tracked, order), keys, ["order_"]).drop("order_")
+    batch = merge.last_of_batch(rows.select(*keys, *tracked, F.monotonically_increasing_id().alias("order_")), keys, ["order_"]).drop("order_")
     after, ops = merge.merge_snapshot(target, batch, keys, tracked, now, dry_run=dry_run)
     return {"after": after, "ops": ops, "rejected": rejected, "counts": merge.merge_counts(ops)}
 
@@ -45,28 +48,36 @@ def _snapshot(target: DataFrame, rows: DataFrame, keys: list[str], now: Column,
 def run_registry_sync(spark: SparkSession, path: str, target: DataFrame, org: int, now: Column, dry_run: bool = False) -> Frames:
     """Registry companies of a tenant, merged on the CNPJ."""
     good, bad = _split(feeds.map_registry_company(feeds.read_company_feed(spark, path)))
-    return _snapshot(target, good.withColumn("organization_id", F.lit(org).cast("long")), ["organization_id", "cnpj"], now, dry_run, bad)
+    good = good.withColumns({"organization_id": F.lit(org).cast("long"), "active": F.lit(True), "sync_status": F.lit(merge.SYNCED), "deleted_at": F.lit(None).cast("timestamp")})
+    return _snapshot(target, good, ["organization_id", "cnpj"], now, dry_run, bad)
 
 
-def run_catalog_backfill(companies: DataFrame, catalog: DataFrame, now: Column, only_active: bool = False) -> Frames:
-    """Activity catalog from the codes stored with the companies."""
+def run_catalog_backfill(companies: DataFrame, catalog: DataFrame, now: Column, only_active: bool = False, limit: int | None = None) -> Frames:
+    """Activity catalog from the codes stored with the companies; ``limit``: the first so many by id."""
     chosen = companies.where("active") if only_active else companies
+    chosen = chosen if limit is None else ordering.limit_by_id(chosen, "company_id", limit)
     after, ops = merge.merge_cnae_catalog(chosen.select("company_id", "active"), ordering.normalize_company_cnaes(chosen), catalog, now)
-    return {"after": after, "ops": ops, "rejected": ops.limit(0), "counts": merge.merge_counts(ops)}
+    return {"after": after, "ops": ops, "rejected": ops.limit(0), "counts": merge.merge_counts(ops), "summary": views.catalog_summary(chosen, ops)}
 
 
 def run_delivery_sync(
     spark: SparkSession, path: str, companies: DataFrame, periods: DataFrame, obligations: DataFrame, statuses: DataFrame, now: Column,
-    first: str, last: str | None = None, only_active: bool = True, fiscal_only: bool = False, dry_run: bool = False,
+    first: str, last: str | None = None, only_active: bool = True, fiscal_only: bool = False, dry_run: bool = False, identifier: str | None = None, stop_on_error: bool = False,
 ) -> Frames:
     """Deliveries of one period, or of a range in one plan keyed by period; counts are per period.
 
     ``companies``: company_id, cnpj, active.  ``periods``: period_id, competencia.
     ``statuses``: the table that ``merge_status`` keeps.
     """
-    feed = feeds.read_delivery_feed(spark, path).where(F.col("period").between(first, last or first))
-    rejected = feed.where("error_message IS NOT NULL OR cnpj IS NULL")
-    rows = feeds.map_delivery(feed.where("error_message IS NULL AND cnpj IS NOT NULL"))
+    feed = feeds.read_delivery_feed(spark, path, identifier).where(F.col("period").between(first, last or first))
+    failed = feed.where("error_message IS NOT NULL")
+    if stop_on_error:  # nothing of the first period with an error, nor of later ones
+        stop = failed.agg(F.min("period")).first()[0]
+        feed = feed.where(F.col("period") < stop) if stop else feed
+    rows, bad = _split(feeds.map_delivery(feed.where("error_message IS NULL")))
+    rejected = failed.select("period", "external_company_id", "cnpj", "error_message").unionByName(
+        bad.select("period", "external_company_id", "cnpj", F.concat(F.lit("missing "), F.array_join("errors", ", ")).alias("error_message"))
+    )
     own = companies.where("active") if only_active else companies
     rows = rows.join(own.select("cnpj", "company_id"), "cnpj").join(periods.select("period_id", F.col("competencia").alias("period")), "period")
     rows = R.map_obligation(rows, "name", obligations).withColumnRenamed("external_delivery_id", "delivery_id")
@@ -77,11 +88,11 @@ def run_delivery_sync(
 
 def run_assessment_companies(spark: SparkSession, path: str, master: DataFrame, target: DataFrame, org: int, now: Column, dry_run: bool = False) -> Frames:
     """Assessment companies with their match in the master; ``missing`` has stored ones that the feed lacks."""
-    items = feeds.explode_list(feeds.read_bodies(spark, path), "body", ("empresas", *feeds.COMPANY_LISTS)).where("item IS NOT NULL")
+    items, failures = feeds.assessment_company_items(feeds.read_bodies(spark, path))
     good, bad = _split(assessments.map_assessment_company(items))
     matched = match.reconcile(good, master, ["cnpj"], "active", "company_id").withColumn("organization_id", F.lit(org).cast("long"))
     keys = ["organization_id", "external_id"]
-    return _snapshot(target, matched, keys, now, dry_run, bad) | {"missing": match.missing_from_source(target, matched, keys)}
+    return _snapshot(target, matched, keys, now, dry_run, bad) | {"missing": match.missing_from_source(target, matched, keys), "failures": failures}
 
 
 def run_assessments(replies: DataFrame, target: DataFrame, org: int, now: Column, dry_run: bool = False) -> Frames:

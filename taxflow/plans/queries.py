@@ -148,7 +148,7 @@ def period_range(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     lo, hi = o.agg(F.date_format(F.min("o_orderdate"), "yyyy-MM"), F.date_format(F.max("o_orderdate"), "yyyy-MM")).first()
     have = o.select(F.col("o_custkey").alias("grp"), F.date_format("o_orderdate", "yyyy-MM").alias("competencia")).distinct()
-    return ordering.period_range(spark, lo, hi).select("competencia").join(have, "competencia", "left").groupBy("competencia").agg(F.count("grp").alias("groups_present"))
+    return ordering.period_range(spark, lo, hi).select("competencia").hint("merge").join(have, "competencia", "left").groupBy("competencia").agg(F.count("grp").alias("groups_present"))
 
 
 @query("""
@@ -297,7 +297,7 @@ def map_alias(spark, sf_dir):
 
 @query(_MAPPED_SQL + "SELECT o_orderpriority AS name, count(*) AS n, count(DISTINCT o_custkey) AS companies FROM r JOIN orders USING (o_orderkey, o_orderpriority) WHERE mapping_status = 'UNMAPPED' GROUP BY 1")
 def unknown_names(spark, sf_dir):
-    return _mapped(spark, sf_dir).where("mapping_status = 'UNMAPPED'").groupBy(F.col("o_orderpriority").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("companies"))
+    return R.unknown_names(_mapped(spark, sf_dir), "o_orderpriority", "o_custkey")
 
 
 _WORDS = {"A_THE": ("the", "of the"), "B_DE": ("de", "del"), "C_UND": ("und", "der die"), "D_LA": ("la", "le")}
@@ -348,15 +348,22 @@ def factor_r_potential(spark, sf_dir):
 
 
 @query("""
-WITH l AS (SELECT l_orderkey, l_returnflag, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) FILTER (WHERE l_returnflag <> 'R') AS calculated, count(*) AS n FROM lineitem GROUP BY ALL),
-s AS (SELECT l_orderkey, sum(coalesce(calculated, 0)) AS calculated, CAST(sum(n) AS BIGINT) AS n FROM l GROUP BY 1)
-SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS declared, CAST(calculated AS BIGINT) AS calculated, n, CAST(round(o_totalprice * 100) AS BIGINT) <> calculated AS mismatch FROM orders JOIN s ON l_orderkey = o_orderkey
+WITH l AS (SELECT l_orderkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) FILTER (WHERE l_returnflag = 'N' OR l_linenumber % 2 = 0) AS calculated FROM lineitem GROUP BY 1)
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN coalesce(calculated, 0) ELSE CAST(round(o_totalprice * 100) AS BIGINT) END AS declared, CAST(coalesce(calculated, 0) AS BIGINT) AS calculated,
+  o_orderkey % 2 = 1 AND CAST(round(o_totalprice * 100) AS BIGINT) <> coalesce(calculated, 0) AS mismatch FROM orders JOIN l ON l_orderkey = o_orderkey
 """)
 def section_reconcile(spark, sf_dir):
-    cents = F.when(F.col("l_returnflag") != "R", F.round(F.col("l_extendedprice") * 100).cast("long")).otherwise(0)
-    s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(cents).alias("calculated"), F.count(F.lit(1)).alias("n"))
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("declared"))
-    return o.join(s, "o_orderkey").select("o_orderkey", "declared", "calculated", "n", (F.col("declared") != F.col("calculated")).alias("mismatch"))
+    """Orders as sections whose total lines hold their own sum or another one; starred lines don't count."""
+    li = table(spark, sf_dir, "lineitem")
+    starred = (F.col("l_returnflag") != "N") & (F.col("l_linenumber") % 2 != 0)
+    place = [F.lit("f").alias("file"), F.col("l_orderkey").alias("group_no"), F.lit(0).alias("block_no"), F.lit(0).alias("section_no"), F.lit("EARNINGS").alias("section")]
+    rows = li.select(*place, starred.alias("starred"), F.round("l_extendedprice", 2).cast("decimal(14,2)").alias("calculated"))
+    own = rows.groupBy(F.col("group_no").alias("o_orderkey")).agg(F.coalesce(F.sum(F.when(~F.col("starred"), F.col("calculated"))), F.lit(0)).alias("own"))
+    declared = F.when(F.col("o_orderkey") % 2 == 0, F.col("own")).otherwise(F.round("o_totalprice", 2)).cast("decimal(14,2)")
+    totals = table(spark, sf_dir, "orders").join(own, "o_orderkey").select(F.lit("f").alias("file"), F.col("o_orderkey").alias("group_no"), *place[2:], F.lit(1).alias("page_no"), F.lit(1).alias("line_no"), F.lit("SECTION").alias("kind"), declared.alias("value"))
+    found = payroll.section_totals(rows, totals)
+    cents = lambda c: (F.col(c) * 100).cast("long").alias(c)
+    return found.select(F.col("group_no").alias("o_orderkey"), cents("declared"), cents("calculated"), (F.size("warnings") > 0).alias("mismatch"))
 
 
 @query("""
@@ -408,17 +415,19 @@ def decimal_normalise(spark, sf_dir):
 
 
 @query("""
-WITH e AS (SELECT user_id % 20 AS grp, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) - 1 AS i, event_id, count(*) OVER (PARTITION BY user_id % 20) AS total FROM events),
-u AS (SELECT * FROM e WHERE i // 25 < 8)
-SELECT grp, count(DISTINCT i // 25) AS n_pages, count(*) AS n_rows, min(total) > 200 AS truncated FROM u GROUP BY 1
+WITH e AS (SELECT user_id AS grp, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, user_id % 3 = 0 AS more, count(*) OVER (PARTITION BY user_id) AS total FROM events),
+u AS (SELECT * FROM e WHERE i // 25 < 100)
+SELECT grp, count(DISTINCT i // 25) AS n_pages, count(*) AS n_rows, min(total) > 2500 OR bool_or(more) AS truncated FROM u GROUP BY 1
 """)
 def page_integrity(spark, sf_dir):
     from pyspark.sql import Window
 
     w = Window.partitionBy("grp")
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("grp"), "event_id")
-    e = e.select("grp", "event_id", F.floor((F.row_number().over(w.orderBy("event_id")) - 1) / 25).alias("page"), F.count(F.lit(1)).over(w).alias("total"))
-    return quality.check_pages(e, ["grp"], "page", "event_id", 25, "total", max_pages=8)
+    # a set is a user; of every third the total tells of a page that never came
+    more = F.when(F.col("grp") % 3 == 0, 25).otherwise(0)
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("grp"), "event_id")
+    e = e.select("grp", "event_id", F.floor((F.row_number().over(w.orderBy("event_id")) - 1) / 25).alias("page"), (F.count(F.lit(1)).over(w) + more).alias("total"))
+    return quality.check_pages(e, ["grp"], "page", "event_id", 25, "total")
 
 
 @query(r"""

@@ -2,27 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxflow.functions import classify as R
-from taxflow.operators.ordering import latest_per_key
+from taxflow.functions import normalize as N
+from taxflow.operators.ordering import cnae_counts, latest_per_key
+from taxflow.operators.quality import is_fresh
 
 
-def cockpit(companies: DataFrame, statuses: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Each active company with its counts, overall status and the department of its lowest status row.
+def cockpit(
+    companies: DataFrame, statuses: DataFrame, alerts: DataFrame, company: int | None = None, status: str | None = None, department: str | None = None, source: str | None = None
+) -> DataFrame:
+    """Each active company with its counts, overall status and the department (and last_source, where there is one) of its lowest status row.
 
     ``companies``: organization_id, company_id, name, active.  ``statuses``:
-    company_id, status_id, status, department.  ``alerts``: company_id.  Both
-    are counted before they are joined.
+    company_id, status_id, status, department, and last_source if wanted.
+    ``alerts``: company_id.  Both are counted before they are joined.  A filter
+    on status, department or source keeps the companies and cuts the status rows
+    that are counted; ``company`` cuts all three.
     """
+    for name, value in (("status", status), ("department", department), ("last_source", source)):
+        statuses = statuses if value is None else statuses.where(F.col(name) == value)
+    if company is not None:
+        companies, statuses, alerts = (df.where(F.col("company_id") == company) for df in (companies, statuses, alerts))
+    first = [c for c in ("department", "last_source") if c in statuses.columns]
     s = statuses.groupBy("company_id").agg(
-        F.count(F.lit(1)).alias("n_obligations"), F.count_if(R.is_delivered("status")).alias("n_delivered"), F.min_by("department", "status_id").alias("department")
+        F.count(F.lit(1)).alias("n_obligations"), F.count_if(R.is_delivered("status")).alias("n_delivered"), *[F.min_by(c, "status_id").alias(c) for c in first]
     )
     a = alerts.groupBy("company_id").agg(F.count(F.lit(1)).alias("n_divergences"))
     both = companies.where("active").join(s, "company_id", "left").join(a, "company_id", "left")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_obligations", "n_delivered", "n_divergences")]
-    both = both.select("organization_id", "company_id", "name", "department", *zero)
+    both = both.select("organization_id", "company_id", "name", *first, *zero)
     return both.withColumn("overall_status", R.overall_status("n_obligations", "n_delivered", "n_divergences"))
 
 
@@ -47,14 +60,135 @@ def dashboard(companies: DataFrame, statuses: DataFrame, alerts: DataFrame, evid
     return out.withColumn("pending_total", F.col("obligations_total") - F.col("delivered_total"))
 
 
-def deliveries_view(statuses: DataFrame, companies: DataFrame, obligations: DataFrame) -> DataFrame:
-    joined = statuses.join(companies.select("organization_id", "company_id", "name"), ["organization_id", "company_id"]).join(obligations, "obligation_id")
-    return joined
+def _only(rows: DataFrame, **values) -> DataFrame:
+    for name, value in values.items():
+        rows = rows if value is None else rows.where(F.col(name) == value)
+    return rows
+
+
+def deliveries_view(statuses: DataFrame, companies: DataFrame, obligations: DataFrame, org: int | None = None, period: int | None = None, company: int | None = None) -> DataFrame:
+    """Statuses with the company of the same tenant and the obligation; rows without either are left out."""
+    rows = _only(statuses, organization_id=org, period_id=period, company_id=company)
+    named = companies.select("organization_id", "company_id", F.col("name").alias("company_name"))
+    return rows.join(named, ["organization_id", "company_id"]).join(obligations.select("obligation_id", "code", F.col("name").alias("obligation_name")), "obligation_id")
+
+
+def optional_company_view(rows: DataFrame, companies: DataFrame, inner: bool = False, org: int | None = None, period: int | None = None, company: int | None = None) -> DataFrame:
+    """Rows with the name of their company; evidences and divergences keep rows without one, instalments (``inner``) don't."""
+    rows = _only(rows, organization_id=org, period_id=period, company_id=company)
+    return rows.join(companies.select("organization_id", "company_id", F.col("name").alias("company_name")), ["organization_id", "company_id"], "inner" if inner else "left")
+
+
+def evidences_view(evidences: DataFrame, companies: DataFrame, **only) -> DataFrame:
+    return optional_company_view(evidences, companies, **only)
+
+
+def divergences_view(alerts: DataFrame, companies: DataFrame, **only) -> DataFrame:
+    return optional_company_view(alerts, companies, **only)
+
 
+def installments_view(installments: DataFrame, companies: DataFrame, **only) -> DataFrame:
+    return optional_company_view(installments, companies, inner=True, **only)
+
+
+def attach_snapshot(items: DataFrame, snapshots: DataFrame, key: str = "external_company_id") -> DataFrame:
+    """Items with snapshot_id and company_id of the snapshot that has their external id; both null where none has."""
+    return items.join(snapshots.select(key, "snapshot_id", "company_id"), key, "left")
+
+
+def company_summary(companies: DataFrame, statuses: DataFrame, obligations: DataFrame, alerts: DataFrame, evidences: DataFrame, installments: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """KPIs, labels and sorted obligations of each active company, for one period.
+
+    ``companies``: organization_id, company_id, name, active, state_registration, city, state.  ``statuses``: company_id,
+    status_id, obligation_id, status, department, source, due_date, delivered_at.  ``alerts``, ``evidences``,
+    ``installments``: company_id.  ``snapshots``: company_id, updated_at, snapshot_id, regime_canonical,
+    regime_mapping_status; the latest counts.  All are of the period already, and grouped before they are joined.
+    """
+    rows = attach_obligation(statuses, obligations)
+    # in order of due date, nulls last, then of id
+    row = F.struct(F.col("due_date").isNull().alias("no_date"), "due_date", "status_id", "code", F.col("name").alias("obligation"), "status", "department", "source", "delivered_at")
+    out = companies.where("active").select(
+        "organization_id", "company_id", "name", N.display_state_registration("state_registration").alias("state_registration"), N.display_place("city", "state").alias("place")
+    )
+    counted = lambda df, name, *more: df.groupBy("company_id").agg(F.count(F.lit(1)).alias(name), *more)
+    parts = [
+        counted(rows, "obligations_total", F.count_if(R.is_delivered("status")).alias("delivered_total"), F.array_sort(F.collect_list(row)).alias("rows_")),
+        counted(alerts, "divergences_total"), counted(evidences, "evidences_total"), counted(installments, "installments_total"),
+        latest_per_key(snapshots.select("company_id", "updated_at", "snapshot_id", "regime_canonical", "regime_mapping_status"), ["company_id"], ["updated_at", "snapshot_id"]),
+    ]
+    for part in parts:
+        out = out.join(part, "company_id", "left")
+    totals = ["obligations_total", "delivered_total", "divergences_total", "evidences_total", "installments_total"]
+    shown = F.transform("rows_", lambda x: F.struct(*[x[c].alias(c) for c in ("code", "obligation", "status", "department", "source", "due_date", "delivered_at")]))
+    out = out.select(
+        "organization_id", "company_id", "name", "state_registration", "place", N.display_regime("regime_canonical", "regime_mapping_status").alias("regime_label"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in totals], F.coalesce(shown, F.array().cast(shown_type(statuses))).alias("obligations"),
+    )
+    return out.withColumn("pending_total", F.col("obligations_total") - F.col("delivered_total"))
 
-def optional_company_view(rows: DataFrame, companies: DataFrame, inner: bool = False) -> DataFrame:
-    """Evidences and divergences keep rows without a company; instalments don't."""
-    return rows.join(companies.select("organization_id", "company_id", "name"), ["organization_id", "company_id"], "inner" if inner else "left")
+
+def shown_type(statuses: DataFrame) -> str:
+    kind = lambda c: statuses.schema[c].dataType.simpleString()
+    return f"array<struct<code:string,obligation:string,status:{kind('status')},department:{kind('department')},source:{kind('source')},due_date:{kind('due_date')},delivered_at:{kind('delivered_at')}>>"
+
+
+def catalog_counts(catalog: DataFrame) -> DataFrame:
+    """One row: active items, distinct codes and distinct companies of the active ones."""
+    return catalog.where("active").agg(F.count(F.lit(1)).alias("active_items"), F.count_distinct("cnae").alias("unique_cnaes"), F.count_distinct("company_id").alias("companies"))
+
+
+def cache_health(cache: DataFrame, now: Column, version: str) -> DataFrame:
+    """One row: items, expired ones, ones of another parser version, and the last refresh."""
+    return cache.agg(
+        F.count(F.lit(1)).alias("items"), F.count_if(F.col("expires_at") < now).alias("expired_items"), F.count_if(F.col("parser_version") != version).alias("outdated_items"), F.max("retrieved_at").alias("last_refresh")
+    )
+
+
+def snapshot_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(organization_id, kind, n) of snapshot tables by their kind."""
+    parts = [df.groupBy("organization_id").agg(F.count(F.lit(1)).alias("n")).select("organization_id", F.lit(kind).alias("kind"), "n") for kind, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def catalog_summary(companies: DataFrame, ops: DataFrame) -> DataFrame:
+    """One row over a catalog run: companies, codes received, valid and invalid, and operations by kind.
+
+    ``companies``: company_id, cnae_principal, cnaes_secundarios.  ``ops``: op.
+    """
+    got = cnae_counts(companies).agg(F.count(F.lit(1)).alias("companies"), F.coalesce(F.sum("received"), F.lit(0)).alias("cnaes_received"), F.coalesce(F.sum("invalid"), F.lit(0)).alias("cnaes_invalid"))
+    kinds = ("CREATED", "UPDATED", "REACTIVATED", "DEACTIVATED", "UNCHANGED")
+    done = ops.agg(*[F.count_if(F.col("op") == k).alias(k.lower()) for k in kinds])
+    # both sides are one row by construction
+    both = got.withColumn("one_", F.lit(1)).join(F.broadcast(done.withColumn("one_", F.lit(1))), "one_").drop("one_")
+    return both.withColumn("cnaes_valid", F.col("cnaes_received") - F.col("cnaes_invalid"))
+
+
+def enrichment_summary(items: DataFrame) -> DataFrame:
+    """One row over the items (status) of a classification run; PARTIAL if a session or the transport failed."""
+    of = lambda *s: F.count_if(F.col("status").isin(*s))
+    broken = of("SESSION_NOT_VALID", "SESSION_EXPIRED", "TRANSPORT_ERROR")
+    return items.agg(
+        F.when(broken > 0, "PARTIAL").otherwise("SUCCESS").alias("status"), F.count(F.lit(1)).alias("processed"), of("SKIPPED_FRESH_CACHE").alias("fresh_cache"), of("SKIPPED_CACHE_ONLY").alias("cache_only"),
+        of("CREATED").alias("created"), of("UPDATED").alias("updated"), of("UNCHANGED").alias("unchanged"), of("INVALID_CNAE", "TRANSPORT_ERROR", "SESSION_NOT_VALID").alias("errors"),
+    )
+
+
+def company_activity_types(catalog: DataFrame, cache: DataFrame) -> DataFrame:
+    """(company_id, activity_type): classes of the descriptions of a company's active codes, each once."""
+    classes = cache.select("cnae", F.explode(R.classify_activity("description")).alias("activity_type"))
+    return catalog.where("active").select("company_id", "cnae").hint("merge").join(classes, "cnae").select("company_id", "activity_type").distinct()
+
+
+def report_summary(reports: DataFrame, companies: DataFrame, warnings: DataFrame) -> DataFrame:
+    """One row a file: pages, companies, competences, warnings of the file and of companies by code, and companies by signal."""
+    signals = ["has_payroll", *[c for c in companies.columns if f"{c}_codes" in companies.columns]]
+    by_signal = companies.groupBy("file").agg(*[F.count_if(s).alias(s.removeprefix("has_")) for s in signals])
+    codes = warnings.groupBy("file", F.when(F.col("group_no").isNull(), "file").otherwise("company").alias("of"), "code").agg(F.count(F.lit(1)).alias("n"))
+    sorted_map = lambda of: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("of") == of, F.struct("code", "n")))))
+    by_code = codes.groupBy("file").agg(sorted_map("file").alias("warning_codes"), sorted_map("company").alias("company_warning_codes"))
+    out = reports.select("file", "n_pages", "n_companies", "payrolls", "assessments").join(by_signal, "file", "left").join(by_code, "file", "left")
+    none = F.create_map().cast("map<string,bigint>")
+    return out.withColumns({c: F.coalesce(c, none) for c in ("warning_codes", "company_warning_codes")} | {(n := s.removeprefix("has_")): F.coalesce(n, F.lit(0)) for s in signals})
 
 
 def attach_obligation(statuses: DataFrame, obligations: DataFrame) -> DataFrame:
@@ -67,29 +201,50 @@ def integration_health(providers: DataFrame, runs: DataFrame, now: Column, stale
     runs = runs.withColumn("provider", F.upper("provider"))
     done = latest_per_key(runs.where("status <> 'RUNNING'"), ["provider"], ["finished_at", "run_id"])
     live = latest_per_key(runs.where("status = 'RUNNING'"), ["provider"], ["started_at", "run_id"])
-    out = providers.join(done.select("provider", F.col("status").alias("last_status"), F.col("finished_at").alias("last_finished_at")), "provider", "left")
+    out = providers.hint("merge").join(done.select("provider", F.col("status").alias("last_status"), F.col("finished_at").alias("last_finished_at")), "provider", "left")
     out = out.join(live.select("provider", F.col("run_id").alias("active_run"), "started_at"), "provider", "left")
     old = F.col("started_at") < now - F.expr(f"interval {int(stale_minutes)} minutes")
     return out.select("provider", "last_status", "last_finished_at", "active_run", F.coalesce(old, F.lit(False)).alias("stale"))
 
 
-def factor_r_potential(company_cnaes: DataFrame, cache: DataFrame) -> DataFrame:
+# The sources of runs, in the order in which they are shown.
+PROVIDERS = ("ECONTROLE", "ACESSORIAS", "SITTAX", "DOMINIO", "ECONET", "WATCHER_G")
+
+
+def provider_health(spark: SparkSession, runs: DataFrame, now: Column, stale_minutes: int = 15) -> DataFrame:
+    """``integration_health`` of the six providers, in their order (``position``); one without runs has nulls."""
+    six = spark.createDataFrame(list(enumerate(PROVIDERS)), "position int, provider string")
+    health = integration_health(six.select("provider"), runs, now, stale_minutes)
+    return health.join(F.broadcast(six), "provider").orderBy("position")
+
+
+def join_fresh_cache(company_cnaes: DataFrame, cache: DataFrame, now: Column, version: str) -> DataFrame:
+    """A company's codes with their cache row; one that isn't parsed, is expired or of another version counts as missing."""
+    return company_cnaes.join(cache.where(is_fresh(now, version)), "cnae", "left")
+
+
+def factor_r_potential(company_cnaes: DataFrame, cache: DataFrame, companies: DataFrame | None = None) -> DataFrame:
     """Of each company the positive, negative and missing CNAEs, sorted, its status, and annex of the first positive.
 
     ``company_cnaes``: company_id, cnae (active ones).  ``cache``: cnae,
-    factor_r (three-valued, fresh entries), annex_default.
+    factor_r (three-valued, fresh entries), annex_default; further columns annex_conditional and factor_r_threshold are
+    those of the first positive too.  ``companies`` (company_id): those without a code are UNKNOWN.
     """
     both = company_cnaes.join(cache, "cnae", "left")
+    if companies is not None:
+        both = companies.select("company_id").join(both, "company_id", "left")
+    more = [c for c in ("annex_conditional", "factor_r_threshold") if c in cache.columns]
     pick = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("cnae"))))
     found = both.groupBy("company_id").agg(
-        F.count(F.lit(1)).alias("cnaes_total"),
+        F.count("cnae").alias("cnaes_total"),
         pick(F.col("factor_r")).alias("positive_cnaes"),
         pick(~F.col("factor_r")).alias("negative_cnaes"),
         pick(F.col("factor_r").isNull()).alias("missing_cnaes"),
-        F.min_by("annex_default", F.when(F.col("factor_r"), F.col("cnae"))).alias("annex_default"),
+        *[F.min_by(c, F.when(F.col("factor_r"), F.col("cnae"))).alias(c) for c in ("annex_default", *more)],
     )
     status = F.when(F.size("positive_cnaes") > 0, "APPLICABLE").when(F.size("missing_cnaes") > 0, "PARTIAL").otherwise("NOT_APPLICABLE")
-    return found.withColumn("status", status).withColumn("annex_default", F.when(F.size("positive_cnaes") > 0, F.col("annex_default")))
+    status = F.when(F.col("cnaes_total") == 0, "UNKNOWN").otherwise(status)
+    return found.withColumn("status", status).withColumns({c: F.when(F.size("positive_cnaes") > 0, F.col(c)) for c in ("annex_default", *more)})
 
 
 def merge_range_summary(periods: DataFrame, counters: list[str], names: str, key: str) -> DataFrame:
@@ -97,4 +252,4 @@ def merge_range_summary(periods: DataFrame, counters: list[str], names: str, key
     sums = periods.groupBy(key).agg(*[F.sum(c).alias(c) for c in counters])
     flat = periods.select(key, F.explode(names).alias("name_", "n_")).groupBy(key, "name_").agg(F.sum("n_").alias("n_"))
     maps = flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("name_", "n_"))).alias("e_"))
-    return sums.join(maps.select(key, F.map_from_entries("e_").alias(names)), key, "left")
+    return sums.hint("merge").join(maps.select(key, F.map_from_entries("e_").alias(names)), key, "left")

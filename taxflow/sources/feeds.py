@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from taxflow.functions import classify as R
 from taxflow.functions import normalize as N
+from taxflow.operators.ordering import latest_per_key
 
 COMPANY_LISTS = ("items", "results", "companies", "data")
 
@@ -47,41 +53,215 @@ def map_registry_company(df: DataFrame) -> DataFrame:
     return out.withColumn("errors", F.array_compact(F.array(*missing)))
 
 
-def read_feed_by_period(spark: SparkSession, path: str) -> DataFrame:
-    """(period, body): the file stem is the period; other files have a null period."""
+def read_feed_by_period(spark: SparkSession, path: str, period: str | None = None, default: str | None = None) -> DataFrame:
+    """(period, body): the file stem is the period; other files have a null period.
+
+    With ``period`` only that one's bodies, or, where it has no file, those of the file named ``default`` under that period.
+    """
     stem = F.regexp_extract("file", r"^(\d{4}-(?:0[1-9]|1[0-2]))\.json$", 1)
-    return read_bodies(spark, path).select(F.nullif(stem, F.lit("")).alias("period"), "body")
+    bodies = read_bodies(spark, path)
+    known = bodies.select(F.nullif(stem, F.lit("")).alias("period"), "body")
+    if period is None:
+        return known
+    own = known.where(F.col("period") == period)
+    return bodies.where(F.col("file") == default).select(F.lit(period).alias("period"), "body") if default and own.isEmpty() else own
+
 
+def as_list(c) -> Column:
+    """JSON text of a list; an object counts as a list of one; null for anything else."""
+    text = F.trim(N.col(c))
+    listed = F.when(text.startswith("["), text).when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(F.try_parse_json(listed).isNotNull(), listed)
 
-def read_delivery_feed(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each delivery item with its company block; pages with ``Erro`` have it in error_message."""
-    blocks = read_feed_by_period(spark, path)
-    body = F.when(F.ltrim("body").startswith("["), F.col("body")).otherwise(F.concat(F.lit("["), F.col("body"), F.lit("]")))
-    blocks = blocks.select("period", F.explode(F.from_json(body, "array<string>")).alias("block"))
-    return blocks.select(
-        "period", F.get_json_object("block", "$.ID").alias("external_company_id"), N.normalize_cnpj(F.get_json_object("block", "$.Identificador")).alias("cnpj"),
-        F.get_json_object("block", "$.Erro").alias("error_message"), F.explode_outer(F.from_json(F.get_json_object("block", "$.Entregas"), "array<string>")).alias("item"),
+
+def delivery_blocks(bodies: DataFrame, identifier: str | None = None) -> DataFrame:
+    """A row a company block of (period, body); an empty body is an empty list, blocks that can't be read have ``error_message``.
+
+    ``identifier``: only blocks whose identifier has the same digits.
+    """
+    get = lambda path: N.trim_to_null(F.get_json_object("block", f"$.{path}"))
+    body = F.coalesce(as_list("body"), F.when(F.trim("body") == "", "[]").otherwise('[{"Erro": "unreadable page"}]'))
+    rows = bodies.select("period", F.explode(F.from_json(body, "array<string>")).alias("block"))
+    items = F.when(F.get_json_object("block", "$.Entregas").isNull(), "[]").otherwise(as_list(F.get_json_object("block", "$.Entregas")))
+    rows = rows.select(
+        "period", "block", get("ID").alias("external_company_id"), N.normalize_identifier(get("Identificador")).alias("cnpj"), get("Razao").alias("company_name"), get("Fantasia").alias("trade_name"), items.alias("items"),
+        F.coalesce(get("Erro"), F.when(items.isNull(), "unreadable deliveries")).alias("error_message"),
     )
+    wanted = "".join(ch for ch in identifier or "" if ch.isdigit())
+    return rows.where(N.digits("cnpj") == wanted) if wanted else rows
+
+
+def delivery_items(bodies: DataFrame, identifier: str | None = None) -> DataFrame:
+    """A row a delivery item with its block; a block without items, or with an error, has one row with a null item."""
+    blocks = delivery_blocks(bodies, identifier)
+    return blocks.select(*[c for c in blocks.columns if c not in ("block", "items")], F.explode_outer(F.from_json("items", "array<string>")).alias("item"))
+
+
+def read_delivery_feed(spark: SparkSession, path: str, identifier: str | None = None) -> DataFrame:
+    """Delivery items of landed pages; pages with ``Erro`` have it in error_message."""
+    return delivery_items(read_feed_by_period(spark, path), identifier)
+
+
+def map_feed_company(bodies: DataFrame) -> DataFrame:
+    """Companies of a feed (item: JSON text) with their regime; ``errors`` names missing fields."""
+    get = lambda path: N.trim_to_null(F.get_json_object("item", f"$.{path}"))
+    regime = R.resolve_regime(get("Regime"))
+    rows = bodies.select(
+        get("ID").alias("external_company_id"), N.normalize_identifier(get("Identificador")).alias("cnpj"), get("Razao").alias("company_name"), get("Fantasia").alias("trade_name"), get("Status").alias("external_status"),
+        *[regime[x].alias(f"regime_{x}") for x in ("raw", "code", "canonical", "mapping_status")],
+    )
+    missing = [F.when(F.col(c).isNull(), F.lit(c)) for c in ("external_company_id", "cnpj", "company_name")]
+    return rows.withColumn("errors", F.array_compact(F.array(*missing)))
 
 
 def map_delivery(df: DataFrame) -> DataFrame:
-    """Typed delivery items from ``item``."""
+    """Typed delivery items from ``item``; ``errors`` names missing parts.  A department that isn't known is COMPARTILHADO."""
     get = lambda path: N.trim_to_null(F.get_json_object("item", f"$.{path}"))
     finalized, delivered = N.parse_datetime(get("EntDtFinalizacao")), N.parse_date(get("EntDtEntrega"))
-    return df.where("item IS NOT NULL").select(
-        "period", "external_company_id", "cnpj", get("Config.ID").alias("external_delivery_id"), get("Nome").alias("name"), F.upper(get("Config.Tipo")).alias("type"),
-        N.parse_date(get("EntDtPrazo")).alias("due_date"), delivered.alias("delivered_on"), finalized.alias("finalized_at"), R.delivery_status(finalized, delivered, get("Status")).alias("normalized_status"),
-        R.guide_read_status(get("EntGuiaLida")).alias("guide_read_status"), R.has_penalty(get("EntMulta")).alias("has_penalty"), R.map_department(get("Config.DptoNome"), F.lit("FISCAL")).alias("department"),
+    texts = {
+        "external_delivery_id": "Config.EntID", "external_item_id": "Config.ID", "name": "Nome", "external_status": "Status", "competence_raw": "EntCompetencia",
+        "department_external_id": "Config.DptoID", "department_name": "Config.DptoNome", "responsible_deadline_id": "Config.RespPrazoID", "responsible_deadline_name": "Config.RespPrazo",
+        "responsible_delivery_id": "Config.RespEntregaID",
+    }
+    rows = df.where("item IS NOT NULL").select(
+        "period", "external_company_id", "cnpj", "company_name", "trade_name", *[get(path).alias(name) for name, path in texts.items()], F.upper(get("Config.Tipo")).alias("type"),
+        F.coalesce(get("Config.RespEntrega"), get("RespEntrega")).alias("responsible_delivery_name"),
+        N.parse_date(get("EntDtPrazo")).alias("due_date"), N.parse_date(get("EntDtAtraso")).alias("delay_date"), delivered.alias("delivered_on"), finalized.alias("finalized_at"),
+        N.parse_datetime(get("EntLastDH")).alias("changed_at"), R.delivery_status(finalized, delivered, get("Status")).alias("normalized_status"),
+        R.guide_read_status(get("EntGuiaLida")).alias("guide_read_status"), R.has_penalty(get("EntMulta")).alias("has_penalty"),
+        R.map_department(get("Config.DptoNome"), F.lit("COMPARTILHADO")).alias("department"), F.col("item").alias("raw"),
     )
+    missing = [F.when(F.col(c).isNull(), F.lit(c)) for c in ("external_company_id", "cnpj", "external_delivery_id", "name")]
+    return rows.withColumn("errors", F.array_compact(F.array(*missing)))
+
+
+def list_pages(bodies: DataFrame, name: str = "lista", keep: tuple[str, ...] = ("file",)) -> tuple[DataFrame, DataFrame]:
+    """(items, failures) of landed pages ``{sucesso, lista, total, totalFiltrado}``.
+
+    Items: keep, total, total_filtered, item_no, item (objects alone).  Failures: keep, reason; a page whose ``sucesso``
+    isn't true, or without a list.
+    """
+    get = lambda path: F.get_json_object("body", f"$.{path}")
+    rows = bodies.select(*keep, get("sucesso").alias("ok"), get(name).alias("list"), N.parse_int(get("total")).alias("total"), N.parse_int(get("totalFiltrado")).alias("total_filtered"))
+    good = F.coalesce(F.col("ok") == "true", F.lit(False))
+    reason = F.when(~good, "sucesso").when(~F.coalesce(F.ltrim("list").startswith("["), F.lit(False)), name)
+    rows = rows.withColumn("reason", reason)
+    items = rows.where("reason IS NULL").select(*keep, "total", "total_filtered", F.posexplode(F.from_json("list", "array<string>")).alias("item_no", "item"))
+    return items.where(F.ltrim("item").startswith("{")), rows.where("reason IS NOT NULL").select(*keep, "reason")
+
+
+def read_document_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return list_pages(read_bodies(spark, path))
+
+
+read_task_pages = read_document_pages
+
+
+def assessment_company_items(bodies: DataFrame, keep: tuple[str, ...] = ("file",)) -> tuple[DataFrame, DataFrame]:
+    """(items, failures) of ``{sucesso, empresas}``; an entry that is no object is a failure, and so is a page that isn't a success."""
+    get = lambda path: F.get_json_object("body", f"$.{path}")
+    bad = ~F.coalesce(get("sucesso") == "true", F.lit(False))
+    rows = bodies.select(*keep, F.when(bad, "sucesso").when(~F.coalesce(F.ltrim(get("empresas")).startswith("["), F.lit(False)), "empresas").alias("reason"), F.explode_outer(F.from_json(get("empresas"), "array<string>")).alias("item"))
+    rows = rows.withColumn("reason", F.coalesce("reason", F.when(~F.ltrim("item").startswith("{"), "entry")))
+    return rows.where("reason IS NULL AND item IS NOT NULL").select(*keep, "item"), rows.where("reason IS NOT NULL").select(*keep, "reason", "item")
+
 
+def manifest(files: DataFrame, page_counts: DataFrame | None = None) -> DataFrame:
+    """(path, size, sha256, competencia, range_end, target_competencia, n_pages) of (path, content).
 
-def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, sha256, competencia, target_competencia) of each file."""
-    files = spark.read.format("binaryFile").load(path)
+    A second period in the name ends a range; the target is the month after the last.  ``page_counts``: path, n_pages.
+    """
+    months = F.regexp_extract_all("path", F.lit(r"(0[1-9]|1[0-2])[-_/](\d{4})"), F.lit(0))
+    end = F.when(F.size(months) > 1, N.competence_from_name(F.element_at(months, -1)))
     own = N.competence_from_name("path")
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), own.alias("competencia"), F.date_format(F.add_months(N.period_start(own), 1), "yyyy-MM").alias("target_competencia"))
+    rows = files.select("path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), own.alias("competencia"), end.alias("range_end"))
+    rows = rows.withColumn("target_competencia", F.date_format(F.add_months(N.period_start(F.coalesce("range_end", "competencia")), 1), "yyyy-MM"))
+    return rows.withColumn("n_pages", F.lit(None).cast("long")) if page_counts is None else rows.join(page_counts.select("path", "n_pages"), "path", "left")
+
+
+def file_manifest(spark: SparkSession, path: str, page_counts: DataFrame | None = None) -> DataFrame:
+    return manifest(spark.read.format("binaryFile").load(path).select("path", "content"), page_counts)
 
 
 def write_run(df: DataFrame, ledger_path: str) -> None:
-    """Append rows to the run ledger; the last row of a run id counts."""
+    """Append rows to the run ledger, a RUNNING one and later a terminal one; the last row of a run id counts (``last_runs``)."""
     df.write.mode("append").parquet(ledger_path)
+
+
+def last_runs(ledger: DataFrame) -> DataFrame:
+    """The state of each run: its terminal row if there is one, else its RUNNING row."""
+    ranked = ledger.withColumn("done_", (F.col("status") != "RUNNING").cast("int"))
+    return latest_per_key(ranked, ["run_id"], ["done_", "finished_at", "started_at"]).drop("done_")
+
+
+AUDIT = ("event_type", "message", "actor_type", "actor_id", "resource_type", "resource_id")
+
+
+def audit_rows(df: DataFrame, metadata: list[str]) -> DataFrame:
+    """Audit events: the AUDIT columns (null where ``df`` lacks one) and ``event_metadata``, JSON of the columns named."""
+    own = [(F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in AUDIT]
+    return df.where("event_type IS NOT NULL AND message IS NOT NULL").select(*own, F.to_json(F.struct(*metadata)).alias("event_metadata"))
+
+
+def write_audit(df: DataFrame, path: str, metadata: list[str]) -> None:
+    audit_rows(df, metadata).write.mode("append").parquet(path)
+
+
+# Names of headers and of keys whose values are secrets, and the most characters of a body.
+SECRET_HEADERS = ("authorization", "proxy-authorization", "cookie", "set-cookie", "x-api-key", "api-key")
+SECRET_KEYS = (
+    "password", "passwd", "pwd", "senha", "token", "access_token", "refresh_token", "authorization", "cookie", "set-cookie", "apikey", "api_key", "client_secret", "secret",
+)
+MAX_BODY_CHARS, MAX_BODY_BYTES = 25_000, 2 << 20
+TOKEN = r"\beyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,}\b"
+
+
+def sanitize_http_log(df: DataFrame) -> DataFrame:
+    """``headers`` (map) and ``body`` of captured messages without secrets.
+
+    Values of secret headers, and of secret keys at any depth of a JSON body (texts, numbers, and objects or lists up to
+    three levels deep), become <REDACTED>, tokens <REDACTED_JWT>.  Bodies over two MB or of binary types are left out,
+    others cut to 25,000 characters; ``body_status`` tells KEPT, CUT, TOO_LARGE, BINARY or EMPTY.
+    """
+    masked = lambda c: F.regexp_replace(c, TOKEN, "<REDACTED_JWT>")
+    headers = F.transform_values("headers", lambda k, v: F.when(F.lower(k).isin(*SECRET_HEADERS), F.lit("<REDACTED>")).otherwise(masked(v)))
+    deep = {x: None for x in ("{}", "[]")}
+    for pair in deep:
+        o, c = (re.escape(x) for x in pair)
+        deep[pair] = f"{o}[^{o}{c}]*{c}"
+        for _ in range(2):
+            deep[pair] = f"{o}(?:[^{o}{c}]|{deep[pair]})*{c}"
+    value = rf'"(?:[^"\\]|\\.)*"|{deep["{}"]}|{deep["[]"]}|[^\s,}}\]]+'
+    body = F.regexp_replace("body", rf'(?i)("(?:{"|".join(SECRET_KEYS)})"\s*:\s*)(?:{value})', '$1"<REDACTED>"')
+    kind = F.lower(F.coalesce(F.col("content_type"), F.lit("")))
+    text = kind.rlike("json|text|xml|html|javascript|urlencoded") | (kind == "")
+    status = F.when(F.coalesce(F.col("body"), F.lit("")) == "", "EMPTY").when(F.octet_length("body") > MAX_BODY_BYTES, "TOO_LARGE").when(~text, "BINARY")
+    status = status.when(F.length(masked(body)) > MAX_BODY_CHARS, "CUT").otherwise("KEPT")
+    kept = F.when(status.isin("KEPT", "CUT"), F.left(masked(body), F.lit(MAX_BODY_CHARS)))
+    return df.select(*[c for c in df.columns if c not in ("headers", "body")], headers.alias("headers"), kept.alias("body"), status.alias("body_status"))
+
+
+# Encodings that pages may name.
+ENCODINGS = {"utf-8": "utf-8", "utf8": "utf-8", "windows-1252": "cp1252", "cp1252": "cp1252", "iso-8859-1": "iso-8859-1", "latin-1": "iso-8859-1", "latin1": "iso-8859-1"}
+
+
+def _decoded(content: bytes | None, content_type: str | None) -> str | None:
+    head = (content or b"")[:4096].decode("ascii", "ignore")
+    named = re.findall(r"charset\s*=\s*[\"']?\s*([\w.:-]+)", f"{content_type or ''} {' '.join(re.findall(r'(?is)<meta[^>]*>', head))}", re.I)
+    for name in dict.fromkeys(ENCODINGS[n] for n in (*map(str.lower, named), "utf-8", "cp1252", "iso-8859-1") if n in ENCODINGS):
+        try:
+            text = (content or b"").decode(name)
+        except UnicodeDecodeError:
+            continue
+        if text and not re.search("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ufffd]", text):
+            return unicodedata.normalize("NFC", text)
+    return None
+
+
+@F.pandas_udf(StringType())
+def decode_html(content: pd.Series, content_type: pd.Series) -> pd.Series:
+    """Text of HTML bytes in the first encoding that fits: of the header, of meta tags, then UTF-8, Windows-1252, Latin-1; null if none does.
+
+    Spark's own decode has no Windows-1252, so this runs on Arrow batches.
+    """
+    return pd.Series([_decoded(b, t) for b, t in zip(content, content_type)], dtype=object)

@@ -8,22 +8,81 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from taxflow.functions import normalize as N
+from taxflow.operators import merge
 from taxflow.operators.ordering import latest_per_key
 
 #: Company change events; every scalar is text until it is normalised.
-EVENT_SCHEMA = "event_type string, organization_id string, id string, cnpj string, razao_social string, updated_at string, deleted_at string"
+EVENT_SCHEMA = "event_type string, organization_id string, id string, cnpj string, razao_social string, updated_at string, deleted_at string, deletedAt string, removed_at string, removedAt string"
 
 
-def last_events(batch: DataFrame) -> DataFrame:
-    """Of each company the last event of the batch; a replayed batch gives the same rows."""
-    rows = batch.withColumn("at", F.coalesce(F.col("deleted_at"), F.col("updated_at")).try_cast("timestamp"))
-    return latest_per_key(rows, ["organization_id", "cnpj"], ["at", "event_type"])
+def typed_events(batch: DataFrame) -> DataFrame:
+    """(organization_id, external_id, cnpj, razao_social, kind UPSERT/DELETE, deleted_at, at) of change events.
+
+    ``at`` is the time of the event: of a deletion the first of its four fields, else of the update.
+    """
+    gone = F.coalesce(*[N.parse_datetime(c) for c in ("deleted_at", "deletedAt", "removed_at", "removedAt")])
+    kind = F.when(F.lower("event_type").contains("delete"), "DELETE").otherwise("UPSERT")
+    return batch.select(
+        F.col("organization_id").try_cast("long").alias("organization_id"), N.trim_to_null("id").alias("external_id"), N.normalize_cnpj("cnpj").alias("cnpj"), N.trim_to_null("razao_social").alias("razao_social"),
+        kind.alias("kind"), F.when(kind == "DELETE", gone).alias("deleted_at"), F.coalesce(F.when(kind == "DELETE", gone), N.parse_datetime("updated_at")).alias("at"),
+    )
+
+
+def last_events(events: DataFrame) -> DataFrame:
+    """Of each company the last event of a batch, a company being its cnpj, or its external id where a deletion has that alone."""
+    keyed = events.withColumn("who_", F.coalesce("cnpj", F.concat(F.lit("id:"), F.col("external_id"))))
+    return latest_per_key(keyed, ["organization_id", "who_"], ["at", "kind"]).drop("who_")
+
+
+def apply_company_events(target: DataFrame, events: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(next, ops) of the registry for typed events; idempotent: an event that isn't newer than the row's ``event_at`` is STALE.
+
+    ``target``: organization_id, cnpj, external_id, razao_social, active, deleted_at, sync_status, event_at.  One full outer
+    join on the cnpj; events with an external id alone find their cnpj first.
+    """
+    last = last_events(events)
+    ids = target.where("external_id IS NOT NULL").groupBy("organization_id", "external_id").agg(F.min("cnpj").alias("own_"))
+    last = last.join(ids, ["organization_id", "external_id"], "left").withColumn("cnpj", F.coalesce("cnpj", "own_")).where("cnpj IS NOT NULL")
+    last = latest_per_key(last.drop("own_"), ["organization_id", "cnpj"], ["at", "kind"])
+    names = ["external_id", "razao_social", "kind", "deleted_at", "at"]
+    new = last.select("organization_id", "cnpj", F.struct(*names).alias("new_"))
+    both = target.withColumn("was_", F.lit(True)).join(new, ["organization_id", "cnpj"], "full_outer")
+    delete, was = F.col("new_.kind") == "DELETE", F.col("was_").isNotNull()
+    stale = was & (F.col("event_at") >= F.col("new_.at"))
+    op = F.when(F.col("new_").isNull(), None).when(~was & delete, "NOT_FOUND").when(F.coalesce(stale, F.lit(False)), "STALE")
+    op = op.when(delete & ~F.col("active"), "ALREADY_DELETED").when(delete, "DELETED").when(~was, "CREATED").otherwise("UPDATED")
+    both = both.withColumn("op", op)
+    upsert, gone = F.col("op").isin("CREATED", "UPDATED"), F.col("op") == "DELETED"
+    after = both.where("op IS NULL OR op <> 'NOT_FOUND'").select(
+        "organization_id", "cnpj", F.when(upsert, F.coalesce("new_.external_id", "external_id")).otherwise(F.col("external_id")).alias("external_id"),
+        F.when(upsert, F.coalesce("new_.razao_social", "razao_social")).otherwise(F.col("razao_social")).alias("razao_social"),
+        F.when(upsert, True).when(gone, False).otherwise(F.col("active")).alias("active"),
+        F.when(gone, F.coalesce("new_.deleted_at", now)).when(~upsert | upsert.isNull(), F.col("deleted_at")).alias("deleted_at"),
+        F.when(upsert, merge.SYNCED).when(gone, merge.DELETED).otherwise(F.col("sync_status")).alias("sync_status"),
+        F.when(upsert | gone, F.coalesce("new_.at", "event_at")).otherwise(F.col("event_at")).alias("event_at"),
+    )
+    return after, both.where("op IS NOT NULL").select("organization_id", "cnpj", "op")
 
 
 def start_company_stream(spark: SparkSession, in_dir: str, apply: Callable[[DataFrame, int], None], checkpoint: str, files_per_trigger: int = 100) -> StreamingQuery:
-    """Hand the last event of each company to ``apply(batch, batch_id)``, which must be idempotent by event time."""
+    """Hand the typed last event of each company to ``apply(batch, batch_id)``; a batch may come twice, so it must be idempotent."""
     events = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(in_dir)
-    return events.writeStream.foreachBatch(lambda df, i: apply(last_events(df), i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return events.writeStream.foreachBatch(lambda df, i: apply(last_events(typed_events(df)), i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def start_registry_stream(spark: SparkSession, in_dir: str, table_root: str, checkpoint: str, files_per_trigger: int = 100) -> StreamingQuery:
+    """Keep registry versions ``table_root/v=<batch>`` from change events; version -1 is what the caller starts from.
+
+    Each batch reads the version before its own and overwrites its own, so a batch that is run again gives the same table.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        before = spark.read.parquet(f"{table_root}/v={batch_id - 1}")
+        after, _ = apply_company_events(before, batch, F.current_timestamp())
+        after.select(*before.columns).write.mode("overwrite").parquet(f"{table_root}/v={batch_id}")
+
+    return start_company_stream(spark, in_dir, write, checkpoint, files_per_trigger)
 
 
 def file_events(spark: SparkSession, in_dir: str) -> DataFrame:
