@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from taxflow.functions import classify as R
 from taxflow.functions import normalize as N
 from taxflow.operators.ordering import islands
+from taxflow.staging import staged
 
 # Line shapes of the report.
 PAGE_LABEL = r"(\d+)/(\d+)P[aá]gina:"
@@ -23,18 +24,72 @@ HEADER_LINE = (
     r"(?i)^(?:\d+/\d+P[aá]gina:|RESUMO DA FOLHA|Empresa:|CNPJ:|Emiss[aã]o:|C[aá]lculo:|Compet[eê]ncia:|Complemento de c[aá]lculo:"
     r"|Nº Empregados/ContribuintesNome da RubricaRubrica Valor informado Valor Calculado|Sistema licenciado para )"
 )
-SALARY_BLOCK = r"(?i)^Comp\s+(\d{2}/\d{4})\s+-\s+Altera(?:cao|ção|\?\?o) salarial\s+(\d{2}/\d{2}/\d{4})$"
-PAYMENT_BLOCK = r"(?i)^Comp\s+(\d{2}/\d{4})\s+-\s+Data pagto\s+(\d{2}/\d{2}/\d{4})\s+-\s+Lan(?:camento|çamento|\?amento)$"
-COMPLEMENT_BLOCK = r"(?i)^Comp\s+(\d{2}/\d{4})\s+-\s+Data complemento\s+(\d{2}/\d{2}/\d{4})\s+-\s+(.+)$"
-RUBRIC = r"^(.+?)\s+(\d+)\s+([0-9:.,]+)\s+([0-9.,]+)\s*(\*)?$"
-CODE_LAST = r"^(.+?)\s*(\d{1,5})$"
-CODE_FIRST = r"^(\d{1,5})\s+(.+)$"
-SECTION_TOTAL = r"(?i)^([0-9.,]+)Total:$"
-NET_TOTAL = r"(?i)^([0-9.,]+)L(?:i|í|\?)quido Geral:$"
+# Fixed words of block headings and of total lines, without accents; a letter that was lost on the way is a question mark.
+BLOCK_WORDS = {"SALARY_ADJUSTMENT": ("altera", "o salarial"), "PAYMENT_ENTRY": ("data pagto",), "COMPLEMENTARY": ("data complemento",)}
+TOTAL_LABELS = {"SECTION": ("total:",), "NET": ("liquido geral:", "l?quido geral:")}
 SECTIONS = {"PROVENTOS": "EARNINGS", "DESCONTOS": "DEDUCTIONS", "INFORMATIVA": "INFORMATIONAL"}
 SIGNALS = ("has_employee", "has_pro_labore", "has_autonomous", "has_inss", "has_fgts", "has_termination", "has_vacation", "has_leave")
 
 GROUP = ["file", "group_no"]
+DAY = r"\d{2}/\d{2}/\d{4}"
+
+
+def _plain(line: Column) -> Column:
+    return F.lower(N.unaccent(line))
+
+
+def block_parts(line: Column) -> dict[str, Column]:
+    """Kind, month and day of a heading ``Comp <month> - <words> <day>[ - <more>]``; kind is null for other lines.
+
+    A payment has ``lancamento`` after its day, a complement anything, a salary adjustment nothing.
+    """
+    plain = _plain(line)
+    head, body, more = (F.split_part(plain, F.lit(" - "), F.lit(i)) for i in (1, 2, 3))
+    month = F.split_part(head, F.lit(" "), F.lit(2))
+    day = F.split_part(body, F.lit(" "), F.lit(-1))
+    words = F.rtrim(F.left(body, F.length(body) - F.length(day)))
+    shaped = head.startswith("comp ") & month.rlike(r"^\d{2}/\d{4}$") & day.rlike(f"^{DAY}$")
+    starts, ends = BLOCK_WORDS["SALARY_ADJUSTMENT"]
+    salary = words.startswith(starts) & words.endswith(ends) & (more == "")
+    payment = words.eqNullSafe(F.lit(BLOCK_WORDS["PAYMENT_ENTRY"][0])) & more.startswith("lan") & more.endswith("amento")
+    complement = words.eqNullSafe(F.lit(BLOCK_WORDS["COMPLEMENTARY"][0])) & (more != "")
+    kind = F.when(shaped & salary, "SALARY_ADJUSTMENT").when(shaped & payment, "PAYMENT_ENTRY").when(shaped & complement, "COMPLEMENTARY")
+    return {"kind": kind, "month": month, "day": day}
+
+
+def rubric_parts(line: Column) -> Column:
+    """struct(prefix, contributors, informed, value, starred) of a rubric line, null for other lines.
+
+    From the right: a star that may stand there, the value, what was informed, the number of contributors; the rest holds name and code.
+    """
+    starred = line.endswith("*")
+    words = F.split(F.rtrim(F.when(starred, F.left(line, F.length(line) - 1)).otherwise(line)), " ")
+    n = F.size(words)
+    at = lambda i: F.get(words, n - i)
+    shaped = (n >= 4) & at(1).rlike("^[0-9.,]+$") & at(2).rlike("^[0-9:.,]+$") & at(3).rlike("^[0-9]+$")
+    prefix = F.array_join(F.slice(words, 1, F.greatest(n - 3, F.lit(0))), " ")
+    return F.when(shaped, F.struct(prefix.alias("prefix"), at(3).alias("contributors"), at(2).alias("informed"), at(1).alias("value"), starred.alias("starred")))
+
+
+def name_and_code(prefix: Column) -> tuple[Column, Column]:
+    """The code stands at the end, up to five digits with or without a blank before them, or else at the start; null without one."""
+    last = F.regexp_extract(prefix, "[0-9]{1,5}$", 0)
+    before = F.rtrim(F.left(prefix, F.length(prefix) - F.length(last)))
+    first = F.split_part(prefix, F.lit(" "), F.lit(1))
+    leads = first.rlike("^[0-9]{1,5}$") & F.contains(prefix, F.lit(" "))
+    at_end = (last != "") & (before != "")
+    code = F.when(at_end, last).when(leads, first)
+    return F.when(at_end, before).when(leads, F.ltrim(F.substr(prefix, F.length(first) + 1))).otherwise(prefix), code
+
+
+def total_amount(line: Column, kind: str) -> Column:
+    """The amount before the label of a total line, as text; null for other lines."""
+    plain = _plain(line)
+    out = F.lit(None).cast("string")
+    for label in TOTAL_LABELS[kind]:
+        amount = F.left(plain, F.length(plain) - len(label))
+        out = F.when(plain.endswith(label) & amount.rlike("^[0-9.,]+$"), amount).otherwise(out)
+    return out
 
 
 def _part(c, pattern: str, group: int = 1) -> Column:
@@ -92,12 +147,11 @@ def body_lines(groups: DataFrame) -> DataFrame:
     outside sections; a block heading ends the section.
     """
     lines = groups.where("group_no > 0").select(*GROUP, "page_no", F.posexplode("lines").alias("line_no", "line"))
-    known = F.when(F.col("line") == "Folha Mensal", "MONTHLY_PAYROLL").when(F.col("line").rlike(SALARY_BLOCK), "SALARY_ADJUSTMENT")
-    known = known.when(F.col("line").rlike(PAYMENT_BLOCK), "PAYMENT_ENTRY").when(F.col("line").rlike(COMPLEMENT_BLOCK), "COMPLEMENTARY")
+    known = F.when(F.col("line") == "Folha Mensal", "MONTHLY_PAYROLL").otherwise(block_parts(F.col("line"))["kind"])
     section = F.lit(None).cast("string")
     for word, name in SECTIONS.items():
         section = F.when(F.col("line") == word, name).otherwise(section)
-    lines = lines.select("*", known.alias("known"), section.alias("heading"), F.col("line").rlike(RUBRIC).alias("shaped"), F.col("line").startswith("Comp ").alias("comp"))
+    lines = lines.select("*", known.alias("known"), section.alias("heading"), rubric_parts(F.col("line")).isNotNull().alias("shaped"), F.col("line").startswith("Comp ").alias("comp"))
     w = Window.partitionBy(*GROUP).orderBy("page_no", "line_no").rowsBetween(Window.unboundedPreceding, 0)
     ends = F.col("known").isNotNull() | (F.col("comp") & ~F.col("shaped"))
     event = F.when(ends, F.lit("")).otherwise(F.col("heading"))
@@ -114,13 +168,13 @@ def body_lines(groups: DataFrame) -> DataFrame:
 
 def block_headings(lines: DataFrame) -> DataFrame:
     """One row a block heading with its competence and dates."""
-    any_comp = r"(?i)^Comp\s+(\d{2}/\d{4})\s+-"
-    day = lambda pattern: N.parse_br_date(_part("line", pattern, 2))
-    typed = F.col("block_heading").isin("SALARY_ADJUSTMENT", "PAYMENT_ENTRY", "COMPLEMENTARY")
+    parts = block_parts(F.col("line"))
+    kind = F.col("block_heading")
+    day = lambda *kinds: F.when(kind.isin(*kinds), N.parse_br_date(parts["day"]))
     return lines.where("block_heading IS NOT NULL").select(
         *GROUP, "block_no", F.col("block_heading").alias("block_type"), F.col("line").alias("description"),
-        F.when(typed, N.period_reference(_part("line", any_comp))).alias("source_competence"),
-        F.coalesce(day(SALARY_BLOCK), day(COMPLEMENT_BLOCK)).alias("event_date"), day(PAYMENT_BLOCK).alias("payment_date"),
+        F.when(kind.isin(*BLOCK_WORDS), N.period_reference(parts["month"])).alias("source_competence"),
+        day("SALARY_ADJUSTMENT", "COMPLEMENTARY").alias("event_date"), day("PAYMENT_ENTRY").alias("payment_date"),
     )
 
 
@@ -130,16 +184,12 @@ def section_headings(lines: DataFrame) -> DataFrame:
 
 def rubrics(lines: DataFrame) -> DataFrame:
     """One row a rubric line inside a section; lines that have no code are kept with a warning and null values."""
-    rows = lines.where(F.col("section").isNotNull() & F.col("block_heading").isNull() & F.col("line").rlike(RUBRIC))
-    rows = rows.withColumn("prefix", F.trim(F.regexp_extract("line", RUBRIC, 1)))
-    last = F.col("prefix").rlike(CODE_LAST)
-    code = F.when(last, _part("prefix", CODE_LAST, 2)).otherwise(_part("prefix", CODE_FIRST, 1))
-    name = F.when(last, _part("prefix", CODE_LAST, 1)).otherwise(_part("prefix", CODE_FIRST, 2))
+    rows = lines.where(F.col("section").isNotNull() & F.col("block_heading").isNull()).withColumn("x", rubric_parts(F.col("line"))).where("x IS NOT NULL")
+    name, code = name_and_code(F.col("x.prefix"))
     rows = rows.select(
-        *GROUP, "page_no", "line_no", "block_no", "block_type", "section_no", "section", code.alias("code"), F.trim(F.coalesce(name, "prefix")).alias("name"),
-        F.regexp_extract("line", RUBRIC, 2).try_cast("int").alias("contributors"), F.regexp_extract("line", RUBRIC, 3).alias("informed_raw"),
-        N.parse_informed(F.regexp_extract("line", RUBRIC, 3)).alias("informed"), N.parse_brl_strict(F.regexp_extract("line", RUBRIC, 4)).alias("value"),
-        (F.regexp_extract("line", RUBRIC, 5) == "*").alias("starred"),
+        *GROUP, "page_no", "line_no", "block_no", "block_type", "section_no", "section", code.alias("code"), F.trim(name).alias("name"),
+        F.col("x.contributors").try_cast("int").alias("contributors"), F.col("x.informed").alias("informed_raw"),
+        N.parse_informed(F.col("x.informed")).alias("informed"), N.parse_brl_strict(F.col("x.value")).alias("value"), F.col("x.starred").alias("starred"),
     )
     coded = F.col("code").isNotNull()
     return rows.select(
@@ -158,10 +208,10 @@ def rubrics(lines: DataFrame) -> DataFrame:
 
 def declared_totals(lines: DataFrame) -> DataFrame:
     """One row a total line: kind SECTION or NET, the value, and a warning where it can't be used."""
-    rows = lines.where(F.col("line").rlike(SECTION_TOTAL) | F.col("line").rlike(NET_TOTAL))
-    net = F.col("line").rlike(NET_TOTAL)
-    value = N.parse_brl_strict(F.when(net, F.regexp_extract("line", NET_TOTAL, 1)).otherwise(F.regexp_extract("line", SECTION_TOTAL, 1)))
-    rows = rows.select(*GROUP, "page_no", "line_no", "block_no", "section_no", "section", F.when(net, "NET").otherwise("SECTION").alias("kind"), value.alias("value"))
+    section, net = (total_amount(F.col("line"), kind) for kind in ("SECTION", "NET"))
+    rows = lines.withColumns({"section_": section, "net_": net}).where("section_ IS NOT NULL OR net_ IS NOT NULL")
+    value = N.parse_brl_strict(F.coalesce("net_", "section_"))
+    rows = rows.select(*GROUP, "page_no", "line_no", "block_no", "section_no", "section", F.when(F.col("net_").isNotNull(), "NET").otherwise("SECTION").alias("kind"), value.alias("value"))
     return rows.withColumn(
         "warnings",
         _codes(
@@ -259,10 +309,11 @@ def payroll_warnings(headers: DataFrame, companies: DataFrame, reports: DataFram
 
 
 def parse_report(report_pages: DataFrame) -> dict[str, DataFrame]:
-    """All frames of a payroll report by name."""
+    """All frames of a payroll report by name.  Pages and their lines are written once, since several parts read them."""
     headers = page_headers(report_pages)
-    groups = group_pages(headers)
-    lines = body_lines(groups)
+    groups = staged(group_pages(headers), "payroll-pages")
+    headers = groups.drop("group_no")
+    lines = staged(body_lines(groups), "payroll-lines")
     found, totals = rubrics(lines), declared_totals(lines)
     companies = payroll_companies(groups, lines, found, totals)
     reports = payroll_reports(report_pages, companies)

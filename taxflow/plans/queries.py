@@ -475,15 +475,15 @@ def redact_log(spark, sf_dir):
 
 
 @query("""
-SELECT 'Resumo_' || strftime(o_orderdate, '%m-%Y') || '.pdf' AS file, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS company_code, strftime(o_orderdate, '%Y-%m') AS payroll, strftime(o_orderdate + INTERVAL 1 MONTH, '%Y-%m') AS assessment,
+SELECT 'Resumo_' || strftime(o_orderdate, '%m-%Y') || '_' || o_custkey || '.pdf' AS file, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS company_code, strftime(o_orderdate, '%Y-%m') AS payroll, strftime(o_orderdate + INTERVAL 1 MONTH, '%Y-%m') AS assessment,
   count(*) AS n_rubrics, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) FILTER (WHERE l_returnflag <> 'R') AS gross_cents, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) FILTER (WHERE l_returnflag = 'R') AS informational_cents,
   CASE WHEN o_orderkey % 7 = 0 THEN 'LOW' ELSE 'HIGH' END AS confidence
-FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderdate
 """)
 def payroll_companies(spark, sf_dir):
-    """Order lines written as report pages (one an order; returned lines are informational) and read back."""
+    """Order lines written as report pages (one an order; returned lines are informational), a file a month and customer, and read back."""
     money = lambda c: F.translate(F.format_number(c, 2), ",.", ".,")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_returnflag") == "R").alias("info"), F.round("l_extendedprice", 2).cast("decimal(14,2)").alias("v"), "l_linenumber", "l_partkey")
     line = F.concat_ws(" ", F.lit("RUBRICA"), (F.col("l_partkey") % 1000 + 1000).cast("string"), F.lit("1"), F.lit("10:30"), money("v"))
     part = li.groupBy("o_orderkey").agg(
@@ -497,7 +497,7 @@ def payroll_companies(spark, sf_dir):
         F.concat(F.lit("Competência: "), F.date_format("o_orderdate", "MM/yyyy")), F.lit("Folha Mensal"), total("PROVENTOS", F.col("paid"), "paid_total"), total("INFORMATIVA", F.col("info"), "info_total"),
         F.when(F.col("o_orderkey") % 7 != 0, F.lit("1,00Líquido Geral:")),
     )
-    file = F.concat(F.lit("Resumo_"), F.date_format("o_orderdate", "MM-yyyy"), F.lit(".pdf"))
+    file = F.concat(F.lit("Resumo_"), F.date_format("o_orderdate", "MM-yyyy"), F.lit("_"), F.col("o_custkey").cast("string"), F.lit(".pdf"))
     # Both sides of the join are tables of the same growth; it is left to the sort-merge join.
     pages = o.join(part.hint("merge"), "o_orderkey").select(file.alias("file"), F.col("o_orderkey").alias("page_no"), text.alias("text"))
     found = payroll.parse_report(pages)["companies"]

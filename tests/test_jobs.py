@@ -3,7 +3,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from taxflow.plans import jobs
+from taxflow.functions import classify as R
+from taxflow.operators import merge, payroll, quality
+from taxflow.plans import catalogs, jobs, views
+from taxflow.sources import feeds
+from taxflow.streaming import streams
 from tests.test_pages import MONTH, page
 
 SEEN = ", first_seen_at timestamp, last_seen_at timestamp"
@@ -34,11 +38,11 @@ def test_registry_and_deliveries(spark, tmp_path, now):
     assert ops(jobs.run_registry_sync(spark, str(tmp_path / "c.json"), out["after"], 1, now)) == ["UNCHANGED"]
     assert ops(jobs.run_registry_sync(spark, str(tmp_path / "c.json"), target, 1, now, dry_run=True)) == ["WOULD_CREATE"]
 
-    item = {"Nome": "DAS", "EntDtEntrega": "2026-05-10", "EntDtFinalizacao": "2026-05-10 10:00:00", "Status": "Ent. antecipada", "Config": {"ID": "5001", "Tipo": "O", "DptoNome": "Fiscal"}}
+    item = {"Nome": "DAS", "EntDtEntrega": "2026-05-10", "EntDtFinalizacao": "2026-05-10 10:00:00", "Status": "Ent. antecipada", "Config": {"EntID": "5001", "ID": "77", "Tipo": "O", "DptoNome": "Fiscal"}}
     folder = tmp_path / "d"
     folder.mkdir()
     for month in ("2026-05", "2026-06", "2026-07"):
-        (folder / f"{month}.json").write_text(json.dumps([{"ID": 1, "Identificador": "11.222.333/0001-81", "Entregas": [item, item | {"Nome": "GPS"}]}]))
+        (folder / f"{month}.json").write_text(json.dumps([{"ID": 1, "Identificador": "11.222.333/0001-81", "Razao": "X", "Entregas": [item, item | {"Nome": "GPS"}]}]))
     companies = spark.createDataFrame([(7, "11222333000181", True)], "company_id long, cnpj string, active boolean")
     periods = spark.createDataFrame([(1, "2026-05"), (2, "2026-06"), (3, "2026-07")], "period_id long, competencia string")
     obligations = spark.createDataFrame([(9, "DAS")], "obligation_id long, code string")
@@ -49,7 +53,7 @@ def test_registry_and_deliveries(spark, tmp_path, now):
 
 
 def test_assessment_jobs(spark, tmp_path, now):
-    (tmp_path / "a.json").write_text(json.dumps({"empresas": [{"id": 1, "cnpj": "11222333000181", "nome": "X"}, {"id": 2, "cnpj": "9", "nome": "Y"}]}))
+    (tmp_path / "a.json").write_text(json.dumps({"sucesso": True, "empresas": [{"id": 1, "cnpj": "11222333000181", "nome": "X"}, {"id": 2, "cnpj": "9", "nome": "Y"}]}))
     master = spark.createDataFrame([(7, "11222333000181", True)], "company_id long, cnpj string, active boolean")
     target = spark.createDataFrame([(1, "old", "1", None, "UNMATCHED", None, None)], "organization_id long, external_id string, cnpj string, company_id long, match_status string" + SEEN)
     out = jobs.run_assessment_companies(spark, str(tmp_path / "a.json"), master, target, 1, now)
@@ -82,7 +86,7 @@ def test_assessment_jobs(spark, tmp_path, now):
 def test_enrichment_catalog_and_import(spark, tmp_path, now):
     pages = spark.createDataFrame([("k", "detail", "CNAE: 0000-0/01 Descricao: Comércio varejista"), ("j", "detail", "CNAE: 0000-0/02 Descricao: Outro")], "page_key string, kind string, html string")
     wanted = spark.createDataFrame([("0000001",), ("0000002",), ("0000003",)], "cnae string")
-    cache = spark.sql("SELECT '0000002' AS cnae, 'h' AS content_hash, 'x' AS description, 'PARSED' AS parse_status, 'econet-html-v2' AS parser_version, timestamp'2026-05-01' AS retrieved_at, timestamp'2026-12-01' AS expires_at")
+    cache = spark.sql("SELECT '0000002' AS cnae, 'h' AS content_hash, 'x' AS description, 'PARSED' AS parse_status, 'rule-pages-1' AS parser_version, timestamp'2026-05-01' AS retrieved_at, timestamp'2026-12-01' AS expires_at")
     columns = ["description", "parse_status", "parser_version"]
     out = jobs.run_enrichment(pages, wanted, cache, columns, now)
     assert {(r.cnae, r.op) for r in out["ops"].collect()} == {("0000001", "CREATED")} and [r.cnae for r in out["missing"].collect()] == ["0000003"]
@@ -101,3 +105,66 @@ def test_enrichment_catalog_and_import(spark, tmp_path, now):
     imported = spark.createDataFrame([(1, "s2")], "organization_id long, sha256 string")
     out = jobs.run_payroll_import(jobs.read_report_pages(spark, str(tmp_path / "p.json")), hashes, imported, master, 1)
     assert [(r.company_id, r.competencia, str(r.amount)) for r in out["evidence"].collect()] == [(7, "2026-06", "3291.00")] and out["imported"].count() == 1
+
+
+def test_delivery_feed(spark, tmp_path):
+    """Three items of one block, a block with a single item, an empty page, a page with an error, and one that can't be read."""
+    done = {"EntDtEntrega": "2026-05-10", "EntDtFinalizacao": "2026-05-10 10:00:00"}
+    none = {"EntDtEntrega": "0000-00-00", "EntDtFinalizacao": None}
+    items = [
+        {"Nome": "DAS", "Status": "Ent. antecipada", "Config": {"EntID": "5001", "ID": "1", "Tipo": "O", "DptoNome": "Fiscal"}} | done,
+        {"Nome": "GPS", "Status": "Atrasada!", "Config": {"EntID": "5002", "ID": "2", "Tipo": "O", "DptoNome": "Fiscal"}} | none,
+        {"Nome": "Tarefa", "Status": "Pendente", "Config": {"EntID": "5003", "ID": "3", "Tipo": "T", "DptoNome": "Contabil"}} | none,
+    ]
+    block = {"ID": "1", "Identificador": "11.222.333/0001-81", "Razao": "X"}
+    bodies = [json.dumps([block | {"Entregas": items}, block | {"ID": "2", "Entregas": items[0]}]), "", json.dumps({"Erro": "limit"}), "{broken"]
+    rows = feeds.delivery_items(spark.createDataFrame([("2026-05", b) for b in bodies], "period string, body string"))
+    assert sorted(r.error_message for r in rows.where("error_message IS NOT NULL").collect()) == ["limit", "unreadable page"]
+    found = R.map_obligation(feeds.map_delivery(rows.where("error_message IS NULL")), "name", spark.createDataFrame([(9, "DAS")], "obligation_id long, code string"))
+    got = {(r.external_company_id, r.external_delivery_id): (r.type, r.normalized_status, r.mapping_status, r.department) for r in found.collect()}
+    assert got == {
+        ("1", "5001"): ("O", "CONFIRMADO_API", "MAPPED", "FISCAL"), ("1", "5002"): ("O", "PENDENTE", "UNMAPPED", "FISCAL"), ("1", "5003"): ("T", "PENDENTE", "UNMAPPED", "COMPARTILHADO"),
+        ("2", "5001"): ("O", "CONFIRMADO_API", "MAPPED", "FISCAL"),
+    }
+    assert {r.external_delivery_id for r in quality.fiscal_only(found).collect()} == {"5001", "5002"}
+    for name in ("2026-05", "default"):
+        (tmp_path / f"{name}.json").write_text(json.dumps([block | {"ID": name, "Entregas": []}]))
+    of = lambda month: [r.external_company_id for r in feeds.delivery_blocks(feeds.read_feed_by_period(spark, str(tmp_path), month, "default.json"), "11222333/0001-81").collect()]
+    assert of("2026-05") == ["2026-05"] and of("2026-06") == ["default"]
+
+
+def test_last_of_equal_keys_wins(spark, tmp_path, now):
+    (tmp_path / "c.json").write_text(json.dumps({"items": [{"id": 1, "cnpj": "11.222.333/0001-81", "razaoSocial": n} for n in ("Z", "A")]}))
+    target = spark.createDataFrame([], "organization_id long, cnpj string, razao_social string" + SEEN)
+    assert [r.razao_social for r in jobs.run_registry_sync(spark, str(tmp_path / "c.json"), target, 1, now)["after"].collect()] == ["A"]
+
+
+def test_registry_stream(spark, tmp_path):
+    """Versions of the registry from change events; the same files again change nothing."""
+    columns = "organization_id long, cnpj string, external_id string, razao_social string, active boolean, deleted_at timestamp, sync_status string, event_at timestamp"
+    spark.createDataFrame([], columns).write.parquet(str(tmp_path / "t/v=-1"))
+    (tmp_path / "in").mkdir()
+    base = {"organization_id": "1", "cnpj": "11222333000181", "id": "7"}
+    events = [base | {"event_type": "company.upsert", "razao_social": "B", "updated_at": "2026-01-02T00:00:00Z"}, base | {"event_type": "company.upsert", "razao_social": "A", "updated_at": "2026-01-01T00:00:00Z"}]
+    (tmp_path / "in/a.json").write_text("\n".join(map(json.dumps, events)))
+    run = lambda: streams.start_registry_stream(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "cp")).awaitTermination()
+    run()
+    rows = spark.read.parquet(str(tmp_path / "t/v=0")).collect()
+    assert [(r.razao_social, r.active, r.sync_status) for r in rows] == [("B", True, "SYNCED")]
+    (tmp_path / "in/b.json").write_text(json.dumps({"organization_id": "1", "id": "7", "event_type": "company.deleted", "deleted_at": "2026-01-03T00:00:00Z"}))
+    run()
+    after = spark.read.parquet(str(tmp_path / "t/v=1"))
+    assert [(r.razao_social, r.active, r.sync_status, str(r.deleted_at)) for r in after.collect()] == [("B", False, "DELETED_IN_SOURCE", "2026-01-03 00:00:00")]
+    again = streams.typed_events(spark.read.schema(streams.EVENT_SCHEMA).json(str(tmp_path / "in")))
+    assert [r.op for r in streams.apply_company_events(after, again, F.current_timestamp())[1].collect()] == ["STALE"]
+
+
+def test_seeds_and_report_summary(spark, now):
+    empty = spark.createDataFrame([], "seed_id long, code string, name string, category string, department_default string, source_priority array<string>, active boolean")
+    after, ops = catalogs.seed_obligations(empty, now)
+    assert merge.merge_counts(ops).collect()[0].n == 13 and catalogs.obligation_rules(spark).count() == 16
+    assert {r.op for r in catalogs.seed_obligations(after.withColumn("seed_id", F.monotonically_increasing_id()), now)[1].collect()} == {"UNCHANGED"}
+    out = payroll.parse_report(spark.createDataFrame([("Resumo_05-2026.pdf", 1, page("1/1", "0001", MONTH)), ("x.pdf", 1, None)], "file string, page_no int, text string"))
+    got = {r.file: r for r in views.report_summary(out["reports"], out["companies"], out["warnings"]).collect()}
+    assert got["Resumo_05-2026.pdf"].payroll == 1 and got["Resumo_05-2026.pdf"].employee == 1 and got["Resumo_05-2026.pdf"].company_warning_codes == {}
+    assert got["x.pdf"].warning_codes == {"TEXT_LAYER_MISSING": 1, "COMPANY_HEADER_INCOMPLETE": 1, "PAGE_HEADER_MISSING": 1}
