@@ -196,9 +196,8 @@ def map_department(c, default) -> Column:
 def classify_words(c, table: dict[str, tuple[str, ...]]) -> Column:
     """Sorted classes whose words, as whole words, occur in the search form of the text; none for null."""
     tests = [(k, r"\b(?:" + "|".join(words) + r")\b") for k, words in sorted(table.items())]
-    # inside a lambda the form is computed once, not once for each class
-    found = F.transform(F.array(N.search_form(c)), lambda form: F.array_compact(F.array(*[F.when(form.rlike(p), F.lit(k)) for k, p in tests])))
-    return F.coalesce(F.get(found, F.lit(0)), F.array().cast("array<string>"))
+    found = N.once(N.search_form(c), lambda form: F.array_compact(F.array(*[F.when(form.rlike(p), F.lit(k)) for k, p in tests])))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def classify_activity(c) -> Column:
@@ -207,7 +206,11 @@ def classify_activity(c) -> Column:
 
 def rubric_signals(code, name) -> Column:
     """Sorted signals of a payroll rubric."""
-    form, code = F.coalesce(N.search_form(name), F.lit("")), col(code).cast("string")
+    both = F.struct(F.coalesce(N.search_form(name), F.lit("")).alias("form"), col(code).cast("string").alias("code"))
+    return N.once(both, lambda x: _signals(x["form"], x["code"]))
+
+
+def _signals(form: Column, code: Column) -> Column:
     on = {}
     for signal, parts in RUBRIC_TERMS.items():
         on[signal] = has_part(form, parts) | F.coalesce(code.isin(*RUBRIC_CODES.get(signal, ("",))), F.lit(False))

@@ -27,6 +27,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(c, use) -> Column:
+    """``use(value of c)``, with c computed once a row however often ``use`` names it."""
+    return F.get(F.transform(F.array(col(c)), use), F.lit(0))
+
+
 def trim_to_null(c) -> Column:
     """Text without blanks at its ends; empty is null."""
     return F.nullif(F.btrim(col(c).cast("string"), F.lit(BLANKS)), F.lit(""))
@@ -72,8 +77,7 @@ def check_digit(number, weights: tuple[int, ...]) -> Column:
         rest = reduce(lambda a, b: a + b, [F.substring(n, i + 1, 1).cast("int") * w for i, w in enumerate(weights)]) % 11
         return (11 - rest) % 11 % 10
 
-    # inside a lambda the number is computed once, not once for each of its digits
-    return F.get(F.transform(F.array(col(number)), digit), F.lit(0))
+    return once(number, digit)
 
 
 def validate_cnpj(c) -> Column:

@@ -38,12 +38,15 @@ def _plain(line: Column) -> Column:
     return F.lower(N.unaccent(line))
 
 
-def block_parts(line: Column) -> dict[str, Column]:
-    """Kind, month and day of a heading ``Comp <month> - <words> <day>[ - <more>]``; kind is null for other lines.
+def block_parts(line: Column) -> Column:
+    """struct(kind, month, day) of a heading ``Comp <month> - <words> <day>[ - <more>]``; kind is null for other lines.
 
     A payment has ``lancamento`` after its day, a complement anything, a salary adjustment nothing.
     """
-    plain = _plain(line)
+    return N.once(_plain(line), _heading)
+
+
+def _heading(plain: Column) -> Column:
     head, body, more = (F.split_part(plain, F.lit(" - "), F.lit(i)) for i in (1, 2, 3))
     month = F.split_part(head, F.lit(" "), F.lit(2))
     day = F.split_part(body, F.lit(" "), F.lit(-1))
@@ -54,7 +57,7 @@ def block_parts(line: Column) -> dict[str, Column]:
     payment = words.eqNullSafe(F.lit(BLOCK_WORDS["PAYMENT_ENTRY"][0])) & more.startswith("lan") & more.endswith("amento")
     complement = words.eqNullSafe(F.lit(BLOCK_WORDS["COMPLEMENTARY"][0])) & (more != "")
     kind = F.when(shaped & salary, "SALARY_ADJUSTMENT").when(shaped & payment, "PAYMENT_ENTRY").when(shaped & complement, "COMPLEMENTARY")
-    return {"kind": kind, "month": month, "day": day}
+    return F.struct(kind.alias("kind"), month.alias("month"), day.alias("day"))
 
 
 def rubric_parts(line: Column) -> Column:
@@ -64,6 +67,10 @@ def rubric_parts(line: Column) -> Column:
     """
     starred = line.endswith("*")
     words = F.split(F.rtrim(F.when(starred, F.left(line, F.length(line) - 1)).otherwise(line)), " ")
+    return N.once(words, lambda w: _fields(w, starred))
+
+
+def _fields(words: Column, starred: Column) -> Column:
     n = F.size(words)
     at = lambda i: F.get(words, n - i)
     shaped = (n >= 4) & at(1).rlike("^[0-9.,]+$") & at(2).rlike("^[0-9:.,]+$") & at(3).rlike("^[0-9]+$")
@@ -84,12 +91,15 @@ def name_and_code(prefix: Column) -> tuple[Column, Column]:
 
 def total_amount(line: Column, kind: str) -> Column:
     """The amount before the label of a total line, as text; null for other lines."""
-    plain = _plain(line)
-    out = F.lit(None).cast("string")
-    for label in TOTAL_LABELS[kind]:
-        amount = F.left(plain, F.length(plain) - len(label))
-        out = F.when(plain.endswith(label) & amount.rlike("^[0-9.,]+$"), amount).otherwise(out)
-    return out
+
+    def amount(plain: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for label in TOTAL_LABELS[kind]:
+            before = F.left(plain, F.length(plain) - len(label))
+            out = F.when(plain.endswith(label) & before.rlike("^[0-9.,]+$"), before).otherwise(out)
+        return out
+
+    return F.when(line.endswith(":"), N.once(_plain(line), amount))
 
 
 def _part(c, pattern: str, group: int = 1) -> Column:
@@ -147,7 +157,7 @@ def body_lines(groups: DataFrame) -> DataFrame:
     outside sections; a block heading ends the section.
     """
     lines = groups.where("group_no > 0").select(*GROUP, "page_no", F.posexplode("lines").alias("line_no", "line"))
-    known = F.when(F.col("line") == "Folha Mensal", "MONTHLY_PAYROLL").otherwise(block_parts(F.col("line"))["kind"])
+    known = F.when(F.col("line") == "Folha Mensal", "MONTHLY_PAYROLL").otherwise(F.when(F.col("line").startswith("Comp "), block_parts(F.col("line"))["kind"]))
     section = F.lit(None).cast("string")
     for word, name in SECTIONS.items():
         section = F.when(F.col("line") == word, name).otherwise(section)
@@ -314,7 +324,7 @@ def parse_report(report_pages: DataFrame) -> dict[str, DataFrame]:
     groups = staged(group_pages(headers), "payroll-pages")
     headers = groups.drop("group_no")
     lines = staged(body_lines(groups), "payroll-lines")
-    found, totals = rubrics(lines), declared_totals(lines)
+    found, totals = staged(rubrics(lines), "payroll-rubrics"), declared_totals(lines)
     companies = payroll_companies(groups, lines, found, totals)
     reports = payroll_reports(report_pages, companies)
     return {

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from taxflow.functions import classify as R
 from taxflow.functions import normalize as N
-from taxflow.operators import match, merge, ordering, quality
+from taxflow.operators import match, merge, ordering, payroll, quality, rule_pages
 from taxflow.plans import catalogs, views
-from taxflow.plans.queries import _companies, query, table
+from taxflow.plans.queries import _companies, query, report_pages, table
 from taxflow.sources import feeds
+from taxflow.staging import staged
 from taxflow.streaming import streams
 
 
@@ -670,3 +671,69 @@ def label_forms(spark, sf_dir):
         "event_id", R.guide_read_status("guide").alias("guide"), R.has_penalty("fine").alias("penalty"), regime["canonical"].alias("regime"), regime["mapping_status"].alias("regime_status"), N.redact_map("m", ["senha"])["Senha"].alias("secret"), N.redact_map("m", ["senha"])["other"].alias("open"),
         F.size(F.get(quality.strip_diagnostics("errors"), F.lit(0))).alias("entries"), N.parse_maybe_nested_json(inner).alias("nested"), N.content_hash("user_id", "event_type").alias("digest"),
     )
+
+
+@query("""
+WITH o AS (SELECT DISTINCT o_orderkey, 'Resumo_' || strftime(o_orderdate, '%m-%Y') || '_' || o_custkey || '.pdf' AS file, strftime(o_orderdate, '%Y-%m') AS m FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT file, count(*) AS n_pages, count(*) AS n_companies, m AS payrolls, count(*) AS payroll, 0 AS employee, CASE WHEN count(*) FILTER (WHERE o_orderkey % 7 = 0) > 0 THEN 'NET_TOTAL_MISSING=' || count(*) FILTER (WHERE o_orderkey % 7 = 0) ELSE '' END AS company_codes FROM o GROUP BY file, m
+""")
+def report_summary(spark, sf_dir):
+    out = payroll.parse_report(report_pages(spark, sf_dir))
+    found = views.report_summary(out["reports"], out["companies"], out["warnings"])
+    codes = F.array_join(F.transform(F.map_entries("company_warning_codes"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return found.select("file", "n_pages", "n_companies", F.array_join("payrolls", ",").alias("payrolls"), "payroll", F.col("employee").cast("int").alias("employee"), codes.alias("company_codes"))
+
+
+@query("""
+SELECT 'rubric ' || CASE WHEN l_returnflag = 'R' THEN 'INFORMATIONAL' ELSE 'EARNINGS' END AS kind, count(*) AS n, CAST(sum(630) AS BIGINT) AS minutes, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents FROM lineitem GROUP BY 1
+UNION ALL SELECT 'section ' || f, count(*), 0, CAST(sum(v) AS BIGINT) FROM (SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'INFORMATIONAL' ELSE 'EARNINGS' END AS f, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS v FROM lineitem GROUP BY ALL) GROUP BY f
+UNION ALL SELECT 'block MONTHLY_PAYROLL', count(DISTINCT l_orderkey), 0, 0 FROM lineitem UNION ALL SELECT 'warning NET_TOTAL_MISSING', count(DISTINCT l_orderkey), 0, 0 FROM lineitem WHERE l_orderkey % 7 = 0
+""")
+def payroll_frames(spark, sf_dir):
+    """Numbers and sums of the rubrics, sections, blocks and warnings of all report pages."""
+    out = payroll.parse_report(report_pages(spark, sf_dir))
+    cents = lambda c: F.sum((F.col(c) * 100).cast("long")).alias("cents")
+    n, none = F.count(F.lit(1)).alias("n"), F.lit(0).cast("long")
+    named = lambda prefix, c: F.concat(F.lit(prefix + " "), c).alias("kind")
+    return (
+        out["rubrics"].groupBy(named("rubric", F.col("section"))).agg(n, F.sum("minutes").alias("minutes"), cents("calculated"))
+        .unionByName(out["sections"].where("size(warnings) = 0").groupBy(named("section", F.col("section"))).agg(n, none.alias("minutes"), cents("declared")))
+        .unionByName(out["blocks"].groupBy(named("block", F.col("block_type"))).agg(n, none.alias("minutes"), none.alias("cents")))
+        .unionByName(out["warnings"].groupBy(named("warning", F.col("code"))).agg(n, none.alias("minutes"), none.alias("cents")))
+    )
+
+
+@query("""
+WITH p AS (SELECT *, p_partkey % 4 AS k, lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS c FROM part)
+SELECT p_partkey, c AS cnae, 'Comércio de ' || p_name AS description, ['COMERCIO'] AS activity_types, 'PARSED' AS parse_status, CASE k WHEN 0 THEN 'ALLOWED' WHEN 1 THEN 'PROHIBITED' ELSE 'UNKNOWN' END AS presumed_status, CASE WHEN k < 2 THEN 8.0 END AS irpj_rate,
+  CASE k WHEN 0 THEN 'MANDATORY' WHEN 1 THEN 'NOT_MANDATORY' WHEN 2 THEN 'ALLOWED' ELSE 'UNKNOWN' END AS actual_profit_status, CASE k WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false END AS actual_profit_mandatory,
+  CASE k WHEN 0 THEN 'ALLOWED' WHEN 1 THEN 'NOT_ALLOWED' END AS mei_status, CASE WHEN k = 0 THEN p_name END AS occupation, CASE WHEN k = 3 THEN [p_type] ELSE [] END AS unmapped_obligations, CASE WHEN k = 2 THEN 'EMPTY' ELSE 'PARSED' END AS general_status,
+  2 AS hits, CAST(p_partkey AS VARCHAR) AS activity_id, ['PJ em Geral', 'Optante SIMEI'] AS groups FROM p
+""")
+def rule_records(spark, sf_dir):
+    """Parts written as rule pages of all kinds, and read back as one record each, with the hits of a search page and the tabs."""
+    k, name, code = F.col("p_partkey") % 4, F.col("p_name"), F.lpad(F.col("p_partkey").cast("string"), 7, "0")
+    shown = F.regexp_replace(code, r"^(\d{4})(\d)(\d{2})$", "$1-$2/$3")
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    hit = lambda i: F.concat(F.lit('<tr><td><input name="idcnae" value="'), F.col("p_partkey").cast("string"), F.lit(f'{i}"/>'), shown, F.lit("</td>"), cell(name), F.lit("</tr>"))
+    owed = F.when(k == 3, F.concat(F.lit("<tr>"), cell(F.col("p_type")), cell(F.lit("-")), F.lit("</tr>"))).when(k == 2, F.lit("")).otherwise(F.lit("<tr><td>EFD-Reinf</td><td>-</td></tr>"))
+    kinds = {
+        "detail": F.concat(F.lit('<div data-econet-id="'), F.col("p_partkey").cast("string"), F.lit('">CNAE: '), shown, F.lit(" Descricao: Com&eacute;rcio de "), name, F.lit("</div>")),
+        "presumed": F.concat(F.lit("<p>Lucro Presumido: "), F.when(k == 0, "permitida").when(k == 1, "impedida").otherwise("nada"), F.when(k < 2, ". IRPJ: 8,00%").otherwise("."), F.lit("</p>")),
+        "actual_quarter": F.concat(F.lit("Lucro Real: "), F.when(k == 0, "obrigatoria").when(k == 1, "nao obrigatoria").when(k == 2, "possibilidade").otherwise("sem inferencia automatica")),
+        "actual_estimate": F.lit("Lucro Real: sem inferencia automatica"),
+        "mei": F.when(k == 0, F.concat(F.lit("MEI: possivel o enquadramento. Ocupacao correspondente: "), name, F.lit("."))).when(k == 1, "MEI: nao e possivel o enquadramento como Microempreendedor Individual"),
+        "obligations_general": F.concat(F.lit('PJ em Geral<table class="tabelaResultados"><tr><td>Obrigacao</td><td>x</td></tr>'), owed, F.lit("</table>")),
+        "search": F.concat(F.lit('<table class="tabela-busca"><tr><td>CNAE</td><td>Descricao</td></tr>'), hit(0), hit(1), F.lit("</table>")),
+        "tabs": F.lit('PJ em Geral<b class="grupo-obrigacoes">PJ em Geral</b><b class="grupo-obrigacoes">Optante SIMEI</b>'),
+    }
+    pages = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), html.alias("html")) for kind, html in kinds.items()]))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_key"), pages.alias("x")).select("page_key", "x.kind", "x.html")
+    texts = staged(rule_pages.page_texts(p), "rule-texts")
+    rules = rule_pages.attach_activity(rule_pages.normalized_rules(texts))
+    hits = rule_pages.search_results(texts).where("size(errors) = 0").groupBy("page_key").agg(F.count(F.lit(1)).cast("int").alias("hits"))
+    out = rules.hint("merge").join(hits.hint("merge"), "page_key").join(rule_pages.obligation_tabs(texts).select("page_key", "groups").hint("merge"), "page_key")
+    return out.select(
+        F.col("page_key").alias("p_partkey"), "cnae", "description", "activity_types", "parse_status", F.col("presumed_profit.status").alias("presumed_status"), F.col("presumed_profit.irpj_rate").cast("double").alias("irpj_rate"), "actual_profit_status", "actual_profit_mandatory",
+        F.col("mei.status").alias("mei_status"), F.col("mei.occupation").alias("occupation"), "unmapped_obligations", F.col("obligations_general.status").alias("general_status"), "hits", "activity_id", "groups",
+    )

@@ -481,6 +481,12 @@ SELECT 'Resumo_' || strftime(o_orderdate, '%m-%Y') || '_' || o_custkey || '.pdf'
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderdate
 """)
 def payroll_companies(spark, sf_dir):
+    found = payroll.parse_report(report_pages(spark, sf_dir))["companies"]
+    cents = lambda c: (F.col(c) * 100).cast("long")
+    return found.select("file", "company_code", "payroll", "assessment", "n_rubrics", cents("gross").alias("gross_cents"), cents("informational").alias("informational_cents"), "confidence")
+
+
+def report_pages(spark, sf_dir) -> DataFrame:
     """Order lines written as report pages (one an order; returned lines are informational), a file a month and customer, and read back."""
     money = lambda c: F.translate(F.format_number(c, 2), ",.", ".,")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -499,10 +505,7 @@ def payroll_companies(spark, sf_dir):
     )
     file = F.concat(F.lit("Resumo_"), F.date_format("o_orderdate", "MM-yyyy"), F.lit("_"), F.col("o_custkey").cast("string"), F.lit(".pdf"))
     # Both sides of the join are tables of the same growth; it is left to the sort-merge join.
-    pages = o.join(part.hint("merge"), "o_orderkey").select(file.alias("file"), F.col("o_orderkey").alias("page_no"), text.alias("text"))
-    found = payroll.parse_report(pages)["companies"]
-    cents = lambda c: (F.col(c) * 100).cast("long")
-    return found.select("file", "company_code", "payroll", "assessment", "n_rubrics", cents("gross").alias("gross_cents"), cents("informational").alias("informational_cents"), "confidence")
+    return o.join(part.hint("merge"), "o_orderkey").select(file.alias("file"), F.col("o_orderkey").alias("page_no"), text.alias("text"))
 
 
 @query("""
