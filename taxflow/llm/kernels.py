@@ -20,9 +20,9 @@ SLICE_BYTES = 1 << 20
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+# Two bases, for hashes that are independent of each other.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,30 +41,30 @@ _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, up to n."""
+def powers(n: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a hash base and of its inverse, up to n."""
     size = 1 << max(20, int(n).bit_length())
-    if size not in _powers:
-        one = np.full(size, _BASE, dtype=np.uint64)
-        inv = np.full(size, _INVERSE, dtype=np.uint64)
+    if (size, base) not in _powers:
+        one = np.full(size, np.uint64(_BASES[base]), dtype=np.uint64)
+        inv = np.full(size, np.uint64(pow(_BASES[base], -1, 1 << 64)), dtype=np.uint64)
         one[0] = inv[0] = 1
         if size > 1 << 22:
             return np.cumprod(one), np.cumprod(inv)
-        _powers[size] = np.cumprod(one), np.cumprod(inv)
-    return _powers[size]
+        _powers[size, base] = np.cumprod(one), np.cumprod(inv)
+    return _powers[size, base]
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
+def prefix(values: np.ndarray, base: int = 0) -> np.ndarray:
     """Running polynomial hash sums; see ``span_hash``."""
-    up, _ = powers(len(values))
+    up, _ = powers(len(values), base)
     out = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values * up[: len(values)], out=out[1:])
     return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end], equal for equal runs wherever they stand."""
-    _, down = powers(len(sums))
+def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0) -> np.ndarray:
+    """Hash of values[start:end], equal for equal runs wherever they stand; ``base`` as for ``prefix``."""
+    _, down = powers(len(sums), base)
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 

@@ -7,7 +7,8 @@ every window is shuffled:
 * In each window the least gram of ``gram`` symbols is chosen (winnowing).
   Equal windows choose the same gram, so a window can only be repeated if its
   gram is.  Consecutive windows with one chosen gram form a *range*; a range is
-  known by its gram and by the hash of all symbols that its windows cover.
+  known by its gram and by two independent 64-bit hashes of all symbols that its
+  windows cover, so spans count as equal by 128 bits of their content.
 * Where a range as a whole occurs twice, all of its windows are repeated.
 * Other ranges of a repeated gram may be repeated in part.  One occurrence of
   each such range sends its content, and the operator finds out which of its
@@ -57,23 +58,26 @@ class Ranges:
     doc: np.ndarray
     gram: np.ndarray
     rid: np.ndarray
+    chk: np.ndarray
     sums: np.ndarray
+    second: np.ndarray  # sums of the other base
     first: np.ndarray  # index of each text's first symbol, and the end
 
 
 def find_ranges(data: np.ndarray, offsets: np.ndarray, shape: Shape) -> Ranges:
     if shape.unit == "word":
         words = K.Words(data, offsets)
-        sums, first, doc = K.prefix(words.hashes()), words.first, words.doc
+        values, first, doc = words.hashes(), words.first, words.doc
     else:
         base = int(offsets[0])
         first = offsets - base
-        sums = K.prefix(K.byte_values(data[base : int(offsets[-1])]))
+        values = K.byte_values(data[base : int(offsets[-1])])
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    sums, second = K.prefix(values), K.prefix(K.mix(values + np.uint64(29)), 1)
     n, width = len(doc) - shape.length + 1, shape.length - shape.gram + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return Ranges(none, none, none, none, none.view(np.uint64), none.view(np.uint64), sums, first)
+        return Ranges(none, none, none, none, *[none.view(np.uint64)] * 3, sums, second, first)
     grams = K.window_hash(sums, shape.gram)
     at = np.concatenate([K.winnow(grams[s : s + _STEP + width - 1], width) + s for s in range(0, n, _STEP)])
     valid = doc[:n] == doc[shape.length - 1 :]
@@ -85,8 +89,9 @@ def find_ranges(data: np.ndarray, offsets: np.ndarray, shape: Shape) -> Ranges:
     last = first[doc[lo] + 1] - shape.length + 1
     count = np.minimum(stop, last) - lo
     gram = grams[at[lo]]
-    content = K.span_hash(sums, lo, lo + count - 1 + shape.length)
-    return Ranges(lo, count, at[lo], doc[lo], gram, K.mix(gram + np.uint64(11)) ^ content, sums, first)
+    end = lo + count - 1 + shape.length
+    rid = K.mix(gram + np.uint64(11)) ^ K.span_hash(sums, lo, end)
+    return Ranges(lo, count, at[lo], doc[lo], gram, rid, K.span_hash(second, lo, end, 1), sums, second, first)
 
 
 def _slices(batch: pa.RecordBatch, shape: Shape) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Ranges]]:
@@ -96,21 +101,21 @@ def _slices(batch: pa.RecordBatch, shape: Shape) -> Iterator[tuple[int, int, np.
 
 
 def _send_ranges(shape: Shape):
-    """(gram, rid, key, m): each distinct range of a document; m is 2 if the document has it more than once."""
+    """(gram, rid, chk, key, m): each distinct range of a document; m is 2 if the document has it more than once."""
 
     def run(batches):
         for batch in batches:
             keys = batch.column("key_").to_numpy()
             for lo, _, _, _, r in _slices(batch, shape):
-                order = np.lexsort((r.rid, r.doc))
-                rid, doc, gram = r.rid[order], r.doc[order], r.gram[order]
+                order = np.lexsort((r.chk, r.rid, r.doc))
+                rid, chk, doc, gram = r.rid[order], r.chk[order], r.doc[order], r.gram[order]
                 new = np.ones(len(rid), bool)
-                new[1:] = (rid[1:] != rid[:-1]) | (doc[1:] != doc[:-1])
+                new[1:] = (rid[1:] != rid[:-1]) | (chk[1:] != chk[:-1]) | (doc[1:] != doc[:-1])
                 begin = np.flatnonzero(new)
                 times = np.minimum(np.diff(np.append(begin, len(rid))), 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(K.signed(gram[begin])), pa.array(K.signed(rid[begin])), pa.array(keys[lo + doc[begin]]), pa.array(times, pa.int32())],
-                    names=["gram", "rid", "key_", "m"],
+                    [pa.array(K.signed(gram[begin])), pa.array(K.signed(rid[begin])), pa.array(K.signed(chk[begin])), pa.array(keys[lo + doc[begin]]), pa.array(times, pa.int32())],
+                    names=["gram", "rid", "chk", "key_", "m"],
                 )
 
     return run
@@ -124,43 +129,48 @@ def _chosen(batch: pa.RecordBatch, shape: Shape, column: str):
         for i in range(hi - lo):
             entries = lists[lo + i].as_py()
             if entries:
-                found = {np.uint64(e["rid"] & (2**64 - 1)): e for e in entries}
-                mine = range(begin[i], begin[i + 1])
-                yield lo + i, data[offsets[i] : offsets[i + 1]], r, [(j, found[r.rid[j]]) for j in mine if r.rid[j] in found]
+                found = {(e["rid"], e["chk"]): e for e in entries}
+                a, b = int(begin[i]), int(begin[i + 1])
+                mine = zip(range(a, b), zip(K.signed(r.rid[a:b]).tolist(), K.signed(r.chk[a:b]).tolist()))
+                yield lo + i, data[offsets[i] : offsets[i + 1]], r, [(j, found[x]) for j, x in mine if x in found]
 
 
 def _send_edges(shape: Shape, wide_only: bool):
-    """(rid, weight, edges): the hashes of a range's windows."""
+    """(rid, chk, weight, edges, second): two hashes of each of a range's windows."""
 
     def run(batches):
         for batch in batches:
-            rids, weights, edges = [], [], []
+            rids, chks, weights, edges, second = [], [], [], [], []
             for _, _, r, chosen in _chosen(batch, shape, "asked"):
                 done = set()
                 for j, entry in chosen:
-                    if entry["rid"] not in done and (entry["wide"] or not wide_only):
-                        done.add(entry["rid"])
+                    name = entry["rid"], entry["chk"]
+                    if name not in done and (entry["wide"] or not wide_only):
+                        done.add(name)
                         start = np.arange(r.lo[j], r.lo[j] + r.count[j])
-                        rids.append(entry["rid"])
+                        rids.append(name[0])
+                        chks.append(name[1])
+                        second.append(K.signed(K.span_hash(r.second, start, start + shape.length, 1)))
                         weights.append(entry["times"])
                         edges.append(K.signed(K.span_hash(r.sums, start, start + shape.length)))
-            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(weights, pa.int64()), pa.array(edges, pa.list_(pa.int64()))], names=["rid", "weight", "edges"])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (edges, second)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (rids, chks, weights)), *lists], names=["rid", "chk", "weight", "edges", "second"])
 
     return run
 
 
 def repeated_edges(asked_texts: DataFrame, shape: Shape, scratch: Scratch, wide_only: bool) -> DataFrame:
-    """(rid, parts): for ranges that occur once, which of their windows occur elsewhere.
+    """(rid, chk, parts): for ranges that occur once, which of their windows occur elsewhere.
 
-    Every window of the ranges is an edge of the de Bruijn graph, named by the
-    hash of its symbols; an edge that occurs twice is repeated.  Counts are
+    Every window of the ranges is an edge of the de Bruijn graph, named by both
+    hashes of its symbols; an edge that occurs twice is repeated.  Counts are
     summed before the shuffle, so a common edge is no hot key.
     """
-    sent = scratch.write(asked_texts.mapInArrow(_send_edges(shape, wide_only), "rid long, weight long, edges array<long>"), "edges")
-    rows = sent.select("rid", "weight", F.posexplode("edges").alias("off", "edge"))
-    often = rows.groupBy("edge").agg(F.sum("weight").alias("n")).where("n > 1").select("edge")
-    part = rows.where("weight = 1").join(often.hint("merge"), "edge").groupBy("rid").agg(F.collect_set("off").alias("offs"))
-    return part.select("rid", F.flatten(F.transform(F.array_sort("offs"), lambda o: F.array(o, o + 1))).alias("parts"))
+    sent = scratch.write(asked_texts.mapInArrow(_send_edges(shape, wide_only), "rid long, chk long, weight long, edges array<long>, second array<long>"), "edges")
+    rows = sent.select("rid", "chk", "weight", F.posexplode(F.arrays_zip("edges", "second")).alias("off", "e")).select("rid", "chk", "weight", "off", F.col("e.edges").alias("edge"), F.col("e.second").alias("twin"))
+    often = rows.groupBy("edge", "twin").agg(F.sum("weight").alias("n")).where("n > 1").select("edge", "twin")
+    part = rows.where("weight = 1").join(often.hint("merge"), ["edge", "twin"]).groupBy("rid", "chk").agg(F.collect_set("off").alias("offs"))
+    return part.select("rid", "chk", F.flatten(F.transform(F.array_sort("offs"), lambda o: F.array(o, o + 1))).alias("parts"))
 
 
 def _finish(shape: Shape):
@@ -214,28 +224,29 @@ def remove_repeats(docs: DataFrame, shape: Shape, resolve: Callable[[DataFrame,
     """(doc_id, n, n_removed, n_spans, kept_sha256) of every document.
 
     ``resolve`` gets the texts with the ranges that they are asked for and
-    returns (rid, parts).  ``wide``: a gram with more different ranges than that
+    returns (rid, chk, parts).  ``wide``: a gram with more different ranges than that
     is marked wide.  Rows with equal doc_id and text are one document.
     """
     scratch = Scratch(docs.sparkSession, label)
     texts = docs.select("doc_id", T.row_key().alias("key_"), "text")
-    sent = texts.select("key_", "text").mapInArrow(_send_ranges(shape), "gram long, rid long, key_ long, m int")
+    sent = texts.select("key_", "text").mapInArrow(_send_ranges(shape), "gram long, rid long, chk long, key_ long, m int")
     often = sent.groupBy("gram").agg(F.sum("m").alias("n")).where("n > 1").select("gram")
     met = scratch.write(sent.join(often.hint("merge"), "gram").distinct(), "met")
 
-    ranges = met.groupBy("gram", "rid").agg(F.sum("m").alias("times"), F.min("key_").alias("key_"))
+    ranges = met.groupBy("gram", "rid", "chk").agg(F.sum("m").alias("times"), F.min("key_").alias("key_"))
     ranges = scratch.write(ranges, "ranges")
     forks = ranges.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    asked = ranges.join(forks.hint("merge"), "gram").select("key_", F.struct("rid", F.least("times", F.lit(2)).alias("times"), (F.col("n") > wide).alias("wide")).alias("e"))
+    asked = ranges.join(forks.hint("merge"), "gram").select("key_", F.struct("rid", "chk", F.least("times", F.lit(2)).alias("times"), (F.col("n") > wide).alias("wide")).alias("e"))
     asked = scratch.write(asked.groupBy("key_").agg(F.collect_list("e").alias("asked")), "asked")
     # repeated rows are one document: only one of them answers, or its windows would meet themselves
     asked_texts = texts.select("key_", "text").join(asked.hint("shuffle_hash"), "key_").dropDuplicates(["key_"])
     parts = resolve(asked_texts, scratch)
 
-    once = ranges.where("times = 1").select("rid").join(parts.hint("merge"), "rid")
-    state = ranges.where("times > 1").select("rid", F.lit(None).cast("array<int>").alias("parts")).unionByName(once)
-    state = met.select("rid", "key_").distinct().join(state.hint("merge"), "rid")
-    state = state.groupBy("key_").agg(F.collect_list(F.struct("rid", "parts")).alias("repeated"))
+    name = ["rid", "chk"]
+    once = ranges.where("times = 1").select(*name).join(parts.hint("merge"), name)
+    state = ranges.where("times > 1").select(*name, F.lit(None).cast("array<int>").alias("parts")).unionByName(once)
+    state = met.select(*name, "key_").distinct().join(state.hint("merge"), name)
+    state = state.groupBy("key_").agg(F.collect_list(F.struct(*name, "parts")).alias("repeated"))
     state = scratch.write(state, "state")
     final = texts.join(state.hint("shuffle_hash"), "key_", "left").select("doc_id", "text", "repeated")
     kind = docs.schema["doc_id"].dataType.simpleString()

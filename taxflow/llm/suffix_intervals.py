@@ -77,23 +77,24 @@ def _send_contexts(shape: Shape):
             for _, raw, r, chosen in _chosen(batch, shape, "asked"):
                 done = set()
                 for j, entry in chosen:
-                    if entry["rid"] not in done and not entry["wide"]:
-                        done.add(entry["rid"])
+                    name = entry["rid"], entry["chk"]
+                    if name not in done and not entry["wide"]:
+                        done.add(name)
                         start = int(r.first[r.doc[j]])
                         a, b = int(r.lo[j]) - start, int(r.lo[j] + r.count[j]) - start - 1 + shape.length
-                        rows.append((int(r.gram[j].view(np.int64)), entry["rid"], entry["times"], int(r.at[j] - r.lo[j]), raw[a:b].tobytes()))
-            columns = list(zip(*rows)) if rows else [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["gram", "rid", "times", "at", "content"])
+                        rows.append((int(r.gram[j].view(np.int64)), *name, entry["times"], int(r.at[j] - r.lo[j]), raw[a:b].tobytes()))
+            columns = list(zip(*rows)) if rows else [()] * 6
+            kinds = [*[pa.int64()] * 4, pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["gram", "rid", "chk", "times", "at", "content"])
 
     return run
 
 
 def _resolve_groups(length: int):
-    def group(rows) -> Iterator[tuple[int, list[int]]]:
-        rights = [x[3][x[2] :] for x in rows]
-        lefts = [x[3][: x[2]][::-1] for x in rows]
-        for (rid, times, at, content), pairs in zip(rows, maximal_repeats(rights, lefts, length)):
+    def group(rows) -> Iterator[tuple[int, int, list[int]]]:
+        rights = [x[4][x[3] :] for x in rows]
+        lefts = [x[4][: x[3]][::-1] for x in rows]
+        for (rid, chk, times, at, content), pairs in zip(rows, maximal_repeats(rights, lefts, length)):
             if times == 1 and pairs:
                 parts: list[int] = []
                 for a, b in sorted((at - left, min(at + right, len(content)) - length + 1) for left, right in pairs):
@@ -101,13 +102,13 @@ def _resolve_groups(length: int):
                         parts[-1] = max(parts[-1], b)
                     else:
                         parts += [a, b]
-                yield rid, parts
+                yield rid, chk, parts
 
     def run(batches):
         key, held = None, []
         for batch in batches:
             out = []
-            for gram, *row in zip(*[batch.column(c).to_pylist() for c in ("gram", "rid", "times", "at", "content")]):
+            for gram, *row in zip(*[batch.column(c).to_pylist() for c in ("gram", "rid", "chk", "times", "at", "content")]):
                 if gram != key and held:
                     out += group(held)
                     held = []
@@ -120,8 +121,9 @@ def _resolve_groups(length: int):
     return run
 
 
-def _parts(out: list[tuple[int, list[int]]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int32()))], names=["rid", "parts"])
+def _parts(out: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
+    columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))]
+    return pa.RecordBatch.from_arrays(columns, names=["rid", "chk", "parts"])
 
 
 def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, wide: int = WIDE) -> DataFrame:
@@ -139,9 +141,9 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, wide: int = WIDE)
     shape = Shape("byte", length, max(1, min(GRAM, length - 1)))
 
     def resolve(texts: DataFrame, scratch: Scratch) -> DataFrame:
-        contexts = texts.mapInArrow(_send_contexts(shape), "gram long, rid long, times long, at int, content binary")
+        contexts = texts.mapInArrow(_send_contexts(shape), "gram long, rid long, chk long, times long, at int, content binary")
         dealt = contexts.repartition(partitions(texts.sparkSession), "gram").sortWithinPartitions("gram")
-        narrow = scratch.write(dealt.mapInArrow(_resolve_groups(length), "rid long, parts array<int>"), "intervals")
+        narrow = scratch.write(dealt.mapInArrow(_resolve_groups(length), "rid long, chk long, parts array<int>"), "intervals")
         return narrow.unionByName(repeated_edges(texts, shape, scratch, wide_only=True))
 
     found = remove_repeats(docs, shape, resolve, wide, label="suffixes")
