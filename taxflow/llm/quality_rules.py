@@ -73,7 +73,7 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
 BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 
 
-def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 500, repeats: int = 20) -> list[tuple[Rule, float, float]]:
+def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 500, repeats: int = 3) -> list[tuple[Rule, float, float]]:
     """(rule, seconds, share rejected) in the order to apply, measured on at most ``sample_rows`` rows.
 
     A rule's time is that of its measures and its condition on the sample's raw
