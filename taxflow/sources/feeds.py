@@ -114,16 +114,25 @@ def map_feed_company(bodies: DataFrame) -> DataFrame:
     return rows.withColumn("errors", F.array_compact(F.array(*missing)))
 
 
+# Names of the parts of a delivery item.
+DELIVERY_ITEM = (
+    "Nome string, Status string, EntCompetencia string, EntDtPrazo string, EntDtAtraso string, EntDtEntrega string, EntDtFinalizacao string, EntLastDH string, EntGuiaLida string, EntMulta string, RespEntrega string, "
+    "Config struct<EntID: string, ID: string, Tipo: string, DptoID: string, DptoNome: string, RespPrazoID: string, RespPrazo: string, RespEntregaID: string, RespEntrega: string>"
+)
+
+
 def map_delivery(df: DataFrame) -> DataFrame:
     """Typed delivery items from ``item``; ``errors`` names missing parts.  A department that isn't known is COMPARTILHADO."""
-    get = lambda path: N.trim_to_null(F.get_json_object("item", f"$.{path}"))
+    get = lambda path: N.trim_to_null(F.col(f"j_.{path}"))
     finalized, delivered = N.parse_datetime(get("EntDtFinalizacao")), N.parse_date(get("EntDtEntrega"))
     texts = {
         "external_delivery_id": "Config.EntID", "external_item_id": "Config.ID", "name": "Nome", "external_status": "Status", "competence_raw": "EntCompetencia",
         "department_external_id": "Config.DptoID", "department_name": "Config.DptoNome", "responsible_deadline_id": "Config.RespPrazoID", "responsible_deadline_name": "Config.RespPrazo",
         "responsible_delivery_id": "Config.RespEntregaID",
     }
-    rows = df.where("item IS NOT NULL").select(
+    # parsed once; values of any type are read as text
+    parsed = df.where("item IS NOT NULL").withColumn("j_", F.from_json("item", DELIVERY_ITEM))
+    rows = parsed.select(
         "period", "external_company_id", "cnpj", "company_name", "trade_name", *[get(path).alias(name) for name, path in texts.items()], F.upper(get("Config.Tipo")).alias("type"),
         F.coalesce(get("Config.RespEntrega"), get("RespEntrega")).alias("responsible_delivery_name"),
         N.parse_date(get("EntDtPrazo")).alias("due_date"), N.parse_date(get("EntDtAtraso")).alias("delay_date"), delivered.alias("delivered_on"), finalized.alias("finalized_at"),
