@@ -59,7 +59,7 @@ STAGES = [
     ("mixing sources", mix),
 ]
 
-#: No SQL can express the classifier; tests hold the stages against brute force.
+#: No SQL can express the classifier; tests hold its model, the join and decontamination against plain versions, the other two against SQL.
 ORACLE_SQL = None
 
 
