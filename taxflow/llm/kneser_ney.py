@@ -17,7 +17,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxflow.llm import text as T
@@ -121,14 +121,17 @@ def train(texts: DataFrame, scratch: Scratch) -> DataFrame:
     out = [empty, prob.select(F.lit("p").alias("kind"), F.lit(1).alias("length"), "gram", F.log("p").alias("value"))]
     for k in range(2, ORDER + 1):
         d = _discounts(counts[k])
-        context = counts[k].groupBy(F.substring("gram", 1, k - 1).alias("context")).agg(F.sum("c").alias("total"), F.sum(_by_count(d, "c")).alias("cut"))
-        context = scratch.write(context.select("context", "total", (F.col("cut") / F.col("total")).alias("gamma")), f"g-{k - 1}")
+        seen = counts[k].select("gram", "c", _by_count(d, "c").alias("cut"), F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
+        # a context has at most as many rows as there are characters, so its totals come from a window, by one exchange
+        mine = Window.partitionBy("context")
+        seen = seen.select("*", F.sum("c").over(mine).alias("total"), F.sum("cut").over(mine).alias("spared"), F.row_number().over(mine.orderBy("gram")).alias("nth"))
         lower = prob.select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
-        seen = counts[k].select("gram", "c", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
-        seen = seen.join(context.hint("merge"), "context").join(lower.hint("merge"), "suffix")
-        prob = scratch.write(seen.select("gram", ((F.col("c") - _by_count(d, "c")) / F.col("total") + F.col("gamma") * F.col("lower")).alias("p")), f"p-{k}")
+        seen = seen.withColumn("gamma", F.col("spared") / F.col("total")).join(narrow_side(lower), "suffix")
+        p = (F.col("c") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("lower")
+        prob = scratch.write(seen.select("gram", p.alias("p"), "context", F.when(F.col("nth") == 1, F.col("gamma")).alias("gamma")), f"p-{k}")
         out.append(prob.select(F.lit("p").alias("kind"), F.lit(k).alias("length"), "gram", F.log("p").alias("value")))
-        out.append(context.select(F.lit("g").alias("kind"), F.lit(k - 1).alias("length"), F.col("context").alias("gram"), F.log("gamma").alias("value")))
+        first = prob.where("gamma IS NOT NULL")
+        out.append(first.select(F.lit("g").alias("kind"), F.lit(k - 1).alias("length"), F.col("context").alias("gram"), F.log("gamma").alias("value")))
     return scratch.write(reduce(DataFrame.unionByName, out), "model")
 
 
@@ -273,7 +276,7 @@ def classify(docs: DataFrame, labels: DataFrame, shard_entries: int = SHARD_ENTR
     held = scratch.write(good.where(held_out), "held")
     model = train(docs.select("doc_id", "text").join(fit, F.col("doc_id") == F.col("id_"), "left_semi"), scratch)
     scored = scratch.write(log_perplexity(docs, model, scratch, shard_entries), "scores")
-    scratch.drop("model", *[f"{t}-{k}" for k in range(1, ORDER + 1) for t in ("counts", "p")], *[f"g-{k}" for k in range(1, ORDER)])
+    scratch.drop("model", *[f"{t}-{k}" for k in range(1, ORDER + 1) for t in ("counts", "p")])
 
     known = scored.join(held, F.col("doc_id") == F.col("id_"), "left_semi").where("log_perplexity IS NOT NULL")
 
