@@ -416,7 +416,7 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 5, threshold: Fraction | str
     profile = scratch.write(narrow.mapInArrow(_profiles(k), "nid long, size long, s1 long, s2 long, point binary"), "profile")
     filled = profile.where("size > 0")
     classes = scratch.write(filled.groupBy("size", "s1", "s2").agg(F.min("nid").alias("cid")), "classes")
-    member_of = filled.select("nid", "size", "s1", "s2").distinct().join(classes.hint("merge"), ["size", "s1", "s2"]).select("nid", "cid").distinct()
+    member_of = filled.select("nid", "size", "s1", "s2").join(classes.hint("merge"), ["size", "s1", "s2"]).select("nid", "cid").distinct()
     member_of = scratch.write(member_of, "members")
 
     dealt = narrow.mapInArrow(_signatures(k, threshold), "sig long, nid long").repartition(parts, "sig").sortWithinPartitions("sig", "nid")
