@@ -18,7 +18,8 @@ scheme of its band and of the next.  Blocks are joined in two rounds:
    those that its point allows the least is verified (a star, so the rows grow
    with the members, not with their square); verified links give components;
 2. only in blocks that still span several components, members of different
-   components are joined through the R-tree.  Pairs inside one component need
+   components are joined through the R-tree.  Members that share many blocks
+   are a pair only in the least of them, as far as both know their least blocks.  Pairs inside one component need
    no test: they cannot change the result.
 
 Documents with equal sets are one class and are joined once.  Points take a
@@ -33,7 +34,8 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxflow.llm import kernels as K
@@ -51,6 +53,9 @@ FAN = 8
 TRIED = 4096
 #: Members kept in one row.
 CHUNK = 64
+#: Least blocks of a member that travel with it, so that a pair which shares many blocks is found in one of them.
+LEAST = 16
+_NO_BLOCK = 2**63 - 1
 #: Spare groups, as a share of T + 1, so that documents can leave out their empty groups.
 SPARE = 0.04
 
@@ -319,11 +324,28 @@ def rtree_join(points: np.ndarray, other: np.ndarray, threshold: Fraction) -> It
             open_.append((left, right - 1, i[at], j))
 
 
+def _least_blocks(column: pa.Array) -> np.ndarray:
+    """A row of LEAST blocks for each list, filled up with the greatest number."""
+    out = np.full((len(column), LEAST), _NO_BLOCK)
+    n = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    out[np.arange(LEAST) < n[:, None]] = column.flatten().to_numpy()
+    return out
+
+
+def _met_before(block: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether two members' least blocks have one in common that is less than ``block``."""
+    return ((a[:, :, None] == b[:, None, :]) & (a < block)[:, :, None]).any((1, 2))
+
+
 def _cross(threshold: Fraction):
-    """From rows sorted by (block, pb, qb): pairs of different components within a block."""
+    """From rows sorted by (block, pb, qb): pairs of different components within a block.
+
+    Nothing is left out in the least block that two members share, so every pair
+    comes out at least once.
+    """
 
-    def emit(rows):
-        cid, comp, side, fine = rows
+    def emit(block, rows):
+        cid, comp, side, fine, least = rows
         point = fine.reshape(len(fine), DIMS // FOLDED, FOLDED).sum(1)
         size = point.sum(1)
         left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
@@ -334,6 +356,8 @@ def _cross(threshold: Fraction):
                 keep &= cid[i] < cid[j]
             i, j = i[keep], j[keep]
             keep = _possible(threshold, np.minimum(fine[i], fine[j]).sum(1), size[i] + size[j])
+            i, j = i[keep], j[keep]
+            keep = ~_met_before(block, least[i], least[j])
             a, b = cid[i][keep], cid[j][keep]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -342,17 +366,17 @@ def _cross(threshold: Fraction):
         key, held = None, []
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in ("block", "pb", "qb")])
-            rows = [batch.column(c).to_numpy() for c in ("cid", "comp", "side")] + [_points(batch.column("point"))]
+            rows = [batch.column(c).to_numpy() for c in ("cid", "comp", "side")] + [_points(batch.column("point")), _least_blocks(batch.column("least"))]
             begin = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))) if batch.num_rows else []
             for lo, hi in zip(begin, [*begin[1:], batch.num_rows]):
                 now, part = tuple(keys[:, lo]), [x[lo:hi] for x in rows]
                 if now != key and held:
-                    yield from emit([np.concatenate(x) for x in zip(*held)])
+                    yield from emit(key[0], [np.concatenate(x) for x in zip(*held)])
                     held = []
                 key = now
                 held.append(part)
         if held:
-            yield from emit([np.concatenate(x) for x in zip(*held)])
+            yield from emit(key[0], [np.concatenate(x) for x in zip(*held)])
 
     return run
 
@@ -461,8 +485,11 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 5, threshold: Fraction | str
     rows = rows.join(open_blocks.hint("merge"), "block")
     mine = F.pmod(F.xxhash64("cid"), F.col("n_parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))
-    rows = with_point(rows, "cid", "point").select("block", "cid", "comp", "point", mine.alias("p"), other.alias("o")).select(
-        "block", F.least("p", "o").alias("pb"), F.greatest("p", "o").alias("qb"), F.signum(F.col("p") - F.col("o")).cast("int").alias("side"), "cid", "comp", "point"
+    nth = F.row_number().over(Window.partitionBy("cid").orderBy("block"))
+    least = F.collect_list(F.when(F.col("nth") <= LEAST, F.col("block"))).over(Window.partitionBy("cid"))
+    rows = rows.withColumn("nth", nth).withColumn("least", least)
+    rows = with_point(rows, "cid", "point").select("block", "cid", "comp", "point", "least", mine.alias("p"), other.alias("o")).select(
+        "block", F.least("p", "o").alias("pb"), F.greatest("p", "o").alias("qb"), F.signum(F.col("p") - F.col("o")).cast("int").alias("side"), "cid", "comp", "point", "least"
     )
     rows = rows.repartition(parts, "block", "pb", "qb").sortWithinPartitions("block", "pb", "qb")
     pairs = rows.mapInArrow(_cross(threshold), "a long, b long").distinct()
