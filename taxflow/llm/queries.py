@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from taxflow.llm import debruijn, decontaminate, kneser_ney, language_crf, line_dedup, mixing, ngram_join, quality_rules, style_tree, suffix_intervals
+from taxflow.llm import collision_search, debruijn, decontaminate, fill_in_middle, kneser_ney, language_crf, line_dedup, merkle, mixing, ngram_join, quality_rules, style_tree, suffix_intervals
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,20 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_intervals.suffix_array_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(_table(spark, sf_dir, "documents"), merkle.tampered_text()).drop("proof")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_search.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -66,6 +81,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_line_dedup": op9_line_dedup,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_nearest_neighbours": op13_nearest_neighbours,
     }
 
 
@@ -74,4 +92,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality_rules": quality_rules.ORACLE_SQL,
         "op5_mixing_sources": mixing.ORACLE_SQL,
         "op9_line_dedup": line_dedup.ORACLE_SQL,
+        "op11_merkle_manifest": merkle.ORACLE_SQL,
+        "op12_fill_in_middle": fill_in_middle.ORACLE_SQL,
     }
