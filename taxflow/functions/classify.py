@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxflow.functions import normalize as N
+from taxflow.staging import small_side
 from taxflow.functions.normalize import col
 
 # Codes and accent-free labels of tax regimes.
@@ -168,18 +169,23 @@ def obligation_name(c) -> Column:
 
 
 def map_obligation(df: DataFrame, name: str, obligations: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """Adds obligation_id, obligation_code, mapping_status: by normalised code, else by alias."""
+    """Adds obligation_id, obligation_code, mapping_status (and the obligation's department_default, where there is one): by normalised code, else by alias.
+
+    The obligations are few, so that the rows, whose names are a dozen very common ones, aren't shuffled by them.
+    """
     aliases = OBLIGATION_ALIASES if aliases is None else aliases
-    codes = obligations.groupBy(obligation_name("code").alias("norm_")).agg(F.max_by(F.struct("obligation_id", "code"), "obligation_id").alias("exact_"))
-    exact = obligations.groupBy(F.col("code").alias("alias_")).agg(F.count(F.lit(1)).alias("n_"), F.min("obligation_id").alias("id_"))
+    more = [c for c in ("department_default",) if c in obligations.columns]
+    codes = obligations.groupBy(obligation_name("code").alias("norm_")).agg(F.max_by(F.struct("obligation_id", "code", *more), "obligation_id").alias("exact_"))
+    exact = obligations.groupBy(F.col("code").alias("alias_")).agg(F.count(F.lit(1)).alias("n_"), F.min_by(F.struct("obligation_id", *more), "obligation_id").alias("one_"))
     staged = df.withColumn("norm_", obligation_name(name)).withColumn("alias_", F.try_element_at(_lookup(aliases), F.col("norm_")))
-    joined = staged.join(codes.hint("shuffle_hash"), "norm_", "left").join(exact.hint("shuffle_hash"), "alias_", "left")
+    joined = staged.join(small_side(codes), "norm_", "left").join(small_side(exact), "alias_", "left")
     hit, one = F.col("exact_").isNotNull(), F.col("n_") == 1
     return joined.select(
         *[joined[c] for c in df.columns],
-        F.when(hit, F.col("exact_.obligation_id")).when(one, F.col("id_")).alias("obligation_id"),
+        F.when(hit, F.col("exact_.obligation_id")).when(one, F.col("one_.obligation_id")).alias("obligation_id"),
         F.when(hit, F.col("exact_.code")).otherwise(F.col("alias_")).alias("obligation_code"),
         F.when(hit | one, "MAPPED").when(F.col("n_") > 1, "AMBIGUOUS").otherwise("UNMAPPED").alias("mapping_status"),
+        *[F.when(hit, F.col(f"exact_.{c}")).when(one, F.col(f"one_.{c}")).alias(c) for c in more],
     )
 
 
@@ -259,4 +265,4 @@ def run_status(received, failures, errors, truncated=None, policy: str = "delive
 def applicable_rules(companies: DataFrame, rules: DataFrame, regimes: tuple[str, ...] = REGIMES) -> DataFrame:
     """Companies with the rules of their regime; a rule that names none counts for each of ``regimes``."""
     general = rules.where("regime IS NULL").withColumn("regime", F.explode(F.array(*[F.lit(r) for r in regimes])))
-    return companies.hint("shuffle_hash").join(rules.where("regime IS NOT NULL").unionByName(general.select(rules.columns)), "regime")
+    return companies.join(small_side(rules.where("regime IS NOT NULL").unionByName(general.select(rules.columns))), "regime")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taxflow.functions import classify as R
 from taxflow.operators.ordering import latest_per_key
 
 
@@ -94,29 +95,46 @@ def merge_rule_cache(cache: DataFrame, batch: DataFrame, key: str, columns: list
     return after, both.where(seen).select(key, "op")
 
 
-def delete_registry(target: DataFrame, events: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(next, ops) of soft deletes, one event a company: matched by cnpj, else by external_id; a repeat is ALREADY_DELETED."""
-    by_cnpj = events.where("cnpj IS NOT NULL").groupBy("organization_id", "cnpj").agg(F.max(F.struct(F.coalesce("deleted_at", now).alias("at"))).alias("a_"))
-    by_id = events.where("external_id IS NOT NULL").groupBy("organization_id", "external_id").agg(F.max(F.struct(F.coalesce("deleted_at", now).alias("at"))).alias("b_"))
-    both = target.join(by_cnpj, ["organization_id", "cnpj"], "left").join(by_id, ["organization_id", "external_id"], "left")
-    at = F.coalesce("a_.at", "b_.at")
-    both = both.withColumn("at_", at).withColumn("op", F.when(F.col("at_").isNull(), None).when(F.col("active"), "DELETED").otherwise("ALREADY_DELETED"))
-    hit = F.coalesce(F.col("op") == "DELETED", F.lit(False))
-    changed = {"active": F.when(hit, False).otherwise(F.col("active")), "deleted_at": F.when(hit, F.col("at_")).otherwise(F.col("deleted_at"))}
-    after = both.select(*[changed[c].alias(c) if c in changed else c for c in target.columns])
-    return after, both.where("op IS NOT NULL").select("organization_id", "cnpj", "op")
+def delete_registry(target: DataFrame, events: DataFrame, now: Column, order: tuple[str, ...] = ("deleted_at",)) -> tuple[DataFrame, DataFrame]:
+    """(next, ops) of soft deletes: an event means the company of its cnpj, and only where there is none that of its external id.
 
-
-def merge_status(deliveries: DataFrame, statuses: DataFrame, now: Column, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(next, ops) of obligation statuses from deliveries of type O that are MAPPED; confidence 100 if confirmed, else 70."""
+    ``target``: organization_id, cnpj, external_id, active, deleted_at, sync_status.  ``events``: organization_id, cnpj, external_id, deleted_at
+    and the columns of ``order``; of several for one company the last counts.  Operations: DELETED, ALREADY_DELETED (it was inactive and
+    in the deleted state before; its time moves), and one NOT_FOUND row for each event that no company fits.
+    """
+    events = events.select("organization_id", "cnpj", "external_id", "deleted_at", F.struct(*[x for c in order for x in (F.col(c).isNotNull(), F.col(c))]).alias("order_"))
+    known = target.select("organization_id", "cnpj", F.lit(True).alias("known_"))
+    by_cnpj = events.join(known.hint("merge"), ["organization_id", "cnpj"], "left")
+    ids = target.where("external_id IS NOT NULL").groupBy("organization_id", "external_id").agg(F.min("cnpj").alias("own_"))
+    rest = by_cnpj.where("known_ IS NULL").join(ids.hint("merge"), ["organization_id", "external_id"], "left")
+    columns = ["organization_id", "cnpj", "external_id", "deleted_at", "order_", "own_"]
+    both = by_cnpj.where("known_").withColumn("own_", F.col("cnpj")).select(*columns).unionByName(rest.select(*columns))
+    last = both.where("own_ IS NOT NULL").groupBy("organization_id", F.col("own_").alias("cnpj")).agg(F.max_by(F.struct(F.coalesce("deleted_at", now).alias("at")), "order_").alias("hit_"))
+    joined = target.join(last.hint("merge"), ["organization_id", "cnpj"], "left")
+    hit = F.col("hit_").isNotNull()
+    done = ~F.coalesce("active", F.lit(False)) & F.col("sync_status").eqNullSafe(F.lit(DELETED))
+    changed = {"active": F.when(hit, False).otherwise(F.col("active")), "deleted_at": F.when(hit, F.col("hit_.at")).otherwise(F.col("deleted_at")), "sync_status": F.when(hit, DELETED).otherwise(F.col("sync_status"))}
+    after = joined.select(*[changed[c].alias(c) if c in changed else c for c in target.columns])
+    ops = joined.where(hit).select("organization_id", "cnpj", "external_id", F.when(done, "ALREADY_DELETED").otherwise("DELETED").alias("op"))
+    missed = both.where("own_ IS NULL").select("organization_id", "cnpj", "external_id", F.lit("NOT_FOUND").alias("op"))
+    return after, ops.unionByName(missed)
+
+
+def merge_status(deliveries: DataFrame, statuses: DataFrame, now: Column, dry_run: bool = False, order: tuple[str, ...] = ("delivery_id",)) -> tuple[DataFrame, DataFrame]:
+    """(next, ops) of obligation statuses from deliveries of type O that are MAPPED; the last by ``order`` counts.
+
+    Confidence is 70 for a status that was concluded by hand and 100 for all others.  The department is that of the delivery where its
+    name (``department_name``) is known, else the obligation's ``department_default``; without these columns it is ``department``.
+    """
     keys = ["company_id", "period_id", "obligation_id"]
     good = deliveries.where("type = 'O' AND mapping_status = 'MAPPED'")
-    good = last_of_batch(good, keys, ["delivery_id"])
+    good = last_of_batch(good, keys, list(order))
+    named = {"department_name", "department_default"} <= set(deliveries.columns)
     batch = good.select(
         *keys,
         F.col("normalized_status").alias("status"),
-        "department",
-        F.when(F.col("normalized_status") == "CONFIRMADO_API", 100).otherwise(70).cast("decimal(5,2)").alias("confidence"),
+        (R.map_department("department_name", F.col("department_default")) if named else F.col("department")).alias("department"),
+        F.when(F.col("normalized_status") == "CONFERENCIA_MANUAL", 70).otherwise(100).cast("decimal(5,2)").alias("confidence"),
         F.coalesce("finalized_at", F.col("delivered_on").cast("timestamp")).alias("delivered_at"),
     )
     return merge_snapshot(statuses, batch, keys, ["status", "department", "confidence", "delivered_at"], now, detect=False, dry_run=dry_run)
@@ -124,6 +142,7 @@ def merge_status(deliveries: DataFrame, statuses: DataFrame, now: Column, dry_ru
 
 # Fixed values of registry rows and of alerts about regimes.
 SYNCED, DELETED = "SYNCED", "DELETED_IN_SOURCE"
+REGISTRY_STATE = ("active", "deleted_at", "sync_status")
 REGIME_ALERT = {"code": "REGIME_DIVERGENCE", "title": "Divergencia de regime tributario", "severity": "MEDIUM", "department": "FISCAL"}
 
 
@@ -132,7 +151,7 @@ def upsert_registry(target: DataFrame, batch: DataFrame, fields: list[str], now:
 
     So a row whose fields are equal is UPDATED if any of these three differs.
     """
-    forced = {"active": F.lit(True), "deleted_at": F.lit(None).cast("timestamp"), "sync_status": F.lit(SYNCED)}
+    forced = dict(zip(REGISTRY_STATE, (F.lit(True), F.lit(None).cast("timestamp"), F.lit(SYNCED))))
     rows = batch.select("organization_id", "cnpj", *fields, *[c.alias(n) for n, c in forced.items()])
     return merge_snapshot(target, rows, ["organization_id", "cnpj"], [*fields, *forced], now, dry_run=dry_run)
 

@@ -33,14 +33,6 @@ def split_not_found(df: DataFrame, message: str = "message") -> tuple[DataFrame,
     return df.where(~hit), df.where(hit)
 
 
-def gate_html(df: DataFrame, html: str, markers: list[str]) -> DataFrame:
-    """Adds ``gate``: OK, EMPTY, CAPTCHA, LOGIN or MARKER_MISSING."""
-    text = F.lower(N.unaccent(F.regexp_replace(F.coalesce(F.col(html), F.lit("")), "<[^>]*>", " ")))
-    missing = ~F.greatest(*[F.contains(text, F.lit(m)) for m in markers], F.lit(False)) if markers else F.lit(False)
-    gate = F.when(F.trim(text) == "", "EMPTY").when(F.contains(text, F.lit("captcha")), "CAPTCHA")
-    return df.withColumn("gate", gate.when(F.contains(text, F.lit("senha")) & missing, "LOGIN").when(missing, "MARKER_MISSING").otherwise("OK"))
-
-
 def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that more than one row has, with their number."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from taxflow.functions import classify as R
 from taxflow.functions import normalize as N
-from taxflow.operators import match, merge, ordering, payroll, quality, rule_pages
+from taxflow.operators import enrichment, match, merge, ordering, payroll, quality, rule_pages
 from taxflow.plans import views
 from taxflow.sources import assessments, feeds
+from taxflow.staging import small_side, staged
 
 Frames = dict[str, DataFrame]
 SCOPES = ("ALL", "DIFAL", "DOCUMENTS", "TASKS")
@@ -31,25 +32,31 @@ def resolve_tenant(orgs: DataFrame, slug: str | None = None) -> int:
 
 
 def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return rows.where(F.size("errors") == 0).drop("errors"), rows.where(F.size("errors") > 0)
+    return rows.where(F.size("errors") == 0).drop("errors"), rows.where(F.size("errors") > 0).drop("order_")
 
 
-def _snapshot(target: DataFrame, rows: DataFrame, keys: list[str], now: Column, dry_run: bool, rejected: DataFrame) -> Frames:
-    """Of rows with equal keys the last in input order counts; columns of the target decide what is tracked.
+def _numbered(df: DataFrame) -> DataFrame:
+    """Input rows with their place ``order_``: that of files, blocks and items where they are known, else that of the rows as they are read."""
+    own = feeds.place(df)
+    return df.withColumn("order_", own[0] if own else F.monotonically_increasing_id())
 
-    Input order is that of files and of rows in them, as the read of landed files keeps it.
-    """
+
+def _snapshot(target: DataFrame, rows: DataFrame, keys: list[str], now: Column, dry_run: bool, rejected: DataFrame) -> Frames:
+    """Of rows with equal keys the last by ``order_``, the place in the input, counts; columns of the target decide what is tracked."""
     tracked = [c for c in target.columns if c not in (*keys, "first_seen_at", "last_seen_at")]
-    batch = merge.last_of_batch(rows.select(*keys, *tracked, F.monotonically_increasing_id().alias("order_")), keys, ["order_"]).drop("order_")
+    batch = merge.last_of_batch(rows.select(*keys, *tracked, "order_"), keys, ["order_"]).drop("order_")
     after, ops = merge.merge_snapshot(target, batch, keys, tracked, now, dry_run=dry_run)
     return {"after": after, "ops": ops, "rejected": rejected, "counts": merge.merge_counts(ops)}
 
 
 def run_registry_sync(spark: SparkSession, path: str, target: DataFrame, org: int, now: Column, dry_run: bool = False) -> Frames:
-    """Registry companies of a tenant, merged on the CNPJ."""
+    """Registry companies of a tenant, merged on the CNPJ by the registry's own rule (``upsert_registry``)."""
     good, bad = _split(feeds.map_registry_company(feeds.read_company_feed(spark, path)))
-    good = good.withColumns({"organization_id": F.lit(org).cast("long"), "active": F.lit(True), "sync_status": F.lit(merge.SYNCED), "deleted_at": F.lit(None).cast("timestamp")})
-    return _snapshot(target, good, ["organization_id", "cnpj"], now, dry_run, bad)
+    keys = ["organization_id", "cnpj"]
+    fields = [c for c in target.columns if c not in (*keys, *merge.REGISTRY_STATE, "first_seen_at", "last_seen_at")]
+    rows = good.withColumn("organization_id", F.lit(org).cast("long")).select(*keys, *fields, "order_")
+    after, ops = merge.upsert_registry(target, merge.last_of_batch(rows, keys, ["order_"]).drop("order_"), fields, now, dry_run)
+    return {"after": after, "ops": ops, "rejected": bad, "counts": merge.merge_counts(ops)}
 
 
 def run_catalog_backfill(companies: DataFrame, catalog: DataFrame, now: Column, only_active: bool = False, limit: int | None = None) -> Frames:
@@ -66,7 +73,9 @@ def run_delivery_sync(
 ) -> Frames:
     """Deliveries of one period, or of a range in one plan keyed by period; counts are per period.
 
-    ``companies``: company_id, cnpj, active.  ``periods``: period_id, competencia.
+    ``companies``: company_id, cnpj, active.  ``periods``: period_id, competencia.  ``obligations``: obligation_id, code, and
+    department_default if departments of unknown names are to become it.
+    Of items with equal keys the last in the order of files, blocks and items counts.
     ``statuses``: the table that ``merge_status`` keeps.
     """
     feed = feeds.read_delivery_feed(spark, path, identifier).where(F.col("period").between(first, last or first))
@@ -79,10 +88,10 @@ def run_delivery_sync(
         bad.select("period", "external_company_id", "cnpj", F.concat(F.lit("missing "), F.array_join("errors", ", ")).alias("error_message"))
     )
     own = companies.where("active") if only_active else companies
-    rows = rows.join(own.select("cnpj", "company_id"), "cnpj").join(periods.select("period_id", F.col("competencia").alias("period")), "period")
+    rows = rows.hint("merge").join(own.select("cnpj", "company_id"), "cnpj").join(small_side(periods.select("period_id", F.col("competencia").alias("period"))), "period")
     rows = R.map_obligation(rows, "name", obligations).withColumnRenamed("external_delivery_id", "delivery_id")
     rows = quality.fiscal_only(rows) if fiscal_only else rows
-    after, ops = merge.merge_status(rows, statuses, now, dry_run)
+    after, ops = merge.merge_status(rows, statuses, now, dry_run, order=("order_",))
     return {"after": after, "ops": ops, "deliveries": rows, "rejected": rejected, "counts": merge.merge_counts(ops, "period_id")}
 
 
@@ -97,7 +106,7 @@ def run_assessment_companies(spark: SparkSession, path: str, master: DataFrame,
 
 def run_assessments(replies: DataFrame, target: DataFrame, org: int, now: Column, dry_run: bool = False) -> Frames:
     """``replies``: body, requested_cnpj, requested_period.  A reply about another company or period is rejected."""
-    good, bad = _split(assessments.map_assessment(replies))
+    good, bad = _split(assessments.map_assessment(_numbered(replies), keep=("order_",)))
     return _snapshot(target, good.withColumn("organization_id", F.lit(org).cast("long")), ["organization_id", "assessment_id"], now, dry_run, bad)
 
 
@@ -108,30 +117,39 @@ def run_operational(landed: Frames, targets: Frames, org: int, now: Column, scop
     tenant = F.lit(org).cast("long")
     out: dict[str, Frames] = {}
     if scope in ("ALL", "DIFAL"):
-        good, bad = _split(assessments.map_difal(landed["DIFAL"]))
+        good, bad = _split(assessments.map_difal(_numbered(landed["DIFAL"])))
         out["DIFAL"] = _snapshot(targets["DIFAL"], good.withColumn("organization_id", tenant), ["organization_id", "requested_cnpj", "requested_period"], now, dry_run, bad)
     if scope in ("ALL", "DOCUMENTS"):
-        both = assessments.map_document(landed["ENTRADA"], "ENTRADA").unionByName(assessments.map_document(landed["SAIDA"], "SAIDA"))
+        both = assessments.map_document(_numbered(landed["ENTRADA"]), "ENTRADA").unionByName(assessments.map_document(_numbered(landed["SAIDA"]), "SAIDA"))
         good, bad = _split(both)
         out["DOCUMENTS"] = _snapshot(targets["DOCUMENTS"], good.withColumn("organization_id", tenant), ["organization_id", "direction", "source_document_key"], now, dry_run, bad)
     if scope in ("ALL", "TASKS"):
-        good, bad = _split(assessments.map_task(landed["TASKS"]))
+        good, bad = _split(assessments.map_task(_numbered(landed["TASKS"])))
         out["TASKS"] = _snapshot(targets["TASKS"], good.withColumn("organization_id", tenant), ["organization_id", "source_task_key"], now, dry_run, bad)
     return out
 
 
-def run_enrichment(pages: DataFrame, wanted: DataFrame, cache: DataFrame, columns: list[str], now: Column, force_refresh: bool = False) -> Frames:
-    """Rules of the wanted codes: fresh cache rows stay, the others are read from landed pages.
+def run_enrichment(
+    pages: DataFrame, wanted: DataFrame, cache: DataFrame, columns: list[str], now: Column, force_refresh: bool = False, fetches: DataFrame | None = None, limit: int | None = None, cache_only: bool = False
+) -> Frames:
+    """Rules of the wanted codes (cnae, in their order by ``position`` if given): fresh cache rows stay, the others are read from landed pages.
 
-    ``missing`` has the wanted codes that neither the cache nor the pages hold.
+    ``items`` has one row with the status of each code that takes part (``enrichment_items``), ``summary`` their counts.  ``fetches``: cnae,
+    outcome (SESSION, TRANSPORT, FOUND, NOT_FOUND, AMBIGUOUS) of the search for a code; without it codes with landed pages are FOUND.
+    A page that can't be read leaves the cache as it is.  ``missing`` has the wanted codes that neither the cache nor the pages hold.
     """
-    fresh = cache.where(quality.is_fresh(now, rule_pages.PARSER_VERSION, force_refresh)).select("cnae")
-    due = wanted.select("cnae").distinct().join(fresh, "cnae", "left_anti")
-    rules = rule_pages.attach_activity(rule_pages.normalized_rules(rule_pages.page_texts(pages)))
-    batch = ordering.latest_per_key(rules, ["cnae"], ["page_key"]).join(due, "cnae", "left_semi").select("cnae", "content_hash", *columns)
+    order = "position" if "position" in wanted.columns else "cnae"
+    rules = staged(rule_pages.attach_activity(rule_pages.normalized_rules(staged(rule_pages.page_texts(pages), "rule-pages"))), "rules")
+    found = ordering.latest_per_key(rules.where("parse_status = 'PARSED'"), ["cnae"], ["page_key"])
+    fetches = found.select("cnae", F.lit("FOUND").alias("outcome")) if fetches is None else fetches
+    todo = enrichment.targets(wanted, order, limit)
+    items = enrichment.enrichment_items(todo, cache, fetches, found.select("cnae", "content_hash"), now, rule_pages.PARSER_VERSION, force_refresh, cache_only)
+    items = staged(items, "enrichment-items")
+    due = items.where(F.col("status").isin("CREATED", "UPDATED", "UNCHANGED")).select("cnae")
+    batch = found.join(due.hint("merge"), "cnae", "left_semi").select("cnae", "content_hash", *columns)
     after, ops = merge.merge_rule_cache(cache, batch, "cnae", columns, now)
-    missing = due.join(batch, "cnae", "left_anti").join(cache, "cnae", "left_anti")
-    return {"after": after, "ops": ops, "missing": missing, "counts": merge.merge_counts(ops)}
+    missing = todo.join(found.hint("merge"), "cnae", "left_anti").join(cache, "cnae", "left_anti").select("cnae")
+    return {"after": after, "ops": ops, "items": items, "summary": views.enrichment_summary(items), "missing": missing, "rejected": rules.where("parse_status <> 'PARSED'"), "counts": merge.merge_counts(ops)}
 
 
 def read_report_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from taxflow.functions import classify as R
 from taxflow.functions import normalize as N
-from taxflow.operators import match, merge, ordering, payroll, quality, rule_pages
+from taxflow.operators import enrichment, match, merge, ordering, payroll, quality, rule_pages
 from taxflow.plans import catalogs, views
 from taxflow.plans.queries import _companies, query, report_pages, table
 from taxflow.sources import feeds
@@ -155,13 +155,14 @@ def audit_events(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, '{"user":' || user_id || ',"auth":{"Token":"<REDACTED>","more":{"senha":"<REDACTED>"}},"list":[{"secret":"<REDACTED>"},"<REDACTED_JWT>"]}' AS body, 'KEPT' AS body_status, '<REDACTED>' AS cookie, 'v' || user_id AS other FROM events
+SELECT event_id, repeat('{"a":', CAST(event_id % 8 AS INT)) || '{"user":' || user_id || ',"Token":"<REDACTED>","note":"} \\" {","list":[{"secret":"<REDACTED>"},"<REDACTED_JWT>",1.5,null],"senha":"<REDACTED>"}' || repeat('}', CAST(event_id % 8 AS INT)) AS body, 'KEPT' AS body_status, '<REDACTED>' AS cookie, 'v' || user_id AS other FROM events
 """)
 def http_log(spark, sf_dir):
-    """Events as captured messages with secrets at several depths."""
+    """Events as captured messages with secrets one to eight levels deep, braces and quotes inside of texts, and an escaped key."""
     token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
-    user = F.col("user_id").cast("string")
-    body = F.concat(F.lit('{"user":'), user, F.lit(',"auth":{"Token":{"a":[1,{"b":"'), user, F.lit('"}]},"more":{"senha":"x \\" y"}},"list":[{"secret":'), user, F.lit('},"'), F.lit(token), F.lit('"]}'))
+    user, depth = F.col("user_id").cast("string"), (F.col("event_id") % 8).cast("int")
+    secret = F.concat(F.lit(', "Token":{"a":"}","b":[{"c":"'), user, F.lit('"}]}, "note":"} \\" {", "list":[{"secret":'), user, F.lit(f'}},"{token}", 1.5, null], "sen\\u0068a":"x \\" }}"}}'))
+    body = F.concat(F.repeat(F.lit('{"a": '), depth), F.lit('{"user":'), user, secret, F.repeat(F.lit("}"), depth))
     headers = F.create_map(F.lit("Set-Cookie"), user, F.lit("X-Other"), F.concat(F.lit("v"), user))
     found = feeds.sanitize_http_log(table(spark, sf_dir, "events").select("event_id", headers.alias("headers"), body.alias("body"), F.lit("application/json").alias("content_type")))
     return found.select("event_id", "body", "body_status", F.col("headers")["Set-Cookie"].alias("cookie"), F.col("headers")["X-Other"].alias("other"))
@@ -392,15 +393,23 @@ def company_summary(spark, sf_dir):
 
 @query("""
 WITH s AS (SELECT o_custkey AS k, count(*) AS n, arg_min(strftime(o_orderdate, '%Y'), o_orderkey) AS last_source, arg_min(o_orderpriority, o_orderkey) AS department FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' GROUP BY 1)
-SELECT CAST(n_regionkey AS BIGINT) AS organization_id, c_custkey AS company_id, c_name AS name, department, last_source, coalesce(n, 0) AS n_obligations, coalesce(n, 0) AS n_delivered, 0 AS n_divergences, CASE WHEN n > 0 THEN 'ENTREGUE' ELSE 'SEM_DADOS' END AS overall_status
-FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN s ON s.k = c_custkey WHERE c_acctbal > 0
+SELECT 'ENTREGUE' AS filter, CAST(n_regionkey AS BIGINT) AS organization_id, c_custkey AS company_id, c_name AS name, department, last_source, CASE c_custkey % 3 WHEN 0 THEN 'Simples Nacional' WHEN 1 THEN 'Regime nao mapeado' ELSE 'Aguardando regime' END AS regime_label,
+  n AS n_obligations, n AS n_delivered, CAST(0 AS BIGINT) AS n_pending, CAST(0 AS BIGINT) AS n_divergences, 'ENTREGUE' AS overall_status
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN s ON s.k = c_custkey WHERE c_acctbal > 0
+UNION ALL
+SELECT 'SEM_DADOS', CAST(n_regionkey AS BIGINT), c_custkey, c_name, NULL, NULL, CASE c_custkey % 3 WHEN 0 THEN 'Simples Nacional' WHEN 1 THEN 'Regime nao mapeado' ELSE 'Aguardando regime' END, 0, 0, 0, 0, 'SEM_DADOS'
+FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0
 """)
 def cockpit_filtered(spark, sf_dir):
+    """The cockpit under two filters: companies without a row of the status stay only if the status is the one derived for them."""
     s = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("company_id"), F.col("o_orderkey").alias("status_id"), F.when(F.col("o_orderstatus") == "F", "ENTREGUE").otherwise("PENDENTE").alias("status"), F.col("o_orderpriority").alias("department"), F.date_format("o_orderdate", "yyyy").alias("last_source")
     )
     companies = _companies(spark, sf_dir)
-    return views.cockpit(companies, s, companies.limit(0).select("company_id"), status="ENTREGUE", department="1-URGENT").withColumn("n_divergences", F.col("n_divergences").cast("int"))
+    k = F.col("company_id") % 3
+    snap = companies.where(k < 2).select("company_id", _then().alias("updated_at"), F.col("company_id").alias("snapshot_id"), F.when(k == 0, "SIMPLES_NACIONAL").alias("regime_canonical"), F.when(k == 0, "MAPPED").otherwise("UNMAPPED").alias("regime_mapping_status"))
+    of = lambda status: views.cockpit(companies, s, companies.limit(0).select("company_id"), status=status, department="1-URGENT", snapshots=snap).select(F.lit(status).alias("filter"), "*")
+    return of("ENTREGUE").unionByName(of("SEM_DADOS"))
 
 
 @query("SELECT CAST(n_regionkey AS BIGINT) AS organization_id, 'customers' AS kind, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT n_regionkey, 'suppliers', count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
@@ -473,16 +482,28 @@ def upsert_registry(spark, sf_dir):
 
 
 @query("""
-SELECT CASE WHEN c_custkey % 3 = 0 THEN 'cnpj' WHEN c_custkey % 3 = 1 THEN 'id' END AS matched_by, CASE WHEN c_acctbal > 0 THEN 'DELETED' ELSE 'ALREADY_DELETED' END AS op, count(*) AS n FROM customer WHERE c_custkey % 3 < 2 AND c_custkey % 4 <> 0 GROUP BY ALL
+WITH t AS (SELECT c_custkey AS k, c_custkey % 5 AS m, c_acctbal > 0 AS active, CASE WHEN c_acctbal <= 0 AND c_custkey % 2 = 0 THEN 'DELETED_IN_SOURCE' ELSE 'SYNCED' END AS state FROM customer),
+h AS (SELECT *, m < 4 AND NOT (m = 1 AND k % 7 = 0) AS hit FROM t)
+SELECT 'operation' AS kind, CAST(m AS INT) AS m, CASE WHEN NOT hit THEN 'NOT_FOUND' WHEN NOT active AND state = 'DELETED_IN_SOURCE' THEN 'ALREADY_DELETED' ELSE 'DELETED' END AS op, count(*) AS n FROM h WHERE m < 4 GROUP BY ALL
+UNION ALL SELECT 'state', CAST(m AS INT), CASE WHEN hit THEN 'DELETED_IN_SOURCE' WHEN active THEN state || ' active' ELSE state END, count(*) FROM h GROUP BY ALL
 """)
 def delete_registry(spark, sf_dir):
-    """Deletions by cnpj and by external id."""
+    """Deletions by cnpj (0), by external id (1; every seventh is unknown), by cnpj with the id of another company (2), by an unknown cnpj with an id (3)."""
     k = F.col("c_custkey")
-    cnpj = F.lpad(k.cast("string"), 14, "0")
-    target = table(spark, sf_dir, "customer").select(F.lit(1).alias("organization_id"), cnpj.alias("cnpj"), k.cast("string").alias("external_id"), (F.col("c_acctbal") > 0).alias("active"), F.lit(None).cast("timestamp").alias("deleted_at"))
-    events = table(spark, sf_dir, "customer").where("c_custkey % 3 < 2 AND c_custkey % 4 <> 0").select(F.lit(1).alias("organization_id"), F.when(k % 3 == 0, cnpj).alias("cnpj"), F.when(k % 3 == 1, k.cast("string")).alias("external_id"), _then().alias("deleted_at"))
-    ops = merge.delete_registry(target, events, _now())[1]
-    return ops.groupBy(F.when(F.col("cnpj").cast("long") % 3 == 0, "cnpj").otherwise("id").alias("matched_by"), "op").agg(F.count(F.lit(1)).alias("n"))
+    m, none = k % 5, F.lit(None).cast("string")
+    cnpj, own_id = lambda c: F.lpad(c.cast("string"), 14, "0"), lambda c: F.concat(F.lit("e"), c.cast("string"))
+    c = table(spark, sf_dir, "customer")
+    state = F.when((F.col("c_acctbal") <= 0) & (k % 2 == 0), merge.DELETED).otherwise(merge.SYNCED)
+    target = c.select(F.lit(1).alias("organization_id"), cnpj(k).alias("cnpj"), own_id(k).alias("external_id"), (F.col("c_acctbal") > 0).alias("active"), F.lit(None).cast("timestamp").alias("deleted_at"), state.alias("sync_status"))
+    events = c.where("c_custkey % 5 < 4").select(
+        F.lit(1).alias("organization_id"), F.when(m.isin(0, 2), cnpj(k)).when(m == 3, cnpj(k + 900_000_000_000)).otherwise(none).alias("cnpj"),
+        F.when(m == 1, F.when(k % 7 == 0, F.concat(F.lit("x"), k.cast("string"))).otherwise(own_id(k))).when(m == 2, own_id(k + 2)).when(m == 3, own_id(k)).alias("external_id"), _then().alias("deleted_at"),
+    )
+    after, ops = merge.delete_registry(target, events, _now())
+    of = F.coalesce((F.col("cnpj").cast("long") % 5).cast("int"), F.lit(1)).alias("m")
+    count = F.count(F.lit(1)).alias("n")
+    shown = F.when(F.col("active"), F.concat("sync_status", F.lit(" active"))).otherwise(F.col("sync_status"))
+    return ops.groupBy(F.lit("operation").alias("kind"), of, "op").agg(count).unionByName(after.groupBy(F.lit("state").alias("kind"), of, shown.alias("op")).agg(count))
 
 
 @query("""
@@ -570,24 +591,28 @@ def sorted_lists(spark, sf_dir):
 
 
 @query("""
-WITH e AS (SELECT event_id, user_id, ts, value, event_id % 5 AS k FROM events), l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CASE WHEN k = 0 THEN 'DELETE' ELSE 'UPSERT' END DESC, event_id DESC) = 1),
-t AS (SELECT user_id, max(ts) AS at FROM e WHERE event_id % 2 = 0 GROUP BY 1)
-SELECT op, count(*) AS n FROM (SELECT CASE WHEN t.user_id IS NULL AND k = 0 THEN 'NOT_FOUND' WHEN t.at >= l.ts THEN 'STALE' WHEN k = 0 THEN 'DELETED' WHEN t.user_id IS NULL THEN 'CREATED' ELSE 'UPDATED' END AS op FROM l LEFT JOIN t USING (user_id)) GROUP BY 1
+WITH e AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 6 < 3 THEN 'DELETE' ELSE 'UPSERT' END AS kind, user_id % 3 = 0 AS old FROM events),
+m AS (SELECT approx_ts AS t FROM (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS approx_ts FROM events)),
+f AS (SELECT user_id, arg_min({'ts': ts, 'id': event_id}, {'ts': ts, 'id': event_id}) AS born FROM e WHERE kind = 'UPSERT' GROUP BY 1),
+x AS (SELECT e.*, kind = 'UPSERT' OR old OR coalesce(f.born < {'ts': ts, 'id': event_id}, false) AS found, NOT old OR ts > t AS fresh FROM e LEFT JOIN f USING (user_id), m),
+l AS (SELECT user_id, bool_or(old) AS old, arg_max(kind, {'ts': ts, 'id': event_id}) FILTER (fresh) AS kind FROM x WHERE found GROUP BY 1)
+SELECT CASE WHEN kind IS NULL THEN 'STALE' WHEN kind = 'DELETE' THEN 'DELETED' WHEN old THEN 'UPDATED' ELSE 'CREATED' END AS op, count(*) AS n FROM l GROUP BY 1
+UNION ALL SELECT 'NOT_FOUND', count(*) FROM x WHERE NOT found HAVING count(*) > 0
 """)
 def company_events(spark, sf_dir):
-    """Events as change events of a company each user, against a registry that has seen half of them."""
+    """Change events of a company each user: upserts, and deletions by cnpj, by id alone, or by id with an unknown cnpj; a third of the companies is in the registry already, with half of the time seen."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    gone = F.col("event_id") % 5 == 0
-    at, cnpj = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"), F.lpad(F.col("user_id").cast("string"), 14, "0")
-    raw = e.select(
-        F.when(gone, "company.deleted").otherwise("company.upsert").alias("event_type"), F.lit("1").alias("organization_id"), F.lit(None).cast("string").alias("id"), cnpj.alias("cnpj"), F.lit("x").alias("razao_social"), F.when(~gone, at).alias("updated_at"),
-        F.when(gone, at).alias("deleted_at"), *[F.lit(None).cast("string").alias(c) for c in ("deletedAt", "removed_at", "removedAt")],
+    k, user = F.col("event_id") % 6, F.col("user_id").cast("string")
+    at, cnpj, own_id, none = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"), F.lpad(user, 14, "0"), F.concat(F.lit("u"), user), F.lit(None).cast("string")
+    raw = e.orderBy("event_id").select(
+        F.when(k < 3, "company.deleted").otherwise("company.upsert").alias("event_type"), F.lit("1").alias("organization_id"), F.when(k > 0, own_id).alias("id"), F.when(k == 1, none).when(k == 2, F.lpad(user, 14, "9")).otherwise(cnpj).alias("cnpj"), F.lit("x").alias("razao_social"),
+        F.when(k == 3, at).alias("updated_at"), F.when(k > 3, at).alias("updatedAt"), F.when(k == 0, at).alias("deleted_at"), F.when(k.isin(1, 2), at).alias("deletedAt"),
     )
-    none = F.lit(None).cast("timestamp")
-    target = e.where("event_id % 2 = 0").groupBy("user_id").agg(F.max("ts").alias("event_at")).select(
-        F.lit(1).cast("long").alias("organization_id"), cnpj.alias("cnpj"), F.lit(None).cast("string").alias("external_id"), F.lit("x").alias("razao_social"), F.lit(True).alias("active"), none.alias("deleted_at"), F.lit(merge.SYNCED).alias("sync_status"), "event_at"
+    half = e.agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("event_at"))
+    target = e.where("user_id % 3 = 0").select("user_id").distinct().join(F.broadcast(half)).select(
+        F.lit(1).cast("long").alias("organization_id"), cnpj.alias("cnpj"), own_id.alias("external_id"), F.lit("x").alias("razao_social"), F.lit(True).alias("active"), F.lit(None).cast("timestamp").alias("deleted_at"), F.lit(merge.SYNCED).alias("sync_status"), "event_at"
     )
-    return merge.merge_counts(streams.apply_company_events(target, streams.typed_events(raw), _now())[1])
+    return merge.merge_counts(streams.apply_company_events(target, staged(streams.typed_events(raw), "events"), _now())[1])
 
 
 @query("SELECT event_id, event_type FROM events WHERE value < 20 AND ts < (SELECT max(ts) FROM events) - INTERVAL 15 MINUTE")
@@ -728,7 +753,7 @@ def rule_records(spark, sf_dir):
         "tabs": F.lit('PJ em Geral<b class="grupo-obrigacoes">PJ em Geral</b><b class="grupo-obrigacoes">Optante SIMEI</b>'),
     }
     pages = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), html.alias("html")) for kind, html in kinds.items()]))
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_key"), pages.alias("x")).select("page_key", "x.kind", "x.html")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_key"), pages.alias("x")).where("x.html IS NOT NULL").select("page_key", "x.kind", "x.html")
     texts = staged(rule_pages.page_texts(p), "rule-texts")
     rules = rule_pages.attach_activity(rule_pages.normalized_rules(texts))
     hits = rule_pages.search_results(texts).where("size(errors) = 0").groupBy("page_key").agg(F.count(F.lit(1)).cast("int").alias("hits"))
@@ -737,3 +762,88 @@ def rule_records(spark, sf_dir):
         F.col("page_key").alias("p_partkey"), "cnae", "description", "activity_types", "parse_status", F.col("presumed_profit.status").alias("presumed_status"), F.col("presumed_profit.irpj_rate").cast("double").alias("irpj_rate"), "actual_profit_status", "actual_profit_mandatory",
         F.col("mei.status").alias("mei_status"), F.col("mei.occupation").alias("occupation"), "unmapped_obligations", F.col("obligations_general.status").alias("general_status"), "hits", "activity_id", "groups",
     )
+
+
+@query("""
+WITH e AS (SELECT o_orderpriority AS grp, strftime(o_orderdate, '%Y-%m') AS period, CASE WHEN count(*) % 7 = 0 THEN 'FAILED' WHEN count(*) % 5 = 0 THEN 'PARTIAL' ELSE 'SUCCESS' END AS status, count(*) FILTER (WHERE o_orderstatus = 'P') AS failures FROM orders GROUP BY ALL),
+m AS (SELECT 'on' AS mode, * FROM e UNION ALL SELECT 'stop', * FROM e
+  WHERE period <= coalesce((SELECT min(period) FROM e AS x WHERE x.grp = e.grp AND x.status <> 'SUCCESS'), '9999'))
+SELECT mode, grp, count(*) AS periods_processed, count(*) FILTER (WHERE status = 'SUCCESS') AS periods_success, count(*) FILTER (WHERE status = 'PARTIAL') AS periods_partial, count(*) FILTER (WHERE status = 'FAILED') AS periods_failed,
+  CAST(sum(failures) AS BIGINT) AS failures, max(period) AS last_period,
+  CASE WHEN count(*) FILTER (WHERE status = 'FAILED') > 0 AND count(*) FILTER (WHERE status <> 'FAILED') = 0 THEN 'FAILED' WHEN count(*) FILTER (WHERE status <> 'SUCCESS') > 0 OR sum(failures) > 0 THEN 'PARTIAL' ELSE 'SUCCESS' END AS status FROM m GROUP BY ALL
+""")
+def range_status(spark, sf_dir):
+    """Months of orders as periods of a range each priority, some of which failed or did so partly; run to the end, or stopped at the first of them."""
+    n = F.count(F.lit(1))
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("grp"), F.date_format("o_orderdate", "yyyy-MM").alias("period")).agg(
+        F.when(n % 7 == 0, "FAILED").when(n % 5 == 0, "PARTIAL").otherwise("SUCCESS").alias("status"), F.count_if(F.col("o_orderstatus") == "P").alias("failures")
+    )
+    of = lambda mode: views.range_status(o, "grp", stop_on_error=mode == "stop").select(F.lit(mode).alias("mode"), "*")
+    return of("on").unionByName(of("stop"))
+
+
+@query("""
+WITH s AS (SELECT o_custkey % 3 AS company_id, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'ENTREGUE' ELSE 'PENDENTE' END AS status, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderdate AS DATE) END AS due FROM orders),
+t AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY due NULLS LAST, o_orderkey) AS nth FROM s)
+SELECT company_id, count(*) AS obligations_total, count(*) FILTER (WHERE status = 'ENTREGUE') AS delivered_total, count(*) FILTER (WHERE status <> 'ENTREGUE') AS pending_total, string_agg('OBR-' || o_orderkey || ':' || status, ',' ORDER BY nth) FILTER (WHERE nth <= 5) AS shown,
+  count(*) AS divergences_preview, CAST(0 AS BIGINT) AS evidences_preview FROM t GROUP BY 1
+""")
+def company_previews(spark, sf_dir):
+    """All orders as obligations of three companies, of which the summary shows the first five each."""
+    o, company = table(spark, sf_dir, "orders"), (F.col("o_custkey") % 3).alias("company_id")
+    s = o.select(
+        company, F.col("o_orderkey").alias("status_id"), F.col("o_orderkey").alias("obligation_id"), F.when(F.col("o_orderstatus") == "F", "ENTREGUE").otherwise("PENDENTE").alias("status"), F.lit("FISCAL").alias("department"),
+        F.lit("API").alias("source"), F.when(F.col("o_orderkey") % 4 != 0, F.to_date("o_orderdate")).alias("due_date"), F.lit(None).cast("timestamp").alias("delivered_at"),
+    )
+    none = F.lit(None).cast("string")
+    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 3).alias("company_id")).distinct().select(F.lit(1).alias("organization_id"), "company_id", none.alias("name"), F.lit(True).alias("active"), none.alias("state_registration"), none.alias("city"), none.alias("state"))
+    b = o.limit(0).select(F.col("o_orderkey").alias("obligation_id"), none.alias("code"), none.alias("name"))
+    snap = s.limit(0).select("company_id", _then().alias("updated_at"), F.col("company_id").alias("snapshot_id"), none.alias("regime_canonical"), none.alias("regime_mapping_status"))
+    out = views.company_summary(c, s, b, s.select("company_id"), s.limit(0).select("company_id"), s.limit(0).select("company_id"), snap, shown=5)
+    shown = F.array_join(F.transform("obligations", lambda x: F.concat_ws(":", x["code"], x["status"])), ",")
+    return out.select("company_id", "obligations_total", "delivered_total", "pending_total", shown.alias("shown"), "divergences_preview", "evidences_preview")
+
+
+@query("""
+WITH w AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 7 THEN 'x' || p_partkey ELSE lpad(CAST(p_partkey AS VARCHAR), 7, '0') END AS raw FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 50),
+t AS (SELECT row_number() OVER (ORDER BY r DESC, k) AS position, c AS cnae, k FROM (SELECT CASE WHEN starts_with(raw, 'x') THEN substr(raw, 2) ELSE raw END AS c, p_partkey AS k, (SELECT p_retailprice FROM part q WHERE q.p_partkey = w.p_partkey) AS r FROM w)),
+s AS (SELECT *, length(cnae) = 7 AS valid, k % 10 = 0 AS fresh, CASE WHEN k % 10 = 1 THEN 'TRANSPORT' WHEN k % 10 = 2 THEN 'NOT_FOUND' WHEN k % 10 = 3 THEN 'AMBIGUOUS' WHEN k % 50 = 4 THEN 'SESSION' ELSE 'FOUND' END AS outcome FROM t),
+f AS (SELECT *, coalesce(max(CASE WHEN valid AND NOT fresh AND outcome = 'SESSION' THEN 1 END) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS stopped FROM s),
+i AS (SELECT position, cnae, CASE WHEN NOT valid THEN 'INVALID_CNAE' WHEN fresh THEN 'SKIPPED_FRESH_CACHE' WHEN stopped THEN 'SESSION_EXPIRED' WHEN outcome = 'SESSION' THEN 'SESSION_NOT_VALID' WHEN outcome = 'TRANSPORT' THEN 'TRANSPORT_ERROR' WHEN outcome = 'NOT_FOUND' THEN 'CNAE_NOT_FOUND'
+  WHEN outcome = 'AMBIGUOUS' THEN 'AMBIGUOUS_CNAE_RESULT' WHEN k % 10 = 5 THEN 'PARSE_ERROR' WHEN k % 10 = 6 THEN 'CREATED' WHEN k % 10 = 8 THEN 'UPDATED' ELSE 'UNCHANGED' END AS status FROM f)
+SELECT CAST(position AS BIGINT) AS position, cnae, status, CASE WHEN (SELECT count(*) FROM i WHERE status IN ('SESSION_NOT_VALID', 'SESSION_EXPIRED', 'TRANSPORT_ERROR')) > 0 THEN 'PARTIAL' ELSE 'SUCCESS' END AS run_status,
+  (SELECT count(*) FROM i WHERE status IN ('INVALID_CNAE', 'TRANSPORT_ERROR', 'SESSION_NOT_VALID')) AS errors FROM i
+""")
+def enrichment_items(spark, sf_dir):
+    """A classification run over parts as codes, dearest first: of the cache some are fresh; of the searches some fail, and one with its session, after which none is made."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("k"), "p_retailprice")
+    k = F.col("k")
+    code = F.lpad(k.cast("string"), 7, "0")
+    wanted = p.select(F.when(k % 10 == 7, F.concat(F.lit("x"), k.cast("string"))).otherwise(code).alias("cnae"), F.struct((-F.col("p_retailprice")).alias("price"), "k").alias("place"))
+    cache = p.where("k % 10 NOT IN (1, 6)").select(code.alias("cnae"), F.when(k % 10 == 8, "old").otherwise("h").alias("content_hash"), F.lit("PARSED").alias("parse_status"), F.lit("v").alias("parser_version"), F.when(k % 10 == 0, _now() + F.expr("interval 1 day")).otherwise(_then()).alias("expires_at"))
+    outcome = F.when(k % 10 == 1, "TRANSPORT").when(k % 10 == 2, "NOT_FOUND").when(k % 10 == 3, "AMBIGUOUS").when(k % 50 == 4, "SESSION").otherwise("FOUND")
+    parsed = p.where("k % 10 <> 5").select(code.alias("cnae"), F.lit("h").alias("content_hash"))
+    todo = staged(enrichment.targets(wanted, "place", 60), "targets")
+    items = staged(enrichment.enrichment_items(todo, cache, p.select(code.alias("cnae"), outcome.alias("outcome")), parsed, _now(), "v"), "items")
+    run = views.enrichment_summary(items).select(F.col("status").alias("run_status"), "errors")
+    return items.select(F.col("position").cast("long").alias("position"), "cnae", "status").join(F.broadcast(run))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_partkey % 5 AS k FROM part)
+SELECT p_partkey, CASE WHEN k IN (0, 4) THEN lpad(CAST(p_partkey AS VARCHAR), 7, '0') END AS cnae, CASE k WHEN 0 THEN 'PARSED' ELSE 'PARSE_ERROR' END AS parse_status,
+  CASE k WHEN 1 THEN ['detail:CODE_MISSING'] WHEN 2 THEN ['detail:MISSING'] WHEN 3 THEN ['detail:CAPTCHA'] WHEN 4 THEN ['mei:LOGIN'] ELSE [] END AS parse_errors, k = 0 AS hashed, CASE WHEN k <> 1 THEN 3 END AS grid, CASE WHEN k <> 1 THEN 'A|B inner||' || p_partkey END AS cells FROM p
+""")
+def rule_page_errors(spark, sf_dir):
+    """Parts as rule pages that can't all be read, with one table whose cells span columns, hold another table and aren't closed."""
+    k, key = F.col("p_partkey") % 5, F.col("p_partkey").cast("string")
+    shown = F.regexp_replace(F.lpad(key, 7, "0"), r"^(\d{4})(\d)(\d{2})$", "$1-$2/$3")
+    detail = F.when(k == 1, "CNAE: unknown").when(k == 3, "CNAE: captcha").otherwise(F.concat(F.lit("<p>CNAE: "), shown, F.lit(" Descricao: x")))
+    nested = F.concat(F.lit('PJ em Geral<table class="tabelaResultados"><tr><td>A<td colspan="2">B<table><tr><td>inner</table><td>'), key, F.lit("<tr><td>second<td>-</table>"))
+    kinds = {"detail": F.when(k != 2, detail), "mei": F.when(k == 4, "MEI senha").otherwise("MEI"), "obligations_general": F.when(k != 1, nested)}
+    pages = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), html.alias("html")) for kind, html in kinds.items()]))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_key"), pages.alias("x")).where("x.html IS NOT NULL").select("page_key", "x.kind", "x.html")
+    texts = staged(rule_pages.page_texts(p), "error-pages")
+    rules = rule_pages.normalized_rules(texts)
+    rows = rule_pages.table_rows(texts, "tabelaResultados").where("row_no = 0").select("page_key", (F.size("cells") - 1).alias("grid"), F.array_join("cells", "|").alias("cells"))
+    return rules.hint("merge").join(rows, "page_key", "left").select(F.col("page_key").alias("p_partkey"), "cnae", "parse_status", "parse_errors", F.col("content_hash").isNotNull().alias("hashed"), "grid", "cells")

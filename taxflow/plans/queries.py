@@ -57,7 +57,7 @@ a AS (SELECT o_custkey AS k, count(*) AS n FROM lineitem JOIN orders ON l_orderk
 b AS (SELECT CAST(n_regionkey AS BIGINT) AS organization_id, c_custkey AS company_id, c_name AS name, s.department, coalesce(s.n, 0) AS n_obligations,
              coalesce(s.d, 0) AS n_delivered, coalesce(a.n, 0) AS n_divergences
       FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN s ON s.k = c_custkey LEFT JOIN a ON a.k = c_custkey WHERE c_acctbal > 0)
-SELECT *, CASE WHEN n_divergences > 0 THEN 'COM_DIVERGENCIA' WHEN n_obligations = 0 THEN 'SEM_DADOS' WHEN n_delivered >= n_obligations THEN 'ENTREGUE' ELSE 'PENDENTE' END AS overall_status FROM b
+SELECT *, n_obligations - n_delivered AS n_pending, CASE WHEN n_divergences > 0 THEN 'COM_DIVERGENCIA' WHEN n_obligations = 0 THEN 'SEM_DADOS' WHEN n_delivered >= n_obligations THEN 'ENTREGUE' ELSE 'PENDENTE' END AS overall_status FROM b
 """)
 def cockpit(spark, sf_dir):
     return views.cockpit(_companies(spark, sf_dir), _statuses(spark, sf_dir), _alerts(spark, sf_dir))
@@ -237,29 +237,34 @@ def merge_hash_ttl(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT l_orderkey, l_partkey % 5 AS obligation_id, max(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS done, count(*) AS n FROM lineitem GROUP BY ALL)
-SELECT obligation_id, CASE WHEN done = 1 AND n % 2 = 0 THEN 'CONFIRMADO_API' WHEN done = 1 THEN 'CONFERENCIA_MANUAL' ELSE 'PENDENTE' END AS status,
-  CAST(CASE WHEN done = 1 AND n % 2 = 0 THEN 100 ELSE 70 END AS DOUBLE) AS confidence, count(*) AS n FROM d GROUP BY ALL
+WITH d AS (SELECT l_orderkey, l_partkey % 5 AS obligation_id, max(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS done, count(*) AS n FROM lineitem GROUP BY ALL),
+s AS (SELECT obligation_id, CASE WHEN done = 1 AND n % 2 = 0 THEN 'CONFIRMADO_API' WHEN done = 1 THEN 'CONFERENCIA_MANUAL' ELSE 'PENDENTE' END AS status FROM d)
+SELECT obligation_id, status, CAST(CASE status WHEN 'CONFERENCIA_MANUAL' THEN 70 ELSE 100 END AS DOUBLE) AS confidence, CASE obligation_id WHEN 0 THEN 'FISCAL' WHEN 1 THEN 'DP' WHEN 2 THEN 'FISCAL' ELSE 'CONTABIL' END AS department, count(*) AS n FROM s GROUP BY ALL
 """)
 def overwrite_status(spark, sf_dir):
+    """Deliveries of each order and obligation, two of each: the item that comes later in its page counts, though its number as text is smaller."""
     d = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", (F.col("l_partkey") % 5).alias("obligation_id")).agg(F.max(F.when(F.col("l_linestatus") == "F", 1).otherwise(0)).alias("done"), F.count(F.lit(1)).alias("n"))
+    d = d.withColumn("item_no", F.explode(F.array(F.lit(10), F.lit(9))))
+    late = F.col("item_no") == 10
     label = F.when(F.col("n") % 2 == 0, "Ent. antecipada").otherwise("Pendente")
-    done = F.when(F.col("done") == 1, F.lit("2026-01-01").cast("date"))
+    done = F.when(late & (F.col("done") == 1), F.lit("2026-01-01").cast("date"))
     label = F.when(F.col("done") == 1, label).otherwise(F.lit("Atrasada!"))
+    b = F.col("obligation_id")
     rows = d.select(
-        F.col("l_orderkey").alias("company_id"), F.lit(1).alias("period_id"), "obligation_id", F.col("n").alias("delivery_id"), F.lit("O").alias("type"), F.lit("MAPPED").alias("mapping_status"),
-        R.delivery_status(F.lit(None).cast("timestamp"), done, label).alias("normalized_status"), F.lit("FISCAL").alias("department"), F.lit(None).cast("timestamp").alias("finalized_at"), done.alias("delivered_on"),
-    )
+        F.col("l_orderkey").alias("company_id"), F.lit(1).alias("period_id"), "obligation_id", "item_no", F.lit("O").alias("type"), F.lit("MAPPED").alias("mapping_status"),
+        R.delivery_status(F.lit(None).cast("timestamp"), done, label).alias("normalized_status"), F.when(b == 0, "Fiscal").when(b == 1, "Depto_ Pessoal").when(b == 3, "Outro").alias("department_name"),
+        F.when(b == 1, "DP").when(b == 2, "FISCAL").otherwise("CONTABIL").alias("department_default"), F.lit(None).cast("timestamp").alias("finalized_at"), done.alias("delivered_on"),
+    )
     empty = merge_target(rows)
-    after, _ = merge.merge_status(rows, empty, F.lit("2026-02-01").cast("timestamp"))
-    return after.groupBy("obligation_id", "status", F.col("confidence").cast("double").alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
+    after, _ = merge.merge_status(rows, empty, F.lit("2026-02-01").cast("timestamp"), order=("item_no",))
+    return after.groupBy("obligation_id", "status", F.col("confidence").cast("double").alias("confidence"), "department").agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge_target(rows: DataFrame) -> DataFrame:
     """An empty status table with the columns that ``merge_status`` tracks."""
     now = F.lit(None).cast("timestamp")
     return rows.limit(0).select(
-        "company_id", "period_id", "obligation_id", F.col("normalized_status").alias("status"), "department", F.lit(None).cast("decimal(5,2)").alias("confidence"), now.alias("delivered_at"), now.alias("first_seen_at"), now.alias("last_seen_at")
+        "company_id", "period_id", "obligation_id", F.col("normalized_status").alias("status"), F.col("department_default").alias("department"), F.lit(None).cast("decimal(5,2)").alias("confidence"), now.alias("delivered_at"), now.alias("first_seen_at"), now.alias("last_seen_at")
     )
 
 
@@ -431,14 +436,16 @@ def page_integrity(spark, sf_dir):
 
 
 @query(r"""
+WITH t AS (SELECT *, lower(strip_accents(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'g'))) AS t FROM pages)
 SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang="([a-z]+)">', 1) AS lang,
-  CASE WHEN trim(regexp_replace(html, '<[^>]*>', ' ', 'g')) = '' THEN 'EMPTY' WHEN contains(lower(strip_accents(regexp_replace(html, '<[^>]*>', ' ', 'g'))), 'captcha') THEN 'CAPTCHA'
-  WHEN contains(lower(strip_accents(regexp_replace(html, '<[^>]*>', ' ', 'g'))), 'example') THEN 'OK'
-  WHEN contains(lower(strip_accents(regexp_replace(html, '<[^>]*>', ' ', 'g'))), 'senha') THEN 'LOGIN' ELSE 'MARKER_MISSING' END AS gate FROM pages
+  CASE WHEN trim(coalesce(t, '')) = '' THEN 'EMPTY' WHEN contains(t, 'captcha') THEN 'CAPTCHA' WHEN contains(t, 'login') OR contains(t, 'senha') OR contains(t, 'entrar') THEN 'LOGIN' WHEN contains(t, 'about') THEN 'OK' ELSE 'MARKER_MISSING' END AS gate FROM t
 """)
 def html_fields(spark, sf_dir):
-    p = quality.gate_html(table(spark, sf_dir, "pages"), "html", ["example"])
-    return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", '<html lang="([a-z]+)">', 1).alias("lang"), "gate")
+    """Fields of pages, and the gate that the jobs put before rule pages."""
+    p = table(spark, sf_dir, "pages").select(F.struct("page_id", "html").alias("page_key"), F.lit("page").alias("kind"), "html")
+    p = rule_pages.page_texts(p, {"page": ("about",)})
+    of = lambda pattern: F.regexp_extract("page_key.html", pattern, 1)
+    return p.select("page_key.page_id", of("<title>([^<]*)</title>").alias("title"), of('<html lang="([a-z]+)">').alias("lang"), "gate")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), 'r#00000012') OR contains(CAST(c_custkey AS VARCHAR), '00000012')")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taxflow.functions import classify as R
@@ -14,15 +14,17 @@ from taxflow.operators.quality import is_fresh
 
 
 def cockpit(
-    companies: DataFrame, statuses: DataFrame, alerts: DataFrame, company: int | None = None, status: str | None = None, department: str | None = None, source: str | None = None
+    companies: DataFrame, statuses: DataFrame, alerts: DataFrame, company: int | None = None, status: str | None = None, department: str | None = None, source: str | None = None, snapshots: DataFrame | None = None
 ) -> DataFrame:
     """Each active company with its counts, overall status and the department (and last_source, where there is one) of its lowest status row.
 
     ``companies``: organization_id, company_id, name, active.  ``statuses``:
     company_id, status_id, status, department, and last_source if wanted.
     ``alerts``: company_id.  Both are counted before they are joined.  A filter
-    on status, department or source keeps the companies and cuts the status rows
-    that are counted; ``company`` cuts all three.
+    on status, department or source cuts the status rows that are counted; one
+    on status also drops companies without such a row, unless the status is the
+    overall one that follows for them.  ``company`` cuts all three.
+    ``snapshots`` as for ``company_summary``: adds regime_label.
     """
     for name, value in (("status", status), ("department", department), ("last_source", source)):
         statuses = statuses if value is None else statuses.where(F.col(name) == value)
@@ -35,8 +37,17 @@ def cockpit(
     a = alerts.groupBy("company_id").agg(F.count(F.lit(1)).alias("n_divergences"))
     both = companies.where("active").join(s, "company_id", "left").join(a, "company_id", "left")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_obligations", "n_delivered", "n_divergences")]
-    both = both.select("organization_id", "company_id", "name", *first, *zero)
-    return both.withColumn("overall_status", R.overall_status("n_obligations", "n_delivered", "n_divergences"))
+    label = []
+    if snapshots is not None:
+        both = both.join(_latest_regime(snapshots), "company_id", "left")
+        label = [N.display_regime("regime_canonical", "regime_mapping_status").alias("regime_label")]
+    both = both.select("organization_id", "company_id", "name", *first, *label, *zero).withColumn("n_pending", F.col("n_obligations") - F.col("n_delivered"))
+    both = both.withColumn("overall_status", R.overall_status("n_obligations", "n_delivered", "n_divergences"))
+    return both if status is None else both.where((F.col("n_obligations") > 0) | (F.col("overall_status") == status))
+
+
+def _latest_regime(snapshots: DataFrame) -> DataFrame:
+    return latest_per_key(snapshots.select("company_id", "updated_at", "snapshot_id", "regime_canonical", "regime_mapping_status"), ["company_id"], ["updated_at", "snapshot_id"])
 
 
 def dashboard_totals(statuses: DataFrame) -> DataFrame:
@@ -96,35 +107,42 @@ def attach_snapshot(items: DataFrame, snapshots: DataFrame, key: str = "external
     return items.join(snapshots.select(key, "snapshot_id", "company_id"), key, "left")
 
 
-def company_summary(companies: DataFrame, statuses: DataFrame, obligations: DataFrame, alerts: DataFrame, evidences: DataFrame, installments: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """KPIs, labels and sorted obligations of each active company, for one period.
+def company_summary(companies: DataFrame, statuses: DataFrame, obligations: DataFrame, alerts: DataFrame, evidences: DataFrame, installments: DataFrame, snapshots: DataFrame, shown: int | None = None) -> DataFrame:
+    """KPIs, labels, previews and sorted obligations of each active company, for one period.
 
     ``companies``: organization_id, company_id, name, active, state_registration, city, state.  ``statuses``: company_id,
     status_id, obligation_id, status, department, source, due_date, delivered_at.  ``alerts``, ``evidences``,
     ``installments``: company_id.  ``snapshots``: company_id, updated_at, snapshot_id, regime_canonical,
     regime_mapping_status; the latest counts.  All are of the period already, and grouped before they are joined.
+    ``shown``: the first so many obligations of a company, all of which are counted; None lists all of them, in one row a company.
+    The previews of evidences and divergences are their numbers.
     """
     rows = attach_obligation(statuses, obligations)
     # in order of due date, nulls last, then of id
     row = F.struct(F.col("due_date").isNull().alias("no_date"), "due_date", "status_id", "code", F.col("name").alias("obligation"), "status", "department", "source", "delivered_at")
+    first = rows
+    if shown is not None:  # cut before the shuffle already
+        place = F.row_number().over(Window.partitionBy("company_id").orderBy(F.asc_nulls_last("due_date"), "status_id"))
+        first = rows.withColumn("place_", place).where(F.col("place_") <= shown)
     out = companies.where("active").select(
         "organization_id", "company_id", "name", N.display_state_registration("state_registration").alias("state_registration"), N.display_place("city", "state").alias("place")
     )
     counted = lambda df, name, *more: df.groupBy("company_id").agg(F.count(F.lit(1)).alias(name), *more)
     parts = [
-        counted(rows, "obligations_total", F.count_if(R.is_delivered("status")).alias("delivered_total"), F.array_sort(F.collect_list(row)).alias("rows_")),
+        counted(rows, "obligations_total", F.count_if(R.is_delivered("status")).alias("delivered_total")),
+        first.groupBy("company_id").agg(F.array_sort(F.collect_list(row)).alias("rows_")),
         counted(alerts, "divergences_total"), counted(evidences, "evidences_total"), counted(installments, "installments_total"),
-        latest_per_key(snapshots.select("company_id", "updated_at", "snapshot_id", "regime_canonical", "regime_mapping_status"), ["company_id"], ["updated_at", "snapshot_id"]),
+        _latest_regime(snapshots),
     ]
     for part in parts:
         out = out.join(part, "company_id", "left")
     totals = ["obligations_total", "delivered_total", "divergences_total", "evidences_total", "installments_total"]
-    shown = F.transform("rows_", lambda x: F.struct(*[x[c].alias(c) for c in ("code", "obligation", "status", "department", "source", "due_date", "delivered_at")]))
+    listed = F.transform("rows_", lambda x: F.struct(*[x[c].alias(c) for c in ("code", "obligation", "status", "department", "source", "due_date", "delivered_at")]))
     out = out.select(
         "organization_id", "company_id", "name", "state_registration", "place", N.display_regime("regime_canonical", "regime_mapping_status").alias("regime_label"),
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in totals], F.coalesce(shown, F.array().cast(shown_type(statuses))).alias("obligations"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in totals], F.coalesce(listed, F.array().cast(shown_type(statuses))).alias("obligations"),
     )
-    return out.withColumn("pending_total", F.col("obligations_total") - F.col("delivered_total"))
+    return out.withColumns({"pending_total": F.col("obligations_total") - F.col("delivered_total"), "evidences_preview": F.col("evidences_total"), "divergences_preview": F.col("divergences_total")})
 
 
 def shown_type(statuses: DataFrame) -> str:
@@ -253,3 +271,23 @@ def merge_range_summary(periods: DataFrame, counters: list[str], names: str, key
     flat = periods.select(key, F.explode(names).alias("name_", "n_")).groupBy(key, "name_").agg(F.sum("n_").alias("n_"))
     maps = flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("name_", "n_"))).alias("e_"))
     return sums.hint("merge").join(maps.select(key, F.map_from_entries("e_").alias(names)), key, "left")
+
+
+def range_status(periods: DataFrame, key: str, order: str = "period", stop_on_error: bool = False) -> DataFrame:
+    """The state of each range (``key``) after its periods were run in their order: how many were processed, succeeded, partly or failed, and its status.
+
+    ``periods``: key, order, status (SUCCESS, PARTIAL or FAILED), failures.  With ``stop_on_error`` a range ends with its first period that isn't a success,
+    and later ones don't count.  FAILED if none succeeded even partly and one failed; PARTIAL if one failed or did so partly, or anything failed in one.
+    A range has few periods, so one task may hold it.
+    """
+    if stop_on_error:
+        before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        periods = periods.withColumn("bad_", F.coalesce(F.max((F.col("status") != "SUCCESS").cast("int")).over(before), F.lit(0))).where("bad_ = 0")
+    of = lambda *s: F.count_if(F.col("status").isin(*s))
+    out = periods.groupBy(key).agg(
+        F.count(F.lit(1)).alias("periods_processed"), of("SUCCESS").alias("periods_success"), of("PARTIAL").alias("periods_partial"), (F.count(F.lit(1)) - of("SUCCESS", "PARTIAL")).alias("periods_failed"),
+        F.coalesce(F.sum("failures"), F.lit(0)).alias("failures"), F.max(order).alias("last_period"),
+    )
+    none = (F.col("periods_failed") > 0) & (F.col("periods_success") + F.col("periods_partial") == 0)
+    some = (F.col("periods_failed") > 0) | (F.col("periods_partial") > 0) | (F.col("failures") > 0)
+    return out.withColumn("status", F.when(none, "FAILED").when(some, "PARTIAL").otherwise("SUCCESS"))

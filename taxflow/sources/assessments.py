@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxflow.functions import normalize as N
+from taxflow.sources.feeds import place
 
 # Service invoice layouts.
 NFSE_LAYOUTS = ("NFSE_ABRASF_204", "NFSE_NACIONAL_101")
@@ -57,7 +58,7 @@ def map_assessment_company(df: DataFrame, item: str = "item") -> DataFrame:
     out = df.select(
         _text(item, "id").alias("external_id"), N.normalize_cnpj(_raw(item, "cnpj")).alias("cnpj"), _text(item, "nome").alias("legal_name"),
         _text(item, "fantasia").alias("trade_name"), _text(item, "inscricaoEstadual").alias("state_registration"), _text(item, "uf").alias("state"),
-        N.homologation_status(_bool(item, "homologada")).alias("status"), _bool(item, "homologada").alias("homologated"), _bool(item, "usaRegimeDeCaixa").alias("cash_regime"),
+        N.homologation_status(_bool(item, "homologada")).alias("status"), _bool(item, "homologada").alias("homologated"), _bool(item, "usaRegimeDeCaixa").alias("cash_regime"), *place(df),
     )
     return out.withColumn(
         "errors", _errors(cnpj=F.col("cnpj").isNull() | ~F.col("cnpj").rlike("^[0-9]{14}$"), external_id=F.col("external_id").isNull(), legal_name=F.col("legal_name").isNull())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
@@ -23,10 +24,16 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
 
 
 def explode_list(df: DataFrame, body: str, names: tuple[str, ...]) -> DataFrame:
-    """A row (item: JSON text) for each element of a JSON list, or of the first of ``names`` that the object has."""
+    """A row (item_no, item: JSON text) for each element of a JSON list, or of the first of ``names`` that the object has."""
     listed = F.when(F.ltrim(F.col(body)).startswith("["), F.col(body)).otherwise(F.coalesce(*[F.get_json_object(body, f"$.{n}") for n in names]))
     items = F.from_json(listed, "array<string>")
-    return df.select(*[c for c in df.columns if c != body], F.explode_outer(items).alias("item"))
+    return df.select(*[c for c in df.columns if c != body], F.posexplode_outer(items).alias("item_no", "item"))
+
+
+def place(df: DataFrame) -> list[Column]:
+    """``order_``, the place of a row in the input (file, block and item, as far as ``df`` has them), or none of these columns."""
+    known = [c for c in ("period", "file", "block_no", "item_no") if c in df.columns]
+    return [F.col("order_")] if "order_" in df.columns else [F.struct(*known).alias("order_")] if "item_no" in known else []
 
 
 def read_company_feed(spark: SparkSession, path: str) -> DataFrame:
@@ -48,23 +55,24 @@ def map_registry_company(df: DataFrame) -> DataFrame:
         N.parse_datetime(pick("updated_at", "updatedAt")).alias("updated_at"),
         N.parse_datetime(pick("deleted_at", "deletedAt")).alias("deleted_at"),
         R.resolve_registry_regime("item").alias("regime"),
+        *place(df),
     )
     missing = [F.when(F.col(c).isNull(), F.lit(c)) for c in ("external_id", "cnpj", "razao_social")]
     return out.withColumn("errors", F.array_compact(F.array(*missing)))
 
 
 def read_feed_by_period(spark: SparkSession, path: str, period: str | None = None, default: str | None = None) -> DataFrame:
-    """(period, body): the file stem is the period; other files have a null period.
+    """(period, file, body): the file stem is the period; other files have a null period.
 
     With ``period`` only that one's bodies, or, where it has no file, those of the file named ``default`` under that period.
     """
     stem = F.regexp_extract("file", r"^(\d{4}-(?:0[1-9]|1[0-2]))\.json$", 1)
     bodies = read_bodies(spark, path)
-    known = bodies.select(F.nullif(stem, F.lit("")).alias("period"), "body")
+    known = bodies.select(F.nullif(stem, F.lit("")).alias("period"), "file", "body")
     if period is None:
         return known
     own = known.where(F.col("period") == period)
-    return bodies.where(F.col("file") == default).select(F.lit(period).alias("period"), "body") if default and own.isEmpty() else own
+    return bodies.where(F.col("file") == default).select(F.lit(period).alias("period"), "file", "body") if default and own.isEmpty() else own
 
 
 def as_list(c) -> Column:
@@ -81,10 +89,11 @@ def delivery_blocks(bodies: DataFrame, identifier: str | None = None) -> DataFra
     """
     get = lambda path: N.trim_to_null(F.get_json_object("block", f"$.{path}"))
     body = F.coalesce(as_list("body"), F.when(F.trim("body") == "", "[]").otherwise('[{"Erro": "unreadable page"}]'))
-    rows = bodies.select("period", F.explode(F.from_json(body, "array<string>")).alias("block"))
+    where = [c for c in ("file",) if c in bodies.columns]
+    rows = bodies.select("period", *where, F.posexplode(F.from_json(body, "array<string>")).alias("block_no", "block"))
     items = F.when(F.get_json_object("block", "$.Entregas").isNull(), "[]").otherwise(as_list(F.get_json_object("block", "$.Entregas")))
     rows = rows.select(
-        "period", "block", get("ID").alias("external_company_id"), N.normalize_identifier(get("Identificador")).alias("cnpj"), get("Razao").alias("company_name"), get("Fantasia").alias("trade_name"), items.alias("items"),
+        "period", *where, "block_no", "block", get("ID").alias("external_company_id"), N.normalize_identifier(get("Identificador")).alias("cnpj"), get("Razao").alias("company_name"), get("Fantasia").alias("trade_name"), items.alias("items"),
         F.coalesce(get("Erro"), F.when(items.isNull(), "unreadable deliveries")).alias("error_message"),
     )
     wanted = "".join(ch for ch in identifier or "" if ch.isdigit())
@@ -94,7 +103,7 @@ def delivery_blocks(bodies: DataFrame, identifier: str | None = None) -> DataFra
 def delivery_items(bodies: DataFrame, identifier: str | None = None) -> DataFrame:
     """A row a delivery item with its block; a block without items, or with an error, has one row with a null item."""
     blocks = delivery_blocks(bodies, identifier)
-    return blocks.select(*[c for c in blocks.columns if c not in ("block", "items")], F.explode_outer(F.from_json("items", "array<string>")).alias("item"))
+    return blocks.select(*[c for c in blocks.columns if c not in ("block", "items")], F.posexplode_outer(F.from_json("items", "array<string>")).alias("item_no", "item"))
 
 
 def read_delivery_feed(spark: SparkSession, path: str, identifier: str | None = None) -> DataFrame:
@@ -138,7 +147,7 @@ def map_delivery(df: DataFrame) -> DataFrame:
         N.parse_date(get("EntDtPrazo")).alias("due_date"), N.parse_date(get("EntDtAtraso")).alias("delay_date"), delivered.alias("delivered_on"), finalized.alias("finalized_at"),
         N.parse_datetime(get("EntLastDH")).alias("changed_at"), R.delivery_status(finalized, delivered, get("Status")).alias("normalized_status"),
         R.guide_read_status(get("EntGuiaLida")).alias("guide_read_status"), R.has_penalty(get("EntMulta")).alias("has_penalty"),
-        R.map_department(get("Config.DptoNome"), F.lit("COMPARTILHADO")).alias("department"), F.col("item").alias("raw"),
+        R.map_department(get("Config.DptoNome"), F.lit("COMPARTILHADO")).alias("department"), F.col("item").alias("raw"), *place(df),
     )
     missing = [F.when(F.col(c).isNull(), F.lit(c)) for c in ("external_company_id", "cnpj", "external_delivery_id", "name")]
     return rows.withColumn("errors", F.array_compact(F.array(*missing)))
@@ -170,9 +179,9 @@ def assessment_company_items(bodies: DataFrame, keep: tuple[str, ...] = ("file",
     """(items, failures) of ``{sucesso, empresas}``; an entry that is no object is a failure, and so is a page that isn't a success."""
     get = lambda path: F.get_json_object("body", f"$.{path}")
     bad = ~F.coalesce(get("sucesso") == "true", F.lit(False))
-    rows = bodies.select(*keep, F.when(bad, "sucesso").when(~F.coalesce(F.ltrim(get("empresas")).startswith("["), F.lit(False)), "empresas").alias("reason"), F.explode_outer(F.from_json(get("empresas"), "array<string>")).alias("item"))
+    rows = bodies.select(*keep, F.when(bad, "sucesso").when(~F.coalesce(F.ltrim(get("empresas")).startswith("["), F.lit(False)), "empresas").alias("reason"), F.posexplode_outer(F.from_json(get("empresas"), "array<string>")).alias("item_no", "item"))
     rows = rows.withColumn("reason", F.coalesce("reason", F.when(~F.ltrim("item").startswith("{"), "entry")))
-    return rows.where("reason IS NULL AND item IS NOT NULL").select(*keep, "item"), rows.where("reason IS NOT NULL").select(*keep, "reason", "item")
+    return rows.where("reason IS NULL AND item IS NOT NULL").select(*keep, "item_no", "item"), rows.where("reason IS NOT NULL").select(*keep, "reason", "item")
 
 
 def manifest(files: DataFrame, page_counts: DataFrame | None = None) -> DataFrame:
@@ -225,29 +234,68 @@ MAX_BODY_CHARS, MAX_BODY_BYTES = 25_000, 2 << 20
 TOKEN = r"\beyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,}\b"
 
 
+def _redacted(value):
+    """A parsed JSON value without secrets; walks with a stack, so that depth costs no recursion."""
+    top = [value]
+    todo = [top]
+    while todo:
+        at = todo.pop()
+        for key, item in list(at.items() if isinstance(at, dict) else enumerate(at)):
+            if isinstance(at, dict) and key.lower() in SECRET_KEYS:
+                at[key] = "<REDACTED>"
+            elif isinstance(item, (dict, list)):
+                todo.append(item)
+            elif isinstance(item, str):
+                at[key] = re.sub(TOKEN, "<REDACTED_JWT>", item)
+    return top[0]
+
+
+_NAMES = "|".join(map(re.escape, SECRET_KEYS))
+#: In a body that is no JSON: a secret key with a text or a bare value, with an object or list that may not end, and in a form.
+_TEXT_VALUE = re.compile(rf'("(?:{_NAMES})"\s*:\s*)("(?:[^"\\]|\\.)*(?:"|$)|[^\s,}}\]{{\["][^\s,}}\]]*)', re.I | re.S)
+_OPEN_VALUE = re.compile(rf'("(?:{_NAMES})"\s*:\s*)[{{\[].*', re.I | re.S)
+_FORM_VALUE = re.compile(rf"\b((?:{_NAMES})=)[^&\s]+", re.I)
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def _redact_body(text: str) -> str | None:
+    """A body without secrets: JSON by its tree, written anew; other texts by patterns; None for JSON too deep to be parsed."""
+    try:
+        found = json.loads(text, parse_constant=_no_constant)
+        if isinstance(found, (dict, list)):
+            return json.dumps(_redacted(found), ensure_ascii=False, separators=(",", ":")).encode("utf-8", "replace").decode()
+    except RecursionError:
+        return None
+    except ValueError:
+        pass
+    text = _OPEN_VALUE.sub(r'\1"<REDACTED>"', text)  # where such a value ends can't be told, so nothing after it is kept
+    text = _TEXT_VALUE.sub(r'\1"<REDACTED>"', text)
+    return re.sub(TOKEN, "<REDACTED_JWT>", _FORM_VALUE.sub(r"\1<REDACTED>", text))
+
+
+@F.pandas_udf(StringType())
+def redact_body(body: pd.Series) -> pd.Series:
+    return pd.Series([_redact_body(b) if b else b for b in body], dtype=object)
+
+
 def sanitize_http_log(df: DataFrame) -> DataFrame:
     """``headers`` (map) and ``body`` of captured messages without secrets.
 
-    Values of secret headers, and of secret keys at any depth of a JSON body (texts, numbers, and objects or lists up to
-    three levels deep), become <REDACTED>, tokens <REDACTED_JWT>.  Bodies over two MB or of binary types are left out,
-    others cut to 25,000 characters; ``body_status`` tells KEPT, CUT, TOO_LARGE, BINARY or EMPTY.
+    Values of secret headers become <REDACTED>, and so do those of secret keys at any depth of a JSON body, which is parsed and written anew;
+    tokens become <REDACTED_JWT>.  In bodies that are no JSON secret keys are found by patterns, and all that follows a secret
+    object or list is left out.  Bodies over two MB, of binary types, or of JSON too deep to be parsed are left out,
+    others cut to 25,000 characters; ``body_status`` tells KEPT, CUT, TOO_LARGE, BINARY, TOO_DEEP or EMPTY.
     """
-    masked = lambda c: F.regexp_replace(c, TOKEN, "<REDACTED_JWT>")
-    headers = F.transform_values("headers", lambda k, v: F.when(F.lower(k).isin(*SECRET_HEADERS), F.lit("<REDACTED>")).otherwise(masked(v)))
-    deep = {x: None for x in ("{}", "[]")}
-    for pair in deep:
-        o, c = (re.escape(x) for x in pair)
-        deep[pair] = f"{o}[^{o}{c}]*{c}"
-        for _ in range(2):
-            deep[pair] = f"{o}(?:[^{o}{c}]|{deep[pair]})*{c}"
-    value = rf'"(?:[^"\\]|\\.)*"|{deep["{}"]}|{deep["[]"]}|[^\s,}}\]]+'
-    body = F.regexp_replace("body", rf'(?i)("(?:{"|".join(SECRET_KEYS)})"\s*:\s*)(?:{value})', '$1"<REDACTED>"')
+    headers = F.transform_values("headers", lambda k, v: F.when(F.lower(k).isin(*SECRET_HEADERS), F.lit("<REDACTED>")).otherwise(F.regexp_replace(v, TOKEN, "<REDACTED_JWT>")))
     kind = F.lower(F.coalesce(F.col("content_type"), F.lit("")))
     text = kind.rlike("json|text|xml|html|javascript|urlencoded") | (kind == "")
     status = F.when(F.coalesce(F.col("body"), F.lit("")) == "", "EMPTY").when(F.octet_length("body") > MAX_BODY_BYTES, "TOO_LARGE").when(~text, "BINARY")
-    status = status.when(F.length(masked(body)) > MAX_BODY_CHARS, "CUT").otherwise("KEPT")
-    kept = F.when(status.isin("KEPT", "CUT"), F.left(masked(body), F.lit(MAX_BODY_CHARS)))
-    return df.select(*[c for c in df.columns if c not in ("headers", "body")], headers.alias("headers"), kept.alias("body"), status.alias("body_status"))
+    told = df.withColumn("status_", status).withColumn("clean_", redact_body(F.when(F.col("status_").isNull(), F.col("body"))))
+    status = F.coalesce("status_", F.when(F.col("clean_").isNull(), "TOO_DEEP").when(F.length("clean_") > MAX_BODY_CHARS, "CUT").otherwise("KEPT"))
+    return told.select(*[c for c in df.columns if c not in ("headers", "body")], headers.alias("headers"), F.left("clean_", F.lit(MAX_BODY_CHARS)).alias("body"), status.alias("body_status"))
 
 
 # Encodings that pages may name.

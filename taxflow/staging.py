@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
 
@@ -26,3 +27,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a catalogue (codes, rules, periods) that may be broadcast.
+SMALL_ROWS = 100_000
+
+
+def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` for the small side of a join: broadcast if it has no more than ``rows`` rows, counted up to there, else joined by sort and merge."""
+    few = df.limit(rows + 1).count() <= rows
+    return F.broadcast(df) if few else df.hint("merge")

@@ -7,9 +7,11 @@ from taxflow.functions import classify as R
 from taxflow.operators import merge, payroll, quality
 from taxflow.plans import catalogs, jobs, views
 from taxflow.sources import feeds
+from taxflow.sources.versions import VersionConflict, Versions
 from taxflow.streaming import streams
 from tests.test_pages import MONTH, page
 
+STATE = ", active boolean, deleted_at timestamp, sync_status string"
 SEEN = ", first_seen_at timestamp, last_seen_at timestamp"
 
 
@@ -32,7 +34,7 @@ def test_tenant(spark):
 
 def test_registry_and_deliveries(spark, tmp_path, now):
     (tmp_path / "c.json").write_text(json.dumps({"items": [{"id": 1, "cnpj": "11.222.333/0001-81", "razaoSocial": "X"}, {"id": 1, "cnpj": "11.222.333/0001-81", "razaoSocial": "X"}, {"id": 2}]}))
-    target = spark.createDataFrame([], "organization_id long, cnpj string, external_id string, razao_social string" + SEEN)
+    target = spark.createDataFrame([], "organization_id long, cnpj string, external_id string, razao_social string" + STATE + SEEN)
     out = jobs.run_registry_sync(spark, str(tmp_path / "c.json"), target, 1, now)
     assert ops(out) == ["CREATED"] and out["rejected"].count() == 1
     assert ops(jobs.run_registry_sync(spark, str(tmp_path / "c.json"), out["after"], 1, now)) == ["UNCHANGED"]
@@ -89,6 +91,7 @@ def test_enrichment_catalog_and_import(spark, tmp_path, now):
     cache = spark.sql("SELECT '0000002' AS cnae, 'h' AS content_hash, 'x' AS description, 'PARSED' AS parse_status, 'rule-pages-1' AS parser_version, timestamp'2026-05-01' AS retrieved_at, timestamp'2026-12-01' AS expires_at")
     columns = ["description", "parse_status", "parser_version"]
     out = jobs.run_enrichment(pages, wanted, cache, columns, now)
+    assert {(r.cnae, r.status) for r in out["items"].collect()} == {("0000001", "CREATED"), ("0000002", "SKIPPED_FRESH_CACHE"), ("0000003", "CNAE_NOT_FOUND")}
     assert {(r.cnae, r.op) for r in out["ops"].collect()} == {("0000001", "CREATED")} and [r.cnae for r in out["missing"].collect()] == ["0000003"]
     assert {(r.cnae, r.description) for r in out["after"].collect()} == {("0000001", "Comércio varejista"), ("0000002", "x")}
     assert ops(jobs.run_enrichment(pages, wanted, cache, columns, now, force_refresh=True)) == ["CREATED", "UPDATED"]
@@ -135,25 +138,27 @@ def test_delivery_feed(spark, tmp_path):
 
 def test_last_of_equal_keys_wins(spark, tmp_path, now):
     (tmp_path / "c.json").write_text(json.dumps({"items": [{"id": 1, "cnpj": "11.222.333/0001-81", "razaoSocial": n} for n in ("Z", "A")]}))
-    target = spark.createDataFrame([], "organization_id long, cnpj string, razao_social string" + SEEN)
+    target = spark.createDataFrame([], "organization_id long, cnpj string, razao_social string" + STATE + SEEN)
     assert [r.razao_social for r in jobs.run_registry_sync(spark, str(tmp_path / "c.json"), target, 1, now)["after"].collect()] == ["A"]
 
 
 def test_registry_stream(spark, tmp_path):
     """Versions of the registry from change events; the same files again change nothing."""
     columns = "organization_id long, cnpj string, external_id string, razao_social string, active boolean, deleted_at timestamp, sync_status string, event_at timestamp"
-    spark.createDataFrame([], columns).write.parquet(str(tmp_path / "t/v=-1"))
+    versions = Versions(spark, str(tmp_path / "t"))
+    assert versions.commit(spark.createDataFrame([], columns), None) == 0
     (tmp_path / "in").mkdir()
     base = {"organization_id": "1", "cnpj": "11222333000181", "id": "7"}
     events = [base | {"event_type": "company.upsert", "razao_social": "B", "updated_at": "2026-01-02T00:00:00Z"}, base | {"event_type": "company.upsert", "razao_social": "A", "updated_at": "2026-01-01T00:00:00Z"}]
     (tmp_path / "in/a.json").write_text("\n".join(map(json.dumps, events)))
     run = lambda: streams.start_registry_stream(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "cp")).awaitTermination()
     run()
-    rows = spark.read.parquet(str(tmp_path / "t/v=0")).collect()
+    rows = versions.read(1).collect()
     assert [(r.razao_social, r.active, r.sync_status) for r in rows] == [("B", True, "SYNCED")]
     (tmp_path / "in/b.json").write_text(json.dumps({"organization_id": "1", "id": "7", "event_type": "company.deleted", "deleted_at": "2026-01-03T00:00:00Z"}))
     run()
-    after = spark.read.parquet(str(tmp_path / "t/v=1"))
+    number, after = versions.latest()
+    assert number == 2
     assert [(r.razao_social, r.active, r.sync_status, str(r.deleted_at)) for r in after.collect()] == [("B", False, "DELETED_IN_SOURCE", "2026-01-03 00:00:00")]
     again = streams.typed_events(spark.read.schema(streams.EVENT_SCHEMA).json(str(tmp_path / "in")))
     assert [r.op for r in streams.apply_company_events(after, again, F.current_timestamp())[1].collect()] == ["STALE"]
@@ -168,3 +173,84 @@ def test_seeds_and_report_summary(spark, now):
     got = {r.file: r for r in views.report_summary(out["reports"], out["companies"], out["warnings"]).collect()}
     assert got["Resumo_05-2026.pdf"].payroll == 1 and got["Resumo_05-2026.pdf"].employee == 1 and got["Resumo_05-2026.pdf"].company_warning_codes == {}
     assert got["x.pdf"].warning_codes == {"TEXT_LAYER_MISSING": 1, "COMPANY_HEADER_INCOMPLETE": 1, "PAGE_HEADER_MISSING": 1}
+
+
+def test_versions(spark, tmp_path):
+    """A writer that stops half-way leaves no version, one that reads an old version is refused, and a rerun of a commit does nothing."""
+    v = Versions(spark, f"file://{tmp_path}/t")
+    rows = lambda n: spark.range(n).toDF("id")
+    with pytest.raises(ValueError):
+        v.latest()
+    assert v.commit(rows(1), None, "a") == 0
+
+    class Stopped(Versions):
+        def _make_valid(self, number, entry):
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        Stopped(spark, v.root).commit(rows(5), 0, "b")
+    assert v.latest()[0] == 0 and v.latest()[1].count() == 1
+    assert v.commit(rows(2), 0, "b") == 1 and v.commit(rows(9), 0, "b") == 1 and v.latest()[1].count() == 2
+    with pytest.raises(VersionConflict):
+        v.commit(rows(3), 0, "c")
+
+    class Late(Versions):  # both have seen that the number is free
+        def numbers(self):
+            return [0]
+
+    with pytest.raises(VersionConflict):
+        Late(spark, v.root).commit(rows(3), 0, "c")
+    assert v.latest()[1].count() == 2 and v.numbers() == [0, 1]
+
+
+def test_two_identities(spark, now):
+    """A cnpj decides before an id; ids that an earlier event of the batch gave, or took away, count at their time."""
+    columns = "organization_id long, cnpj string, external_id string, razao_social string, active boolean, deleted_at timestamp, sync_status string, event_at timestamp"
+    target = spark.createDataFrame([(1, "A" * 14, "a", "A", True, None, "SYNCED", None), (1, "B" * 14, "b", "B", True, None, "SYNCED", None), (1, "C" * 14, "c", "C", False, None, "SYNCED", None)], columns)
+    seen = "organization_id long, cnpj string, external_id string, deleted_at timestamp"
+    after, ops = merge.delete_registry(target, spark.createDataFrame([(1, "A" * 14, "b", None), (1, "Z" * 14, "c", None), (1, None, "z", None), (2, "A" * 14, None, None)], seen), now)
+    assert {(r.cnpj, r.external_id, r.op) for r in ops.collect()} == {("A" * 14, "a", "DELETED"), ("C" * 14, "c", "DELETED"), (None, "z", "NOT_FOUND"), ("A" * 14, None, "NOT_FOUND")}
+    assert {(r.external_id, r.active, r.sync_status) for r in after.collect()} == {("a", False, "DELETED_IN_SOURCE"), ("b", True, "SYNCED"), ("c", False, "DELETED_IN_SOURCE")}
+    assert {r.op for r in merge.delete_registry(after, spark.createDataFrame([(1, "A" * 14, None, None)], seen), now)[1].collect()} == {"ALREADY_DELETED"}
+
+    def run(*events):
+        raw = spark.createDataFrame([{"organization_id": "1", "event_type": "upsert"} | e for e in events], streams.EVENT_SCHEMA).coalesce(1)
+        after, ops = streams.apply_company_events(target, streams.typed_events(raw), now)
+        return {r.external_id: (r.cnpj[0], r.active) for r in after.collect()}, sorted((r.cnpj or "-")[0] + ":" + r.op for r in ops.collect())
+
+    gone = {"event_type": "company.deleted"}
+    day = lambda d: f"2026-01-{d:02d}T00:00:00Z"
+    assert run({"id": "d", "cnpj": "44444444444444", "updated_at": day(1)}, gone | {"id": "d", "deleted_at": day(2)}) == ({"a": ("A", True), "b": ("B", True), "c": ("C", False), "d": ("4", False)}, ["4:DELETED"])
+    assert run(gone | {"id": "d", "deleted_at": day(1)}, {"id": "d", "cnpj": "44444444444444", "updated_at": day(2)})[1] == ["-:NOT_FOUND", "4:CREATED"]
+    assert run(gone | {"id": "b", "cnpj": "99999999999999", "deletedAt": day(2)})[1] == ["B:DELETED"]
+    # the id moves to another company before it is deleted
+    assert run({"id": "x", "cnpj": "B" * 14, "updatedAt": day(1)}, {"id": "b", "cnpj": "A" * 14, "updatedAt": day(2)}, gone | {"id": "b", "updated_at": day(3)})[1] == ["A:DELETED", "B:UPDATED"]
+    assert run({"id": "q", "cnpj": None})[1] == ["-:REJECTED"]
+
+
+def test_last_item_of_a_page_counts(spark, tmp_path, now):
+    """Two items of one status in both orders; ids as text would decide otherwise."""
+    item = lambda i, done: {"Nome": "DAS", "EntDtEntrega": "2026-05-10" if done else "0000-00-00", "EntDtFinalizacao": None, "Status": "Ent. antecipada", "Config": {"EntID": i, "ID": "7", "Tipo": "O", "DptoNome": "Outro"}}
+    companies = spark.createDataFrame([(7, "11222333000181", True)], "company_id long, cnpj string, active boolean")
+    periods = spark.createDataFrame([(1, "2026-05")], "period_id long, competencia string")
+    obligations = spark.createDataFrame([(9, "DAS", "CONTABIL")], "obligation_id long, code string, department_default string")
+    statuses = spark.createDataFrame([], "company_id long, period_id long, obligation_id long, status string, department string, confidence decimal(5,2), delivered_at timestamp" + SEEN)
+    for n, items in enumerate(([item("9", True), item("10", False)], [item("10", False), item("9", True)])):
+        (tmp_path / f"{n}").mkdir()
+        (tmp_path / f"{n}/2026-05.json").write_text(json.dumps([{"ID": 1, "Identificador": "11.222.333/0001-81", "Razao": "X", "Entregas": items}]))
+        row = jobs.run_delivery_sync(spark, str(tmp_path / f"{n}"), companies, periods, obligations, statuses, now, "2026-05")["after"].first()
+        assert (row.status, str(row.confidence), row.department) == (("PENDENTE", "CONFIRMADO_API")[n] if n else "CONFERENCIA_MANUAL", "100.00" if n else "70.00", "CONTABIL")
+
+
+def test_redaction(spark):
+    """No secret is left, and JSON stays JSON."""
+    deep = '{"a":' * 200_000 + '{"token":"SECRET"}' + "}" * 200_000
+    bodies = [
+        '{"token":{"a":"}","b":"SECRET"},"x":1}', '{"token":{"a":{"b":{"c":{"d":"SECRET"}}}},"x":1}', '{"to\\u006ben":"SECRET","x":1}', '[{"a":[[{"Senha":["SECRET"]}]]},"x"]', '{"token": "SECRET', '{"a":1,"token":{"b":["SECRET',
+        "user=1&password=SECRET&x=1", '{"token":"SECRET","token":"SECRET"}', deep, '{"x":"\\ud800","secret":"SECRET"}', "plain", None, '{"x": NaN, "pwd": SECRET}',
+    ]
+    rows = spark.createDataFrame([(i, {}, b, "application/json") for i, b in enumerate(bodies)], "i int, headers map<string,string>, body string, content_type string")
+    got = {r.i: r for r in feeds.sanitize_http_log(rows).collect()}
+    assert not any("SECRET" in (r.body or "") for r in got.values())
+    assert [json.loads(got[i].body) for i in (0, 1, 2)] == [{"token": "<REDACTED>", "x": 1}] * 3 and json.loads(got[3].body) == [{"a": [[{"Senha": "<REDACTED>"}]]}, "x"]
+    assert got[6].body == "user=1&password=<REDACTED>&x=1" and got[8].body_status == "TOO_DEEP" and got[10].body == "plain" and got[11].body_status == "EMPTY"

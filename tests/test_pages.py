@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from taxflow.functions.page_parser import Page
 from taxflow.operators import payroll, rule_pages
 from taxflow.plans.queries import QUERIES, SQL
 from taxflow.sources import assessments
@@ -75,12 +76,14 @@ def test_rule_pages(spark):
     hit = rule_pages.search_results(texts).collect()
     assert [(h.activity_id, h.cnae, h.description, h.errors) for h in hit] == [("99", "0000001", "UMA & OUTRA", [])]
     assert rule_pages.obligation_tabs(texts).first().groups == ["PJ em Geral", "Optante SIMEI"]
-    r = rule_pages.attach_activity(rule_pages.normalized_rules(texts)).first()
+    r = rule_pages.attach_activity(rule_pages.normalized_rules(texts)).where("page_key = 'k'").first()
     assert (r.cnae, r.activity_id, r.description, r.activity_types) == ("0000001", "99", "Comércio varejista", ["COMERCIO"])
     assert (r.simples.status, r.simples.annex_default, r.simples.annex_conditional, r.simples.factor_r, str(r.simples.factor_r_threshold)) == ("ALLOWED", "V", "III", True, "28.00")
     assert str(r.presumed_profit.irpj_rate) == "8.00" and str(r.presumed_profit.csll_rate) == "12.00" and r.mei.occupation == "Vendedor"
     assert (r.actual_profit_status, r.actual_profit_mandatory) == ("NOT_MANDATORY", False)
     assert [(x.name, x.mapped_code) for x in r.obligations_general["items"]] == [("DCTFWeb", "DCTFWEB"), ("e-Social", None)] and r.unmapped_obligations == ["e-Social"]
+    others = {x.page_key: (x.parse_status, x.parse_errors, x.content_hash) for x in rule_pages.normalized_rules(texts).where("page_key <> 'k'").collect()}
+    assert others == {k: ("PARSE_ERROR", [f"mei:{gate}", "detail:MISSING"], None) for k, gate in (("e", "EMPTY"), ("l", "LOGIN"), ("c", "CAPTCHA"), ("m", "MARKER_MISSING"))}
     assert r.obligations_simples.status == "EMPTY" and r.obligations_simei.status == "REGIME_NOT_ALLOWED" and len(r.content_hash) == 64
 
 
@@ -99,3 +102,14 @@ def test_mappers(spark):
     assert n[0].cancelled and n[0].errors == [] and len(n[1].errors) == 4
     empty = frame().select(F.col("item"))
     assert assessments.map_document(empty, "ENTRADA").count() == 0
+
+
+def test_page_parser():
+    """Nested tables, spans, tags that aren't closed, and silent parts."""
+    p = Page('<!DOCTYPE html><script>var x = "<td>no</td>"</script><style>no</style><table class="a b"><tr><td rowspan="2">1<td colspan=2>2<table class=in><tr><th>h<td>x &amp; y</table>tail<tr><td>3</td><td>4</table><p>after')
+    assert p.text == "1 2 h x & y tail 3 4 after"
+    assert [(t["classes"], [r["cells"] for r in t["rows"]]) for t in p.tables] == [("in", [["x & y"]]), ("a b", [["1", "2 h x & y tail", ""], ["", "3", "4"]])]
+    p = Page('<div class="titulo_tabela_capa">0000-0/01 - <b>One</b></div> two<br>three <b class="grupo-obrigacoes">G <b>h</b></b><i data-econet-id="7">')
+    assert (p.title, p.groups, p.activity_id) == ("0000-0/01 - One two", ["G h"], "7")
+    assert Page("").tables == [] and len(Page('<table><tr><td colspan="99999">x').tables[0]["rows"][0]["cells"]) == 100
+    assert len(Page("<table>" * 3000 + "<tr><td>x").tables) == 3000
