@@ -15,6 +15,7 @@ that length with 0 there.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,13 @@ from taxflow.llm.scratch import Scratch
 
 K = 20
 #: Lines to project on, and half the width of a window of radius 1.
-M, HALF_WIDTH = 64, 1.0
+M, HALF_WIDTH = 40, 1.0
 #: Probability that a row at the radius has fewer collisions than the threshold.
 MISS = 0.01
 #: Radii grow by this factor, from this part of the common length on.
 GROWTH, FIRST_RADIUS = 1.15, 0.1
 #: Rows of a shard and queries of a block, on average; a task holds one of each.
-SHARD_ROWS, BLOCK_QUERIES = 16384, 1024
+SHARD_ROWS, BLOCK_QUERIES = 32768, 1024
 SEED = 42
 _FOUND = "query_row bigint, query_id bigint, vec_id bigint, score double"
 
@@ -71,21 +72,26 @@ class Shard:
         steps = math.ceil(math.log(2 / FIRST_RADIUS, GROWTH))
         self.radii = FIRST_RADIUS * self.length * GROWTH ** np.arange(steps + 1)  # up to two lengths: no row is farther
         extra = np.sqrt(np.maximum(self.length**2 - norms**2, 0))
+        self.rough = vectors.astype(np.float32)  # for choosing; what is returned is computed anew from the doubles
         self.lines = lines(vectors.shape[1], m)
         found = np.column_stack([vectors, extra]) @ self.lines
         self.order = np.ascontiguousarray(np.argsort(found, axis=0, kind="stable").T.astype(np.int32))
         self.sorted = np.ascontiguousarray(np.take_along_axis(found.T, self.order, axis=1))
 
-    def search(self, key: int, query: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k nearest found, without the row ``key``; nearest first, ties by id."""
-        n = len(self.ids)
-        scale = self.length / math.sqrt(float((query**2).sum()))
-        centre = (query * scale) @ self.lines[:-1]
-        reach = HALF_WIDTH * self.radii
+    def search_all(self, keys: list[int], queries: np.ndarray, k: int = K) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, scores) of the k nearest found for each query, without the row of its key; nearest first, ties by id."""
+        scales = self.length / np.sqrt((queries**2).sum(1))
+        centres = (queries * scales[:, None]) @ self.lines[:-1]
         # windows of all radii on each line, as ranges of the sorted array; one of radius 0 is empty
+        reach = HALF_WIDTH * self.radii
         ends = np.concatenate([-reach[::-1], [0.0], reach])
-        cut = np.array([np.searchsorted(line, c + ends) for line, c in zip(self.sorted, centre)])
-        last, zero = len(reach) - 1, len(reach)
+        cuts = np.stack([np.searchsorted(line, centres[:, i, None] + ends) for i, line in enumerate(self.sorted)], axis=1)
+        for key, query, scale, cut in zip(keys, queries, scales, cuts):
+            yield self._search(key, query, float(scale), cut, k)
+
+    def _search(self, key: int, query: np.ndarray, scale: float, cut: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        n, rough = len(self.ids), query.astype(np.float32)
+        last, zero = len(self.radii) - 1, len(self.radii)
         counts = np.zeros(n, dtype=np.int64)
         open_ = self.keys != key  # neither verified nor the query's own row
         near, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
@@ -99,14 +105,14 @@ class Shard:
             if len(hit):
                 open_[hit] = False
                 near = np.concatenate([near, hit])
-                found = (self.vectors @ query)[hit] if 3 * len(hit) > n else self.vectors[hit] @ query  # one product is cheaper than to gather many rows
+                found = (self.rough @ rough)[hit] if 3 * len(hit) > n else self.rough[hit] @ rough  # one product is cheaper than to gather many rows
                 scores = np.concatenate([scores, found])
             # distance ** 2 is 2 * length ** 2 - 2 * scale * score
             if len(near) >= k and np.count_nonzero(2 * self.length**2 - 2 * scale * scores <= radius**2) >= k:
                 break
         if len(near) > k:
             least = np.partition(scores, len(scores) - k)[len(scores) - k]
-            near = near[scores >= least - 1e-9 * max(1.0, abs(least))]  # more than rounding can shift
+            near = near[scores >= least - 1e-5 * self.length * self.length / scale]  # more than rounding can shift
         scores = inner_products(self.vectors[near], query)
         best = np.lexsort((self.ids[near], -scores))[:k]
         return self.ids[near[best]], scores[best]
@@ -127,8 +133,8 @@ def _search(k: int):
         out: tuple[list, list, list, list] = ([], [], [], [])
         if len(rows) and len(asked):
             shard = Shard(_ids(rows["vec_id"]), rows["row_id"].to_numpy(), _matrix(rows["vector"]))
-            for key, own, query in zip(asked["row_id"].to_pylist(), asked["vec_id"].to_pylist(), _matrix(asked["vector"])):
-                ids, scores = shard.search(key, query, k)
+            keys = asked["row_id"].to_pylist()
+            for key, own, (ids, scores) in zip(keys, asked["vec_id"].to_pylist(), shard.search_all(keys, _matrix(asked["vector"]), k)):
                 out[0].append(np.full(len(ids), key))
                 out[1].append(np.full(len(ids), own))
                 out[2].append(ids)
