@@ -2,10 +2,9 @@
 
 Grams of ``ORDER`` characters of all trusted texts are counted; Spark joins the
 counts of a gram, its context and its suffix, order by order, to interpolated
-probabilities and back-off weights.  The tables are cut into shards by the two
-characters that all entries needed at one text position have in common.  The
-texts stay where they are: one pass looks the positions of each slice of text
-up in one shard after another.  A document is rejected if its log perplexity, or
+probabilities and back-off weights.  The different grams of bundles of texts are
+scored by joins with these tables, and the scores joined back to the bundles.
+A document is rejected if its log perplexity, or
 that of its worst short stretch, is beyond a quantile of the same figure of
 trusted held-out documents of its language.
 """
@@ -17,15 +16,17 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxflow.llm import text as T
-from taxflow.llm.scratch import Scratch, narrow_side
+from taxflow.llm.scratch import NARROW_ROWS, Scratch, narrow_side
 
 ORDER = 5
-#: Entries of a shard that may be broadcast (13 bytes each).
-SHARD_ENTRIES = 3_000_000
+#: Bytes of texts that are scored in one task.
+BUNDLE_BYTES = 32 << 20
 #: Of trusted documents one in HELD_OUT is not trained on; those set the thresholds.
 HELD_OUT = 5
 QUANTILE = 0.99
@@ -135,59 +136,30 @@ def train(texts: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(reduce(DataFrame.unionByName, out), "model")
 
 
-def shard_key(kind: Column, length: Column, gram: Column) -> Column:
-    """The two characters before the predicted one; null for entries shorter than that, which go to every shard."""
-    # "p" entries end with the predicted character, "g" entries end before it
-    end = F.when(kind == "p", length - 1).otherwise(length)
-    return F.when(end >= 2, F.substring(gram, F.lit(0) + end - 1, F.lit(2)))
+def score_grams(grams: DataFrame, model: DataFrame) -> DataFrame:
+    """(gram, value): the log probability of the last character of each of ``grams`` (gram: ORDER characters, each once) given the others.
 
-
-def _keyed(batches):
-    """Grams as 64-bit keys, tables as numbers: 0 unseen, length for "p", 16 + length for "g"."""
-    for batch in batches:
-        frame = batch.to_pandas()
-        for (kind, length), part in frame.groupby(["kind", "length"]):
-            points = np.frombuffer("".join(part["gram"]).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(part), length)
-            number = {"u": 0, "p": length, "g": 16 + length}[kind]
-            columns = [pa.array(np.full(len(part), number, np.int8)), pa.array(_rows_key(points).view(np.int64)), pa.array(part["value"].to_numpy(np.float32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["number", "key", "value"])
-
-
-class Lookup:
-    """Sorted keys of one shard: probabilities and weights by length."""
-
-    def __init__(self, entries: pa.Table):
-        number, key, value = (entries.column(c).to_numpy() for c in ("number", "key", "value"))
-        self.tables, self.unseen = {}, -20.0
-        for x in np.unique(number):
-            mine = number == x
-            keys, values = key[mine].view(np.uint64), value[mine]
-            if x == 0:
-                self.unseen = float(values[0])
-                continue
-            order = np.argsort(keys)
-            self.tables["p" if x < 16 else "g", int(x) % 16] = keys[order], values[order]
-
-    def find(self, kind: str, length: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        have, values = self.tables.get((kind, length), (np.zeros(0, np.uint64), np.zeros(0, np.float32)))
-        if not len(have):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
-        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-        return have[at] == keys, values[at]
-
-    def log_probability(self, grams: np.ndarray) -> np.ndarray:
-        """Of the last character of each row of ``ORDER`` characters given the others."""
-        out = np.zeros(len(grams), np.float64)
-        open_ = np.arange(len(grams))
-        for k in range(ORDER, 0, -1):
-            seen, value = self.find("p", k, _rows_key(grams[open_, ORDER - k :]))
-            out[open_[seen]] += value[seen]
-            open_ = open_[~seen]
-            if k > 1:
-                known, weight = self.find("g", k - 1, _rows_key(grams[open_, ORDER - k : ORDER - 1]))
-                out[open_[known]] += weight[known]
-        out[open_] += self.unseen
-        return out
+    From the longest gram down, a join tells whether it was seen; where it wasn't, one with its context adds the back-off weight.
+    """
+    sizes = {(r["kind"], r["length"]): r["n"] for r in model.groupBy("kind", "length").agg(F.count(F.lit(1)).alias("n")).collect()}  # 2 * ORDER rows at most
+    unseen = model.where("kind = 'u'").first()["value"]
+
+    def entries(kind: str, length: int, key: str, value: str) -> DataFrame:
+        mine = model.where((F.col("kind") == kind) & (F.col("length") == length)).select(F.col("gram").alias(key), F.col("value").alias(value))
+        return F.broadcast(mine) if sizes.get((kind, length), 0) <= NARROW_ROWS else mine.hint("merge")
+
+    out = grams.select("gram", F.lit(0.0).alias("value"), F.lit(True).alias("open"))
+    for k in range(ORDER, 0, -1):
+        own = out.withColumn("own", F.when(F.col("open"), F.substring("gram", ORDER - k + 1, k)))
+        out = own.join(entries("p", k, "own", "p"), "own", "left").drop("own")
+        if k > 1:
+            own = out.withColumn("context", F.when(F.col("open") & F.col("p").isNull(), F.substring("gram", ORDER - k + 1, k - 1)))
+            out = own.join(entries("g", k - 1, "context", "g"), "context", "left").drop("context")
+            out = out.withColumn("value", F.col("value") + F.coalesce("p", "g", F.lit(0.0))).drop("g")
+        else:
+            out = out.withColumn("value", F.col("value") + F.coalesce("p", F.when(F.col("open"), F.lit(unseen)), F.lit(0.0)))
+        out = out.withColumn("open", F.col("open") & F.col("p").isNull()).drop("p")
+    return out.select("gram", F.col("value").cast("float").alias("value"))
 
 
 def _rows_key(points: np.ndarray) -> np.ndarray:
@@ -198,10 +170,6 @@ def _rows_key(points: np.ndarray) -> np.ndarray:
     return key
 
 
-def _pair_shard(first: np.ndarray, second: np.ndarray, shards: int) -> np.ndarray:
-    return (first.astype(np.int64) * 31 + second.astype(np.int64)) % shards
-
-
 def _worst(value: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     """Per document the largest mean of -``value`` over STRETCH positions in a row; NaN under STRETCH positions."""
     worst = np.full(docs, np.nan)
@@ -216,56 +184,85 @@ def _worst(value: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return worst
 
 
-def _score(held: list):
-    shards = len(held)
-
+def _in_bundles(bundle_bytes: int):
+    """Adds ``bundle``: texts in a row of about so many bytes, or a single longer one, get one number."""
     def run(batches):
+        task, number, size = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in slices(texts):
-                points, starts = code_points(texts[lo:hi])
-                at = np.flatnonzero(_inside(points, starts))
-                codes, distinct = pd.factorize(gram_keys(points, ORDER)[at])
-                first = np.zeros(len(distinct), np.int64)
-                first[codes[::-1]] = at[::-1]
-                grams = points[first[:, None] + np.arange(ORDER)]
-                of = _pair_shard(grams[:, ORDER - 3], grams[:, ORDER - 2], shards)
-                found = np.zeros(len(grams), np.float64)
-                for shard in range(shards):
-                    mine = np.flatnonzero(of == shard)
-                    if len(mine):
-                        found[mine] = held[shard].value.log_probability(grams[mine])
-                    if shards > 1 and getattr(held[shard], "_path", None):
-                        vars(held[shard]).pop("_value", None)  # a worker holds one shard at a time and reads it again from its local file
-                value = found[codes]
-                doc = np.searchsorted(starts, at, side="right") - 1
-                total, n = np.bincount(doc, value, minlength=hi - lo), np.bincount(doc, minlength=hi - lo)
-                columns = [pa.array(total, pa.float64()), pa.array(n, pa.int64()), pa.array(_worst(value, doc, hi - lo), pa.float64(), from_pandas=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("key_", "doc_id", "lang")), *columns], names=["key_", "doc_id", "lang", "total", "n", "worst"])
+            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+            bundles = np.zeros(len(lengths), np.int64)
+            for i, n in enumerate(lengths.tolist()):
+                if size and size + n > bundle_bytes:
+                    number, size = number + 1, 0
+                size += n
+                bundles[i] = number
+            yield pa.RecordBatch.from_arrays([pa.array(bundles + (task << 32)), *batch.columns], names=["bundle", *batch.schema.names])
 
     return run
 
 
-def log_perplexity(docs: DataFrame, model: DataFrame, scratch: Scratch, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """(key_, doc_id, lang, log_perplexity, n_scored, worst_stretch) of every document, by one pass."""
-    spark = docs.sparkSession
-    entries = model.count()
-    shards = max(1, -(-2 * entries // shard_entries) if entries > shard_entries else 1)
-    pair = shard_key(F.col("kind"), F.col("length"), F.col("gram"))
-    of = F.pmod(F.ascii(F.substring(pair, 1, 1)) * 31 + F.ascii(F.substring(pair, 2, 1)), F.lit(shards))
-    placed = model.withColumn("shard", of)
+def _grams_of_bundles(batches):
+    """(bundle, gram): the different grams of each bundle, or of what of it lies in one batch."""
+    for batch in batches:
+        bundle, texts = batch.column("bundle").to_numpy(), batch.column("text").to_pylist()
+        edges = np.flatnonzero(np.diff(bundle)) + 1
+        for lo, hi in zip([0, *edges], [*edges, len(bundle)]):
+            met, grams = np.zeros(0, np.uint64), []
+            for i, j in slices(texts[lo:hi]):
+                points, starts = code_points(texts[lo + i : lo + j])
+                at = np.flatnonzero(_inside(points, starts))
+                keys, first = np.unique(gram_keys(points, ORDER)[at], return_index=True)
+                new = np.isin(keys, met, invert=True, assume_unique=True)
+                grams.append(np.ascontiguousarray(points[at[first[new]][:, None] + np.arange(ORDER)]).view(f"<U{ORDER}").ravel() if new.any() else np.zeros(0, f"<U{ORDER}"))
+                met = np.concatenate([met, keys[new]])
+            found = np.concatenate(grams) if grams else np.zeros(0, f"<U{ORDER}")
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), bundle[lo])), pa.array(found.tolist(), pa.string())], names=["bundle", "gram"])
+
+
+def _score(texts: pa.Table, scores: pa.Table) -> pa.Table:
+    """Sum, number and worst stretch of each text of a bundle, from the values of all of its grams."""
+    grams = scores.column("gram").to_pylist()
+    points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(grams), ORDER)
+    keys, first = np.unique(_rows_key(points), return_index=True)
+    values = scores.column("value").to_numpy()[first].astype(np.float64)
+    out = []
+    listed = texts.column("text").to_pylist()
+    for lo, hi in slices(listed):
+        points, starts = code_points(listed[lo:hi])
+        at = np.flatnonzero(_inside(points, starts))
+        mine = gram_keys(points, ORDER)[at]
+        place = np.searchsorted(keys, mine)
+        if len(mine) and (place.max() >= len(keys) or (keys[place] != mine).any()):
+            raise ValueError("a bundle has a gram without a score")
+        value = values[place]
+        doc = np.searchsorted(starts, at, side="right") - 1
+        total, n = np.bincount(doc, value, minlength=hi - lo), np.bincount(doc, minlength=hi - lo)
+        out.append((total, n, _worst(value, doc, hi - lo)))
+    total, n, worst = (np.concatenate([x[i] for x in out]) if out else np.zeros(0) for i in range(3))
+    columns = [pa.array(total, pa.float64()), pa.array(n.astype(np.int64)), pa.array(worst, pa.float64(), from_pandas=True)]
+    return pa.Table.from_arrays([*(texts.column(c) for c in ("key_", "doc_id", "lang")), *columns], names=["key_", "doc_id", "lang", "total", "n", "worst"])
+
+
+def log_perplexity(docs: DataFrame, model: DataFrame, scratch: Scratch, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
+    """(key_, doc_id, lang, log_perplexity, n_scored, worst_stretch) of every document.
+
+    Texts lie in bundles of bounded size.  The different grams of all bundles are scored by joins with the counts of the model, the scores
+    joined to the bundles that have the grams, and each bundle scored in a task of its own with its grams alone.  No table passes through the
+    driver, and none is held whole by a task.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select(T.row_key().alias("key_"), "doc_id", "lang", "text")
-    held = []
-    for shard in range(shards):
-        mine = placed.where((F.col("shard") == shard) | F.col("shard").isNull()).drop("shard")
-        held.append(spark.sparkContext.broadcast(Lookup(mine.mapInArrow(_keyed, "number byte, key long, value float").toArrow())))
-        vars(held[-1]).pop("_value", None)  # the driver keeps the file of it only
-    scored = texts.mapInArrow(_score(held), f"key_ long, doc_id {kind}, lang string, total double, n long, worst double")
+    columns = f"key_ binary, doc_id {kind}, lang string"
+    texts = docs.select(T.row_key().alias("key_"), "doc_id", "lang", "text").mapInArrow(_in_bundles(bundle_bytes), f"bundle long, {columns}, text string")
+    texts = scratch.write(texts, "bundles")
+    asked = scratch.write(texts.select("bundle", "text").mapInArrow(_grams_of_bundles, "bundle long, gram string"), "asked")
+    scores = scratch.write(score_grams(asked.select("gram").distinct(), model), "gram-scores")
+    of_bundle = asked.join(scores.hint("merge"), "gram").select("bundle", "gram", "value")
+    scored = texts.groupBy("bundle").cogroup(of_bundle.groupBy("bundle")).applyInArrow(_score, f"{columns}, total double, n long, worst double")
     return scored.select("key_", "doc_id", "lang", F.when(F.col("n") > 0, -F.col("total") / F.col("n")).alias("log_perplexity"), F.col("n").alias("n_scored"), F.col("worst").alias("worst_stretch"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """key_ and the columns of ``quality_classifier`` for every document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "kneser-ney")
@@ -275,8 +272,8 @@ def classify(docs: DataFrame, labels: DataFrame, shard_entries: int = SHARD_ENTR
     fit = scratch.write(good.where(~held_out), "fit")
     held = scratch.write(good.where(held_out), "held")
     model = train(docs.select("doc_id", "text").join(fit, F.col("doc_id") == F.col("id_"), "left_semi"), scratch)
-    scored = scratch.write(log_perplexity(docs, model, scratch, shard_entries), "scores")
-    scratch.drop("model", *[f"{t}-{k}" for k in range(1, ORDER + 1) for t in ("counts", "p")])
+    scored = scratch.write(log_perplexity(docs, model, scratch, bundle_bytes), "scores")
+    scratch.drop("model", "bundles", "asked", "gram-scores", *[f"{t}-{k}" for k in range(1, ORDER + 1) for t in ("counts", "p")])
 
     known = scored.join(held, F.col("doc_id") == F.col("id_"), "left_semi").where("log_perplexity IS NOT NULL")
 
@@ -302,7 +299,7 @@ def classify(docs: DataFrame, labels: DataFrame, shard_entries: int = SHARD_ENTR
     return judged.select("key_", "doc_id", "lang", "log_perplexity", "tempered", limit.alias("threshold"), "worst_stretch", stretch.alias("stretch_threshold"), "n_scored", kept.alias("kept"))
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """doc_id, lang, log_perplexity, tempered, threshold, worst_stretch, stretch_threshold, n_scored (long), kept of every document.
 
     ``docs``: doc_id, text, lang.  ``labels``: doc_id, quality, toxic; trusted
@@ -320,7 +317,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, shard_entries: int =
     there is no threshold and all are kept.  Repeated rows are judged each;
     further columns are not read.  An empty table gives no rows.
     """
-    return classify(docs, labels, shard_entries).drop("key_")
+    return classify(docs, labels, bundle_bytes).drop("key_")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     lined = lined.select("doc_id", "tf_key__", "lines", F.filter(T.upto(F.size("lines")), lambda i: T.has_word(F.get("lines", i))).alias("places"))
     at = lambda i: F.get("lines", F.get("places", i))
     lined = lined.select(
-        "doc_id", "tf_key__", "lines", "places", F.transform("places", lambda i: F.xxhash64(F.get("lines", i))).alias("h"), F.transform("places", lambda i: _enough_words(F.get("lines", i))).alias("long")
+        "doc_id", "tf_key__", "lines", "places", F.transform("places", lambda i: F.xxhash64(F.get("lines", i))).alias("h"), F.transform("places", lambda i: F.xxhash64(F.lit(1), F.get("lines", i))).alias("h2"), F.transform("places", lambda i: _enough_words(F.get("lines", i))).alias("long")
     )
     h, long = lambda i: F.get("h", i), lambda i: F.get("long", i)
 
@@ -48,7 +48,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         return F.when(short & enough, F.when(h(i + 1) <= h(i), i + 1).otherwise(i))
 
     chosen = lined.select(
-        "doc_id", "tf_key__", "places", "h", "long",
+        "doc_id", "tf_key__", "places", "h", "h2", "long",
         F.transform(T.upto(F.size("h") - (RUN - 1)), of_three).alias("three"), F.transform(T.upto(F.size("h") - 1), of_two).alias("two"),
     )
 
@@ -56,25 +56,26 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         # the windows that this fingerprint stands for, by extension to its left and right
         def runs(name: str, n: int) -> Column:
             near = F.filter(F.sequence(p - (n - 1), p), lambda i: (i >= 0) & F.coalesce(F.get(name, F.when(i >= 0, i)) == p, F.lit(False)))
-            return F.transform(near, lambda i: F.struct(F.xxhash64(F.slice("h", i + 1, n)).alias("run"), F.slice("places", i + 1, n).alias("at")))
+            return F.transform(near, lambda i: F.struct(F.xxhash64(F.slice("h", i + 1, n)).alias("run"), F.xxhash64(F.lit(n), F.slice("h2", i + 1, n)).alias("chk"), F.slice("places", i + 1, n).alias("at")))
 
-        return F.struct(h(p).alias("finger"), F.when(long(p), F.get("places", p)).alias("line"), F.concat(runs("three", RUN), runs("two", 2)).alias("runs"))
+        return F.struct(h(p).alias("finger"), F.get("h2", p).alias("finger2"), F.when(long(p), F.get("places", p)).alias("line"), F.concat(runs("three", RUN), runs("two", 2)).alias("runs"))
 
     places = F.filter(F.array_distinct(F.concat("three", "two", F.filter(T.upto(F.size("h")), long))), lambda p: p.isNotNull())
     # Put together before rows are made, so that no row carries the lines of its whole text.  explode_outer, because
     # explode adds a filter on its array, and Spark would write the arrays that it is made of into that filter's lambdas.
     fingers = chosen.select("doc_id", "tf_key__", F.transform(places, fingerprint).alias("all"))
-    fingers = fingers.select("doc_id", "tf_key__", F.explode_outer("all").alias("x")).where("x IS NOT NULL").select("x.finger", "doc_id", "tf_key__", "x.line", "x.runs")
+    fingers = fingers.select("doc_id", "tf_key__", F.explode_outer("all").alias("x")).where("x IS NOT NULL").select("x.finger", "x.finger2", "doc_id", "tf_key__", "x.line", "x.runs")
     fingers = scratch.write(fingers, "fingers")
     often = fingers.groupBy("finger").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("finger")
     met = fingers.join(often.hint("merge"), "finger")
-    single = F.when(F.col("line").isNotNull(), F.array(F.struct(F.xxhash64(F.array("finger")).alias("run"), F.array("line").alias("at"))))
-    met = met.select("doc_id", "tf_key__", F.explode(F.concat("runs", F.coalesce(single, F.slice("runs", 1, 0)))).alias("r")).select("doc_id", "tf_key__", "r.run", "r.at", F.get("r.at", F.lit(0)).alias("line"))
+    single = F.when(F.col("line").isNotNull(), F.array(F.struct(F.xxhash64(F.array("finger")).alias("run"), F.xxhash64(F.lit(1), F.array("finger2")).alias("chk"), F.array("line").alias("at"))))
+    met = met.select("doc_id", "tf_key__", F.explode(F.concat("runs", F.coalesce(single, F.slice("runs", 1, 0)))).alias("r")).select("doc_id", "tf_key__", "r.run", "r.chk", "r.at", F.get("r.at", F.lit(0)).alias("line"))
     place = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), "tf_key__", "line")
-    met = scratch.write(met.select("tf_key__", "run", "at", place.alias("place")), "runs")
+    met = scratch.write(met.select("tf_key__", "run", "chk", "at", place.alias("place")), "runs")
     scratch.drop("fingers")
-    first = met.groupBy("run").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "first")
-    later = met.join(first.hint("merge"), "run").where("place > first")
+    # a run is named by two hashes, 128 bits
+    first = met.groupBy("run", "chk").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "chk", "first")
+    later = met.join(first.hint("merge"), ["run", "chk"]).where("place > first")
     gone = later.select("tf_key__", F.explode("at").alias("line")).groupBy("tf_key__").agg(F.collect_set("line").alias("tf_gone__"))
     return scratch.write(gone, "gone")
 
@@ -93,7 +94,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     key, gone, lines = T.fresh(docs, "key", "gone", "lines")
     found = repeated_lines(docs.select("doc_id", "text")).select(F.col("tf_key__").alias(key), F.col("tf_gone__").alias(gone))
-    both = docs.select(*names, T.row_key().alias(key)).join(found.hint("shuffle_hash"), key, "left").select("*", F.split("text", "\n").alias(lines))
+    both = docs.select(*names, T.row_key().alias(key)).join(found.hint("merge"), key, "left").select("*", F.split("text", "\n").alias(lines))
     kept = F.transform(F.array_except(T.upto(F.size(lines)), gone), lambda i: F.get(lines, i))
     return both.select(
         *[F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else c for c in names],

@@ -38,6 +38,9 @@ from taxflow.llm.scratch import Scratch
 #: Windows whose grams are searched at once.
 _STEP = 1 << 22
 
+#: Names of the two numbers of a document's key.
+KEY = ["key1_", "key2_"]
+
 
 @dataclass(frozen=True)
 class Shape:
@@ -101,11 +104,11 @@ def _slices(batch: pa.RecordBatch, shape: Shape) -> Iterator[tuple[int, int, np.
 
 
 def _send_ranges(shape: Shape):
-    """(gram, rid, chk, key, m): each distinct range of a document; m is 2 if the document has it more than once."""
+    """(gram, rid, chk, key1_, key2_, m): each distinct range of a document; m is 2 if the document has it more than once."""
 
     def run(batches):
         for batch in batches:
-            keys = batch.column("key_").to_numpy()
+            key1, key2 = (batch.column(c).to_numpy() for c in KEY)
             for lo, _, _, _, r in _slices(batch, shape):
                 order = np.lexsort((r.chk, r.rid, r.doc))
                 rid, chk, doc, gram = r.rid[order], r.chk[order], r.doc[order], r.gram[order]
@@ -114,8 +117,8 @@ def _send_ranges(shape: Shape):
                 begin = np.flatnonzero(new)
                 times = np.minimum(np.diff(np.append(begin, len(rid))), 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(K.signed(gram[begin])), pa.array(K.signed(rid[begin])), pa.array(K.signed(chk[begin])), pa.array(keys[lo + doc[begin]]), pa.array(times, pa.int32())],
-                    names=["gram", "rid", "chk", "key_", "m"],
+                    [pa.array(K.signed(gram[begin])), pa.array(K.signed(rid[begin])), pa.array(K.signed(chk[begin])), pa.array(key1[lo + doc[begin]]), pa.array(key2[lo + doc[begin]]), pa.array(times, pa.int32())],
+                    names=["gram", "rid", "chk", *KEY, "m"],
                 )
 
     return run
@@ -228,26 +231,27 @@ def remove_repeats(docs: DataFrame, shape: Shape, resolve: Callable[[DataFrame,
     is marked wide.  Rows with equal doc_id and text are one document.
     """
     scratch = Scratch(docs.sparkSession, label)
-    texts = docs.select("doc_id", T.row_key().alias("key_"), "text")
-    sent = texts.select("key_", "text").mapInArrow(_send_ranges(shape), "gram long, rid long, chk long, key_ long, m int")
+    texts = docs.select("doc_id", *T.row_key_pair(), "text")
+    sent = texts.select(*KEY, "text").mapInArrow(_send_ranges(shape), "gram long, rid long, chk long, key1_ long, key2_ long, m int")
     often = sent.groupBy("gram").agg(F.sum("m").alias("n")).where("n > 1").select("gram")
     met = scratch.write(sent.join(often.hint("merge"), "gram").distinct(), "met")
 
-    ranges = met.groupBy("gram", "rid", "chk").agg(F.sum("m").alias("times"), F.min("key_").alias("key_"))
+    ranges = met.groupBy("gram", "rid", "chk").agg(F.sum("m").alias("times"), F.min("key1_").alias("key1_"))
     ranges = scratch.write(ranges, "ranges")
     forks = ranges.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    asked = ranges.join(forks.hint("merge"), "gram").select("key_", F.struct("rid", "chk", F.least("times", F.lit(2)).alias("times"), (F.col("n") > wide).alias("wide")).alias("e"))
-    asked = scratch.write(asked.groupBy("key_").agg(F.collect_list("e").alias("asked")), "asked")
-    # repeated rows are one document: only one of them answers, or its windows would meet themselves
-    asked_texts = texts.select("key_", "text").join(asked.hint("shuffle_hash"), "key_").dropDuplicates(["key_"])
+    asked = ranges.join(forks.hint("merge"), "gram").select("key1_", F.struct("rid", "chk", F.least("times", F.lit(2)).alias("times"), (F.col("n") > wide).alias("wide")).alias("e"))
+    asked = scratch.write(asked.groupBy("key1_").agg(F.collect_list("e").alias("asked")), "asked")
+    # Half of a key is enough to ask: a text answers for ranges that it has.  Repeated rows are one document: only one of
+    # them answers, or its windows would meet themselves.
+    asked_texts = texts.select(*KEY, "text").join(asked.hint("merge"), "key1_").dropDuplicates(KEY)
     parts = resolve(asked_texts, scratch)
 
     name = ["rid", "chk"]
     once = ranges.where("times = 1").select(*name).join(parts.hint("merge"), name)
     state = ranges.where("times > 1").select(*name, F.lit(None).cast("array<int>").alias("parts")).unionByName(once)
-    state = met.select(*name, "key_").distinct().join(state.hint("merge"), name)
-    state = state.groupBy("key_").agg(F.collect_list(F.struct(*name, "parts")).alias("repeated"))
+    state = met.select(*name, *KEY).distinct().join(state.hint("merge"), name)
+    state = state.groupBy(*KEY).agg(F.collect_list(F.struct(*name, "parts")).alias("repeated"))
     state = scratch.write(state, "state")
-    final = texts.join(state.hint("shuffle_hash"), "key_", "left").select("doc_id", "text", "repeated")
+    final = texts.join(state.hint("merge"), KEY, "left").select("doc_id", "text", "repeated")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return final.mapInArrow(_finish(shape), f"doc_id {kind}, n long, n_removed long, n_spans long, kept_sha256 string")

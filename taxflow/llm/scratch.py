@@ -62,7 +62,7 @@ NARROW_ROWS = 500_000
 
 def narrow_side(written: DataFrame) -> DataFrame:
     """A written table of ids or keys, marked for broadcast if its counted rows are few, else for a shuffled join."""
-    return F.broadcast(written) if written.count() <= NARROW_ROWS else written.hint("shuffle_hash")
+    return F.broadcast(written) if written.count() <= NARROW_ROWS else written.hint("merge")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -26,8 +26,14 @@ def upto(n: Column) -> Column:
 
 
 def row_key(id_column: str = "doc_id", text_column: str = "text") -> Column:
-    """A key of a document; rows with equal id and text share it."""
-    return F.xxhash64(F.col(id_column), F.col(text_column))
+    """A key of a document, 128 bits; rows with equal id and text share it."""
+    told = lambda c: F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    return F.unhex(F.md5(F.concat(told(F.col(id_column).cast("string")), told(F.col(text_column)))))
+
+
+def row_key_pair(id_column: str = "doc_id", text_column: str = "text") -> list[Column]:
+    """Such a key as two numbers, ``key1_`` and ``key2_``, of 64 bits each."""
+    return [F.xxhash64(F.col(id_column), F.col(text_column)).alias("key1_"), F.xxhash64(F.lit(1), F.col(id_column), F.col(text_column)).alias("key2_")]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
