@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 from taxflow.functions import classify as R
 from taxflow.functions import normalize as N
 from taxflow.operators.ordering import latest_per_key
+from taxflow.sources.elements import read_elements
 
 COMPANY_LISTS = ("items", "results", "companies", "data")
 
@@ -37,7 +38,17 @@ def place(df: DataFrame) -> list[Column]:
 
 
 def read_company_feed(spark: SparkSession, path: str) -> DataFrame:
-    return explode_list(read_bodies(spark, path), "body", COMPANY_LISTS).where("item IS NOT NULL")
+    """(file, item_no, item) of the companies in landed files of any size; ``feed_errors`` tells of files that can't be read to their end."""
+    return _with_file(read_elements(spark, path, COMPANY_LISTS)).where("item IS NOT NULL").select("file", "item_no", "item")
+
+
+def feed_errors(spark: SparkSession, path: str, names: tuple[str, ...] = COMPANY_LISTS) -> DataFrame:
+    """(file, error) of landed files that are broken, end early or have no list."""
+    return _with_file(read_elements(spark, path, names)).where("error IS NOT NULL").select("file", "error")
+
+
+def _with_file(elements: DataFrame) -> DataFrame:
+    return elements.withColumn("file", F.url_decode(F.element_at(F.split("path", "/"), -1)))
 
 
 def map_registry_company(df: DataFrame) -> DataFrame:
@@ -61,14 +72,17 @@ def map_registry_company(df: DataFrame) -> DataFrame:
     return out.withColumn("errors", F.array_compact(F.array(*missing)))
 
 
+def period_of_file(file: str) -> Column:
+    return F.nullif(F.regexp_extract(file, r"^(\d{4}-(?:0[1-9]|1[0-2]))\.json$", 1), F.lit("")).alias("period")
+
+
 def read_feed_by_period(spark: SparkSession, path: str, period: str | None = None, default: str | None = None) -> DataFrame:
     """(period, file, body): the file stem is the period; other files have a null period.
 
     With ``period`` only that one's bodies, or, where it has no file, those of the file named ``default`` under that period.
     """
-    stem = F.regexp_extract("file", r"^(\d{4}-(?:0[1-9]|1[0-2]))\.json$", 1)
     bodies = read_bodies(spark, path)
-    known = bodies.select(F.nullif(stem, F.lit("")).alias("period"), "file", "body")
+    known = bodies.select(period_of_file("file"), "file", "body")
     if period is None:
         return known
     own = known.where(F.col("period") == period)
@@ -87,10 +101,14 @@ def delivery_blocks(bodies: DataFrame, identifier: str | None = None) -> DataFra
 
     ``identifier``: only blocks whose identifier has the same digits.
     """
-    get = lambda path: N.trim_to_null(F.get_json_object("block", f"$.{path}"))
     body = F.coalesce(as_list("body"), F.when(F.trim("body") == "", "[]").otherwise('[{"Erro": "unreadable page"}]'))
     where = [c for c in ("file",) if c in bodies.columns]
-    rows = bodies.select("period", *where, F.posexplode(F.from_json(body, "array<string>")).alias("block_no", "block"))
+    return _typed_blocks(bodies.select("period", *where, F.posexplode(F.from_json(body, "array<string>")).alias("block_no", "block")), identifier)
+
+
+def _typed_blocks(rows: DataFrame, identifier: str | None) -> DataFrame:
+    get = lambda path: N.trim_to_null(F.get_json_object("block", f"$.{path}"))
+    where = [c for c in ("file",) if c in rows.columns]
     items = F.when(F.get_json_object("block", "$.Entregas").isNull(), "[]").otherwise(as_list(F.get_json_object("block", "$.Entregas")))
     rows = rows.select(
         "period", *where, "block_no", "block", get("ID").alias("external_company_id"), N.normalize_identifier(get("Identificador")).alias("cnpj"), get("Razao").alias("company_name"), get("Fantasia").alias("trade_name"), items.alias("items"),
@@ -102,13 +120,18 @@ def delivery_blocks(bodies: DataFrame, identifier: str | None = None) -> DataFra
 
 def delivery_items(bodies: DataFrame, identifier: str | None = None) -> DataFrame:
     """A row a delivery item with its block; a block without items, or with an error, has one row with a null item."""
-    blocks = delivery_blocks(bodies, identifier)
+    return _items_of(delivery_blocks(bodies, identifier))
+
+
+def _items_of(blocks: DataFrame) -> DataFrame:
     return blocks.select(*[c for c in blocks.columns if c not in ("block", "items")], F.posexplode_outer(F.from_json("items", "array<string>")).alias("item_no", "item"))
 
 
 def read_delivery_feed(spark: SparkSession, path: str, identifier: str | None = None) -> DataFrame:
-    """Delivery items of landed pages; pages with ``Erro`` have it in error_message."""
-    return delivery_items(read_feed_by_period(spark, path), identifier)
+    """Delivery items of landed pages of any size, block by block; pages with ``Erro``, and pages that can't be read to their end, have error_message."""
+    rows = _with_file(read_elements(spark, path, single=True))
+    block = F.when(F.col("error").isNotNull(), F.lit('{"Erro": "unreadable page"}')).otherwise(F.col("item"))
+    return _items_of(_typed_blocks(rows.select(period_of_file("file"), "file", F.col("item_no").alias("block_no"), block.alias("block")), identifier))
 
 
 def map_feed_company(bodies: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ def start_registry_stream(spark: SparkSession, in_dir: str, table_root: str, che
 
 def file_events(spark: SparkSession, in_dir: str) -> DataFrame:
     """A stream of (path, size, modified_at, sha256) of files that land."""
-    files = spark.readStream.format("binaryFile").load(in_dir)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(in_dir)
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), F.sha2("content", 256).alias("sha256"))
 
 

@@ -8,7 +8,8 @@ from taxflow.operators import merge, payroll, quality
 from taxflow.plans import catalogs, jobs, views
 from taxflow.sources import feeds
 from taxflow.sources.versions import VersionConflict, Versions
-from taxflow.streaming import streams
+from taxflow.sources.elements import Splitter, read_elements
+from taxflow.streaming import run_watch, streams
 from tests.test_pages import MONTH, page
 
 STATE = ", active boolean, deleted_at timestamp, sync_status string"
@@ -254,3 +255,72 @@ def test_redaction(spark):
     assert not any("SECRET" in (r.body or "") for r in got.values())
     assert [json.loads(got[i].body) for i in (0, 1, 2)] == [{"token": "<REDACTED>", "x": 1}] * 3 and json.loads(got[3].body) == [{"a": [[{"Senha": "<REDACTED>"}]]}, "x"]
     assert got[6].body == "user=1&password=<REDACTED>&x=1" and got[8].body_status == "TOO_DEEP" and got[10].body == "plain" and got[11].body_status == "EMPTY"
+
+
+def elements(text, step, names=("items",), single=False):
+    s, out = Splitter(names, single), []
+    for i in range(0, len(text), step):
+        out += s.feed(text[i : i + step])
+    return out, s.finish()
+
+
+@pytest.mark.parametrize("step", [1, 2, 7, 1000])
+def test_splitter(step):
+    a, b = '{"x": "}],{[\\\\\\" ", "y": [1, {"z": []}]}', '{"k": "é"}'
+    for text, found in {f"[{a}, {b}]": [a, b], f' {{"total": 2, "other": [1], "n": {{"items": [3]}}, "items" : [{a},\n{b} , 5, "s,]"], "last": [7]}}': [a, b, "5", '"s,]"'], "[]": [], '{"items": []}': []}.items():
+        assert elements(text, step) == (found, None), text
+    assert elements(f"[{a}, {b[:5]}", step) == ([a], "ends early") and elements(f"[{a}}}", step)[1] == "broken JSON" and elements("[1] x [2]", step)[1] == "broken JSON"
+    assert elements('{"a": 1}', step)[1] == "no list" and elements("plain", step)[1] == "no list" and elements(a, step, (), True) == ([a], None) and elements("", step) == ([], None)
+
+
+def test_large_bodies(spark, tmp_path):
+    """Files are read in several splits, and a broken tail gives one error row and loses nothing before it."""
+    items = [json.dumps({"id": i, "cnpj": "11222333000181", "razaoSocial": "x}" * (i % 50)}) for i in range(20_000)]
+    whole = '{"results": [' + ",".join(items) + "]}"
+    (tmp_path / "a b.json").write_text(whole)
+    (tmp_path / "cut.json").write_text(whole[: len(whole) // 2])
+    (tmp_path / "almost.json").write_text(whole[:-1])
+    (tmp_path / "empty.json").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        rows = feeds.read_company_feed(spark, str(tmp_path))
+        got = {r.file: r for r in rows.groupBy("file").agg(F.count("*").alias("n"), F.max("item_no").alias("last"), F.count_distinct("item").alias("d")).collect()}
+        assert [(got[f].n, got[f].last, got[f].d) for f in ("a b.json", "almost.json")] == [(20_000, 19_999, 20_000)] * 2 and 9_000 < got["cut.json"].n < 11_000
+        assert [r.item for r in rows.where("file = 'a b.json' AND item_no IN (0, 777, 19999)").orderBy("item_no").collect()] == [items[0], items[777], items[19_999]]
+        assert {(r.file, r.error) for r in feeds.feed_errors(spark, str(tmp_path)).collect()} == {("cut.json", "ends early"), ("almost.json", "ends early")}
+        assert read_elements(spark, str(tmp_path / "empty.json")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_stale_runs_are_told_once(spark, tmp_path):
+    spark.conf.set(*run_watch.STATE_STORE)
+    (tmp_path / "in").mkdir()
+    told = []
+
+    def trigger(n, *rows):
+        (tmp_path / f"in/{n}.json").write_text("\n".join(json.dumps(dict(zip(("run_id", "status", "started_at", "written_at"), (r, s, f"2026-01-01T{a}:00Z", f"2026-01-01T{w}:00Z")))) for r, s, a, w in rows))
+        ledger = spark.readStream.schema("run_id string, status string, started_at timestamp, written_at timestamp").json(str(tmp_path / "in"))
+        out = run_watch.watch_stale_runs(ledger).writeStream.outputMode("append").foreachBatch(lambda df, i: told.extend((r.run_id, str(r.stale_at)) for r in df.collect()))
+        out.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+
+    trigger(1, ("a", "RUNNING", "10:00", "10:00"), ("b", "RUNNING", "10:01", "10:01"))
+    assert told == []
+    trigger(2, ("b", "SUCCESS", "10:01", "10:10"), ("c", "RUNNING", "10:14", "10:14"))
+    assert told == []
+    trigger(3, ("d", "RUNNING", "10:20", "10:20"), ("a", "RUNNING", "10:00", "10:20"))
+    assert told == [("a", "2026-01-01 10:15:00")]
+    trigger(4, ("e", "SUCCESS", "10:59", "10:59"))
+    assert sorted(told) == [("a", "2026-01-01 10:15:00"), ("c", "2026-01-01 10:29:00"), ("d", "2026-01-01 10:35:00")]
+
+
+def test_file_events(spark, tmp_path):
+    """Files that land, with their digest; K3."""
+    import hashlib
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.bin").write_bytes(b"abc")
+    seen = []
+    streams.file_events(spark, str(tmp_path / "in")).writeStream.foreachBatch(lambda df, i: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert [(r.size, r.sha256) for r in seen] == [(3, hashlib.sha256(b"abc").hexdigest())]
