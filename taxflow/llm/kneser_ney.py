@@ -11,6 +11,7 @@ trusted held-out documents of its language.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -25,8 +26,8 @@ from taxflow.llm import text as T
 from taxflow.llm.scratch import NARROW_ROWS, Scratch, narrow_side
 
 ORDER = 5
-#: Bytes of texts that are scored in one task.
-BUNDLE_BYTES = 32 << 20
+#: Bytes of texts that are scored in one task, and of the compressed pieces in which they come.
+BUNDLE_BYTES, PIECE_BYTES = 64 << 20, 2 << 20
 #: Of trusted documents one in HELD_OUT is not trained on; those set the thresholds.
 HELD_OUT = 5
 QUANTILE = 0.99
@@ -184,81 +185,123 @@ def _worst(value: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return worst
 
 
-def _in_bundles(bundle_bytes: int):
-    """Adds ``bundle``: texts in a row of about so many bytes, or a single longer one, get one number."""
+class _Bundles:
+    """Numbers for the texts of a task, in their order: about ``size`` bytes of texts in a row, or a single longer one, get the same."""
+
+    def __init__(self, size: int):
+        self.size, self.number, self.used = size, TaskContext.get().partitionId() << 32, 0
+
+    def parts(self, texts: pa.Array) -> Iterator[tuple[int, int, int]]:
+        """(first row, end, bundle) of a batch, in pieces of PIECE_BYTES and no bundle's end inside."""
+        lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        lo, piece = 0, 0
+        for i, n in enumerate(lengths):
+            if (full := bool(self.used) and self.used + n > self.size) or (i > lo and piece + n > PIECE_BYTES):
+                if i > lo:
+                    yield lo, i, self.number
+                lo, piece = i, 0
+                if full:
+                    self.number, self.used = self.number + 1, 0
+            self.used += n
+            piece += n
+        if len(lengths) > lo:
+            yield lo, len(lengths), self.number
+
+
+def _distinct(keys: list[np.ndarray], grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    codes, found = pd.factorize(np.concatenate(keys))
+    first = np.zeros(len(found), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    return found, np.concatenate(grams)[first]
+
+
+def _grams_of_bundles(bundle_bytes: int):
+    """(bundle, gram): the different grams of each bundle."""
+
+    def rows(bundle, keys, grams):
+        if keys:
+            found = _distinct(keys, grams)[1]
+            chars = pa.array(np.ascontiguousarray(found).view(f"<U{ORDER}").ravel().tolist(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), bundle)), chars], names=["bundle", "gram"])
+
     def run(batches):
-        task, number, size = TaskContext.get().partitionId(), 0, 0
+        bundles, at_bundle, keys, grams = _Bundles(bundle_bytes), None, [], []
         for batch in batches:
-            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-            bundles = np.zeros(len(lengths), np.int64)
-            for i, n in enumerate(lengths.tolist()):
-                if size and size + n > bundle_bytes:
-                    number, size = number + 1, 0
-                size += n
-                bundles[i] = number
-            yield pa.RecordBatch.from_arrays([pa.array(bundles + (task << 32)), *batch.columns], names=["bundle", *batch.schema.names])
+            for lo, hi, bundle in bundles.parts(batch.column("text")):
+                if bundle != at_bundle:
+                    yield from rows(at_bundle, keys, grams)
+                    at_bundle, keys, grams = bundle, [], []
+                texts = batch.column("text").slice(lo, hi - lo).to_pylist()
+                for i, j in slices(texts):
+                    points, starts = code_points(texts[i:j])
+                    at = np.flatnonzero(_inside(points, starts))
+                    if len(at):
+                        mine, here = _distinct([gram_keys(points, ORDER)[at]], [at])
+                        keys.append(mine)
+                        grams.append(points[here[:, None] + np.arange(ORDER)])
+                if sum(map(len, keys)) > 4_000_000:
+                    one, other = _distinct(keys, grams)
+                    keys, grams = [one], [other]
+        yield from rows(at_bundle, keys, grams)
 
     return run
 
 
-def _grams_of_bundles(batches):
-    """(bundle, gram): the different grams of each bundle, or of what of it lies in one batch."""
-    for batch in batches:
-        bundle, texts = batch.column("bundle").to_numpy(), batch.column("text").to_pylist()
-        edges = np.flatnonzero(np.diff(bundle)) + 1
-        for lo, hi in zip([0, *edges], [*edges, len(bundle)]):
-            met, grams = np.zeros(0, np.uint64), []
-            for i, j in slices(texts[lo:hi]):
-                points, starts = code_points(texts[lo + i : lo + j])
-                at = np.flatnonzero(_inside(points, starts))
-                keys, first = np.unique(gram_keys(points, ORDER)[at], return_index=True)
-                new = np.isin(keys, met, invert=True, assume_unique=True)
-                grams.append(np.ascontiguousarray(points[at[first[new]][:, None] + np.arange(ORDER)]).view(f"<U{ORDER}").ravel() if new.any() else np.zeros(0, f"<U{ORDER}"))
-                met = np.concatenate([met, keys[new]])
-            found = np.concatenate(grams) if grams else np.zeros(0, f"<U{ORDER}")
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), bundle[lo])), pa.array(found.tolist(), pa.string())], names=["bundle", "gram"])
+def _packed(bundle_bytes: int):
+    """(bundle, blob): the rows of a bundle in compressed pieces."""
+
+    def run(batches):
+        bundles = _Bundles(bundle_bytes)
+        for batch in batches:
+            for lo, hi, bundle in bundles.parts(batch.column("text")):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(lo, hi - lo)]) for c in batch.columns], schema=batch.schema))
+                yield pa.RecordBatch.from_arrays([pa.array([bundle]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["bundle", "blob"])
+
+    return run
 
 
-def _score(texts: pa.Table, scores: pa.Table) -> pa.Table:
+def _score(pieces: pa.Table, scores: pa.Table) -> pa.Table:
     """Sum, number and worst stretch of each text of a bundle, from the values of all of its grams."""
-    grams = scores.column("gram").to_pylist()
-    points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(grams), ORDER)
-    keys, first = np.unique(_rows_key(points), return_index=True)
-    values = scores.column("value").to_numpy()[first].astype(np.float64)
+    points = np.frombuffer("".join(scores.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(-1, ORDER)
+    keys = _rows_key(points)
+    order = np.argsort(keys)
+    keys, values = keys[order], scores.column("value").to_numpy()[order].astype(np.float64)
     out = []
-    listed = texts.column("text").to_pylist()
-    for lo, hi in slices(listed):
-        points, starts = code_points(listed[lo:hi])
-        at = np.flatnonzero(_inside(points, starts))
-        mine = gram_keys(points, ORDER)[at]
-        place = np.searchsorted(keys, mine)
-        if len(mine) and (place.max() >= len(keys) or (keys[place] != mine).any()):
-            raise ValueError("a bundle has a gram without a score")
-        value = values[place]
-        doc = np.searchsorted(starts, at, side="right") - 1
-        total, n = np.bincount(doc, value, minlength=hi - lo), np.bincount(doc, minlength=hi - lo)
-        out.append((total, n, _worst(value, doc, hi - lo)))
-    total, n, worst = (np.concatenate([x[i] for x in out]) if out else np.zeros(0) for i in range(3))
-    columns = [pa.array(total, pa.float64()), pa.array(n.astype(np.int64)), pa.array(worst, pa.float64(), from_pandas=True)]
-    return pa.Table.from_arrays([*(texts.column(c) for c in ("key_", "doc_id", "lang")), *columns], names=["key_", "doc_id", "lang", "total", "n", "worst"])
+    for blob in pieces.column("blob"):
+        for batch in pa.ipc.open_stream(blob.as_buffer()):
+            texts = batch.column("text").to_pylist()
+            for lo, hi in slices(texts):
+                points, starts = code_points(texts[lo:hi])
+                at = np.flatnonzero(_inside(points, starts))
+                codes, mine = pd.factorize(gram_keys(points, ORDER)[at])
+                place = np.searchsorted(keys, mine)
+                if len(mine) and (place.max() >= len(keys) or (keys[place] != mine).any()):
+                    raise ValueError("a gram without a score: the documents were read in another order, write them out first")
+                value = values[place][codes] if len(mine) else np.zeros(0)
+                doc = np.searchsorted(starts, at, side="right") - 1
+                total, n = np.bincount(doc, value, minlength=hi - lo), np.bincount(doc, minlength=hi - lo)
+                columns = [pa.array(total, pa.float64()), pa.array(n, pa.int64()), pa.array(_worst(value, doc, hi - lo), pa.float64(), from_pandas=True)]
+                out.append(pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("key_", "doc_id", "lang")), *columns], names=["key_", "doc_id", "lang", "total", "n", "worst"]))
+    return pa.Table.from_batches(out)
 
 
 def log_perplexity(docs: DataFrame, model: DataFrame, scratch: Scratch, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """(key_, doc_id, lang, log_perplexity, n_scored, worst_stretch) of every document.
 
-    Texts lie in bundles of bounded size.  The different grams of all bundles are scored by joins with the counts of the model, the scores
-    joined to the bundles that have the grams, and each bundle scored in a task of its own with its grams alone.  No table passes through the
-    driver, and none is held whole by a task.
+    Texts that lie in a row form bundles of bounded size.  The different grams of all bundles are scored by joins with the counts of the
+    model, the scores joined to the bundles that have the grams, and each bundle scored in a task of its own with its own grams alone.  No table
+    passes through the driver, and none is held whole by a task.  ``docs`` is read twice and must come in the same order, as tables do; else
+    the second pass fails.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    columns = f"key_ binary, doc_id {kind}, lang string"
-    texts = docs.select(T.row_key().alias("key_"), "doc_id", "lang", "text").mapInArrow(_in_bundles(bundle_bytes), f"bundle long, {columns}, text string")
-    texts = scratch.write(texts, "bundles")
-    asked = scratch.write(texts.select("bundle", "text").mapInArrow(_grams_of_bundles, "bundle long, gram string"), "asked")
+    rows = docs.select(T.row_key().alias("key_"), "doc_id", "lang", "text")  # the same columns both times, which repartition() goes by
+    asked = scratch.write(rows.mapInArrow(_grams_of_bundles(bundle_bytes), "bundle long, gram string"), "asked")
     scores = scratch.write(score_grams(asked.select("gram").distinct(), model), "gram-scores")
     of_bundle = asked.join(scores.hint("merge"), "gram").select("bundle", "gram", "value")
-    scored = texts.groupBy("bundle").cogroup(of_bundle.groupBy("bundle")).applyInArrow(_score, f"{columns}, total double, n long, worst double")
+    pieces = rows.mapInArrow(_packed(bundle_bytes), "bundle long, blob binary")
+    scored = pieces.groupBy("bundle").cogroup(of_bundle.groupBy("bundle")).applyInArrow(_score, f"key_ binary, doc_id {kind}, lang string, total double, n long, worst double")
     return scored.select("key_", "doc_id", "lang", F.when(F.col("n") > 0, -F.col("total") / F.col("n")).alias("log_perplexity"), F.col("n").alias("n_scored"), F.col("worst").alias("worst_stretch"))
 
 
@@ -273,7 +316,7 @@ def classify(docs: DataFrame, labels: DataFrame, bundle_bytes: int = BUNDLE_BYTE
     held = scratch.write(good.where(held_out), "held")
     model = train(docs.select("doc_id", "text").join(fit, F.col("doc_id") == F.col("id_"), "left_semi"), scratch)
     scored = scratch.write(log_perplexity(docs, model, scratch, bundle_bytes), "scores")
-    scratch.drop("model", "bundles", "asked", "gram-scores", *[f"{t}-{k}" for k in range(1, ORDER + 1) for t in ("counts", "p")])
+    scratch.drop("model", "asked", "gram-scores", *[f"{t}-{k}" for k in range(1, ORDER + 1) for t in ("counts", "p")])
 
     known = scored.join(held, F.col("doc_id") == F.col("id_"), "left_semi").where("log_perplexity IS NOT NULL")
 
