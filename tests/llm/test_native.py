@@ -38,14 +38,18 @@ def test_short_runs_of_lines(spark):
 
 
 def test_rules_by_cost(spark):
-    text = "some words of a text that is long enough to cost something " * 40
-    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
-    dear = F.aggregate(F.transform(F.split("text", ""), lambda c: F.length(F.sha2(c, 512))), F.lit(0), lambda a, x: a + x) > 0
-    rules = [quality_rules.Rule("dear", dear), quality_rules.Rule("cheap", F.length("text") > 0), quality_rules.Rule("never", F.length("text") < 0)]
-    found = quality_rules.order_rules(docs, rules)
-    assert [r.name for r, _, _ in found] == ["cheap", "dear", "never"] and [x for _, _, x in found] == [1.0, 1.0, 0.0]
-    got = quality_rules.quality_rules(docs.limit(3), rules)
-    assert {(r.kept, r.rejected_by) for r in got.collect()} <= {(False, "cheap"), (False, "dear"), (False, "base")}
+    docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), F.col("id").cast("string")) for i in range(30)]).alias("text"))
+    third, sixth = (F.col("text").endswith(x) for x in ("0", "50"))
+    rules = [
+        quality_rules.Rule("dear", third, F.length("text")), quality_rules.Rule("cheap", third), quality_rules.Rule("inside", sixth), quality_rules.Rule("other", F.col("text").endswith("1")), quality_rules.Rule("never", F.length("text") < 0),
+    ]
+    for n, rows in ((1, 2000), (7, 2000), (7, 300)):
+        found = quality_rules.order_rules(docs.repartition(n), rules, rows)
+        # what "inside" rejects has gone by its turn, as has what the dear one would reject
+        assert [r.name for r, _, _ in found][:2] in (["cheap", "other"], ["other", "cheap"]) and [r.name for r, _, _ in found][2:] == ["dear", "inside", "never"]
+        assert [x > 0 for _, _, x in found] == [True, True, False, False, False] and max(c for _, c, _ in found) > 100 * min(c for _, c, _ in found) * 0.5
+    got = quality_rules.quality_rules(docs.limit(200), rules)
+    assert {(r.kept, r.rejected_by) for r in got.collect()} == {(False, "cheap"), (False, "other"), (True, None)}
 
 
 def test_mix_rates(spark):
