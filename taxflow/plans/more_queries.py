@@ -9,7 +9,7 @@ from taxflow.functions import normalize as N
 from taxflow.operators import enrichment, match, merge, ordering, payroll, quality, rule_pages
 from taxflow.plans import catalogs, views
 from taxflow.plans.queries import _companies, query, report_pages, table
-from taxflow.sources import feeds
+from taxflow.sources import assessments, feeds
 from taxflow.staging import staged
 from taxflow.streaming import streams
 
@@ -847,3 +847,72 @@ def rule_page_errors(spark, sf_dir):
     rules = rule_pages.normalized_rules(texts)
     rows = rule_pages.table_rows(texts, "tabelaResultados").where("row_no = 0").select("page_key", (F.size("cells") - 1).alias("grid"), F.array_join("cells", "|").alias("cells"))
     return rules.hint("merge").join(rows, "page_key", "left").select(F.col("page_key").alias("p_partkey"), "cnae", "parse_status", "parse_errors", F.col("content_hash").isNotNull().alias("hashed"), "grid", "cells")
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 4 AS m, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_orderstatus AS s, o_orderpriority AS clerk, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders)
+SELECT k, 'OFFICE' AS office_name, CASE WHEN m = 0 THEN clerk ELSE 'Company ' || k END AS company_name, CASE WHEN m < 2 THEN true WHEN m = 2 THEN false END AS is_transmitted, CASE WHEN m < 2 THEN d END AS transmitted_on, s = 'P' AS transmission_in_progress, 'D' || k AS das_number,
+  [cents, cents + 1, cents + 2, cents + 3, cents + 4, cents + 5, cents + 6, cents + 7] AS money, m = 1 AS taxes_icms, CASE WHEN m <> 2 THEN true END AS taxes_iss, false AS taxes_ipi, CASE m WHEN 3 THEN true END AS taxes_pis_cofins,
+  2 AS companies, CASE WHEN m = 0 THEN 0 ELSE 1 END AS annexes, CASE WHEN m = 2 THEN 1 ELSE 3 END AS cfops, ['trade', 'x' || k] AS activities,
+  CASE m WHEN 0 THEN ['{"a":1}', '{"b":2}'] WHEN 1 THEN ['{"empresaTemFolha":true}'] WHEN 2 THEN ['{"folhaDePagamentos":false}'] ELSE [] END AS payrolls, CASE WHEN m = 1 THEN ['late', 'again'] ELSE [] END AS alerts, CASE WHEN m = 2 THEN 1 ELSE 2 END AS risks, m = 2 AS known FROM o
+""")
+def assessment_fields(spark, sf_dir):
+    """Orders as replies with all parts of an assessment: totals, taxes, annexes, CFOP blocks, activities, payroll lists, alerts and risks."""
+    k, m = F.col("o_orderkey"), F.col("o_orderkey") % 4
+    cents = (F.round("o_totalprice", 2).cast("decimal(14,2)") * 100).cast("long")
+    brl = lambda more: ((cents + more) / 100).cast("decimal(14,2)")
+    cnpj, other = F.lpad(k.cast("string"), 14, "0"), F.lpad(F.lit("9"), 14, "1")
+    thing = F.array(F.struct(F.lit(1).alias("n")))
+    mine = F.struct(
+        cnpj.alias("cnpj"), F.concat(F.lit("Company "), k.cast("string")).alias("nome"), F.when(m == 1, True).alias("empresaTemFolha"), (m == 1).alias("empresaTributaIcms"), F.when(m != 2, True).alias("tributaIss"), F.lit(False).alias("tributaIPI"), F.when(m == 3, True).alias("tributaPISCOFINS"),
+        F.array(F.lit(" trade "), F.lit(""), F.concat(F.lit("x"), k.cast("string"))).alias("atividades"), thing.alias("resumoPorCfop"), F.when(m != 2, thing).alias("resumoPorCfopSittax"), F.when(m != 2, thing).alias("resumoPorCfopXml"),
+    )
+    names = ["receitaLiquida", "receitaProdutos", "receitaServicos", "receitaDevolucao", "rbt12", "rba", "valorDas", "valorDasXml"]
+    risk = F.lit('{"risk":1}')
+    data = F.struct(
+        F.lit("OFFICE").alias("escritorioNome"), F.when(m == 0, F.col("o_orderpriority")).alias("empresaNome"), F.date_format("o_orderdate", "MM/yyyy").alias("periodoFiscal"), F.when(m < 2, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).alias("dataHoraTransmissao"), F.when(m == 2, "NAO_TRANSMITIDA").alias("tipoDaTransmissao"),
+        (F.col("o_orderstatus") == "P").alias("emTransmissao"), F.concat(F.lit("D"), k.cast("string")).alias("numeroDas"), *[brl(i).alias(n) for i, n in enumerate(names)], F.array(mine.withField("cnpj", other), mine).alias("empresasDaApuracao"),
+        F.when(m != 0, thing).alias("resumosTributacaoSittax"), F.when(m == 0, F.array(F.struct(F.lit(1).alias("a")))).alias("folhas"), F.when(m == 0, F.array(F.struct(F.lit(2).alias("b")))).alias("folhasDePagamento"), F.when(m == 2, False).alias("folhaDePagamentos"),
+        F.when(m == 1, F.array(F.lit("late"), F.lit("again"))).alias("mensagens"),
+    )
+    whole = F.to_json(F.struct(F.lit(True).alias("ok"), data.alias("data")))
+    listed = F.when(m == 2, risk).otherwise(F.concat(F.lit("["), risk, F.lit(","), risk, F.lit("]")))
+    body = F.regexp_replace(whole, F.lit(r"\}\}$"), F.concat(F.lit(',"relatorioDeConferenciaSittax":'), listed, F.lit("}}")))
+    o = table(spark, sf_dir, "orders").select(k.alias("k"), cnpj.alias("requested_cnpj"), F.date_format("o_orderdate", "yyyy-MM").alias("requested_period"), body.alias("body"))
+    r = assessments.map_assessment(o, keep=("k",))
+    money = ["net_revenue", "product_revenue", "service_revenue", "return_revenue", "rbt12", "rba", "das_amount", "das_xml_amount"]
+    return r.select(
+        "k", "office_name", "company_name", "is_transmitted", F.date_format("transmitted_at", "yyyy-MM-dd").alias("transmitted_on"), "transmission_in_progress", "das_number", F.array(*[(F.col(c) * 100).cast("long") for c in money]).alias("money"), "taxes_icms", "taxes_iss", "taxes_ipi", "taxes_pis_cofins",
+        *[F.size(c).alias(c) for c in ("companies", "annexes", "cfops")], "activities", "payrolls", "alerts", F.size("risks").alias("risks"), (F.coalesce("transmission_type", F.lit("")) != "").alias("known"),
+    )
+
+
+@query("""
+SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN '#' || o_orderkey WHEN 1 THEN 'g' || o_orderkey ELSE 'hashed' END AS source_task_key, CASE WHEN o_orderkey % 2 = 0 THEN 'KIND' ELSE o_orderpriority END AS task_type, o_orderpriority AS task_name,
+  CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate, '%Y-%m') END AS period, strftime(o_orderdate, '%Y-%m-%d') AS created_on, CASE WHEN o_orderkey % 2 = 0 THEN '.xml' ELSE '.pdf' END AS file_extension, CASE WHEN o_orderkey % 5 = 0 THEN ['period'] ELSE [] END AS errors FROM orders
+""")
+def task_fields(spark, sf_dir):
+    """Orders as tasks with an id, a guid or neither, of a kind or named alone, with file names and periods of which some make no sense."""
+    k = F.col("o_orderkey")
+    text = k.cast("string")
+    item = F.to_json(F.struct(
+        F.when(k % 3 == 0, F.concat(F.lit("#"), text)).alias("id"), F.when(k % 3 == 1, F.concat(F.lit("g"), text)).alias("guid"), F.col("o_orderpriority").alias("titulo"), F.when(k % 2 == 0, "KIND").alias("tipoNome"), F.when(k % 5 == 0, "never").otherwise(F.date_format("o_orderdate", "MM/yyyy")).alias("periodo"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("dataCriacao"), F.when(k % 2 == 0, "xml").otherwise("3").alias("extensaoArquivo"), F.lit("a.PDF").alias("nomeArquivo"),
+    ))
+    r = assessments.map_task(table(spark, sf_dir, "orders").select(k.alias("k"), item.alias("item")))
+    key = F.when(F.length("source_task_key") == 32, "hashed").otherwise(F.col("source_task_key"))
+    return r.select("k", key.alias("source_task_key"), "task_type", "task_name", "period", F.date_format("created_at", "yyyy-MM-dd").alias("created_on"), "file_extension", "errors")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(round(l_extendedprice * 100) AS BIGINT) AS a, CAST(l_quantity AS BIGINT) AS q FROM lineitem)
+SELECT k, n, a + CASE WHEN n % 2 = 0 THEN q * 100 ELSE 0 END AS total, CASE WHEN n % 3 = 0 THEN 777 ELSE a END AS resale, CASE WHEN n % 2 = 0 THEN q * 100 END AS use_consumption, CASE WHEN n % 4 = 0 THEN ['rejected'] ELSE [] END AS errors, CASE WHEN n % 2 = 0 THEN ['R' || n] ELSE [] END AS dare_numbers FROM l
+""")
+def difal_totals(spark, sf_dir):
+    """Order lines as DIFAL replies: totals of guides, and credit amounts that come before plain ones unless they are zero."""
+    n, a, q = F.col("l_linenumber"), F.round("l_extendedprice", 2).cast("decimal(14,2)"), F.col("l_quantity").cast("decimal(14,2)")
+    difal = F.struct(a.alias("valorGuiaRevenda"), F.when(n % 2 == 0, q).alias("totalGuiaUsoConsumoImobilizado"), F.when(n % 3 == 0, 7.77).otherwise(0).alias("valorGuiaRevendaUtilizandoCredito"), F.when(n % 2 == 0, F.concat(F.lit("R"), n.cast("string"))).alias("numeroDareGuiaRevenda"))
+    body = F.to_json(F.struct((n % 4 != 0).alias("sucesso"), difal.alias("difal")))
+    r = assessments.map_difal(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), n.cast("long").alias("n"), body.alias("body")))
+    cents = lambda c: (F.col(c) * 100).cast("long")
+    return r.select("k", "n", cents("total_amount").alias("total"), cents("resale_amount").alias("resale"), cents("use_consumption_amount").alias("use_consumption"), "errors", "dare_numbers")
