@@ -255,7 +255,7 @@ def _packed(bundle_bytes: int):
         for batch in batches:
             for lo, hi, bundle in bundles.parts(batch.column("text")):
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
                     out.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(lo, hi - lo)]) for c in batch.columns], schema=batch.schema))
                 yield pa.RecordBatch.from_arrays([pa.array([bundle]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["bundle", "blob"])
 
@@ -315,8 +315,9 @@ def classify(docs: DataFrame, labels: DataFrame, bundle_bytes: int = BUNDLE_BYTE
     fit = scratch.write(good.where(~held_out), "fit")
     held = scratch.write(good.where(held_out), "held")
     model = train(docs.select("doc_id", "text").join(fit, F.col("doc_id") == F.col("id_"), "left_semi"), scratch)
+    scratch.drop(*[f"{t}-{k}" for k in range(1, ORDER + 1) for t in ("counts", "p")])
     scored = scratch.write(log_perplexity(docs, model, scratch, bundle_bytes), "scores")
-    scratch.drop("model", "asked", "gram-scores", *[f"{t}-{k}" for k in range(1, ORDER + 1) for t in ("counts", "p")])
+    scratch.drop("model", "asked", "gram-scores")
 
     known = scored.join(held, F.col("doc_id") == F.col("id_"), "left_semi").where("log_perplexity IS NOT NULL")
 
