@@ -43,8 +43,12 @@ def require_periods(periods: DataFrame, requested: DataFrame, key: str = "compet
     return requested.join(periods.select(key), key, "left_anti")
 
 
-def unique_active_cnaes(catalog: DataFrame, companies: DataFrame) -> DataFrame:
-    return catalog.where("active").join(companies.where("active").select("company_id"), "company_id", "left_semi").select("cnae").distinct()
+def unique_active_cnaes(catalog: DataFrame, companies: DataFrame, org: int | None = None, ids: list[int] | None = None) -> DataFrame:
+    """Distinct active codes of active companies; ``org``: of that tenant's, ``ids``: of these."""
+    own = companies.where("active")
+    own = own if org is None else own.where(F.col("organization_id") == org)
+    own = own if ids is None else own.where(F.col("company_id").isin(*ids))
+    return catalog.where("active").join(own.select("company_id"), "company_id", "left_semi").select("cnae").distinct()
 
 
 def attach_task_company(tasks: DataFrame, snapshots: DataFrame, period: str, period_id) -> DataFrame:

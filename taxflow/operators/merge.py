@@ -204,3 +204,20 @@ def merge_seed(target: DataFrame, seed: DataFrame, keys: list[str], tracked: lis
     named = [F.coalesce(F.col(k), F.col(f"{k}_")).alias(k) for k in keys]
     kept = both.where("op IS NULL OR op <> 'DELETED'").select(id_column, *named, row.alias("row_"), F.when(is_, True).otherwise(F.col("active")).alias("active"))
     return kept.select(id_column, *keys, "row_.*", "active"), both.where("op IS NOT NULL").select(id_column, *named, "op")
+
+
+def sync_counters(received: DataFrame, ops: DataFrame, by: str) -> DataFrame:
+    """Counters of a run, a row for each value of ``by`` (a direction, say): received, matched, unmatched, failures, skipped, created, updated, unchanged.
+
+    ``received``: by, match_status, failed, skipped, a row an item; failed and skipped items count as neither matched nor unmatched.
+    ``ops``: by, op, a row a key; dry runs count under the same names.
+    """
+    taken = ~F.coalesce("failed", F.lit(False)) & ~F.coalesce("skipped", F.lit(False))
+    matched = F.col("match_status").eqNullSafe(F.lit("MATCHED"))
+    got = received.groupBy(by).agg(
+        F.count(F.lit(1)).alias("received"), F.count_if(taken & matched).alias("matched"), F.count_if(taken & ~matched).alias("unmatched"), F.count_if("failed").alias("failures"), F.count_if("skipped").alias("skipped")
+    )
+    names = {"created": ("CREATED", "WOULD_CREATE"), "updated": ("UPDATED", "WOULD_UPDATE"), "unchanged": ("UNCHANGED", "WOULD_REMAIN_UNCHANGED")}
+    done = ops.groupBy(by).agg(*[F.count_if(F.col("op").isin(*of)).alias(n) for n, of in names.items()])
+    counters = ["received", "matched", "unmatched", "failures", "skipped", *names]
+    return got.join(done.hint("merge"), by, "full_outer").select(by, *[F.coalesce(c, F.lit(0)).alias(c) for c in counters])

@@ -916,3 +916,28 @@ def difal_totals(spark, sf_dir):
     r = assessments.map_difal(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), n.cast("long").alias("n"), body.alias("body")))
     cents = lambda c: (F.col(c) * 100).cast("long")
     return r.select("k", "n", cents("total_amount").alias("total"), cents("resale_amount").alias("resale"), cents("use_consumption_amount").alias("use_consumption"), "errors", "dare_numbers")
+
+
+@query("""
+WITH l AS (SELECT l_returnflag AS direction, l_partkey % 7 = 0 AS failed, l_partkey % 7 <> 0 AND l_suppkey % 5 = 0 AS skipped, l_orderkey % 3 <> 0 AS matched, l_orderkey % 4 AS k FROM lineitem)
+SELECT direction, count(*) AS received, count(*) FILTER (WHERE NOT failed AND NOT skipped AND matched) AS matched, count(*) FILTER (WHERE NOT failed AND NOT skipped AND NOT matched) AS unmatched, count(*) FILTER (WHERE failed) AS failures, count(*) FILTER (WHERE skipped) AS skipped,
+  count(*) FILTER (WHERE NOT failed AND NOT skipped AND k = 0) AS created, count(*) FILTER (WHERE NOT failed AND NOT skipped AND k = 1) AS updated, count(*) FILTER (WHERE NOT failed AND NOT skipped AND k > 1) AS unchanged FROM l GROUP BY 1
+""")
+def sync_counters(spark, sf_dir):
+    """Order lines as received items of a direction each return flag: failed, skipped, matched or not, and what the merge did with the rest."""
+    k = F.col("l_orderkey") % 4
+    failed = F.col("l_partkey") % 7 == 0
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("direction"), failed.alias("failed"), (~failed & (F.col("l_suppkey") % 5 == 0)).alias("skipped"), F.when(F.col("l_orderkey") % 3 != 0, "MATCHED").when(k == 0, "AMBIGUOUS").alias("match_status"),
+        F.when(k == 0, "CREATED").when(k == 1, "WOULD_UPDATE").otherwise("UNCHANGED").alias("op"),
+    )
+    return merge.sync_counters(rows, rows.where("NOT failed AND NOT skipped").select("direction", "op"), "direction")
+
+
+@query("""
+SELECT DISTINCT lpad(CAST(o_custkey % 50 AS VARCHAR), 7, '0') AS cnae FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2 AND c_acctbal > 0 AND o_orderstatus = 'F' AND c_custkey BETWEEN 1 AND 100
+""")
+def tenant_cnaes(spark, sf_dir):
+    """Codes of the active companies of one tenant, of some of its ids."""
+    catalog = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("company_id"), F.lpad((F.col("o_custkey") % 50).cast("string"), 7, "0").alias("cnae"), (F.col("o_orderstatus") == "F").alias("active"))
+    return match.unique_active_cnaes(catalog, _companies(spark, sf_dir), org=2, ids=list(range(1, 101)))
