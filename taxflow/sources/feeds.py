@@ -200,9 +200,12 @@ read_task_pages = read_document_pages
 
 def assessment_company_items(bodies: DataFrame, keep: tuple[str, ...] = ("file",)) -> tuple[DataFrame, DataFrame]:
     """(items, failures) of ``{sucesso, empresas}``; an entry that is no object is a failure, and so is a page that isn't a success."""
-    get = lambda path: F.get_json_object("body", f"$.{path}")
-    bad = ~F.coalesce(get("sucesso") == "true", F.lit(False))
-    rows = bodies.select(*keep, F.when(bad, "sucesso").when(~F.coalesce(F.ltrim(get("empresas")).startswith("["), F.lit(False)), "empresas").alias("reason"), F.posexplode_outer(F.from_json(get("empresas"), "array<string>")).alias("item_no", "item"))
+    # What is known of a page is told before its entries are listed: beside a generator it would be computed again for each entry.
+    pages = bodies.select(*keep, F.json_tuple("body", "sucesso", "empresas").alias("ok", "list"))
+    bad = ~F.coalesce(F.col("ok") == "true", F.lit(False))
+    reason = F.when(bad, "sucesso").when(~F.coalesce(F.ltrim("list").startswith("["), F.lit(False)), "empresas")
+    pages = pages.select(*keep, reason.alias("reason"), F.from_json("list", "array<string>").alias("entries"))
+    rows = pages.select(*keep, "reason", F.posexplode_outer("entries").alias("item_no", "item"))
     rows = rows.withColumn("reason", F.coalesce("reason", F.when(~F.ltrim("item").startswith("{"), "entry")))
     return rows.where("reason IS NULL AND item IS NOT NULL").select(*keep, "item_no", "item"), rows.where("reason IS NOT NULL").select(*keep, "reason", "item")
 

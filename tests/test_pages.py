@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from taxflow.functions.page_parser import Page
 from taxflow.operators import payroll, rule_pages
 from taxflow.plans.queries import QUERIES, SQL
-from taxflow.sources import assessments
+from taxflow.sources import assessments, feeds
 from tests.oracle import differences
 
 
@@ -113,3 +113,16 @@ def test_page_parser():
     assert (p.title, p.groups, p.activity_id) == ("0000-0/01 - One two", ["G h"], "7")
     assert Page("").tables == [] and len(Page('<table><tr><td colspan="99999">x').tables[0]["rows"][0]["cells"]) == 100
     assert len(Page("<table>" * 3000 + "<tr><td>x").tables) == 3000
+
+
+def test_pages_are_read_once_for_all_entries(spark):
+    """The page isn't parsed again for each of its entries: nothing reads its JSON after the entries are listed."""
+    page = json.dumps({"sucesso": True, "empresas": [{"id": 1}, 7, {"id": 2}]})
+    bodies = spark.createDataFrame([("a", page), ("b", '{"sucesso": false}'), ("c", '{"sucesso": true}'), ("d", None)], "file string, body string")
+    items, failures = feeds.assessment_company_items(bodies)
+    for df in (items, failures):
+        after = df._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode")[0]
+        assert "get_json_object" not in after and "json_tuple" not in after
+    assert [(r.file, r.item_no, r.item) for r in items.orderBy("item_no").collect()] == [("a", 0, '{"id":1}'), ("a", 2, '{"id":2}')]
+    assert sorted((r.file, r.reason, r.item) for r in failures.collect() if r.file == "a") == [("a", "entry", "7")]
+    assert sorted((r.file, r.reason) for r in failures.collect() if r.file != "a") == [("b", "sucesso"), ("c", "empresas"), ("d", "sucesso")]
