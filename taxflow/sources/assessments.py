@@ -6,6 +6,8 @@ columns, plus ``errors`` that names what makes a row unusable.  Nothing is dropp
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,23 @@ from taxflow.sources.feeds import place
 # Service invoice layouts.
 NFSE_LAYOUTS = ("NFSE_ABRASF_204", "NFSE_NACIONAL_101")
 DIRECTIONS = ("ENTRADA", "SAIDA")
+# Fixed names: amounts, taxes and CFOP blocks of an assessment, and the members of its reply and of one of its companies that are read.
+MONEY = {
+    "net_revenue": "receitaLiquida", "product_revenue": "receitaProdutos", "service_revenue": "receitaServicos", "return_revenue": "receitaDevolucao",
+    "rbt12": "rbt12", "rba": "rba", "das_amount": "valorDas", "das_xml_amount": "valorDasXml", "factor_r_percent": "percentualFatorR",
+}
+TAXES = {f"{name}": (f"empresaTributa{a}", f"tributa{a}", f"tributa{b}") for name, a, b in (("icms", "Icms", "ICMS"), ("iss", "Iss", "ISS"), ("ipi", "Ipi", "IPI"), ("pis_cofins", "PisCofins", "PISCOFINS"))}
+CFOP_LISTS = ("resumoPorCfop", "resumoPorCfopSittax", "resumoPorCfopXml")
+_TAX_MEMBERS = tuple(name for names in TAXES.values() for name in names)
+DATA_MEMBERS = (
+    "id", "empresasApuracao", "empresasDaApuracao", "empresaCnpj", "empresaNome", "escritorioNome", "periodoFiscal", "folhas", "folhasDePagamento", "folhaDePagamentos", "dataHoraTransmissao", "tipoDaTransmissao", "emTransmissao",
+    "numeroDas", "numeroDeclaracao", "numeroExtrato", *MONEY.values(), "resumosTributacaoSittax", "mensagens", "inconsistencias", "relatorioDeConferenciaSittax", *_TAX_MEMBERS,
+)
+COMPANY_MEMBERS = ("nome", "empresaTemFolha", "atividades", *CFOP_LISTS, *_TAX_MEMBERS)
+DIFAL_MEMBERS = (
+    "id", "possuiGuia", "numeroDareGuiaRevenda", "numeroDareGuiaUsoConsumoImobilizado", "valorGuiaRevenda", "totalGuiaUsoConsumoImobilizado", "totalGuiaIndustrializacao", "valorGuiaRevendaUtilizandoCredito",
+    "valorGuiaUsoConsumoImobilizadoUtilizandoCredito", "totalTodasCompras", "dataFechamento", "dataTransmissao", "temNotasComReferenciaSemTipo", "creditos",
+)
 
 
 def _raw(json: str, path: str) -> Column:
@@ -42,9 +61,22 @@ def _objects(c: Column) -> Column:
     return F.filter(_list(c), lambda x: F.ltrim(x).startswith("{"))
 
 
-def _period(json: str, path: str) -> Column:
+def _members(df: DataFrame, json: str, *names: str) -> DataFrame:
+    """Adds the text of each member of the JSON object in a column, which is parsed once for all of them."""
+    return df.select("*", F.json_tuple(json, *names).alias(*[_name(json, n) for n in names]))
+
+
+def _name(json: str, name: str) -> str:
+    """Column of a member; capitals are marked, since names that differ by them alone would be one to Spark."""
+    return f"{json}:" + re.sub("([A-Z])", r"^\1", name)
+
+
+def _member(json: str, name: str) -> Column:
+    return F.col(_name(json, name))
+
+
+def _period_of(value: Column) -> Column:
     """A period given as text, or as an object with its first day."""
-    value = _raw(json, path)
     day = F.coalesce(F.get_json_object(value, "$.dataInicial"), F.get_json_object(value, "$.dataFinal"))
     return F.when(F.ltrim(value).startswith("{"), F.date_format(N.parse_datetime(day), "yyyy-MM")).otherwise(N.period_reference(value))
 
@@ -70,46 +102,47 @@ def map_assessment(df: DataFrame, body: str = "body", cnpj: str = "requested_cnp
 
     Columns in ``keep`` are carried along.
     """
-    listed = F.coalesce(F.when(F.size(_objects(_raw("data", "empresasApuracao"))) > 0, _raw("data", "empresasApuracao")), _raw("data", "empresasDaApuracao"))
-    own = df.select(*keep, F.col(cnpj).alias("requested_cnpj"), F.col(period).alias("requested_period"), F.col(body).alias("body"), _raw(body, "data").alias("data"))
-    own = own.withColumn("companies", _objects(listed))
-    of = lambda x: N.normalize_cnpj(F.get_json_object(x, "$.cnpj"))
-    stated = N.normalize_cnpj(_raw("data", "empresaCnpj"))
-    asked = F.get(F.filter("companies", lambda x: of(x) == F.col("requested_cnpj")), 0)
-    any_one = F.get(F.filter(F.transform("companies", of), lambda x: x.isNotNull()), 0)
-    own = own.withColumn("confirmed_cnpj", F.coalesce(stated, of(asked)))
-    own = own.withColumn("company", F.get(F.filter("companies", lambda x: of(x).eqNullSafe(F.col("confirmed_cnpj"))), 0))
-    own = own.withColumn("confirmed_cnpj", F.coalesce("confirmed_cnpj", any_one)).withColumn("taxed", F.coalesce("company", "data"))
-    payrolls = F.concat(_objects(_raw("data", "folhas")), _objects(_raw("data", "folhasDePagamento")))
+    cnpj, period = F.col(cnpj).alias("requested_cnpj"), F.col(period).alias("requested_period")
+    own = _members(df.select(*keep, cnpj, period, F.col(body).alias("body")), "body", "ok", "data").withColumnRenamed(_name("body", "data"), "data")
+    own = _members(own, "data", *DATA_MEMBERS).withColumns({_name("data", n): _objects(_member("data", n)) for n in ("folhas", "folhasDePagamento")})
+    of_data, of_company = (lambda n: _member("data", n)), (lambda n: _member("company", n))
+    listed = _objects(of_data("empresasApuracao"))
+    own = own.withColumn("companies", F.when(F.size(listed) > 0, listed).otherwise(_objects(of_data("empresasDaApuracao"))))
+    # The number of each company is read once, no number as an empty one; below, companies are told by their numbers.
+    own = own.withColumn("numbers_", F.transform("companies", lambda x: F.get_json_object(x, "$.cnpj")))
+    own = own.withColumn("numbers_", F.transform("numbers_", lambda x: F.coalesce(N.normalize_cnpj(x), F.lit(""))))
+    asked = F.when(F.array_contains("numbers_", F.nullif(F.col("requested_cnpj"), F.lit(""))), F.col("requested_cnpj"))
+    own = own.withColumn("confirmed_cnpj", F.coalesce(N.normalize_cnpj(of_data("empresaCnpj")), asked))
+    at = F.array_position("numbers_", F.coalesce("confirmed_cnpj", F.lit(""))).cast("int")
+    own = _members(own.withColumn("company", F.get("companies", at - 1)), "company", *COMPANY_MEMBERS)
+    own = own.withColumn("confirmed_cnpj", F.coalesce("confirmed_cnpj", F.get(F.array_remove("numbers_", ""), 0)))
     flag = lambda name, c: F.array(F.to_json(F.struct(c.alias(name))))
+    own = own.withColumns({"own_payroll_": N.first_bool(of_company("empresaTemFolha")), "any_payroll_": N.first_bool(of_data("folhaDePagamentos")), "payrolls_": F.concat(of_data("folhas"), of_data("folhasDePagamento"))})
     payrolls = (
-        F.when(F.size(payrolls) > 0, payrolls)
-        .when(_bool("company", "empresaTemFolha").isNotNull(), flag("empresaTemFolha", _bool("company", "empresaTemFolha")))
-        .when(_bool("data", "folhaDePagamentos").isNotNull(), flag("folhaDePagamentos", _bool("data", "folhaDePagamentos")))
+        F.when(F.size("payrolls_") > 0, F.col("payrolls_"))
+        .when(F.col("own_payroll_").isNotNull(), flag("empresaTemFolha", F.col("own_payroll_")))
+        .when(F.col("any_payroll_").isNotNull(), flag("folhaDePagamentos", F.col("any_payroll_")))
         .otherwise(F.array().cast("array<string>"))
     )
-    activities = F.filter(F.transform(_list(_raw("company", "atividades")), N.trim_to_null), lambda x: x.isNotNull())
-    risks = _raw("data", "relatorioDeConferenciaSittax")
-    at, kind = N.parse_datetime(_raw("data", "dataHoraTransmissao")), _text("data", "tipoDaTransmissao")
-    money = {
-        "net_revenue": "receitaLiquida", "product_revenue": "receitaProdutos", "service_revenue": "receitaServicos", "return_revenue": "receitaDevolucao",
-        "rbt12": "rbt12", "rba": "rba", "das_amount": "valorDas", "das_xml_amount": "valorDasXml", "factor_r_percent": "percentualFatorR",
-    }
-    taxes = {"icms": ("Icms", "ICMS"), "iss": ("Iss", "ISS"), "ipi": ("Ipi", "IPI"), "pis_cofins": ("PisCofins", "PISCOFINS")}
+    activities = F.filter(F.transform(_list(of_company("atividades")), N.trim_to_null), lambda x: x.isNotNull())
+    risks = of_data("relatorioDeConferenciaSittax")
+    text = lambda name: N.trim_to_null(of_data(name))
+    at, kind = N.parse_datetime(of_data("dataHoraTransmissao")), text("tipoDaTransmissao")
+    # What is taxed stands with the company, or with the data of a reply that lists no such company.
+    taxed = lambda n: F.when(F.col("company").isNotNull(), of_company(n)).otherwise(of_data(n))
     out = own.select(
-        *keep, "requested_cnpj", "requested_period", "confirmed_cnpj", _period("data", "periodoFiscal").alias("confirmed_period"),
-        N.assessment_id(_raw("data", "id"), "requested_cnpj", "requested_period").alias("assessment_id"),
-        _text("data", "escritorioNome").alias("office_name"), F.coalesce(_text("data", "empresaNome"), _text("company", "nome")).alias("company_name"),
-        N.is_transmitted(at, kind).alias("is_transmitted"), _bool("data", "emTransmissao").alias("transmission_in_progress"), at.alias("transmitted_at"), kind.alias("transmission_type"),
-        _text("data", "numeroDas").alias("das_number"), _text("data", "numeroDeclaracao").alias("declaration_number"), _text("data", "numeroExtrato").alias("statement_number"),
-        *[_money("data", path).alias(name) for name, path in money.items()],
-        F.coalesce(_bool("data", "folhaDePagamentos"), _bool("company", "empresaTemFolha")).alias("company_has_payroll"),
-        *[_bool("taxed", f"empresaTributa{a}", f"tributa{a}", f"tributa{b}").alias(f"taxes_{name}") for name, (a, b) in taxes.items()],
-        "companies", _objects(_raw("data", "resumosTributacaoSittax")).alias("annexes"),
-        F.concat(*[_objects(_raw("company", k)) for k in ("resumoPorCfop", "resumoPorCfopSittax", "resumoPorCfopXml")]).alias("cfops"),
-        activities.alias("activities"), payrolls.alias("payrolls"), _list(_raw("data", "mensagens")).alias("alerts"), _list(_raw("data", "inconsistencias")).alias("inconsistencies"),
+        *keep, "requested_cnpj", "requested_period", "confirmed_cnpj", _period_of(of_data("periodoFiscal")).alias("confirmed_period"),
+        N.assessment_id(of_data("id"), "requested_cnpj", "requested_period").alias("assessment_id"),
+        text("escritorioNome").alias("office_name"), F.coalesce(text("empresaNome"), N.trim_to_null(of_company("nome"))).alias("company_name"),
+        N.is_transmitted(at, kind).alias("is_transmitted"), N.first_bool(of_data("emTransmissao")).alias("transmission_in_progress"), at.alias("transmitted_at"), kind.alias("transmission_type"),
+        text("numeroDas").alias("das_number"), text("numeroDeclaracao").alias("declaration_number"), text("numeroExtrato").alias("statement_number"),
+        *[N.parse_decimal_mixed(of_data(path)).alias(name) for name, path in MONEY.items()],
+        F.coalesce("any_payroll_", "own_payroll_").alias("company_has_payroll"),
+        *[N.first_bool(*map(taxed, names)).alias(f"taxes_{name}") for name, names in TAXES.items()],
+        "companies", _objects(of_data("resumosTributacaoSittax")).alias("annexes"), F.concat(*[_objects(of_company(k)) for k in CFOP_LISTS]).alias("cfops"),
+        activities.alias("activities"), payrolls.alias("payrolls"), _list(of_data("mensagens")).alias("alerts"), _list(of_data("inconsistencias")).alias("inconsistencies"),
         F.when(F.ltrim(risks).startswith("{"), F.array(risks)).otherwise(_list(risks)).alias("risks"),
-        (~F.coalesce(_bool("body", "ok"), F.lit(False))).alias("rejected_"), (~F.coalesce(F.ltrim("data").startswith("{"), F.lit(False))).alias("no_data_"),
+        (~F.coalesce(N.first_bool(_member("body", "ok")), F.lit(False))).alias("rejected_"), (~F.coalesce(F.ltrim("data").startswith("{"), F.lit(False))).alias("no_data_"),
     )
     wrong_company = F.col("confirmed_cnpj").isNotNull() & (F.col("confirmed_cnpj") != F.col("requested_cnpj"))
     errors = _errors(rejected=F.col("rejected_"), data=F.col("no_data_"), company=wrong_company, period=~F.col("confirmed_period").eqNullSafe(F.col("requested_period")))
@@ -118,17 +151,23 @@ def map_assessment(df: DataFrame, body: str = "body", cnpj: str = "requested_cnp
 
 def map_difal(df: DataFrame, body: str = "body") -> DataFrame:
     """DIFAL replies; a credit amount that is there and not zero comes before the plain one."""
-    own = df.select(*[c for c in df.columns if c != body], F.col(body).alias("body"), _raw(body, "difal").alias("difal"))
-    total = [F.coalesce(_money("difal", p), F.lit(0)) for p in ("valorGuiaRevenda", "totalGuiaUsoConsumoImobilizado", "totalGuiaIndustrializacao")]
-    either = lambda a, b: F.coalesce(F.nullif(_money("difal", a), F.lit(0)), _money("difal", b))
+    keep = [c for c in df.columns if c != body]
+    own = _members(_members(df.select(*keep, F.col(body).alias("body")), "body", "sucesso", "mensagem", "difal").withColumnRenamed(_name("body", "difal"), "difal"), "difal", *DIFAL_MEMBERS)
+    raw = lambda name: _member("difal", name)
+    text = lambda name: N.trim_to_null(raw(name))
+    # Each amount is read once, whichever of the results it goes into.
+    amounts = ("valorGuiaRevenda", "totalGuiaUsoConsumoImobilizado", "totalGuiaIndustrializacao", "valorGuiaRevendaUtilizandoCredito", "valorGuiaUsoConsumoImobilizadoUtilizandoCredito", "totalTodasCompras")
+    own = own.withColumns({_name("difal", name): N.parse_decimal_mixed(raw(name)) for name in amounts})
+    total = [F.coalesce(raw(p), F.lit(0)) for p in ("valorGuiaRevenda", "totalGuiaUsoConsumoImobilizado", "totalGuiaIndustrializacao")]
+    either = lambda a, b: F.coalesce(F.nullif(raw(a), F.lit(0)), raw(b))
     return own.select(
-        *[c for c in df.columns if c != body], F.coalesce(_text("difal", "id"), F.lit("difal")).alias("difal_id"), _bool("difal", "possuiGuia").alias("has_guide"),
-        F.array_compact(F.array(_text("difal", "numeroDareGuiaRevenda"), _text("difal", "numeroDareGuiaUsoConsumoImobilizado"))).alias("dare_numbers"),
+        *keep, F.coalesce(text("id"), F.lit("difal")).alias("difal_id"), N.first_bool(raw("possuiGuia")).alias("has_guide"),
+        F.array_compact(F.array(text("numeroDareGuiaRevenda"), text("numeroDareGuiaUsoConsumoImobilizado"))).alias("dare_numbers"),
         sum(total[1:], total[0]).cast("decimal(14,2)").alias("total_amount"), either("valorGuiaRevendaUtilizandoCredito", "valorGuiaRevenda").alias("resale_amount"),
-        either("valorGuiaUsoConsumoImobilizadoUtilizandoCredito", "totalGuiaUsoConsumoImobilizado").alias("use_consumption_amount"), _money("difal", "totalTodasCompras").alias("total_purchases"),
-        N.parse_datetime(_raw("difal", "dataFechamento")).alias("closed_at"), N.parse_datetime(_raw("difal", "dataTransmissao")).alias("transmitted_at"), _text("body", "mensagem").alias("message"),
-        _bool("difal", "temNotasComReferenciaSemTipo").alias("notes_without_type"), _list(_raw("difal", "creditos")).alias("inconsistencies"),
-        _errors(rejected=~F.coalesce(_bool("body", "sucesso"), F.lit(False)), difal=~F.coalesce(F.ltrim("difal").startswith("{"), F.lit(False))).alias("errors"),
+        either("valorGuiaUsoConsumoImobilizadoUtilizandoCredito", "totalGuiaUsoConsumoImobilizado").alias("use_consumption_amount"), raw("totalTodasCompras").alias("total_purchases"),
+        N.parse_datetime(raw("dataFechamento")).alias("closed_at"), N.parse_datetime(raw("dataTransmissao")).alias("transmitted_at"), N.trim_to_null(_member("body", "mensagem")).alias("message"),
+        N.first_bool(raw("temNotasComReferenciaSemTipo")).alias("notes_without_type"), _list(raw("creditos")).alias("inconsistencies"),
+        _errors(rejected=~F.coalesce(N.first_bool(_member("body", "sucesso")), F.lit(False)), difal=~F.coalesce(F.ltrim("difal").startswith("{"), F.lit(False))).alias("errors"),
     )
 
 

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,20 @@ def test_pages_are_read_once_for_all_entries(spark):
     assert [(r.file, r.item_no, r.item) for r in items.orderBy("item_no").collect()] == [("a", 0, '{"id":1}'), ("a", 2, '{"id":2}')]
     assert sorted((r.file, r.reason, r.item) for r in failures.collect() if r.file == "a") == [("a", "entry", "7")]
     assert sorted((r.file, r.reason) for r in failures.collect() if r.file != "a") == [("b", "sucesso"), ("c", "empresas"), ("d", "sucesso")]
+
+
+def test_replies_are_parsed_once(spark):
+    """One parse gives all members of a JSON object, and names that differ by capitals alone stay apart."""
+    reply = {"ok": True, "data": {"periodoFiscal": "05/2026", "empresasApuracao": [{"nome": "none"}, {"cnpj": "1", "nome": "a"}, {"cnpj": "2", "nome": "b", "tributaIcms": None, "tributaICMS": True, "tributaISS": False}], "folhas": [{"a": 1}, 5]}}
+    rows = [(1, "2", "2026-05", json.dumps(reply)), (2, "9", "2026-05", json.dumps(reply)), (3, "2", "2026-05", '{"ok": true, "data": {"empresaCnpj": "2", "tributaPisCofins": true}}'), (4, "2", "2026-05", "broken"), (5, "2", "2026-05", None)]
+    replies = spark.createDataFrame(rows, "k long, requested_cnpj string, requested_period string, body string")
+    out = assessments.map_assessment(replies, keep=("k",))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"get_json_object\((body|data|company)#", plan) and plan.count("json_tuple") == 3
+    r = {x.k: x for x in out.collect()}
+    assert (r[1].confirmed_cnpj, r[1].company_name, r[1].taxes_icms, r[1].taxes_iss, r[1].payrolls, len(r[1].companies), r[1].errors) == ("2", "b", True, False, ['{"a":1}'], 3, [])
+    assert (r[2].confirmed_cnpj, r[2].company_name, r[2].errors) == ("1", "none", ["company"])
+    assert (r[3].confirmed_cnpj, r[3].taxes_pis_cofins, r[3].errors) == ("2", True, ["period"])
+    assert r[4].errors == r[5].errors == ["rejected", "data", "period"]
+    plan = assessments.map_difal(replies.select("k", "body"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan and plan.count("json_tuple") == 2
