@@ -72,6 +72,7 @@ OBLIGATION_ALIASES = {
     "DASN SIMEI": "DASN_SIMEI",
     "PARCELAMENTO": "PARCELAMENTO",
 }
+DEPARTMENTS = {"FISCAL": "FISCAL", "DEPARTAMENTO PESSOAL": "DP", "PESSOAL": "DP", "DP": "DP"}
 DELIVERED = ("ENTREGUE", "CONFIRMADO_API", "CONFIRMADO_ARQUIVO", "CONFIRMADO_ARQUIVO_ACESSORIAS")
 OPEN_LABELS = ("PENDENTE", "ATRASADA!")
 READ_LABELS = ("S", "SIM", "GUIA JA ACESSADA/LIDA", "GUIA JA ACESSADA", "LIDA", "ACESSADA")
@@ -136,10 +137,9 @@ def has_part(c: Column, parts) -> Column:
 
 
 def delivery_status(finalized, delivered, label) -> Column:
-    name = N.upper_ascii(label)
-    unsure = name.isNull() | name.isin(*OPEN_LABELS)
+    unsure = F.coalesce(N.upper_ascii(label), F.lit(OPEN_LABELS[0])).isin(*OPEN_LABELS)
     done = col(finalized).isNotNull() | col(delivered).isNotNull()
-    return F.when(done & unsure, "CONFERENCIA_MANUAL").when(done, "CONFIRMADO_API").when(unsure, "PENDENTE").otherwise("CONFERENCIA_MANUAL")
+    return F.when(unsure, F.when(done, "CONFERENCIA_MANUAL").otherwise("PENDENTE")).otherwise(F.when(done, "CONFIRMADO_API").otherwise("CONFERENCIA_MANUAL"))
 
 
 def guide_read_status(c) -> Column:
@@ -165,7 +165,7 @@ def resolve_registry_regime(payload) -> Column:
 
 
 def obligation_name(c) -> Column:
-    return F.nullif(N.collapse_ws(F.translate(N.upper_ascii(c), "_/", "  ")), F.lit(""))
+    return F.nullif(F.trim(F.regexp_replace(N.upper_ascii(c), r"[\s_/]+", " ")), F.lit(""))
 
 
 def map_obligation(df: DataFrame, name: str, obligations: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
@@ -195,8 +195,7 @@ def unknown_names(mapped: DataFrame, name: str, company: str) -> DataFrame:
 
 
 def map_department(c, default) -> Column:
-    name = obligation_name(c)
-    return F.when(name == "FISCAL", "FISCAL").when(name.isin("DEPARTAMENTO PESSOAL", "PESSOAL", "DP"), "DP").otherwise(default)
+    return F.coalesce(F.try_element_at(_lookup(DEPARTMENTS), obligation_name(c)), default)
 
 
 def classify_words(c, table: dict[str, tuple[str, ...]]) -> Column:

@@ -38,7 +38,9 @@ def trim_to_null(c) -> Column:
 
 
 def unaccent(c) -> Column:
-    return F.translate(F.regexp_replace(col(c), r"[̀-ͯ]", ""), ACCENTED, PLAIN)
+    """Text of one byte a letter has no accents, and needn't be walked letter by letter."""
+    c = col(c)
+    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(F.translate(F.regexp_replace(c, r"[̀-ͯ]", ""), ACCENTED, PLAIN))
 
 
 def upper_ascii(c) -> Column:

@@ -127,16 +127,18 @@ def merge_status(deliveries: DataFrame, statuses: DataFrame, now: Column, dry_ru
     name (``department_name``) is known, else the obligation's ``department_default``; without these columns it is ``department``.
     """
     keys = ["company_id", "period_id", "obligation_id"]
-    good = deliveries.where("type = 'O' AND mapping_status = 'MAPPED'")
-    good = last_of_batch(good, keys, list(order))
     named = {"department_name", "department_default"} <= set(deliveries.columns)
-    batch = good.select(
+    # only what the result needs is sorted by key
+    good = deliveries.where("type = 'O' AND mapping_status = 'MAPPED'").select(
         *keys,
+        *[F.col(c).alias(f"order{i}_") for i, c in enumerate(order)],
         F.col("normalized_status").alias("status"),
         (R.map_department("department_name", F.col("department_default")) if named else F.col("department")).alias("department"),
-        F.when(F.col("normalized_status") == "CONFERENCIA_MANUAL", 70).otherwise(100).cast("decimal(5,2)").alias("confidence"),
         F.coalesce("finalized_at", F.col("delivered_on").cast("timestamp")).alias("delivered_at"),
     )
+    batch = last_of_batch(good, keys, [f"order{i}_" for i in range(len(order))]).select(
+        *keys, "status", "department", F.when(F.col("status") == "CONFERENCIA_MANUAL", 70).otherwise(100).cast("decimal(5,2)").alias("confidence"), "delivered_at"
+    )
     return merge_snapshot(statuses, batch, keys, ["status", "department", "confidence", "delivered_at"], now, detect=False, dry_run=dry_run)
 
 

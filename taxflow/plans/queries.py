@@ -12,6 +12,7 @@ from taxflow.functions import normalize as N
 from taxflow.operators import match, merge, ordering, payroll, quality, rule_pages
 from taxflow.plans import views
 from taxflow.sources import assessments
+from taxflow.staging import dealt
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -243,7 +244,7 @@ SELECT obligation_id, status, CAST(CASE status WHEN 'CONFERENCIA_MANUAL' THEN 70
 """)
 def overwrite_status(spark, sf_dir):
     """Deliveries of each order and obligation, two of each: the item that comes later in its page counts, though its number as text is smaller."""
-    d = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", (F.col("l_partkey") % 5).alias("obligation_id")).agg(F.max(F.when(F.col("l_linestatus") == "F", 1).otherwise(0)).alias("done"), F.count(F.lit(1)).alias("n"))
+    d = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey", (F.col("l_partkey") % 5).alias("obligation_id")).agg(F.max(F.when(F.col("l_linestatus") == "F", 1).otherwise(0)).alias("done"), F.count(F.lit(1)).alias("n"))
     d = d.withColumn("item_no", F.explode(F.array(F.lit(10), F.lit(9))))
     late = F.col("item_no") == 10
     label = F.when(F.col("n") % 2 == 0, "Ent. antecipada").otherwise("Pendente")

@@ -37,3 +37,15 @@ def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """``df`` for the small side of a join: broadcast if it has no more than ``rows`` rows, counted up to there, else joined by sort and merge."""
     few = df.limit(rows + 1).count() <= rows
     return F.broadcast(df) if few else df.hint("merge")
+
+
+#: Rows that one task groups or sorts by key, at a few hundred bytes each.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, *keys: str, rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` dealt out by its keys to as many tasks as its counted rows need, so that one task's share doesn't grow with the table.
+
+    Adaptive execution would size the tasks by the bytes that they read, which says little where rows become wider or more after that.
+    """
+    return df.repartition(max(-(-df.count() // rows), df.sparkSession.sparkContext.defaultParallelism), *keys)

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from taxflow import staging
 from taxflow.functions import classify as R
 from taxflow.functions import normalize as N
 from taxflow.operators import merge
@@ -52,3 +53,27 @@ def test_feed_and_stream(spark, tmp_path):
     seen = []
     streams.start_company_stream(spark, str(tmp_path / "in"), lambda df, i: seen.extend(r.razao_social for r in df.collect()), str(tmp_path / "cp")).awaitTermination()
     assert sorted(seen) == ["1", "2", "3"]
+
+
+def test_statuses_are_sorted_narrow(spark):
+    """Columns that the result doesn't need aren't carried through the sort by key, and a task's rows don't grow with the table."""
+    row = (1, 1, 1, "O", "MAPPED", None, None, None, "FISCAL", "{}")
+    kinds = "company_id int, period_id int, obligation_id int, type string, mapping_status string, normalized_status string, finalized_at timestamp, delivered_on date, department string, raw string"
+    late = spark.createDataFrame([(*row, 1), (*row[:5], "PENDENTE", *row[6:8], "DP", "{}", 3), (*row[:5], "CONFERENCIA_MANUAL", *row[6:], 2)], kinds + ", delivery_id int")
+    none = late.limit(0).select("company_id", "period_id", "obligation_id", F.lit("").alias("status"), "department", F.lit(None).cast("decimal(5,2)").alias("confidence"), *[F.lit(None).cast("timestamp").alias(c) for c in ("delivered_at", "first_seen_at", "last_seen_at")])
+    after, _ = merge.merge_status(late, none, F.lit("2026-01-01").cast("timestamp"))
+    assert [(r.status, r.department, float(r.confidence)) for r in after.collect()] == [("PENDENTE", "DP", 100.0)]
+    grouped = [line for line in after._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line]
+    assert grouped and not any("raw" in line or "mapping_status" in line for line in grouped)
+    assert staging.dealt(spark.range(100), "id", rows=5).rdd.getNumPartitions() == 20
+    plan = QUERIES["overwrite_status"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [l_orderkey" in plan
+
+
+def test_labels_of_deliveries(spark):
+    labels = [None, " ", "Pendente", "atrasada!", "Atrasada", "Ent. antecipada", "Contábil", "PENDENTÉ"]
+    got = spark.createDataFrame([(x,) for x in labels], "x string").select("x", R.delivery_status(F.lit(None), F.lit(1), "x").alias("done"), R.delivery_status(F.lit(None), F.lit(None), "x").alias("open")).collect()
+    assert [(r.done, r.open) for r in got] == [(("CONFERENCIA_MANUAL", "PENDENTE") if i in (0, 1, 2, 3, 7) else ("CONFIRMADO_API", "CONFERENCIA_MANUAL")) for i in range(8)]
+    names = ["Depto_ Pessoal", "Departamento_ /pessoal", " dp", "físcal", None, "", "Outro"]
+    got = spark.createDataFrame([(x,) for x in names], "x string").select(R.map_department("x", F.lit("Y")).alias("y")).collect()
+    assert [r.y for r in got] == ["Y", "DP", "DP", "FISCAL", "Y", "Y", "Y"]
