@@ -143,8 +143,8 @@ def delivery_status(finalized, delivered, label) -> Column:
 
 
 def guide_read_status(c) -> Column:
-    name = N.upper_ascii(c)
-    return F.when(name.isin(*READ_LABELS), "READ").when(name.isin(*UNREAD_LABELS), "UNREAD").otherwise(F.left(N.trim_to_null(c), F.lit(20)))
+    labels = {name: "READ" for name in READ_LABELS} | {name: "UNREAD" for name in UNREAD_LABELS}
+    return F.coalesce(F.try_element_at(_lookup(labels), N.upper_ascii(c)), F.left(N.trim_to_null(c), F.lit(20)))
 
 
 def has_penalty(c) -> Column:
@@ -153,11 +153,15 @@ def has_penalty(c) -> Column:
 
 def resolve_regime(c) -> Column:
     """struct(raw, code, canonical, mapping_status MAPPED/UNMAPPED/MISSING) of a code or a label."""
-    raw = N.trim_to_null(c)
-    code = F.when(raw.rlike("^[0-9]+$"), raw.try_cast("int"))
-    canonical = F.when(raw.rlike("^[0-9]+$"), F.try_element_at(_lookup(REGIME_CODES), code)).otherwise(F.try_element_at(_lookup(REGIME_LABELS), N.upper_ascii(raw)))
-    status = F.when(raw.isNull(), "MISSING").when(canonical.isNull(), "UNMAPPED").otherwise("MAPPED")
-    return F.struct(raw.alias("raw"), code.alias("code"), canonical.alias("canonical"), status.alias("mapping_status"))
+    return N.once(N.trim_to_null(c), _regime)
+
+
+def _regime(raw: Column) -> Column:
+    numeric = raw.rlike("^[0-9]+$")
+    code = F.when(numeric, raw.try_cast("int"))
+    canonical = F.when(numeric, F.try_element_at(_lookup(REGIME_CODES), code)).otherwise(F.try_element_at(_lookup(REGIME_LABELS), F.upper(N.unaccent(raw))))
+    status = lambda x: F.when(x["raw"].isNull(), "MISSING").when(x["canonical"].isNull(), "UNMAPPED").otherwise("MAPPED")
+    return N.once(F.struct(raw.alias("raw"), code.alias("code"), canonical.alias("canonical")), lambda x: F.struct(x["raw"].alias("raw"), x["code"].alias("code"), x["canonical"].alias("canonical"), status(x).alias("mapping_status")))
 
 
 def resolve_registry_regime(payload) -> Column:

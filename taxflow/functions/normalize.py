@@ -240,18 +240,25 @@ def string_list(c) -> Column:
 
 def pick(json: Column | str, aliases: list[str]) -> Column:
     """Value, as text, of the first alias that is a key of the JSON object, even where it is null."""
-    keys = F.json_object_keys(col(json))
-    out = F.lit(None).cast("string")
-    for name in reversed(aliases):
-        out = F.when(F.array_contains(keys, name), F.get_json_object(col(json), f"$.{name}")).otherwise(out)
-    return out
+
+    def value(keys: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name in reversed(aliases):
+            out = F.when(F.array_contains(keys, name), F.get_json_object(col(json), f"$.{name}")).otherwise(out)
+        return out
+
+    return once(F.json_object_keys(col(json)), value)
 
 
 def parse_maybe_nested_json(c) -> Column:
     """A JSON object that may have been encoded twice, as text; null if it is no object."""
-    outer = F.try_parse_json(col(c))
-    inner = F.when(F.schema_of_variant(outer) == "STRING", F.try_variant_get(outer, "$", "string")).otherwise(col(c))
-    return F.when(F.schema_of_variant(F.try_parse_json(inner)).startswith("OBJECT"), inner)
+
+    def text(outer: Column) -> Column:
+        kind = F.schema_of_variant(outer)
+        inner = once(F.try_variant_get(outer, "$", "string"), lambda x: F.when(F.schema_of_variant(F.try_parse_json(x)).startswith("OBJECT"), x))
+        return F.when(kind == "STRING", inner).when(kind.startswith("OBJECT"), col(c))
+
+    return once(F.try_parse_json(col(c)), text)
 
 
 def file_extension(c, name) -> Column:

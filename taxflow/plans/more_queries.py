@@ -10,7 +10,7 @@ from taxflow.operators import enrichment, match, merge, ordering, payroll, quali
 from taxflow.plans import catalogs, views
 from taxflow.plans.queries import _companies, query, report_pages, table
 from taxflow.sources import assessments, feeds
-from taxflow.staging import staged
+from taxflow.staging import dealt, staged
 from taxflow.streaming import streams
 
 
@@ -686,11 +686,11 @@ def label_forms(spark, sf_dir):
     k, user = F.col("user_id") % 4, F.col("user_id").cast("string")
     pick = lambda a, b, c: F.when(k == 0, a).when(k == 1, b).when(k == 2, c)
     payload = F.when(k == 0, '{"taxRegime": "Lucro Real"}').when(k == 1, '{"regime": "6", "taxRegime": "x"}').when(k == 2, '{"regime": "?"}').otherwise("{}")
-    e = table(spark, sf_dir, "events").select(
+    e = dealt(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), "event_id").select(
         "event_id", "event_type", "user_id", pick("Guia já acessada/lida", "não", "Outra").alias("guide"), pick("s", "N", " ").alias("fine"), payload.alias("payload"), F.create_map(F.lit("Senha"), user, F.lit("other"), user).alias("m"),
         F.array(F.create_map(F.lit("contract"), user, F.lit("code"), user)).alias("errors"), F.to_json(F.struct(F.concat(F.lit('{"a":'), user, F.lit("}")).alias("x"))).alias("outer"),
     )
-    regime = R.resolve_registry_regime("payload")
+    e, regime = e.withColumn("regime_", R.resolve_registry_regime("payload")), F.col("regime_")
     inner = F.regexp_replace(F.regexp_extract("outer", r'^\{"x":(.*)\}$', 1), "^$", "")
     return e.select(
         "event_id", R.guide_read_status("guide").alias("guide"), R.has_penalty("fine").alias("penalty"), regime["canonical"].alias("regime"), regime["mapping_status"].alias("regime_status"), N.redact_map("m", ["senha"])["Senha"].alias("secret"), N.redact_map("m", ["senha"])["other"].alias("open"),

@@ -7,6 +7,7 @@ from taxflow import staging
 from taxflow.functions import classify as R
 from taxflow.functions import normalize as N
 from taxflow.operators import merge
+from taxflow.plans import more_queries  # noqa: F401  (registers its queries)
 from taxflow.plans.queries import QUERIES, SQL
 from taxflow.sources import feeds
 from taxflow.streaming import streams
@@ -77,3 +78,24 @@ def test_labels_of_deliveries(spark):
     names = ["Depto_ Pessoal", "Departamento_ /pessoal", " dp", "físcal", None, "", "Outro"]
     got = spark.createDataFrame([(x,) for x in names], "x string").select(R.map_department("x", F.lit("Y")).alias("y")).collect()
     assert [r.y for r in got] == ["Y", "DP", "DP", "FISCAL", "Y", "Y", "Y"]
+
+
+def test_forms_are_computed_once(spark):
+    """A regime's payload is read once a row, whatever is taken from it, and regimes, aliases and nested JSON keep their values."""
+    labels = ["Lucro Real", "6", "06", "99", "99999999999", " ", None, "filial - simples nacional", "Imune/Isenta", "Comércio", "MEÍ"]
+    got = spark.createDataFrame([(x,) for x in labels], "x string").select(R.resolve_regime("x").alias("r")).collect()
+    assert [tuple(r.r) for r in got] == [
+        ("Lucro Real", None, "LUCRO_REAL", "MAPPED"), ("6", 6, "MEI", "MAPPED"), ("06", 6, "MEI", "MAPPED"), ("99", 99, None, "UNMAPPED"), ("99999999999", None, None, "UNMAPPED"), (None, None, None, "MISSING"), (None, None, None, "MISSING"),
+        ("filial - simples nacional", None, "SIMPLES_NACIONAL", "MAPPED"), ("Imune/Isenta", None, "IMUNE_ISENTA", "MAPPED"), ("Comércio", None, None, "UNMAPPED"), ("MEÍ", None, "MEI", "MAPPED"),
+    ]
+    items = ['{"b": 1, "a": null}', '{"b": {"c": 2}}', '{"c": 1}', "[1]", "no", None, '{"a": "x", "b": "y"}']
+    got = spark.createDataFrame([(x,) for x in items], "x string").select(N.pick("x", ["a", "b"]).alias("v")).collect()
+    assert [r.v for r in got] == [None, '{"c":2}', None, None, None, None, "x"]
+    nested = ['{"a":1}', '"{\\"a\\":1}"', '"[1]"', "[1]", "no", None, '"\\"{}\\""', "{}"]
+    got = spark.createDataFrame([(x,) for x in nested], "x string").select(N.parse_maybe_nested_json("x").alias("v")).collect()
+    assert [r.v for r in got] == ['{"a":1}', '{"a":1}', None, None, None, None, None, "{}"]
+    names = ["Guia já acessada/lida", " não ", "Outra coisa de mais de vinte", " ", None]
+    got = spark.createDataFrame([(x,) for x in names], "x string").select(R.guide_read_status("x").alias("v")).collect()
+    assert [r.v for r in got] == ["READ", "UNREAD", "Outra coisa de mais ", None, None]
+    plan = QUERIES["label_forms"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.taxRegime") == 1 and "RepartitionByExpression [event_id" in plan
