@@ -70,6 +70,25 @@ def test_repeated_rows_with_a_fork(spark, operator, wide):
     assert len(got) == len(rows) and {r.n_removed for r in got} == {0}
 
 
+def test_passages_of_over_50_words(spark):
+    # the contract counts bytes, not words: of passages of 52 words those of 400 bytes go and those of 399 stay
+    rnd = random.Random(5)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    rows, want = [], {}
+    for size in (370, 399, 400, 401):
+        passage = prose(52)
+        passage += "q" * (size - len(passage))
+        for ends in ("xy", "zv"):  # nothing beside the passages is equal
+            want[len(rows)] = size if size >= 400 else 0
+            rows.append((len(rows), prose(90) + ends[0] + passage + ends[1] + prose(90)))
+    for _ in range(8):
+        want[len(rows)] = 0
+        rows.append((len(rows), prose(240)))
+    got = suffix_array_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert {r.doc_id: r.n_removed for r in got} == want
+    assert all(r.n_bytes == len(rows[r.doc_id][1]) and r.n_spans == (r.n_removed > 0) for r in got)
+
+
 def test_intervals():
     assert sorted(prefix_intervals([0, 2, 2, 1])) == [(1, 0, 3), (2, 0, 2)]
     got = maximal_repeats([b"abcx", b"abcy", b"abz"], [b"qr", b"qs", b"qr"], 4)
