@@ -216,10 +216,11 @@ def classify_activity(c) -> Column:
 def rubric_signals(code, name) -> Column:
     """Sorted signals of a payroll rubric."""
     both = F.struct(F.coalesce(N.search_form(name), F.lit("")).alias("form"), col(code).cast("string").alias("code"))
-    return N.once(both, lambda x: _signals(x["form"], x["code"]))
+    return N.once(both, lambda x: signals_of(x["form"], x["code"]))
 
 
-def _signals(form: Column, code: Column) -> Column:
+def signals_of(form: Column, code: Column) -> Column:
+    """Sorted signals of a rubric whose name has this search form; most have none, and need no list to be gone through."""
     on = {}
     for signal, parts in RUBRIC_TERMS.items():
         on[signal] = has_part(form, parts) | F.coalesce(code.isin(*RUBRIC_CODES.get(signal, ("",))), F.lit(False))
@@ -227,7 +228,8 @@ def _signals(form: Column, code: Column) -> Column:
     employee = F.when(on["has_vacation"] | on["has_termination"] | on["has_leave"], True).when(on["has_pro_labore"] | on["has_autonomous"], False)
     employee = employee.when(has_part(form, NOT_EMPLOYEE_TERMS), False).when(code.isin(*EMPLOYEE_CODES), True)
     on["has_employee"] = employee.otherwise(has_part(form, EMPLOYEE_TERMS))
-    return F.array_compact(F.array(*[F.when(on[s], F.lit(s)) for s in sorted(on)]))
+    found = F.array_compact(F.array(*[F.when(on[s], F.lit(s)) for s in sorted(on)]))
+    return F.when(any_of(on.values()), found).otherwise(F.array().cast("array<string>"))
 
 
 def factor_r_applicable(explicit, allowed, status, annex, conditional) -> Column:

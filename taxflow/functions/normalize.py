@@ -82,17 +82,30 @@ def check_digit(number, weights: tuple[int, ...]) -> Column:
     return once(number, digit)
 
 
+def cnpj_is_good(d: Column) -> Column:
+    """Whether digits are 14, not all the same, and have the check digits of the first 12."""
+
+    def good(n: Column) -> Column:
+        first, second = check_digit(n, CNPJ_FIRST), check_digit(n, CNPJ_SECOND)
+        return (n != F.repeat(F.left(n, F.lit(1)), 14)) & (F.right(n, F.lit(2)) == F.concat(first.cast("string"), second.cast("string")))
+
+    return F.coalesce(F.when(F.length(d) == 14, good(d)), F.lit(False))
+
+
+def cnpj_status(c, d: Column) -> Column:
+    """VALID/INVALID/MISSING of a text whose digits are ``d``."""
+    return F.when(trim_to_null(c).isNull(), "MISSING").when(cnpj_is_good(d), "VALID").otherwise("INVALID")
+
+
 def validate_cnpj(c) -> Column:
     """struct(normalized, status VALID/INVALID/MISSING, length_valid, check_valid)."""
-    d = digits(c)
-    whole = F.length(d) == 14
-    safe = F.when(whole, d).otherwise(F.lit("0" * 14))
-    first = check_digit(safe, CNPJ_FIRST)
-    second = check_digit(F.concat(F.left(safe, F.lit(12)), first.cast("string")), CNPJ_SECOND)
-    good = whole & (d != F.repeat(F.left(d, F.lit(1)), 14)) & (F.right(safe, F.lit(2)) == F.concat(first.cast("string"), second.cast("string")))
-    status = F.when(trim_to_null(c).isNull(), "MISSING").when(good, "VALID").otherwise("INVALID")
-    text = F.when(whole, d).otherwise(trim_to_null(c))
-    return F.struct(text.alias("normalized"), status.alias("status"), F.coalesce(whole, F.lit(False)).alias("length_valid"), F.coalesce(good, F.lit(False)).alias("check_valid"))
+
+    def parts(d: Column) -> Column:
+        whole = F.length(d) == 14
+        text = F.when(whole, d).otherwise(trim_to_null(c))
+        return F.struct(text.alias("normalized"), cnpj_status(c, d).alias("status"), F.coalesce(whole, F.lit(False)).alias("length_valid"), cnpj_is_good(d).alias("check_valid"))
+
+    return once(digits(c), parts)
 
 
 def format_cnpj(c) -> Column:
@@ -185,11 +198,19 @@ def period_bounds(c) -> Column:
     return F.struct(period_start(c).alias("first_day"), F.last_day(period_start(c)).alias("last_day"))
 
 
+def payroll_month(c) -> Column:
+    """``MM/YYYY``, from 1900 on, as ``YYYY-MM``; null for other text."""
+    text = trim_to_null(c)
+    return F.when(text.rlike(r"^(?:0[1-9]|1[0-2])/(?:19|[2-9]\d)\d{2}$"), F.concat(F.substring(text, 4, 4), F.lit("-"), F.left(text, F.lit(2))))
+
+
+def month_after(c) -> Column:
+    return F.date_format(F.add_months(period_start(c), 1), "yyyy-MM")
+
+
 def payroll_to_assessment(c) -> Column:
     """struct(payroll, assessment): ``MM/YYYY`` and the month after it, both ``YYYY-MM``."""
-    own = F.when(trim_to_null(c).rlike(r"^\d{2}/\d{4}$"), period_reference(c))
-    own = F.when(F.left(own, F.lit(4)).try_cast("int") >= 1900, own)
-    return F.struct(own.alias("payroll"), F.date_format(F.add_months(period_start(own), 1), "yyyy-MM").alias("assessment"))
+    return once(payroll_month(c), lambda own: F.struct(own.alias("payroll"), month_after(own).alias("assessment")))
 
 
 def parse_decimal_mixed(c) -> Column:
@@ -199,17 +220,29 @@ def parse_decimal_mixed(c) -> Column:
     return plain.try_cast("decimal(14,2)")
 
 
-def parse_brl_strict(c) -> Column:
-    text = trim_to_null(c)
+def brl_amount(text: Column) -> Column:
+    """Brazilian amount with two places, without blanks around it; null for other text."""
     shaped = text.rlike(r"^(?:\d{1,3}(?:\.\d{3})*|\d+|),\d{2}$")
     return F.when(shaped, F.concat(F.lit("0"), F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).try_cast("decimal(14,2)"))
 
 
+def parse_brl_strict(c) -> Column:
+    return brl_amount(trim_to_null(c))
+
+
+HOURS = r"^\d+:[0-5]\d$"
+
+
+def hours_minutes(text: Column) -> Column:
+    """Minutes of a text like ``HOURS``."""
+    return F.split_part(text, F.lit(":"), F.lit(1)).try_cast("int") * 60 + F.split_part(text, F.lit(":"), F.lit(2)).try_cast("int")
+
+
 def parse_informed(c) -> Column:
     """struct(kind HOURS/DECIMAL/UNKNOWN, minutes, amount)."""
     text = trim_to_null(c)
-    hours = text.rlike(r"^\d+:[0-5]\d$")
-    minutes = F.when(hours, F.split_part(text, F.lit(":"), F.lit(1)).try_cast("int") * 60 + F.split_part(text, F.lit(":"), F.lit(2)).try_cast("int"))
+    hours = text.rlike(HOURS)
+    minutes = F.when(hours, hours_minutes(text))
     amount = parse_brl_strict(text)
     return F.struct(F.when(hours, "HOURS").when(amount.isNotNull(), "DECIMAL").otherwise("UNKNOWN").alias("kind"), minutes.alias("minutes"), amount.alias("amount"))
 

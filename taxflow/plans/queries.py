@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taxflow.functions import classify as R
@@ -496,14 +496,18 @@ def payroll_companies(spark, sf_dir):
 
 def report_pages(spark, sf_dir) -> DataFrame:
     """Order lines written as report pages (one an order; returned lines are informational), a file a month and customer, and read back."""
-    money = lambda c: F.translate(F.format_number(c, 2), ",.", ".,")
+    money = lambda c: F.translate(F.format_number(F.col(c).cast("double"), 2), ",.", ".,")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_returnflag") == "R").alias("info"), F.round("l_extendedprice", 2).cast("decimal(14,2)").alias("v"), "l_linenumber", "l_partkey")
-    line = F.concat_ws(" ", F.lit("RUBRICA"), (F.col("l_partkey") % 1000 + 1000).cast("string"), F.lit("1"), F.lit("10:30"), money("v"))
-    part = li.groupBy("o_orderkey").agg(
-        *[F.array_join(F.array_sort(F.collect_list(F.when(F.col("info") == i, line))), "\n").alias(n) for n, i in (("paid", False), ("info", True))],
-        *[F.sum(F.when(F.col("info") == i, F.col("v"))).alias(n) for n, i in (("paid_total", False), ("info_total", True))],
-    )
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_returnflag") == "R").alias("info"), F.round("l_extendedprice", 2).cast("decimal(14,2)").alias("v"), (F.col("l_partkey") % 1000 + 1000).cast("int").alias("code"))
+    # Numbers are dealt out, not text; an order's lines lie far apart in the table, so lists made before that would hold about one each.
+    li = li.repartition("o_orderkey").withColumn("line", F.concat_ws(" ", F.lit("RUBRICA"), F.col("code").cast("string"), F.lit("1"), F.lit("10:30"), money("v")))
+    order = Window.partitionBy("o_orderkey").orderBy("line")
+    w = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    part = li.select(
+        "o_orderkey", F.row_number().over(order).alias("n"),
+        *[F.collect_list(F.when(F.col("info") == i, F.col("line"))).over(w).alias(n) for n, i in (("paid", False), ("info", True))],
+        *[F.sum(F.when(F.col("info") == i, F.col("v"))).over(w).alias(n) for n, i in (("paid_total", False), ("info_total", True))],
+    ).where("n = 1").drop("n").withColumns({c: F.array_join(c, "\n") for c in ("paid", "info")})
     code = F.lpad(F.col("o_orderkey").cast("string"), 12, "0")
     total = lambda head, body, s: F.when(F.col(s).isNotNull(), F.concat(F.lit(f"{head}\n"), body, F.lit("\n"), money(s), F.lit("Total:")))
     text = F.concat_ws(

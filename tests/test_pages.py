@@ -8,6 +8,7 @@ from taxflow.functions.page_parser import Page
 from taxflow.operators import payroll, rule_pages
 from taxflow.plans.queries import QUERIES, SQL
 from taxflow.sources import assessments, feeds
+from taxflow.staging import staged
 from tests.oracle import differences
 
 
@@ -178,3 +179,26 @@ def test_rubric_lines_are_read_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "endswith(line" not in plan.lower()
     assert [(r.code, r.name, str(r.calculated), r.minutes) for r in found.collect()] == [("1000", "SALARIO", "1234.56", 630)]
+
+
+def test_report_is_read_in_one_pass(spark, monkeypatch):
+    """The text of the pages is dealt out by file once, and nothing that is read from it: lines are numbered where they lie; later parts read what was written."""
+    plans = {}
+
+    def kept(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+        return staged(df, label)
+
+    monkeypatch.setattr(payroll, "staged", kept)
+    texts = [("a_05-2026.pdf", 2, page("1/1", None, ["1,00Total:", "Comp X 12 1 2,00 3,00"])), ("a_05-2026.pdf", 1, page("1/1", "7", MONTH).replace("\n", " \r\n\t")), ("b.pdf", 1, None), ("b.pdf", 2, page("1/1", "9", []))]
+    pages = spark.createDataFrame(texts, "file string, page_no int, text string")
+    out = payroll.parse_report(pages)
+    logical, physical = plans["payroll-parts"]
+    assert "Join" not in logical and physical.count("Exchange") == 1
+    for label in ("payroll-companies", "payroll-reports"):
+        assert "split(" not in plans[label][0] and "regexp_extract(text" not in plans[label][0]
+    a, b = (next(r for r in out["companies"].collect() if r.company_code == c) for c in ("7", "9"))
+    assert (a.pages, a.n_rubrics, str(a.gross), a.warnings) == ([1, 2], 5, "3291.00", ["DECLARED_PAGE_SEQUENCE_MISMATCH", "SECTION_TOTAL_MISMATCH"])
+    assert (b.pages, b.n_rubrics, b.n_blocks, b.warnings) == ([2], 0, 0, ["CONTINUATION_PAGE_EMPTY", "NET_TOTAL_MISSING"])
+    assert [(r.line_no, r.code) for r in out["rubrics"].orderBy("file", "page_no", "line_no").collect()] == [(2, "1"), (3, "100"), (6, "998"), (9, "996"), (1, "12")]
+    assert {r.file: (r.n_pages, r.n_companies) for r in out["reports"].collect()} == {"a_05-2026.pdf": (2, 1), "b.pdf": (2, 1)}
